@@ -26,16 +26,16 @@ from radiotiles.llm.common import SPACES, stage
 SYMBOLS = "#*$%&|<>"
 #: What the rules may test; each is a number of one text.
 FEATURES = {
-    "n_words": F.col("n_words").cast("double"),
-    "word_length": F.try_divide(F.col("word_chars"), F.col("n_words")),
-    "symbol_share": F.try_divide(F.col("n_symbols"), F.col("word_chars")),
-    "dup_line_share": F.try_divide(F.col("n_dup_lines"), F.col("n_lines")),
-    "repeat_share": F.try_divide(F.col("n_repeat_words"), F.col("n_words")),
-    "capital_share": F.try_divide(F.col("n_capital_words"), F.col("n_words")),
-    "bang_share": F.try_divide(F.col("n_bangs"), F.col("n_words")),
-    "distinct_share": F.try_divide(F.col("n_distinct_words"), F.col("n_words")),
-    "digit_share": F.try_divide(F.col("n_digits"), F.col("word_chars")),
-    "words_per_line": F.try_divide(F.col("n_words"), F.col("n_lines")),
+    "n_words": "cast(n_words as double)",
+    "word_length": "try_divide(word_chars, n_words)",
+    "symbol_share": "try_divide(n_symbols, word_chars)",
+    "dup_line_share": "try_divide(n_dup_lines, n_lines)",
+    "repeat_share": "try_divide(n_repeat_words, n_words)",
+    "capital_share": "try_divide(n_capital_words, n_words)",
+    "bang_share": "try_divide(n_bangs, n_words)",
+    "distinct_share": "try_divide(n_distinct_words, n_words)",
+    "digit_share": "try_divide(n_digits, word_chars)",
+    "words_per_line": "try_divide(n_words, n_lines)",
 }
 
 
@@ -102,7 +102,7 @@ class Rule:
 
 
 def features() -> list[Column]:
-    return [F.coalesce(c, F.lit(0.0)).alias(k) for k, c in FEATURES.items()]
+    return [F.coalesce(F.expr(e), F.lit(0.0)).alias(k) for k, e in FEATURES.items()]
 
 
 def gain(p: int, n: int, p0: int, n0: int) -> float:

@@ -88,7 +88,7 @@ def test_quality_of_odd_tables(spark, odd, none):
 def test_shards(spark, data, odd, none):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     rows = sharding.assign_shards(docs, 24, bucket_bytes=40_000).collect()
-    assert Counter(r["doc_id"] for r in rows) == Counter(texts(spark, data))
+    assert Counter(r["doc_id"] for r in rows) == Counter(list(texts(spark, data)))
     by = {}
     for r in rows:
         by.setdefault(r["shard"], []).append(r["slot"])
