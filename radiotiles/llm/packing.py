@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from radiotiles.llm.common import stage
 
 END_ID = 0
+SENT_ROWS = 200_000
 SMALL = "\x00small"
 
 
@@ -195,7 +196,11 @@ def pack(docs: DataFrame, window: int = 1024, part_windows: int = 2048, quantum:
                     owed[s] += earn[s]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()], strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    queued = tokens.join(before.select("queue", "base", F.col("source").alias("s"), F.col("part").alias("p")), F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    bases = before.select("queue", "base", F.col("source").alias("s"), F.col("part").alias("p"))
+    # a row for each source in each input partition: sent to all while that is small, joined by shuffle beyond
+    if shares.count() <= SENT_ROWS:
+        bases = F.broadcast(bases)
+    queued = tokens.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
     parts = queued.select("doc_id", F.col("queue").alias("source"), (F.col("base") + F.col("at")).alias("first"), "n", "ids").mapInArrow(spread, "j long, source string, queued long, doc_id long, start long, doc_tokens long, ids binary, width int")
     return parts.groupBy("j").applyInArrow(serve, PIECES)
 

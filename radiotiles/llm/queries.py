@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radiotiles.llm import chat, lm, packing, quality, sharding, toxicity, warc
+from radiotiles.llm import chat, contamination, jaccard, lm, packing, quality, repeats, sharding, toxicity, warc
 from radiotiles.llm.common import learned_from, table
 
 
@@ -38,6 +38,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(with_control_strings(table(spark, sf_dir, "conversations"))))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,14 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(payload, F.col("page") == F.col("p"), "left").select("record_id", "canonical_url", "ts", "status", "target_id", warc.header_block(F.col("headers")).alias("headers"), "payload_md5", "payload_chars")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.kept_digests(table(spark, sf_dir, "documents"))
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.component_ids(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -83,7 +95,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_crc(packing.pack(table(spark, sf_dir, "documents"))).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_chat_format, op5_lm_score, op6_warc_revisits, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_chat_format, op4_decontamination, op5_lm_score, op6_warc_revisits, op7_suffix_dedup, op8_ngram_jaccard, op9_toxicity, op10_packing)}
 
 ORACLE: dict[str, str] = {
     "op3_chat_format": r"""
