@@ -224,19 +224,34 @@ def links(docs: DataFrame, n: int, num: int, den: int, fragments: int = 4) -> Da
     return components(edges.unionByName(linked(second)))
 
 
-def component_ids(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable) of every row."""
+def classes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """doc_id, text_key, n_shingles and component_id (the least doc_id reachable) of every row."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             texts = column_bytes(batch, "text")
             sizes = [len(shingle_set(word_hashes(t, known), n)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(t) for t in texts], pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "node", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([node_of(t) for t in texts], pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "text_key", "node", "n_shingles"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    measured = stage(own.mapInArrow(measure, "doc_id long, node long, n_shingles long"), "measured")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+    measured = stage(own.mapInArrow(measure, "doc_id long, text_key long, node long, n_shingles long"), "measured")
     roots = links(own, n, num, den)
-    rooted = measured.join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
+    rooted = measured.join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("doc_id", "text_key", "n_shingles", F.coalesce("root", "node").alias("root"))
     least = rooted.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, F.col("root") == F.col("r"), "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return rooted.join(least, F.col("root") == F.col("r"), "left").select("doc_id", "text_key", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def component_ids(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    return classes(docs, n, num, den).drop("text_key")
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs whose id is their component's; of repeated rows, one.  Rows without an id stay
+    unless they are linked with one that has an id."""
+    found = stage(classes(docs, n, num, den), "components")
+    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct()
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("k")), "left_anti")
+    again = found.where("n_shingles > 0").groupBy("doc_id", "text_key").count().where("count > 1")
+    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

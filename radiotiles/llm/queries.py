@@ -88,7 +88,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).select("doc_id", (~learned_from(F.col("doc_id"), 5)).alias("held_out"), "score", "predicted")
+    return toxicity.scores(docs, model).select("doc_id", (~learned_from(F.col("doc_id"), 5)).alias("held_out"), "score", "predicted")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from radiotiles.llm.common import learned_from
 
@@ -195,7 +196,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, predicted for every row."""
+    """(rec, score, predicted) of every row; rec is the row as a struct."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * TERMS short strings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,6 +208,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 words = fold(text or "")
                 x = min(feature(matched_weight(f" {' '.join(words)} ", automaton), len(words)), 20.0)
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, m.slope * x + m.intercept)))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), pa.array([int(v >= 0.5) for v in out], pa.int32())], names=["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), pa.array([int(v >= 0.5) for v in out], pa.int32())], names=["rec", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([rows.schema["rec"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return rows.mapInArrow(run, schema)
+
+
+def scores(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score, predicted of every row."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return score(narrow, model).select("rec.doc_id", "score", "predicted")
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows that are not predicted toxic."""
+    return score(docs, model).where("predicted = 0").select(*[F.col("rec").getField(c).alias(c) for c in docs.columns])

@@ -209,12 +209,12 @@ def test_toxicity_finds_learned_words(spark, data, odd, none):
     assert sum(p == y for p, y in held) / len(held) > 0.93
     model = toxicity.Model({"idiot": 5.0}, ("idiot proof",), 1.0, -2.0)
     rows = [(1, "you 1d!0t"), (2, "you іdіоt"), (3, "an idiot proof lid"), (4, "plain")]
-    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.scores(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert got == {1: 1, 2: 1, 3: 0, 4: 0}
     none_labels = spark.createDataFrame([], "doc_id long, toxic int")
     empty = toxicity.fit(odd, none_labels)
-    assert toxicity.score(odd, empty).count() == len(ODD)
-    assert toxicity.score(none, empty).count() == 0
+    assert toxicity.scores(odd, empty).count() == len(ODD)
+    assert toxicity.scores(none, empty).count() == 0
 
 
 def tokenizer():
