@@ -1,3 +1,57 @@
-"""(being built)"""
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""Cleaning and packing a corpus: five stages, each of which reads what the one before kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from radiotiles.llm import contamination, jaccard, packing, repeats, toxicity
+from radiotiles.llm.common import SPACES, stage, table
+
+#: None: a learned score and packing are not SQL; tests/llm compares the stages with brute force.
+ORACLE_SQL = None
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the lexicon learned from the labels predicts toxic go."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.8 of their five-word shingles, the least id stays."""
+    return jaccard.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings of 200 that occur elsewhere leave the texts; rows of which no word is left go."""
+    blank = F.translate(F.col("text"), SPACES, "") == ""
+    before = docs.withColumn("n_chars", F.when(blank, F.lit(-1)).otherwise(F.col("n_chars")))
+    after = repeats.without_repeats(before)
+    emptied = F.coalesce(blank, F.lit(False)) & (F.coalesce("n_chars", F.lit(0)) != -1)
+    return after.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold four fifths of a benchmark item go."""
+    return contamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of 1024 tokens in the mixture of the sources."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", drop_near_duplicates),
+    ("suffix_dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return docs
