@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (as pa.compute)
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,28 +44,10 @@ def learned_from(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus != 0
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, kept for words met before; cleared when it grows too large."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
-def word_hashes(text: bytes | None, known: WordHashes) -> np.ndarray:
-    """Hashes of the lower-cased (A-Z only) words of a text; none for a null text."""
-    words = text.lower().split() if text else []
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MULT2 = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -88,9 +71,63 @@ def shingle_set(h: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct shingles of n words; a shorter text is one shingle, one without words none."""
     if not len(h):
         return h
-    return np.unique(gram_hashes(h, min(n, len(h))))
+    s = np.sort(gram_hashes(h, min(n, len(h))))
+    return s[np.append(True, s[1:] != s[:-1])]
 
 
 def signed(values: np.ndarray) -> pa.Array:
     """Unsigned 64-bit values as the longs that Spark knows."""
     return pa.array(values.view(np.int64))
+
+
+_rng = np.random.default_rng(7)
+LONGEST = 4096
+_POWERS = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(LONGEST - 1, _MULT)]))
+_SPACE = np.zeros(256, bool)
+_SPACE[[ord(c) for c in SPACES]] = True
+#: A random number for each byte; capital letters A-Z have those of small ones, spaces none.
+_BYTES = _rng.integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
+_BYTES[_SPACE] = 0
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased (A-Z only) words of all texts, end to end, and where each text's begin
+    (one place more than there are texts).  Null texts have no words."""
+    texts = texts.cast(pa.large_binary())
+    if texts.null_count:
+        texts = texts.fill_null(b"")
+    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    base = int(edges[0]) if len(edges) else 0
+    edges = edges - base
+    n = int(edges[-1]) if len(edges) else 0
+    if not n:
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    buf = np.frombuffer(texts.buffers()[2], np.uint8, n, base)
+    space = _SPACE[buf]
+    begins = np.append(True, space[:-1])
+    begins[edges[:-1][edges[:-1] < n]] = True
+    starts = np.flatnonzero(begins & ~space)
+    at = np.searchsorted(starts, edges)
+    out = np.empty(len(starts), np.uint64)
+    step = 100_000
+    ends = np.append(starts[1:], n)  # of the word and the spaces after it, which count as nothing
+    for a in range(0, len(starts), step):
+        own, to = starts[a : a + step], ends[a : a + step]
+        lo, hi = own[0], to[-1]
+        place = np.arange(hi - lo) - np.repeat(own - lo, to - own)
+        out[a : a + step] = np.add.reduceat(_BYTES[buf[lo:hi]] * _POWERS[place & (LONGEST - 1)], own - lo)
+    for i in np.flatnonzero(ends - starts >= LONGEST):
+        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes().lower().split()[0])
+    return mix(out), at
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+    """The batch in slices of about `limit` bytes of text at most."""
+    k = batch.schema.get_field_index(column)
+    sizes = pa.compute.binary_length(batch.column(k)).fill_null(0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)

@@ -27,52 +27,87 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radiotiles.llm.common import WordHashes, column_bytes, shingle_set, signed, stage, word_hashes
+from radiotiles.llm.common import hashed_words, shingle_set, signed, slices, stage
 from radiotiles.llm.components import components
 
-SLOT_BITS = 20
-CHUNKS = 256
+SLOT_BITS = 22
+CHUNKS = 1024
+WIDTH = (1 << SLOT_BITS) // CHUNKS
 
 
-def node_of(text: bytes | None) -> int | None:
-    """64-bit hash of the lower-cased words; None without words."""
-    words = text.lower().split() if text else []
-    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).astype(np.int64)) if words else None
-
-
-def sets(batches: Iterator[pa.RecordBatch], n: int, wanted=None) -> Iterator[tuple[int, np.ndarray]]:
-    """Node and sorted set of each text, once for texts with the same words in a task."""
-    known, seen = WordHashes(), set()
+def sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int | None, np.ndarray]]:
+    """Of each text its place in the batch, its node (a hash of its words; None without words) and its
+    sorted set; the set is empty for texts whose words came before in the task."""
+    seen: set[int] = set()
+    nothing = np.empty(0, np.uint64)
     for batch in batches:
-        for text in column_bytes(batch, "text"):
-            node = node_of(text)
-            if node is None or node in seen:
-                continue
-            seen.add(node)
-            yield node, shingle_set(word_hashes(text, known), n)
+        first = 0
+        for part in slices(batch, "text"):
+            words, at = hashed_words(part.column(part.schema.get_field_index("text")))
+            for i in range(part.num_rows):
+                own = words[at[i] : at[i + 1]]
+                if not len(own):
+                    yield first + i, None, nothing
+                    continue
+                node = xxhash.xxh3_64_intdigest(own.data)
+                node -= (node >> 63) << 64
+                if node in seen:
+                    yield first + i, node, nothing
+                else:
+                    seen.add(node)
+                    yield first + i, node, shingle_set(own, n)
+            first += part.num_rows
+
+
+MEASURED = "doc_id long, text_key long, node long, n_shingles long, chunk int, counts binary"
+
+
+def measured(docs: DataFrame, n: int) -> DataFrame:
+    """A row for each document (doc_id, text_key, node, n_shingles), and for each task a sketch: how many
+    shingles fall into each of 2**SLOT_BITS slots, in chunks (chunk, counts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, sizes, now, out = np.zeros(1 << SLOT_BITS, np.int32), {}, None, ([], [])
+
+        def told() -> pa.RecordBatch:
+            k = len(out[0])
+            return pa.RecordBatch.from_arrays([now.column(0), now.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+
+        names = [c.split()[0] for c in MEASURED.split(", ")]
+        for now in batches:
+            out, held = ([], []), []
+            for _, node, s in sets([now], n):
+                if len(s):
+                    sizes[node] = len(s)
+                    held.append(s >> np.uint64(64 - SLOT_BITS))
+                out[0].append(node)
+                out[1].append(sizes.get(node, 0))
+                if len(held) > 300:
+                    np.add.at(total, np.concatenate(held).astype(np.int64), 1)
+                    held = []
+            if held:
+                np.add.at(total, np.concatenate(held).astype(np.int64), 1)
+            yield told()
+        if total.any():
+            parts = [r.tobytes() for r in np.minimum(total, 65535).astype(np.uint16).reshape(CHUNKS, WIDTH)]
+            nulls = pa.nulls(CHUNKS, pa.int64())
+            yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, nulls, pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array(parts, pa.binary())], names=names)
 
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, MEASURED)
 
-def sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """How many shingles fall into each of 2**SLOT_BITS slots: 4 MB, whatever the input."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SLOT_BITS, np.int64)
-        for _, s in sets(batches, n):
-            np.add.at(total, s >> np.uint64(64 - SLOT_BITS), 1)
-        if total.any():
-            rows = np.minimum(total, 2**31 - 1).astype(np.int32).reshape(CHUNKS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["chunk", "counts"])
+def sketch(parts: DataFrame) -> np.ndarray:
+    """The sum of the sketches: 4 bytes a slot, whatever the input."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(b, np.int32).astype(np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(b, np.uint16).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(v, 2**31 - 1).astype(np.int32).tobytes() for v in sums.values()], pa.binary())], names=["chunk", "counts"])
 
-    parts = docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
-    out = np.zeros((CHUNKS, (1 << SLOT_BITS) // CHUNKS), np.int32)
-    for r in parts.collect():  # the sketch, of fixed size
+    out = np.zeros((CHUNKS, WIDTH), np.int32)
+    for r in parts.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect():  # of fixed size
         out[r["chunk"]] = np.frombuffer(r["counts"], np.int32)
     return out.reshape(-1)
 
@@ -98,22 +133,25 @@ def least_overlap(a: int, b: int, num: int, den: int) -> int:
     return -(-num * (a + b) // (num + den))
 
 
-TOKENS = "token long, node long, size int, pos int, typical int, indexed boolean"
+TOKENS = "token long, node long, place long"
+#: `place` packs what pairs are filtered by: the set's size, the shingle's position in it, and whether it is
+#: within the shorter prefix that is enough for partners that are no smaller.
+SIZE, POS, INDEXED = "shiftright({}.place, 32)", "(shiftright({}.place, 1) & 2147483647L)", "({}.place & 1L)"
 
 
 def prefixes(docs: DataFrame, n: int, num: int, den: int, counts) -> DataFrame:
-    """The first shingles of each set: as many as a linked partner cannot do without; `indexed` where a
-    partner that is no smaller cannot either."""
+    """The first shingles of each set: as many as a linked partner cannot do without."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
-        for node, s in sets(batches, n):
-            s, f = in_order(s, counts.value)
+        for _, node, s in sets(batches, n):
             size = len(s)
+            if not size:
+                continue
             probe = size - -(-num * size // den) + 1
             index = size - least_overlap(size, size, num, den) + 1
-            typical = int(min(f.mean() * 16, 2**31 - 1))
-            held.append((s[:probe], node, size, typical, index))
+            s, _ = in_order(s, counts.value)
+            held.append((s[:probe], node, size, index))
             rows += probe
             if rows > 200_000:
                 yield told(held)
@@ -124,16 +162,16 @@ def prefixes(docs: DataFrame, n: int, num: int, den: int, counts) -> DataFrame:
     def told(held: list) -> pa.RecordBatch:
         k = np.array([len(h[0]) for h in held])
         pos = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-        column = lambda i, t: np.repeat(np.array([h[i] for h in held], t), k)
-        return pa.RecordBatch.from_arrays([signed(np.concatenate([h[0] for h in held])), pa.array(column(1, np.int64)), pa.array(column(2, np.int32)), pa.array(pos.astype(np.int32)), pa.array(column(3, np.int32)), pa.array(pos < column(4, np.int64))], names=[x.split()[0] for x in TOKENS.split(", ")])
+        node, size, index = (np.repeat(np.array([h[i] for h in held], np.int64), k) for i in (1, 2, 3))
+        return pa.RecordBatch.from_arrays([signed(np.concatenate([h[0] for h in held])), pa.array(node), pa.array(size << 32 | pos << 1 | (pos < index))], names=["token", "node", "place"])
 
     return docs.select("text").mapInArrow(emit, TOKENS)
 
 
 def may_link(x: str, y: str, num: int, den: int):
     """Whether sets that share a shingle at these places can be linked."""
-    size, pos, indexed = ((F.col(f"{x}.{c}"), F.col(f"{y}.{c}")) for c in ("size", "pos", "indexed"))
-    smaller_indexed = F.when(size[0] < size[1], indexed[0]).when(size[0] > size[1], indexed[1]).otherwise(indexed[0] & indexed[1])
+    size, pos, indexed = ([F.expr(e.format(c)) for c in (x, y)] for e in (SIZE, POS, INDEXED))
+    smaller_indexed = F.when(size[0] < size[1], indexed[0]).when(size[0] > size[1], indexed[1]).otherwise(F.least(*indexed)) == 1
     need = F.ceil((F.lit(num) * (size[0] + size[1])) / F.lit(float(num + den)) - 1e-9)
     return smaller_indexed & (den * F.least(*size) >= num * F.greatest(*size)) & (F.least(size[0] - pos[0], size[1] - pos[1]) >= need)
 
@@ -152,7 +190,9 @@ def overlaps(docs: DataFrame, pairs: DataFrame, n: int, counts, ends: np.ndarray
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         ids = sent.value if sent else None
-        for node, s in sets(batches, n):
+        for _, node, s in sets(batches, n):
+            if not len(s):
+                continue
             if ids is not None:
                 i = np.searchsorted(ids, node)
                 if i == len(ids) or ids[i] != node:
@@ -191,23 +231,23 @@ def overlaps(docs: DataFrame, pairs: DataFrame, n: int, counts, ends: np.ndarray
     return partial.groupBy("a", "b").agg(F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"), F.sum("partial").alias("overlap"))
 
 
-def links(docs: DataFrame, n: int, num: int, den: int, fragments: int = 4) -> DataFrame:
-    """(node, root): the components that the linked pairs make of the nodes."""
+def links(docs: DataFrame, table: np.ndarray, n: int, num: int, den: int, fragments: int = 4) -> DataFrame:
+    """(node, root): the components that the linked pairs make of the nodes; table: the sketch."""
     spark = docs.sparkSession
-    table = sketch(docs, n)
     ends = fragment_ends(table, fragments)
     counts = spark.sparkContext.broadcast(table)
     tokens = stage(prefixes(docs, n, num, den, counts), "prefixes")
     # shingles of at least two nodes, of which at least one is indexed
-    common = tokens.groupBy(F.col("token").alias("t")).agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.bool_or("indexed").alias("any")).where("lo <> hi and any").select("t")
+    common = tokens.groupBy(F.col("token").alias("t")).agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max(F.expr("place & 1L")).alias("any")).where("lo <> hi and any = 1").select("t")
     shared = stage(tokens.join(common, F.col("token") == F.col("t"), "left_semi"), "shared")
 
     def linked(pairs: DataFrame) -> DataFrame:
         counted = overlaps(docs, pairs, n, counts, ends)
         return counted.where(f"{den} * overlap >= {num} * (size_a + size_b - overlap)").select("a", "b")
 
-    member = F.struct("size", "pos", "indexed", "node")
-    leader = shared.groupBy(F.col("token").alias("t")).agg(F.max_by(member, F.struct("typical", "node")).alias("y"))
+    # the most typical document of a shingle is the one with the fewest rarer shingles
+    member = F.struct("node", "place")
+    leader = shared.groupBy(F.col("token").alias("t")).agg(F.min(F.struct(F.expr("shiftright(place, 1) & 2147483647L").alias("rarer"), "node", "place")).alias("y"))
     stars = shared.select("token", member.alias("x")).join(leader, F.col("token") == F.col("t")).where((F.col("x.node") != F.col("y.node")) & may_link("x", "y", num, den))
     first = stage(stars.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "stars")
     edges = stage(linked(first), "links")
@@ -226,18 +266,10 @@ def links(docs: DataFrame, n: int, num: int, den: int, fragments: int = 4) -> Da
 
 def classes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, text_key, n_shingles and component_id (the least doc_id reachable) of every row."""
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            texts = column_bytes(batch, "text")
-            sizes = [len(shingle_set(word_hashes(t, known), n)) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([node_of(t) for t in texts], pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "text_key", "node", "n_shingles"])
-
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    measured = stage(own.mapInArrow(measure, "doc_id long, text_key long, node long, n_shingles long"), "measured")
-    roots = links(own, n, num, den)
-    rooted = measured.join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("doc_id", "text_key", "n_shingles", F.coalesce("root", "node").alias("root"))
+    both = stage(measured(own, n), "measured")
+    roots = links(own, sketch(both), n, num, den)
+    rooted = both.where("chunk is null").join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("doc_id", "text_key", "n_shingles", F.coalesce("root", "node").alias("root"))
     least = rooted.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("least"))
     return rooted.join(least, F.col("root") == F.col("r"), "left").select("doc_id", "text_key", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
