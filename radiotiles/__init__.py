@@ -1,0 +1 @@
+"""Radio path-loss analytics over city tiles, on Spark DataFrames."""

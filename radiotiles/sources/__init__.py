@@ -1,0 +1 @@
+"""sources of the radio path-loss engine."""

@@ -1,0 +1 @@
+"""streaming of the radio path-loss engine."""
