@@ -15,6 +15,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,15 +32,21 @@ def word_codes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(codes: str, masks: tuple[str, ...]) -> Column:
-    """Hashes of the windows under the first mask, then under the second, ..."""
+def couples(codes: str) -> Column:
+    """Hashes of each word with the next."""
+    return F.transform(codes, lambda x, i: F.xxhash64(x, F.get(codes, i + 1)))
+
+
+def seeds(codes: str, pairs: str, masks: tuple[str, ...]) -> Column:
+    """Hashes of the windows under the first mask, then under the second, ...; two selected words that are
+    neighbours are taken together from `pairs`."""
 
-    def under(k: int, mask: str) -> Column:
-        picked = [i for i, c in enumerate(mask) if c == "1"]
-        hashed = F.transform(codes, lambda _, i: F.xxhash64(F.lit(k), *[F.get(codes, i + p) for p in picked]))
-        return F.slice(hashed, 1, F.greatest(F.size(codes) - len(mask) + 1, F.lit(0)))
+    def under(mask: str) -> Column:
+        picked = [(m.start(), pairs if len(m[0]) == 2 else codes) for m in re.finditer("11?", mask)]
+        hashed = F.transform(codes, lambda _, i: F.xxhash64(*[F.get(words, i + p) for p, words in picked]))
+        return F.slice(hashed, 1, windows(F.size(codes), mask))
 
-    return F.concat(*[under(k, m) for k, m in enumerate(masks)])
+    return F.concat(*[under(m) for m in masks])
 
 
 def windows(size: Column, mask: str) -> Column:
@@ -60,10 +68,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, mask
     """doc_id, item_id, start (word of the document, may be negative), matched, item_words."""
     items = stage(benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_codes(F.col("text")).alias("item")).where("size(item) > 0").distinct(), "items")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), word_codes(F.col("text")).alias("codes"))
-    item_seeds = items.select(F.xxhash64("item_id", "item").alias("item_key"), F.size("item").alias("n"), F.posexplode(seeds("item", masks)).alias("p", "seed")).select("item_key", "seed", start_of(F.col("p"), F.col("n"), masks).alias("item_at"))
+    item_seeds = items.withColumn("pairs", couples("item")).select(F.xxhash64("item_id", "item").alias("item_key"), F.size("item").alias("n"), F.posexplode(seeds("item", "pairs", masks)).alias("p", "seed")).select("item_key", "seed", start_of(F.col("p"), F.col("n"), masks).alias("item_at"))
     item_seeds = stage(item_seeds, "seeds")
     few = item_seeds.count() <= sent_rows
-    own = texts.select("doc_id", "text_key", F.size("codes").alias("n"), F.posexplode(seeds("codes", masks)).alias("p", "s"))
+    own = texts.withColumn("pairs", couples("codes")).select("doc_id", "text_key", F.size("codes").alias("n"), F.posexplode(seeds("codes", "pairs", masks)).alias("p", "s"))
     hits = own.join(F.broadcast(item_seeds) if few else item_seeds, F.col("s") == F.col("seed"))
     shift = start_of(F.col("p"), F.col("n"), masks) - F.col("item_at")
     found = stage(hits.select("doc_id", "text_key", "item_key", shift.alias("start")).distinct(), "alignments")
@@ -81,4 +89,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, mask
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents without a contaminated one."""
     bad = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad"]), "left_anti")

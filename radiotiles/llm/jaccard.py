@@ -284,6 +284,6 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     unless they are linked with one that has an id."""
     found = stage(classes(docs, n, num, den), "components")
     gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct()
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("k")), "left_anti")
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["d"]) & (F.xxhash64(docs["text"]) == gone["k"]), "left_anti")
     again = found.where("n_shingles > 0").groupBy("doc_id", "text_key").count().where("count > 1")
     return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

@@ -97,6 +97,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_chat_format, op4_decontamination, op5_lm_score, op6_warc_revisits, op7_suffix_dedup, op8_ngram_jaccard, op9_toxicity, op10_packing)}
 
+CANONICAL = """
+n AS (SELECT *, regexp_replace(url, '#.*$', '') AS plain FROM cap),
+c AS (SELECT *, CASE WHEN regexp_matches(plain, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)') THEN
+  regexp_replace(regexp_replace(lower(regexp_extract(plain, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^www\\.', ''), ':(80|443)$', '') ||
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(plain, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)(.*)$', 2), '([?&])utm_[a-z]+=[^&]*', '\\1', 'g'), '[?&]+$', ''), '&&+', '&', 'g'), '\\?&', '?', 'g'), '/+$', '')
+  ELSE plain END AS canonical_url FROM n)"""
+
 ORACLE: dict[str, str] = {
     "op3_chat_format": r"""
 WITH turns AS (
@@ -113,5 +120,49 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sum(length(etext) + length(erole) + 24)::BIGINT AS formatted_chars,
        0::BIGINT AS rewritten_turns
 FROM escaped GROUP BY conv_id
+""",
+    "op4_decontamination": r"""
+WITH d AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS p, unnest(w) AS x FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents)),
+b AS (SELECT item_id, len(w) AS n, generate_subscripts(w, 1) - 1 AS q, unnest(w) AS x FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM benchmark)),
+m AS (SELECT doc_id, item_id, n, p - q AS start, count(*) AS matched FROM d JOIN b USING (x) WHERE n >= 6 GROUP BY ALL HAVING count(*) >= ceil(n * 0.8 - 1e-9)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, start) AS r FROM m)
+SELECT doc_id, item_id, start::BIGINT AS start, matched::BIGINT AS matched, n::BIGINT AS item_words FROM k WHERE r = 1
+""",
+    "op6_warc_revisits": """
+WITH p AS (SELECT page_id, url, html, page_id * 100 AS tm, md5(coalesce(html, '')) AS tag, 'day ' || (page_id % 1000)::VARCHAR AS stamp, strlen(coalesce(html, ''))::VARCHAR AS size FROM pages),
+cap AS (
+  SELECT url, page_id * 4 AS record_id, tm AS ts, false AS revisit, tag AS etag, stamp AS modified, size FROM p
+  UNION ALL SELECT url, page_id * 4 + 1, tm + 30, true, 'W/' || tag, NULL, NULL FROM p
+  UNION ALL SELECT url, page_id * 4 + 2, tm + 50, false, md5(coalesce(html, '') || '2'), stamp, size FROM p WHERE page_id % 3 = 0
+  UNION ALL SELECT url, page_id * 4 + 3, tm + 70, true, tag, stamp, NULL FROM p WHERE page_id % 3 = 0
+  UNION ALL SELECT url, page_id * 4 + 3, tm + 70, true, NULL, stamp, NULL FROM p WHERE page_id % 3 = 1
+  UNION ALL SELECT url, page_id * 4 + 3, tm - 20, true, tag, NULL, NULL FROM p WHERE page_id % 3 = 2),""" + CANONICAL + """,
+v AS (SELECT *, ts * 1000000000 + record_id AS o FROM c WHERE revisit), f AS (SELECT *, ts * 1000000000 + record_id AS o FROM c WHERE NOT revisit),
+j AS (SELECT v.record_id, v.canonical_url, v.ts, v.etag, v.modified, f.record_id AS target_id, f.etag AS se, f.modified AS sm, f.size, f.ts AS fts FROM v ASOF LEFT JOIN f ON v.canonical_url = f.canonical_url AND v.o > f.o),
+s AS (SELECT *, CASE WHEN target_id IS NULL THEN 'no_response' WHEN etag IS NOT NULL AND se IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = se THEN 'resolved' ELSE 'mismatch' END
+  WHEN modified IS NOT NULL AND sm IS NOT NULL THEN CASE WHEN modified = sm THEN 'resolved' ELSE 'mismatch' END ELSE 'unverified' END AS status FROM j)
+SELECT s.record_id, canonical_url, ts, status, target_id,
+  CASE WHEN status = 'resolved' THEN 'cache-control: max-age=3600' || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts::VARCHAR || chr(10) || 'etag: ' || coalesce(etag, se) || chr(10) || 'last-modified: ' || coalesce(modified, sm) END AS headers,
+  CASE WHEN status = 'resolved' THEN md5(html) END AS payload_md5, CASE WHEN status = 'resolved' THEN length(html) END AS payload_chars
+FROM s LEFT JOIN pages ON status = 'resolved' AND page_id = target_id // 4
+""",
+    "op7_suffix_dedup": r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS s, strlen(coalesce(text, '')) AS n, string_to_hex FROM (SELECT doc_id, text, lower(hex(encode(coalesce(text, '')))) AS string_to_hex FROM documents)),
+w AS (SELECT doc_id, n, i, md5(substr(string_to_hex, 2 * i + 1, 400)) AS h FROM (SELECT doc_id, n, string_to_hex, unnest(range(0, n - 199)) AS i FROM t WHERE n >= 200)),
+r AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS b FROM r),
+x AS (SELECT doc_id, i, sum(b) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+sp AS (SELECT doc_id, k, min(i) AS a, max(i) + 200 AS e FROM x GROUP BY ALL),
+kp AS (SELECT doc_id, a, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS p FROM sp),
+agg AS (SELECT doc_id, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(string_to_hex, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(string_to_hex), 2 * max(e) + 1) AS kept FROM kp JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, string_to_hex))) AS kept_sha256 FROM t LEFT JOIN agg USING (doc_id)
+""",
+    "op8_ngram_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS x FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id
 """,
 }
