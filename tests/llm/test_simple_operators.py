@@ -169,7 +169,7 @@ def test_lm_odd_tables(spark, odd, none):
 def test_bloom_counts():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 4000).astype(np.uint64))
     counts = np.random.default_rng(2).zipf(1.6, len(keys)).clip(1, 10**6)
-    slice_bits, whole = 256, []
+    slice_bits, whole = 64, []
     for s in range(lm.SLICES):
         own = lm.slice_of(keys) == s
         whole.append(lm.fill(keys[own], lm.level(counts[own]), slice_bits))
