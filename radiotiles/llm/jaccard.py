@@ -19,7 +19,7 @@ takes part, but is never a component's id.  Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +35,10 @@ CHUNKS = 1024
 WIDTH = (1 << SLOT_BITS) // CHUNKS
 
 
-def sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int | None, np.ndarray]]:
+def sets(batches: Iterator[pa.RecordBatch], n: int, wanted: Callable[[int, int], bool] | None = None) -> Iterator[tuple[int, int | None, np.ndarray]]:
     """Of each text its place in the batch, its node (a hash of its words; None without words) and its
-    sorted set; the set is empty for texts whose words came before in the task."""
+    sorted set; the set is empty for texts whose words came before in the task, or with `wanted`, for those
+    whose place and node it does not want."""
     seen: set[int] = set()
     nothing = np.empty(0, np.uint64)
     for batch in batches:
@@ -51,7 +52,7 @@ def sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int |
                     continue
                 node = xxhash.xxh3_64_intdigest(own.data)
                 node -= (node >> 63) << 64
-                if node in seen:
+                if node in seen if wanted is None else not wanted(first + i, node):
                     yield first + i, node, nothing
                 else:
                     seen.add(node)
@@ -176,62 +177,70 @@ def may_link(x: str, y: str, num: int, den: int):
     return smaller_indexed & (den * F.least(*size) >= num * F.greatest(*size)) & (F.least(size[0] - pos[0], size[1] - pos[1]) >= need)
 
 
-def overlaps(docs: DataFrame, pairs: DataFrame, n: int, counts, ends: np.ndarray, sent_nodes: int = 2_000_000) -> DataFrame:
-    """(a, b, size_a, size_b, overlap) of `pairs` (a, b): partial counts by fragment, summed per pair."""
-    nodes = stage(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), "nodes")
-    n_nodes = nodes.count()
-    known = docs.select(F.col("text"))
-    if n_nodes <= sent_nodes:
-        ids = np.sort(nodes.toArrow().column(0).to_numpy())
-        sent = docs.sparkSession.sparkContext.broadcast(ids)  # 8 bytes each, at most 16 MB
-    else:
-        sent = None
+def overlaps(docs: DataFrame, measured: DataFrame, pairs: DataFrame, n: int, counts, ends: np.ndarray, sent_rows: int = 1_000_000) -> DataFrame:
+    """(a, b, size_a, size_b, overlap) of `pairs` (a, b): partial counts by fragment, summed per pair.  Up to
+    `sent_rows` pairs and nodes (16 bytes each) are sent to all workers, more are joined by shuffle."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
+    # one document stands for a node
+    nodes = stage(measured.join(nodes, F.col("node") == F.col("wanted")).groupBy("wanted").agg(F.min("doc_id").alias("stands")), "nodes")
+    few, sent = nodes.count() <= sent_rows, None
+    if few:
+        t = nodes.orderBy("wanted").toArrow()
+        sent = docs.sparkSession.sparkContext.broadcast((t.column(0).to_numpy(), t.column(1).to_pylist()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        ids = sent.value if sent else None
-        for _, node, s in sets(batches, n):
-            if not len(s):
-                continue
-            if ids is not None:
-                i = np.searchsorted(ids, node)
-                if i == len(ids) or ids[i] != node:
+        ids, stands = sent.value if sent else (None, None)
+        for batch in batches:
+            doc_ids = batch.column(0).to_pylist()
+
+            def stands_for(i: int, node: int, doc_ids=doc_ids) -> bool:
+                k = np.searchsorted(ids, node)
+                return k < len(ids) and ids[k] == node and stands[k] == doc_ids[i]
+
+            for i, node, s in sets([batch], n, stands_for if few else lambda *_: True):
+                if not len(s):
                     continue
-            s, f = in_order(s, counts.value)
-            bounds = [0, *np.searchsorted(f, ends, side="right"), len(s)]
-            for k in range(len(bounds) - 1):
-                if bounds[k] < bounds[k + 1] or k == 0:
-                    held.append((node, k, len(s), np.sort(s[bounds[k] : bounds[k + 1]]).tobytes()))
-            size += len(s)
-            if size > 400_000:
-                yield told(held)
-                held, size = [], 0
+                s, f = in_order(s, counts.value)
+                bounds = [0, *np.searchsorted(f, ends, side="right"), len(s)]
+                for k in range(len(bounds) - 1):
+                    if bounds[k] < bounds[k + 1] or k == 0:
+                        held.append((doc_ids[i], node, k, len(s), np.sort(s[bounds[k] : bounds[k + 1]]).tobytes()))
+                size += len(s)
+                if size > 400_000:
+                    yield told(held)
+                    held, size = [], 0
         if held:
             yield told(held)
 
     def told(held: list) -> pa.RecordBatch:
-        cols = list(zip(*held, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["node", "fragment", "size", "part"])
-
-    parts = known.mapInArrow(cut, "node long, fragment int, size int, part binary")
-    if sent is None:
-        parts = parts.join(nodes, F.col("node") == F.col("wanted"), "left_semi")
-    parts = stage(parts.dropDuplicates(["node", "fragment"]), "fragments")
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=["doc_id", "node", "fragment", "size", "part"])
+
+    parts = docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, node long, fragment int, size int, part binary")
+    if not few:
+        parts = parts.join(nodes, (F.col("node") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("stands")), "left_semi")
+    parts = stage(parts, "fragments")
+    small = few and pairs.count() <= sent_rows
+    send = F.broadcast if small else lambda x: x
     left = parts.select(F.col("node").alias("na"), F.col("fragment").alias("fa"), F.col("size").alias("size_a"), F.col("part").alias("part_a"))
     right = parts.select(F.col("node").alias("nb"), F.col("fragment").alias("fb"), F.col("size").alias("size_b"), F.col("part").alias("part_b"))
+    right = right.join(send(pairs.select(F.col("b").alias("c")).distinct()), F.col("nb") == F.col("c"), "left_semi")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pa_, pb = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            both = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) if x and y else 0 for x, y in zip(pa_, pb, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(both, pa.int32())], names=["a", "b", "size_a", "size_b", "partial"])
+            xs, ys = batch.column(5).to_pylist(), batch.column(6).to_pylist()
+            both = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) if x and y else 0 for x, y in zip(xs, ys, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(both, pa.int32())], names=["a", "b", "fragment", "size_a", "size_b", "partial"])
 
-    together = pairs.join(left, F.col("a") == F.col("na")).join(right, (F.col("b") == F.col("nb")) & (F.col("fa") == F.col("fb")))
-    partial = together.select("a", "b", "size_a", "size_b", "part_a", "part_b").mapInArrow(shared, "a long, b long, size_a int, size_b int, partial int")
-    return partial.groupBy("a", "b").agg(F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"), F.sum("partial").alias("overlap"))
+    together = left.join(send(pairs), F.col("a") == F.col("na")).join(right, (F.col("b") == F.col("nb")) & (F.col("fa") == F.col("fb")))
+    partial = together.select("a", "b", F.col("fa").alias("fragment"), "size_a", "size_b", "part_a", "part_b").mapInArrow(shared, "a long, b long, fragment int, size_a int, size_b int, partial int")
+    # repeated rows give a fragment's count more than once
+    once = partial.groupBy("a", "b", "fragment").agg(F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"), F.max("partial").alias("partial"))
+    return once.groupBy("a", "b").agg(F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"), F.sum("partial").alias("overlap"))
 
 
-def links(docs: DataFrame, table: np.ndarray, n: int, num: int, den: int, fragments: int = 4) -> DataFrame:
+def links(docs: DataFrame, measured: DataFrame, table: np.ndarray, n: int, num: int, den: int, fragments: int = 4) -> DataFrame:
     """(node, root): the components that the linked pairs make of the nodes; table: the sketch."""
     spark = docs.sparkSession
     ends = fragment_ends(table, fragments)
@@ -242,7 +251,7 @@ def links(docs: DataFrame, table: np.ndarray, n: int, num: int, den: int, fragme
     shared = stage(tokens.join(common, F.col("token") == F.col("t"), "left_semi"), "shared")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        counted = overlaps(docs, pairs, n, counts, ends)
+        counted = overlaps(docs, measured, pairs, n, counts, ends)
         return counted.where(f"{den} * overlap >= {num} * (size_a + size_b - overlap)").select("a", "b")
 
     # the most typical document of a shingle is the one with the fewest rarer shingles
@@ -268,7 +277,7 @@ def classes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, text_key, n_shingles and component_id (the least doc_id reachable) of every row."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     both = stage(measured(own, n), "measured")
-    roots = links(own, sketch(both), n, num, den)
+    roots = links(own, both.where("chunk is null").select("doc_id", "node"), sketch(both), n, num, den)
     rooted = both.where("chunk is null").join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("doc_id", "text_key", "n_shingles", F.coalesce("root", "node").alias("root"))
     least = rooted.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("least"))
     return rooted.join(least, F.col("root") == F.col("r"), "left").select("doc_id", "text_key", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))

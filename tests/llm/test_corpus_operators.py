@@ -138,7 +138,9 @@ def test_jaccard_near_copies(spark, n, num):
             for _ in range(rng.randrange(0, 8)):
                 w[rng.randrange(len(w))] = f"e{rng.randrange(30)}"
             rows.append((1000 * b + c, " ".join(w)))
+    rows += [(i + 20_000 - 2 * (i % 1000), t) for i, t in rows[::3]]  # copies, not in order of id
     rows += [(9000 + i, " ".join(passage + some_words(500 + i, 10 + i))) for i in range(40)] + odd_rows()
+    random.Random(3).shuffle(rows)
     got = Counter(map(tuple, jaccard.component_ids(frame(spark, rows), n, num, 100).select("doc_id", "n_shingles", "component_id").collect()))
     assert got == components_brute(rows, n, num, 100)
     assert jaccard.component_ids(frame(spark, []), n, num, 100).count() == 0
