@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,37 @@ def greedy_cover(edges: DataFrame, k: int) -> DataFrame:
 def greedy_set_cover(edges: DataFrame, required: DataFrame, max_steps: int = 10_000) -> DataFrame:
     """Sites until every required point that can be covered is."""
     return greedy_cover(edges.join(required.select("point_id"), "point_id", "left_semi"), max_steps)
+
+
+def compare(steps: dict[str, DataFrame]) -> DataFrame:
+    """(method, step, candidate_id, covered): how many points each method covers after each of its steps."""
+    stacked = [df.select(F.lit(name).alias("method"), "step", "candidate_id", "gain") for name, df in steps.items()]
+    both = stacked[0]
+    for df in stacked[1:]:
+        both = both.unionByName(df)
+    so_far = Window.partitionBy("method").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    return both.select("method", "step", "candidate_id", F.sum("gain").over(so_far).alias("covered"))
+
+
+def median_placement(sites: DataFrame, points: DataFrame, radius: float, max_steps: int = 1000) -> DataFrame:
+    """(step, candidate_id, x, y, gain): around the uncovered point nearest to the median of all uncovered
+    ones, the nearest unused site within `radius`, or else a new station (null id) at the median itself.
+    Ties go to the least id.  Ends when all points are covered; one row reaches the driver in each step."""
+    spark, left, rows = points.sparkSession, points, []
+    used: list[int] = []
+    for step in range(max_steps):
+        med = left.agg(F.percentile("px", F.lit(0.5)).alias("x"), F.percentile("py", F.lit(0.5)).alias("y"), F.count("*").alias("n")).first()
+        if not med["n"]:
+            break
+        off = lambda a, b, at: F.sqrt(F.pow(F.col(a) - at[0], F.lit(2)) + F.pow(F.col(b) - at[1], F.lit(2)))
+        star = left.agg(F.min(F.struct(off("px", "py", (med["x"], med["y"])).alias("d"), "point_id", "px", "py")).alias("p")).first()["p"]
+        free = sites.where(~F.col("candidate_id").isin(used)) if used else sites
+        near = free.withColumn("d", off("sx", "sy", (star["px"], star["py"]))).where(F.col("d") < radius)
+        best = near.agg(F.min(F.struct("d", "candidate_id", "sx", "sy")).alias("s")).first()["s"]
+        at = (best["sx"], best["sy"]) if best else (med["x"], med["y"])
+        if best:
+            used.append(best["candidate_id"])
+        beyond = left.where(off("px", "py", at) >= radius)
+        rows.append((step, best["candidate_id"] if best else None, float(at[0]), float(at[1]), med["n"] - beyond.count()))
+        left = beyond
+    return spark.createDataFrame(rows, "step int, candidate_id long, x double, y double, gain long")

@@ -7,6 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from radiotiles.plans import extended  # noqa: F401
 from radiotiles.plans import queries as plans
 
 DATA = "/root/testdata/sf0.001"
