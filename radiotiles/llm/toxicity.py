@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from radiotiles.llm.common import learned_from
+from radiotiles.llm.common import learned_from, stage
 
 TRAIN_ROWS = 20_000
 TERMS = 4_000
@@ -121,14 +121,20 @@ def prefixes(word: str) -> Iterator[str]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, limit: int = TRAIN_ROWS, terms: int = TERMS) -> Model:
-    rows = training_rows(docs, labels, modulus, limit)
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [" ".join(fold(t or "")) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), batch.column(1)], names=["words", "toxic"])
+
+    # read three times below, so folded once and written
+    rows = stage(training_rows(docs, labels, modulus, limit).mapInArrow(folded, "words string, toxic int"), "toxicity")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents of each label in which a word beginning occurs."""
         seen = (Counter(), Counter())
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = set(fold(text or ""))
+            for line, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = set(line.split())
                 seen[1 if toxic else 0].update({p for w in words for p in prefixes(w)} | {"", *(w for w in words if 1 < len(w) < 4)})
             if sum(map(len, seen)) > 500_000:
                 yield told(seen)
@@ -152,14 +158,13 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, limit: int = TRAIN
     weights = {r["term"]: r["w"] for r in found}
     # a longer term says nothing new where its beginning is already as telling
     weights = {t: w for t, w in weights.items() if not any(t[:k] in weights and weights[t[:k]] >= w - 1.5 for k in range(2, len(t)))}
-    bare = Model(weights, (), 1.0, 0.0)
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Two-word phrases with a term, by label."""
         seen = (Counter(), Counter())
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = fold(text or "")
+            for line, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = line.split()
                 hits = [i for i, w in enumerate(words) if w in weights or any(p in weights for p in prefixes(w))]
                 seen[1 if toxic else 0].update({" ".join(words[a : a + 2]) for i in hits for a in (i - 1, i) if 0 <= a < len(words) - 1})
         if seen[0] or seen[1]:
@@ -168,12 +173,11 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, limit: int = TRAIN
     phrases = rows.mapInArrow(around, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     harmless = phrases.where((F.col("clean") >= 3) & (odds < -1)).orderBy(F.desc("clean"), "term").limit(terms).collect()
     model = Model(weights, tuple(r["term"] for r in harmless), 1.0, 0.0)
-    del bare
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
         for batch in batches:
-            x = [feature(matched_weight(f" {' '.join(words)} ", automaton), len(words)) for words in (fold(t or "") for t in batch.column(0).to_pylist())]
+            x = [feature(matched_weight(f" {' '.join(words)} ", automaton), len(words)) for words in map(str.split, batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], names=["x", "toxic"])
 
     # at most `limit` rows of two numbers
