@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,8 +54,7 @@ def mixed_path_fit(segments: DataFrame, damp: float = 1e-3, max_unknowns: int =
     gram = terms.join(other, ["city", "ray"]).where("i <= j").groupBy("city", "i", "j").agg(F.sum(F.col("a") * F.col("a2")).alias("g"))
     system = gram.select("city", "i", "j", "g", F.lit(None).cast("long").alias("n")).unionByName(right.select("city", "i", F.lit(-1).cast("long").alias("j"), F.col("b").alias("g"), "n"))
 
-    def solve(key: tuple, pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(pieces))
+    def solve(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         b, g = own[own.j < 0].sort_values("i"), own[own.j >= 0]
         ids = b.i.to_numpy()
         if len(ids) > max_unknowns:
@@ -66,9 +63,6 @@ def mixed_path_fit(segments: DataFrame, damp: float = 1e-3, max_unknowns: int =
         at, to = np.searchsorted(ids, g.i.to_numpy()), np.searchsorted(ids, g.j.to_numpy())
         full[at, to] = full[to, at] = g.g.to_numpy()
         x = np.linalg.solve(full + damp * damp * np.eye(len(ids)), b.g.to_numpy())
-        yield pd.DataFrame({"city": key[0], "tile": ids[::2] // 2, "n": b.n.to_numpy(dtype=np.int64)[::2], "gamma": x[::2], "pl0": x[1::2]})
-
-    def whole(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return next(solve(key, iter([frame])))
+        return pd.DataFrame({"city": key[0], "tile": ids[::2] // 2, "n": b.n.to_numpy(dtype=np.int64)[::2], "gamma": x[::2], "pl0": x[1::2]})
 
-    return system.groupBy("city").applyInPandas(whole, "city string, tile long, n long, gamma double, pl0 double")
+    return system.groupBy("city").applyInPandas(solve, "city string, tile long, n long, gamma double, pl0 double")
