@@ -32,6 +32,8 @@ LENGTH, GRAM, BUCKET = 200, 48, 2000
 BASE = 0x9E3779B97F4A7C15
 PLACE = np.uint64((1 << 24) - 1)
 CHUNK = 1 << 20
+#: Of the most frequent grams (and contexts), how many are dealt over how many tasks each.
+HOT, SALTS = 1000, 64
 
 
 def gram_keys(buf: np.ndarray) -> np.ndarray:
@@ -159,11 +161,26 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def in_pieces(rows: DataFrame, keys: DataFrame, names: dict[str, str], size: str, how: str = "inner") -> DataFrame:
+    """rows joined with keys (columns of rows: columns of keys), of which the HOT with the most rows (`size`) are
+    dealt over SALTS tasks each: what is sent to all workers is HOT rows, whatever the input."""
+    columns = list(names.values())
+    hot = keys.orderBy(F.desc(size), *columns).limit(HOT).select(*[F.col(c).alias(f"hot_{c}") for c in columns])
+    hot = F.broadcast(hot)
+    marked = rows.join(hot, [F.col(a) == F.col(f"hot_{b}") for a, b in names.items()], "left")
+    is_hot = F.col(f"hot_{columns[0]}").isNotNull()
+    dealt = marked.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("doc_id", "text_key", "lo"), F.lit(SALTS))).otherwise(F.lit(0)))
+    spread = keys.join(hot, [F.col(b) == F.col(f"hot_{b}") for b in columns], "left")
+    spread = spread.select(*keys.columns, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("dealt"))
+    met = dealt.join(spread, [*(F.col(a) == F.col(b) for a, b in names.items()), F.col("salt") == F.col("dealt")], how)
+    return met.select(*rows.columns, *([c for c in keys.columns if c not in (*columns, size)] if how == "inner" else []))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -> DataFrame:
     """doc_id, text_key, spans: of each text (docs: doc_id, text_key, text) the bytes in repeats."""
     everywhere = found_in(docs, length)
-    several = everywhere.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1").select("g", (F.col("c0") != F.col("c1")).alias("mixed"))
-    repeated = stage(everywhere.join(several, F.col("gram") == F.col("g")).drop("g"), "occurrences")
+    several = everywhere.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1").select("g", "n", (F.col("c0") != F.col("c1")).alias("mixed"))
+    repeated = stage(in_pieces(everywhere, stage(several, "grams"), {"gram": "g"}, "n"), "occurrences")
     mixed = repeated.where("mixed")
     place = F.struct("doc_id", "text_key", "lo", "hi")
     classes = stage(mixed.groupBy("gram", "context").agg(F.count("*").alias("copies"), F.min(place).alias("at")), "classes")
@@ -231,9 +248,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET)
     counted = crowd.where("copies = 1").join(twice, (F.col("gram") == F.col("g")) & (F.col("window") == F.col("w")), "left_semi").select("doc_id", "text_key", "start", (F.col("start") + length).alias("stop"))
 
     whole = F.col("lo").alias("start"), (F.col("hi") + length).alias("stop")
-    copied = classes.where("copies > 1").select(F.col("gram").alias("g"), F.col("context").alias("c"))
+    copied = classes.where("copies > 1").select(F.col("gram").alias("g"), F.col("context").alias("c"), "copies")
     same = repeated.where("not mixed").select("doc_id", "text_key", *whole)
-    copies = mixed.join(copied, (F.col("gram") == F.col("g")) & (F.col("context") == F.col("c")), "left_semi").select("doc_id", "text_key", *whole)
+    copies = in_pieces(mixed, copied, {"gram": "g", "context": "c"}, "copies", "left_semi").select("doc_id", "text_key", *whole)
     spans = same.unionByName(copies).unionByName(sorted_).unionByName(counted)
     return spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
