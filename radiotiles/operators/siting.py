@@ -70,3 +70,25 @@ def median_placement(sites: DataFrame, points: DataFrame, radius: float, max_ste
         rows.append((step, best["candidate_id"] if best else None, float(at[0]), float(at[1]), med["n"] - beyond.count()))
         left = beyond
     return spark.createDataFrame(rows, "step int, candidate_id long, x double, y double, gain long")
+
+
+def rooftop_sites(buildings: DataFrame, n_sites: int, mast_m: float, min_sep_m: float = 250.0, cell_m: float = 25.0, least_m: float = 6.0, seed: int = 0) -> DataFrame:
+    """(city, rank, structure_id, cx, cy, z): of the tallest roof of each cell, from the tallest down, those that
+    keep their distance from all taken before; where fewer than n_sites do, others in the order of a seeded
+    hash.  A city has at most one candidate for each cell of its area.  Ties go to the least id."""
+    cell = lambda v: F.floor(F.col(v) / cell_m)
+    roof = F.struct((-F.col("height")).alias("low"), "structure_id", "cx", "cy")
+    roofs = buildings.where(F.col("height") > least_m).groupBy("city", cell("cx").alias("i"), cell("cy").alias("j")).agg(F.min(roof).alias("roof"))
+    listed = roofs.groupBy("city").agg(F.array_sort(F.collect_list("roof")).alias("roofs"))
+    near = lambda a, b: F.hypot(a["cx"] - b["cx"], a["cy"] - b["cy"]) < min_sep_m
+
+    def take(taken, p):
+        free = (F.size(taken) < n_sites) & ~F.exists(taken, lambda t: near(t, p))
+        return F.when(free, F.concat(taken, F.array(p))).otherwise(taken)
+
+    apart = listed.withColumn("taken", F.aggregate("roofs", F.slice("roofs", 1, 0), take))
+    turn = lambda p: F.md5(F.concat_ws("|", F.lit(str(seed)), p["structure_id"].cast("string")))
+    rest = F.array_sort(F.transform(F.array_except("roofs", "taken"), lambda p: F.struct(turn(p).alias("turn"), p.alias("p"))))
+    more = F.transform(F.slice(rest, F.lit(1), n_sites - F.size("taken")), lambda s: s["p"])
+    out = apart.select("city", F.posexplode(F.concat("taken", more)).alias("rank", "p"))
+    return out.select("city", "rank", "p.structure_id", "p.cx", "p.cy", (mast_m - F.col("p.low")).alias("z"))

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from radiotiles.functions import geo
-from radiotiles.operators import grid, paths, robustness, siting, structures
-from radiotiles.plans.queries import COVER, TOUCH, query, r, rows
+from radiotiles.operators import folds, grid, paths, robustness, siting, structures
+from radiotiles.plans.queries import COVER, ORACLE, TOUCH, _scores, query, r, rows
 from radiotiles.sources.fixtures import cte
 
 CELL = 300.0
@@ -103,3 +103,16 @@ def k6_placement_comparison(spark, sf):
 def k4_median_placement(spark, sf):
     """Rows only here; a test follows the steps by hand on two clusters."""
     return siting.median_placement(rows(spark, sf, "fx_sites"), rows(spark, sf, "fx_points"), 400.0, 12)
+
+
+@query(f"SELECT * FROM ({ORACLE['j1_bootstrap']}) JOIN ({ORACLE['j2_paired_t']}) USING (model) LEFT JOIN (SELECT model, wilcoxon FROM ({ORACLE['j3_wilcoxon']})) USING (model)")
+def j7_model_report(spark, sf):
+    report = folds.model_report(_scores(spark, sf), 2000)
+    return report.select("model", r("diff_mean", 5), r("ci_lo", 5), r("ci_hi", 5), "significant", "n_folds", r("t"), r("cohens_dz_folds"), "wilcoxon")
+
+
+@query()
+def k5_rooftop_sites(spark, sf):
+    """Rows only here; a test compares a plain loop over one city."""
+    buildings = structures.with_heights(rows(spark, sf, "fx_structures").where("kind = 'building'"))
+    return siting.rooftop_sites(buildings, 20, 3.0).select("city", "rank", "structure_id", r("cx", 2), r("cy", 2), r("z", 3))

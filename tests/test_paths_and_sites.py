@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from radiotiles.functions import geo
-from radiotiles.operators import paths, robustness, siting
+from radiotiles.operators import folds, paths, robustness, siting
 
 
 def test_a_ray_is_cut_where_it_crosses_lines(spark):
@@ -55,3 +55,29 @@ def test_noise_has_its_spread_and_climate_its_order(spark):
     at = spark.createDataFrame([(1, 0.5, 0.25), (2, 1.5, 0.5)], "point_id long, lat double, lon double")
     out = robustness.climate_vector(robustness.climate_features(cube, at, ("t2m",), kelvin=("t2m",)), ("t2m",)).collect()
     assert len(out) == 1 and out[0].point_id == 1 and out[0].climate[:12] == pytest.approx([281.0 - 273.15] * 12) and out[0].climate[12:] == [0.0] * 12
+
+
+@pytest.mark.parametrize("n_sites", [4, 60])
+def test_rooftop_sites_agree_with_a_plain_loop(spark, n_sites):
+    rng = np.random.default_rng(5)
+    rows = [("x", i, float(x), float(y), float(h)) for i, (x, y, h) in enumerate(zip(rng.uniform(-500, 500, 300), rng.uniform(-500, 500, 300), rng.integers(3, 40, 300), strict=True))]
+    made = siting.rooftop_sites(spark.createDataFrame(rows, "city string, structure_id long, cx double, cy double, height double"), n_sites, 3.0)
+    got = {r["rank"]: (r["structure_id"], r["z"]) for r in made.collect()}
+    cells = {}
+    for _, i, x, y, h in rows:
+        if h > 6:
+            key = (x // 25, y // 25)
+            cells[key] = min(cells.get(key, (0.0, 0, 0.0, 0.0)), (-h, i, x, y))
+    taken = []
+    for p in sorted(cells.values()):
+        if len(taken) < n_sites and all(np.hypot(p[2] - t[2], p[3] - t[3]) >= 250 for t in taken):
+            taken.append(p)
+    assert [got[k] for k in range(len(taken))] == [(p[1], 3.0 - p[0]) for p in taken]
+    assert len(got) == min(n_sites, len(cells)) and len({v[0] for v in got.values()}) == len(got)
+
+
+def test_model_report_holds_every_test(spark):
+    scores = spark.createDataFrame([(m, f"f{k}", 1.0 + 0.1 * k + add * (k + 1)) for k in range(8) for m, add in (("a", 0.0), ("b", 0.5), ("c", (-1) ** k * 0.01))], "model string, fold string, value double")
+    got = {r.model: r for r in folds.model_report(scores, 200).collect()}
+    assert set(got) == {"b", "c"} and got["b"].reference == "a"
+    assert got["b"].rejected and got["b"].significant and not got["c"].rejected and got["b"].p_w == pytest.approx(2 / 256)
