@@ -3,10 +3,12 @@
 Counts of words and word pairs are gathered from the training rows by one grouped sum.  A count c is
 quantised to a level q = 1 + floor(log c / log STEP), and the n-gram is put into a Bloom filter once
 for each level up to q; asking for levels 1, 2, ... until one is absent gives the count back.  The
-filter is made in slices, each by the task that holds the slice's n-grams, and is sent to all
-workers.  Its size has a bound, `max_bits`: where the insertions would overfill it, pairs of low
-count are left to smoothing, the lowest counts first (a count cut-off, found from a one-in-64 part
-of all pairs by hash).  The probability of a word after another is the Dirichlet-smoothed estimate
+filter is made in slices, each by the task that holds the slice's n-grams, and holds all of them; its
+size follows from the insertions (pairs are estimated from a one-in-64 part of them by hash).  Up to
+`max_bits` it is sent to all workers.  Beyond, only words and the pairs that make up over 1 /
+`often_parts` of all tokens each (so fewer than `often_parts` pairs) are sent; the other pairs of the
+texts are dealt by slice and probed where the slice's bits are, and the logarithms are summed for each
+row.  The probability of a word after another is the Dirichlet-smoothed estimate
 
     (c(v, w) + PRIOR * p(w)) / (c(v) + PRIOR),   p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
 
@@ -25,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,9 +104,11 @@ class Filter:
             hit &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
         return hit
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
+    def levels(self, keys: np.ndarray, one_slice: bool = False) -> np.ndarray:
+        """With `one_slice`, the bits are those of the slice that all keys are in."""
         out, left = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        base, mask, lev = slice_of(keys) * np.uint64(self.slice_bits), np.uint64(self.slice_bits - 1), 0
+        base = np.zeros(len(keys), np.uint64) if one_slice else slice_of(keys) * np.uint64(self.slice_bits)
+        mask, lev = np.uint64(self.slice_bits - 1), 0
         while len(left) and lev < 64:
             lev += 1
             left = left[self.present(keys[left], base[left], lev, mask)]
@@ -131,6 +136,12 @@ class Model:
         p = (both + self.prior * self.unigram(single[back[at]])) / (context + self.prior)
         return np.add.reduceat(np.log10(p), np.cumsum(sizes) - sizes)
 
+    def pair_log10(self, pair: np.ndarray, before: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """log10 probability of a word by the levels of its pair, of the word before it and its own."""
+        context = count_at(before)
+        p = (np.minimum(count_at(pair), context) + self.prior * self.unigram(count_at(own))) / (context + self.prior)
+        return np.log10(p)
+
 
 def counted(docs: DataFrame, part: int = 1) -> DataFrame:
     """(place, key, n): counts of words (the begin mark too) and pairs as their tasks saw them.  place is twice
@@ -165,40 +176,31 @@ def counted(docs: DataFrame, part: int = 1) -> DataFrame:
     return docs.select("text").mapInArrow(count, "place int, key long, n int")
 
 
-def cut_off(docs: DataFrame, max_bits: int, words_levels: int) -> tuple[int, int]:
-    """The least count of a pair that is kept, and the bits of the filter."""
+def filter_bits(levels: int) -> int:
+    """Bits of a filter with so many insertions."""
+    return 1 << int(np.ceil(np.log2(max(SLICES * 64, levels * PROBES / np.log(2)))))
+
+
+def pair_levels(docs: DataFrame) -> int:
+    """About how many insertions the pairs need."""
     part = 64
-    table = counted(docs, part).groupBy("key").agg(F.sum("n").alias("n")).groupBy(F.least("n", F.lit(10_000)).alias("n")).count().collect()
-    sizes = sorted(((r["n"], r["count"] * part * int(level(np.array([r["n"]]))[0])) for r in table), reverse=True)
-    per_item, inserted, least = PROBES / np.log(2), words_levels, 10_001
-    for n, more in sizes:
-        if (inserted + more) * per_item > max_bits:
-            break
-        inserted, least = inserted + more, n
-    else:
-        least = 1
-    need = max(SLICES * 64, inserted * per_item)
-    return least, min(max_bits, 1 << int(np.ceil(np.log2(need))))
+    table = counted(docs, part).groupBy("key").agg(F.sum("n").alias("n")).groupBy("n").count().collect()
+    return sum(r["count"] * part * int(level(np.array([r["n"]]))[0]) for r in table)
 
 
-def score(docs: DataFrame, modulus: int = 10, max_bits: int = 1 << 29, broadcast_words: int = 8_000_000, prior: float = PRIOR) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (~learned_from(F.col("doc_id"), modulus)).alias("held_out"))
-    train = rows.where(~F.col("held_out"))
-    grams = counted(train)
-    words = stage(grams.where("place % 2 = 0").groupBy("place", "key").agg(F.sum("n").alias("n")), "words")
-    lev = F.floor(F.log(F.col("n").cast("double")) / float(np.log(STEP)) + 1e-9) + 1
-    not_begin = F.col("key") != int(BEGIN.astype(np.int64))
-    sums = words.agg(F.sum(F.when(not_begin, F.col("n"))).alias("n"), F.count_if(not_begin).alias("v"), F.sum(lev).alias("levels")).first()
-    n, v = sums["n"] or 0, sums["v"]
-    least, bits = cut_off(train, max_bits, sums["levels"] or 0)
-    slice_bits = bits // SLICES
+def by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Runs of equal slice (the first column) in batches that come sorted by it."""
+    for batch in batches:
+        s = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(s)) + 1).tolist(), len(s)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a < b:
+                yield int(s[a]), batch.slice(a, b - a)
+
 
-    # one shuffle, by slice: the sums, the cut-off and the bits of a slice are made where its rows meet
-    dealt = grams.where("place % 2 = 1").unionByName(words.select("place", "key", "n")).withColumn("slice", F.shiftright("place", 1)).repartition("slice")
-    summed = dealt.groupBy("slice", "place", "key").agg(F.sum("n").alias("n")).where((F.col("place") % 2 == 0) | (F.col("n") >= least))
-    sliced = summed.select("slice", "key", lev.cast("int").alias("lev")).sortWithinPartitions("slice")
+def made_filter(sliced: DataFrame, bits: int) -> Filter:
+    """The filter of (slice, key, lev), on the driver."""
+    slice_bits = bits // SLICES
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Bits of each slice in this partition, whose rows come sorted by slice."""
@@ -208,26 +210,115 @@ def score(docs: DataFrame, modulus: int = 10, max_bits: int = 1 << 29, broadcast
             keys, levels = (np.concatenate(x) for x in zip(*held, strict=True))
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([fill(keys, levels, slice_bits).tobytes()], pa.binary())], names=["slice", "bits"])
 
-        for batch in batches:
-            s, keys, levels = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            edges = [0, *(np.flatnonzero(np.diff(s)) + 1), len(s)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if a == b:
-                    continue
-                if s[a] != now and held:
-                    yield done()
-                    held = []
-                now = int(s[a])
-                held.append((keys[a:b].view(np.uint64), levels[a:b].astype(np.int64)))
+        for s, run in by_slice(batches):
+            if s != now and held:
+                yield done()
+                held = []
+            now = s
+            keys, levels = (run.column(i).to_numpy() for i in (1, 2))
+            held.append((keys.view(np.uint64), levels.astype(np.int64)))
         if held:
             yield done()
 
-    made = sliced.mapInArrow(build, "slice int, bits binary")
     whole = np.zeros(bits // 8, np.uint8)
-    for r in made.toLocalIterator():  # the filter itself, of max_bits at most, slice by slice
+    for r in sliced.sortWithinPartitions("slice").mapInArrow(build, "slice int, bits binary").toLocalIterator():
         at = r["slice"] * (slice_bits // 8)
         whole[at : at + slice_bits // 8] = np.frombuffer(r["bits"], np.uint8)
-    model = spark.sparkContext.broadcast(Model(Filter(whole, slice_bits), n, v, prior))
+    return Filter(whole, slice_bits)
+
+
+def dealt_scores(rows: DataFrame, sliced: DataFrame, bits: int, model: Broadcast, often: Broadcast) -> DataFrame:
+    """(row, score) of the distinct `row`s (their id and text's hash), with the pairs of the texts dealt to the
+    (slice, key, lev) of the model.  `often` has the keys and levels of pairs that are not worth a shuffle."""
+    slice_bits = bits // SLICES
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each pair to be probed, with the levels of its words, and one with the rest of the
+        logarithms for each text (its lev null)."""
+        m, (keys, levels) = model.value, often.value
+        for whole_batch in batches:
+            for batch in slices(whole_batch, "text"):
+                flat, sizes = flat_tokens(batch.column(1))
+                at, grams = pairs(flat, sizes)
+                grams = grams ^ PAIR
+                row = batch.column(0).to_numpy()
+                words, back = np.unique(flat, return_inverse=True)
+                lev = m.filter.levels(words)
+                before, own = lev[back[at - 1]], lev[back[at]]
+                i = np.minimum(np.searchsorted(keys, grams.view(np.int64)), max(len(keys) - 1, 0))
+                known = keys[i] == grams.view(np.int64) if len(keys) else np.zeros(len(grams), bool)
+                part = np.zeros(len(grams))
+                if known.any():
+                    part[known] = m.pair_log10(levels[i[known]], before[known], own[known])
+                told = np.add.reduceat(part, np.cumsum(sizes) - sizes)
+                ask = np.flatnonzero(~known)
+                of = np.repeat(row, sizes)[ask]
+                spread = slice_of(row.view(np.uint64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(row), pa.nulls(len(row), pa.int32()), pa.array(row), pa.array(told)], names=names)
+                for a in range(0, len(ask), 200_000):
+                    g, b = grams[ask[a : a + 200_000]], ask[a : a + 200_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(slice_of(g).astype(np.int32)), signed(g), pa.array((before[b] * 256 + own[b]).astype(np.int32)), pa.array(of[a : a + 200_000]), pa.nulls(len(g), pa.float64())], names=names)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The model's rows of a slice come before the texts'."""
+        m, now, held, filt = model.value, None, [], None
+        for s, run in by_slice(batches):
+            if s != now:
+                now, held, filt = s, [], None
+            asked = run.column(3).is_valid().to_numpy(zero_copy_only=False)
+            keys = run.column(1).to_numpy().view(np.uint64)
+            lev = run.column(2).fill_null(-1).to_numpy().astype(np.int64)
+            if not asked.all():
+                held.append((keys[~asked], lev[~asked]))
+            if not asked.any():
+                continue
+            if filt is None:
+                k, v = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
+                filt, held = Filter(np.frombuffer(fill(k, v, slice_bits), np.uint8), slice_bits), []
+            row, part = run.column(3).fill_null(0).to_numpy(), run.column(4).fill_null(0.0).to_numpy().copy()
+            ask = asked & (lev >= 0)
+            if ask.any():
+                found, back = np.unique(keys[ask], return_inverse=True)
+                part[ask] = m.pair_log10(filt.levels(found, True)[back], lev[ask] >> 8, lev[ask] & 255)
+            yield pa.RecordBatch.from_arrays([pa.array(row[asked]), pa.array(part[asked]), pa.array((lev[asked] < 0).astype(np.int64))], names=["row", "part", "copies"])
+
+    schema = "slice int, key long, lev int, row long, part double"
+    names = [x.split()[0] for x in schema.split(", ")]
+    asking = rows.select("row", "text").mapInArrow(deal, schema)
+    model_rows = sliced.select("slice", "key", "lev", F.lit(None).cast("long").alias("row"), F.lit(None).cast("double").alias("part"))
+    met = model_rows.unionByName(asking).repartition("slice").withColumn("asks", F.col("row").isNotNull())
+    parts = met.sortWithinPartitions("slice", "asks").drop("asks").mapInArrow(probe, "row long, part double, copies long")
+    return parts.groupBy("row").agg((F.sum("part") / F.sum("copies")).alias("score"))
+
+
+def score(docs: DataFrame, modulus: int = 10, max_bits: int = 1 << 29, broadcast_words: int = 8_000_000, prior: float = PRIOR, often_parts: int = 100_000) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (~learned_from(F.col("doc_id"), modulus)).alias("held_out"))
+    train = rows.where(~F.col("held_out"))
+    grams = counted(train)
+    words = stage(grams.where("place % 2 = 0").groupBy("place", "key").agg(F.sum("n").alias("n")), "words")
+    lev = F.floor(F.log(F.col("n").cast("double")) / float(np.log(STEP)) + 1e-9) + 1
+    not_begin = F.col("key") != int(BEGIN.astype(np.int64))
+    sums = words.agg(F.sum(F.when(not_begin, F.col("n"))).alias("n"), F.count_if(not_begin).alias("v"), F.sum(lev).alias("levels")).first()
+    n, v = sums["n"] or 0, sums["v"]
+    word_levels = sums["levels"] or 0
+    bits = filter_bits(word_levels + pair_levels(train))
+    sent = bits <= max_bits
+
+    # one shuffle, by slice: the sums and the bits of a slice are made where its rows meet
+    not_word = grams.where("place % 2 = 1")
+    dealt = (not_word.unionByName(words.select("place", "key", "n")) if sent else not_word).withColumn("slice", F.shiftright("place", 1)).repartition("slice")
+    summed = dealt.groupBy("slice", "place", "key").agg(F.sum("n").alias("n"))
+    sliced = summed.select("slice", "key", lev.cast("int").alias("lev"))
+    if sent:
+        model = spark.sparkContext.broadcast(Model(made_filter(sliced, bits), n, v, prior))
+    else:
+        sliced = stage(summed.select("slice", "key", lev.cast("int").alias("lev"), "n"), "pairs")
+        t = sliced.where(F.col("n") * often_parts > n).select("key", "lev").orderBy("key").toArrow()
+        often = spark.sparkContext.broadcast((t.column("key").to_numpy(), t.column("lev").to_numpy().astype(np.int64)))
+        own = words.select(F.shiftright("place", 1).alias("slice"), "key", lev.cast("int").alias("lev")).repartition("slice")
+        model = spark.sparkContext.broadcast(Model(made_filter(own, filter_bits(word_levels)), n, v, prior))
     exact = None
     if v <= broadcast_words:
         t = words.where(not_begin).select("key", "n").orderBy("key").toArrow()
@@ -239,7 +330,7 @@ def score(docs: DataFrame, modulus: int = 10, max_bits: int = 1 << 29, broadcast
         for whole_batch in batches:
             for batch in slices(whole_batch, "text"):
                 flat, sizes = flat_tokens(batch.column(1))
-                out = [batch.column(0), batch.column(2), pa.array(sizes), pa.array(m.log10(flat, sizes))]
+                out = [batch.column(0), batch.column(2), pa.array(sizes), pa.array(m.log10(flat, sizes) if sent else np.zeros(len(sizes)))]
                 if exact:
                     keys, counts = exact.value
                     at, _ = pairs(flat, sizes)
@@ -254,9 +345,19 @@ def score(docs: DataFrame, modulus: int = 10, max_bits: int = 1 << 29, broadcast
                 yield pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in schema.split(", ")])
 
     schema = "doc_id long, held_out boolean, n_tokens long, score double" + (", n_known long, base_score double" if exact else "")
-    if exact:
+    if exact and sent:
         return rows.mapInArrow(run, schema).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
+    text_key = F.xxhash64("text")
+    keyed_rows = rows.select(F.struct(text_key.alias("t"), "doc_id", F.xxhash64("doc_id", "text").alias("row")).alias("id"), "text", "held_out")
+    keyed = keyed_rows.mapInArrow(run, schema.replace("doc_id long", "id struct<t:long,doc_id:long,row:long>"))
+    told = ("id.doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    if not sent:
+        scores = dealt_scores(keyed_rows.select("id.row", "text"), sliced, bits, model, often)
+        keyed = keyed.drop("score").join(scores, F.col("id.row") == F.col("row"))
+    if exact:
+        return keyed.select(*told)
+
     # the other way for vocabularies of any size: join each text's distinct words with their counts
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
@@ -266,11 +367,8 @@ def score(docs: DataFrame, modulus: int = 10, max_bits: int = 1 << 29, broadcast
                     w, c = np.unique(np.append(words[at[i] : at[i + 1]], END), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), key)), signed(w), pa.array(c)], names=["t", "key", "times"])
 
-    text_key = F.xxhash64("text")
     once = rows.groupBy(text_key.alias("t")).agg(F.first("text").alias("text"))
     found = once.mapInArrow(distinct_words, "t long, key long, times long").join(words.where(not_begin), "key", "left")
     p = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / (n + 0.1 * (v + 1)))
     base = found.groupBy("t").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_known"), F.sum(p * F.col("times")).alias("base_score"))
-    keyed = rows.select(F.struct(text_key.alias("t"), "doc_id").alias("id"), "text", "held_out").mapInArrow(run, schema.replace("doc_id long", "id struct<t:long,doc_id:long>"))
-    return keyed.join(base, F.col("id.t") == F.col("t")).select("id.doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
-
+    return keyed.join(base, F.col("id.t") == F.col("t")).select(*told)

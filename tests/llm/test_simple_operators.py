@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,6 +167,37 @@ def test_lm_odd_tables(spark, odd, none):
     assert lm.score(none).count() == 0
 
 
+@pytest.mark.parametrize(("how", "limit"), [({}, 8_000_000), ({"often_parts": 0}, 8_000_000), ({"often_parts": 500}, 0)])
+def test_lm_keeps_every_pair_beyond_the_bound(spark, how, limit):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{w}" for w in rng.zipf(1.5, 60).clip(1, 60))) for i in range(80)] + [(None, "w1 w2"), (None, "w1 w2"), (81, None), (82, "w1 w1 w2"), (82, "w1 w1 w2")]
+    model, known = ([], []), (Counter(), Counter())
+    flats = [(i, lm.flat_tokens(pa.array([t]))[0]) for i, t in rows]
+    for i, f in flats:
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 10:
+            known[0].update(f.tolist())
+            known[1].update((lm.gram_hashes(f, 2) ^ lm.PAIR).tolist())
+    n, v = sum(known[0].values()) - known[0][int(lm.BEGIN)], len(known[0]) - 1
+    for found, counts in zip(model, known, strict=True):  # a filter of words and one of pairs, none left out
+        keys, c = np.array(list(counts), np.uint64), np.array(list(counts.values()))
+        own = [lm.slice_of(keys) == s for s in range(lm.SLICES)]
+        found.append(lm.Filter(np.concatenate([lm.fill(keys[o], lm.level(c[o]), 64) for o in own]), 64))
+    often = how.get("often_parts", 100_000)
+
+    def log10(f):
+        single = lm.count_at(model[0][0].levels(f))
+        grams = lm.gram_hashes(f, 2) ^ lm.PAIR
+        c = np.array([known[1][g] for g in grams.tolist()])
+        both = lm.count_at(np.where(c * often > n, lm.level(c), model[1][0].levels(grams)))
+        p = (single[1:] + 0.1) / (n + 0.1 * (v + 1))
+        return float(np.log10((np.minimum(both, single[:-1]) + lm.PRIOR * p) / (single[:-1] + lm.PRIOR)).sum())
+
+    want = sorted((-1 if i is None else i, round(log10(f), 6)) for i, f in flats)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm.score(docs, max_bits=1 << 12, broadcast_words=limit, **how).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], round(r["score"], 6)) for r in got) == want
+
+
 def test_bloom_counts():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 4000).astype(np.uint64))
     counts = np.random.default_rng(2).zipf(1.6, len(keys)).clip(1, 10**6)
