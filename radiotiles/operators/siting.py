@@ -51,13 +51,20 @@ def compare(steps: dict[str, DataFrame]) -> DataFrame:
 def median_placement(sites: DataFrame, points: DataFrame, radius: float, max_steps: int = 1000) -> DataFrame:
     """(step, candidate_id, x, y, gain): around the uncovered point nearest to the median of all uncovered
     ones, the nearest unused site within `radius`, or else a new station (null id) at the median itself.
-    Ties go to the least id.  Ends when all points are covered; one row reaches the driver in each step."""
+    Ties go to the least id.  Ends when all points are covered, or with a new station that covers none, as all
+    steps after it would be the same; one row reaches the driver in each step."""
     spark, left, rows = points.sparkSession, points, []
     used: list[int] = []
-    for step in range(max_steps):
+    before = 0
+    for step in range(max_steps + 1):
         med = left.agg(F.percentile("px", F.lit(0.5)).alias("x"), F.percentile("py", F.lit(0.5)).alias("y"), F.count("*").alias("n")).first()
-        if not med["n"]:
+        stuck = False
+        if rows:
+            rows[-1] = (*rows[-1][:4], before - med["n"])
+            stuck = rows[-1][1] is None and not rows[-1][4]
+        if not med["n"] or stuck or step == max_steps:
             break
+        before = med["n"]
         off = lambda a, b, at: F.sqrt(F.pow(F.col(a) - at[0], F.lit(2)) + F.pow(F.col(b) - at[1], F.lit(2)))
         star = left.agg(F.min(F.struct(off("px", "py", (med["x"], med["y"])).alias("d"), "point_id", "px", "py")).alias("p")).first()["p"]
         free = sites.where(~F.col("candidate_id").isin(used)) if used else sites
@@ -66,12 +73,19 @@ def median_placement(sites: DataFrame, points: DataFrame, radius: float, max_ste
         at = (best["sx"], best["sy"]) if best else (med["x"], med["y"])
         if best:
             used.append(best["candidate_id"])
-        beyond = left.where(off("px", "py", at) >= radius)
-        rows.append((step, best["candidate_id"] if best else None, float(at[0]), float(at[1]), med["n"] - beyond.count()))
-        left = beyond
+        left = left.where(off("px", "py", at) >= radius)
+        rows.append((step, best["candidate_id"] if best else None, float(at[0]), float(at[1]), 0))
+        if step % 4 == 3:
+            left = left.checkpoint() if spark.sparkContext.getCheckpointDir() else left
     return spark.createDataFrame(rows, "step int, candidate_id long, x double, y double, gain long")
 
 
+def with_uncovered(steps: DataFrame, points: DataFrame) -> DataFrame:
+    """The steps of a placement with how many points each leaves uncovered."""
+    so_far = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    return steps.withColumn("uncovered", F.lit(points.count()) - F.sum("gain").over(so_far))
+
+
 def rooftop_sites(buildings: DataFrame, n_sites: int, mast_m: float, min_sep_m: float = 250.0, cell_m: float = 25.0, least_m: float = 6.0, seed: int = 0) -> DataFrame:
     """(city, rank, structure_id, cx, cy, z): of the tallest roof of each cell, from the tallest down, those that
     keep their distance from all taken before; where fewer than n_sites do, others in the order of a seeded

@@ -102,7 +102,8 @@ def k6_placement_comparison(spark, sf):
 @query()
 def k4_median_placement(spark, sf):
     """Rows only here; a test follows the steps by hand on two clusters."""
-    return siting.median_placement(rows(spark, sf, "fx_sites"), rows(spark, sf, "fx_points"), 400.0, 12)
+    points = rows(spark, sf, "fx_points")
+    return siting.with_uncovered(siting.median_placement(rows(spark, sf, "fx_sites"), points, 400.0), points)
 
 
 @query(f"SELECT * FROM ({ORACLE['j1_bootstrap']}) JOIN ({ORACLE['j2_paired_t']}) USING (model) LEFT JOIN (SELECT model, wilcoxon FROM ({ORACLE['j3_wilcoxon']})) USING (model)")

@@ -36,6 +36,32 @@ def test_median_placement_takes_a_site_then_a_new_station(spark):
     assert got == [(0, 7, 3.0, 0.0, 5), (1, None, 1000.0, 0.0, 1)]
 
 
+def test_median_placement_ends_where_a_step_changes_nothing(spark):
+    # a ring around an empty middle: the new station at the median reaches no point
+    ring = [(i, 100 * float(np.cos(i * np.pi / 4)), 100 * float(np.sin(i * np.pi / 4))) for i in range(8)]
+    points = spark.createDataFrame(ring, "point_id long, px double, py double")
+    sites = spark.createDataFrame([(7, 100.0, 0.0)], "candidate_id long, sx double, sy double")
+    steps = siting.median_placement(sites.where("false"), points, 50.0)
+    assert [(r.step, r.candidate_id, r.gain, r.uncovered) for r in siting.with_uncovered(steps, points).collect()] == [(0, None, 0, 8)]
+    assert siting.median_placement(sites, points.where("false"), 50.0).count() == 0
+
+
+def test_median_placement_goes_on_past_twelve_steps(spark):
+    xs = [1000.0 * i for i in range(15)]
+    points = spark.createDataFrame([(i, x, 0.0) for i, x in enumerate(xs)], "point_id long, px double, py double")
+    sites = points.selectExpr("point_id AS candidate_id", "px AS sx", "py AS sy")
+    last = siting.with_uncovered(siting.median_placement(sites, points, 50.0), points).orderBy("step").collect()[-1]
+    assert (last.step, last.uncovered) == (14, 0)
+
+
+def test_the_registered_median_placement_is_the_whole_one(spark):
+    from radiotiles.plans import extended  # noqa: F401
+    from radiotiles.plans import queries as plans
+
+    got = plans.QUERIES["k4_median_placement"](spark, "/root/testdata/sf0.001").orderBy("step").collect()
+    assert len(got) == 3 and got[-1].candidate_id is None and (got[-1].gain, got[-1].uncovered) == (0, 138)
+
+
 def test_local_frame_has_the_known_grid_position_and_goes_back(spark):
     # the tower in Toronto: zone 17, 630084 m east, 4833438 m north
     one = spark.range(1).select(F.lit(43.642567).alias("lat"), F.lit(-79.387139).alias("lon"))
