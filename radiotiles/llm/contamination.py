@@ -7,16 +7,19 @@ is contaminated where at least `share` of the item's words stand at their places
 found with any words replaced, up to that share, as long as one window agrees under one mask.
 
 The hashes of the benchmark are sent to all workers while they are few (`sent_rows`), else the join
-shuffles; the same holds for the alignments found.  Words are lower-cased.  Items of fewer words than
-the shortest mask have no window and are never found.  Empty tables and null texts: no rows.  Null
+shuffles; the same holds for the alignments found.  Words are lower-cased.  Where an item has so few
+words that replaced words allowed by the share can touch every window (none may be left whole), it is
+looked for by a run of words that they cannot: of ceil(kept / (replaced + 1)) words.  Empty tables and null texts: no rows.  Null
 ids: such documents and items are reported with a null id.  Repeated rows are reported once.  Other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,11 +67,57 @@ def start_of(pos: Column, size: Column, masks: tuple[str, ...]) -> Column:
     return out
 
 
+def mask_of(pos: Column, size: Column, masks: tuple[str, ...]) -> Column:
+    before, out = F.lit(0), F.lit(None).cast("string")
+    branches = []
+    for mask in masks:
+        before = before + windows(size, mask)
+        branches.append((before, mask))
+    for hi, mask in reversed(branches):
+        out = F.when(pos < hi, F.lit(mask)).otherwise(out)
+    return out
+
+
+def least_touching(most: int, masks: tuple[str, ...]) -> list[int]:
+    """The least number of replaced words that touch every window of 0, 1, ..., `most` words."""
+    span = max(len(m) for m in masks)
+    states = np.arange(1 << span)  # the last `span` words, replaced or not; the latest is the lowest bit
+    cost = np.where(states == 0, 0.0, np.inf)
+    out = [0]
+    for n in range(1, most + 1):
+        half = len(cost) // 2
+        before = np.minimum(cost[:half], cost[half:])  # forget the oldest
+        cost = np.repeat(before, 2) + (states & 1)
+        for m in masks:
+            if len(m) <= n:
+                cost[states & int(m, 2) == 0] = np.inf
+        out.append(int(cost.min()))
+    return out
+
+
+def runs(sizes: list[int], share: float, masks: tuple[str, ...]) -> dict[int, str]:
+    """For the sizes of items that the masks do not find surely, a mask that does."""
+    touching, out = least_touching(max(sizes, default=0), masks), {}
+    for n in sizes:
+        kept = math.ceil(n * share - 1e-9)
+        if touching[n] <= n - kept:
+            out[n] = "1" * max(1, -(-kept // (n - kept + 1)))
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, masks: tuple[str, ...] = MASKS, sent_rows: int = SENT_ROWS) -> DataFrame:
     """doc_id, item_id, start (word of the document, may be negative), matched, item_words."""
     items = stage(benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_codes(F.col("text")).alias("item")).where("size(item) > 0").distinct(), "items")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), word_codes(F.col("text")).alias("codes"))
-    item_seeds = items.withColumn("pairs", couples("item")).select(F.xxhash64("item_id", "item").alias("item_key"), F.size("item").alias("n"), F.posexplode(seeds("item", "pairs", masks)).alias("p", "seed")).select("item_key", "seed", start_of(F.col("p"), F.col("n"), masks).alias("item_at"))
+    sizes = [r["n"] for r in items.select(F.size("item").alias("n")).distinct().collect()]
+    short = runs(sizes, share, masks)
+    first_masks, masks = masks, masks + tuple(sorted(set(short.values()) - set(masks)))
+    item_seeds = items.withColumn("pairs", couples("item")).select(F.xxhash64("item_id", "item").alias("item_key"), F.size("item").alias("n"), F.posexplode(seeds("item", "pairs", masks)).alias("p", "seed"))
+    if short:
+        own_run = F.create_map(*[F.lit(x) for pair in short.items() for x in pair])
+        under = mask_of(F.col("p"), F.col("n"), masks)
+        item_seeds = item_seeds.where(under.isin(*first_masks) | F.coalesce(under == F.try_element_at(own_run, F.col("n")), F.lit(False)))
+    item_seeds = item_seeds.select("item_key", "seed", start_of(F.col("p"), F.col("n"), masks).alias("item_at"))
     item_seeds = stage(item_seeds, "seeds")
     few = item_seeds.count() <= sent_rows
     own = texts.withColumn("pairs", couples("codes")).select("doc_id", "text_key", F.size("codes").alias("n"), F.posexplode(seeds("codes", "pairs", masks)).alias("p", "s"))

@@ -1,6 +1,8 @@
 """Decontamination, repeats, the Jaccard join and the pipeline against SQL and brute force."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -176,6 +178,30 @@ def test_contamination_with_substitutions(spark):
     assert contamination.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_short_items_are_found_under_every_pattern(spark):
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(1, 13)}
+    rows, want = [], set()
+    for n, item in items.items():
+        allowed = n - math.ceil(n * 0.8 - 1e-9)
+        for k in range(allowed + 2):
+            for places in itertools.combinations(range(n), k):
+                text = [f"x{j}" if j in places else w for j, w in enumerate(item)]
+                rows.append((len(rows), " ".join(["a", "b", *text, "c"])))
+                if k <= allowed:
+                    want.add((rows[-1][0], n, 2, n - k, n))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    for sent in (1_000_000, 0):
+        got = contamination.contaminated(frame(spark, rows), bench, sent_rows=sent).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_least_touching_agrees_with_enumeration():
+    got = contamination.least_touching(14, contamination.MASKS)
+    for n in range(15):
+        windows = [sum(1 << (a + j) for j, c in enumerate(m) if c == "1") for m in contamination.MASKS for a in range(n - len(m) + 1)]
+        assert got[n] == min(s.bit_count() for s in range(1 << n) if all(s & w for w in windows))
+
+
 def test_pipeline_stages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     for name, step in corpus_pipeline.STAGES:
