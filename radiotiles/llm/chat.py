@@ -5,11 +5,11 @@ conversation are rendered; where the output for k turns starts with the output f
 the span of turn k.  Where it does not, the template rewrote history, and the turn says so.  Inside
 a span, the text is located by rendering the same prefix with a marker in place of the last text.
 
-A prefix holds at most `context` turns: a longer conversation is rendered in windows that overlap by
-one turn, so time and memory do not grow with the square of a conversation's length.  This asks of a
-template that what it writes for a turn depends on the turn before it only, and on whether there is
-one; `formatted` checks at each cut that the overlapping turn is rendered alike in both windows and
-marks the turn as rewritten otherwise.
+Prefixes are whole, so time grows with the square of a conversation's length.  Only a template that is
+declared `local` (what it writes for a turn depends on the turn before it only, and on whether there is
+one) is rendered in windows of at most `context` turns that overlap by one.  At each cut the whole prefix
+is rendered too, and the window's output must be its end and the overlapping turn alike in both windows;
+otherwise the turn is marked as rewritten, and whole prefixes are used from there on.
 
 Empty table: no rows.  Null text or role: empty.  A null conv_id is a conversation of its own.  Turns
 that share a number are ordered by role and text; repeated rows are separate turns.  Other columns
@@ -40,6 +40,13 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", lambda m: m[1], text, flags=re.S)
 
 
+def local(template: Template) -> Template:
+    """Declares a template local."""
+    template.local = True
+    return template
+
+
+@local
 def chat_template(turns: list[tuple[str, str]]) -> str:
     return "".join(f"{START}{escape(role).replace(chr(10), chr(92) + 'n')}\n{escape(text)}{END}\n" for role, text in turns)
 
@@ -55,23 +62,32 @@ class Spans:
     """Feeds the turns of one conversation to a template and gives each one's piece of the output."""
 
     def __init__(self, template: Template, context: int):
-        self.template, self.context = template, context
+        self.template, self.context = template, context if getattr(template, "local", False) else None
         self.turns: list[tuple[str, str]] = []
+        self.all: list[tuple[str, str]] = []  # of a local template's conversation
+        self.window: list[str] = []  # pieces since the last cut
         self.last, self.at, self.piece = template([]), 0, ""
         self.head = self.last
 
     def add(self, role: str, text: str) -> tuple[str, int, int, bool]:
         """The piece of this turn, where its text starts and ends in the piece (-1: not found), rewritten or not."""
         rewritten = False
-        if len(self.turns) > self.context:
-            kept = self.turns[-1]
-            self.turns = [kept]
-            self.last = self.template(self.turns)
-            rewritten = not self.last.endswith(self.piece)
+        if self.context is not None and len(self.turns) > self.context:
+            whole, again = self.template(self.all), self.template(self.turns[-1:])
+            if whole.endswith("".join(self.window)) and again.endswith(self.piece):
+                self.turns, self.last = self.turns[-1:], again
+            else:  # not local after all
+                rewritten, self.context = True, None
+                self.turns, self.last, self.all = self.all, whole, []
+            self.window = []
         self.turns.append((role, text))
+        if self.context is not None:
+            self.all.append((role, text))
         now = self.template(self.turns)
         rewritten = rewritten or not now.startswith(self.last)
         self.piece = now[len(self.last) :] if not rewritten else now
+        if self.context is not None:
+            self.window.append(self.piece)
         marked = self.template([*self.turns[:-1], (role, MARK)])
         before, found, after = marked.rpartition(MARK)
         known = found and now.startswith(before) and now.endswith(after) and len(now) >= len(before) + len(after)
@@ -85,8 +101,8 @@ FORMATTED = "conv_id long, seq long, role string, piece string, text_start long,
 
 
 def formatted(conversations: DataFrame, template: Template = chat_template, context: int = 64) -> DataFrame:
-    """One row for each turn, sorted within its partition by conversation and turn.  The output for a
-    conversation is its pieces laid end to end; text_start and text_end are offsets in the piece."""
+    """One row for each turn, sorted within its partition by conversation and turn; `context` is for local
+    templates only.  The output for a conversation is its pieces laid end to end; text_start and text_end are offsets in the piece."""
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, spans, seq = object(), None, 0

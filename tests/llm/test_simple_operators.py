@@ -139,6 +139,37 @@ def test_chat_finds_rewritten_history(spark):
     assert [r["rewritten"] for r in chat.formatted(frame, template).orderBy("seq").collect()] == [False, True, True, True]
 
 
+def test_chat_sees_rewrites_beyond_the_window(spark):
+    rows = [(1, t, "user" if t % 2 else "system", f"t{t}") for t in range(130)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+    def dropping(turns):
+        return "".join(f"[{r}:{t}]" for r, t in turns[-100:])
+
+    def moving(turns):
+        return "".join(f"[{r}:{t}{turns[0][1] if i == len(turns) - 1 else ''}]" for i, (r, t) in enumerate(turns))
+
+    for template in (dropping, moving):
+        got = chat.formatted(frame, template).orderBy("seq").collect()
+        outputs = [template([(r, t) for _, _, r, t in rows[:k]]) for k in range(131)]
+        assert [r["rewritten"] for r in got] == [not b.startswith(a) for a, b in zip(outputs, outputs[1:], strict=False)]
+        assert all(r["piece"] == (b if r["rewritten"] else b[len(a) :]) for r, a, b in zip(got, outputs, outputs[1:], strict=False))
+
+
+def test_chat_finds_templates_wrongly_declared_local(spark):
+    rows = [(1, t, "user", f"t{t}") for t in range(40)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+    @chat.local
+    def numbered(turns):
+        return "".join(f"[{len(turns) > 12 and i}:{t}]" if i == 0 else f"[{min(i, 12)}:{t}]" for i, (_, t) in enumerate(turns))
+
+    got = chat.formatted(frame, numbered, context=8).orderBy("seq").collect()
+    first = next(r["seq"] for r in got if r["rewritten"])
+    assert first == 9 and got[first]["piece"] == numbered([("user", f"t{t}") for t in range(10)])
+    assert got[12]["rewritten"] and "".join(r["piece"] for r in got[12:]) == numbered([("user", t) for _, _, _, t in rows])
+
+
 def base_scores(rows):
     tokens = {i: [*WORDS.findall(t.encode().lower()), None] for i, t in rows}
     train = Counter(w for i, ws in tokens.items() if zlib.crc32(("" if i is None else str(i)).encode()) % 10 for w in ws)
