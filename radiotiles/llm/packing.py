@@ -10,121 +10,179 @@ so each part holds exactly its number of tokens, and what a source is owed beyon
 deficit) is carried into the next part.  Inside a part, sources earn their share of each window, the
 source owed most is served first, in pieces of at least `quantum` tokens, and what is overdrawn or
 owed is carried to the next window.  Documents are cut where a window or a part ends.  Parts are
-independent of each other: one group holds `part_windows` windows, however large a source is.
+independent of each other: one group holds `part_windows` windows, however large a source is.  Sources
+of under `quantum` tokens a part share one queue.
 
 Empty table: no rows.  Null text: empty, so the document is its end token alone.  A null source is a
-queue of its own.  Repeated rows are packed as often as they occur.  Other columns are ignored.
+queue of its own.  Repeated rows are packed as often as they occur, ties and order are those of the
+input partitions.  Texts of any length are coded whole and cut where windows and parts end.  Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import base64
-import re
+import functools
+import itertools
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from radiotiles.llm.common import stage
+from radiotiles.llm.common import slices, stage
 
 END_ID = 0
 SENT_ROWS = 200_000
 SMALL = "\x00small"
 
 
-class ByteBpe:
-    """The ids of a byte-level BPE, given as ranks; ids of words met before are kept.
-
-    Where every run of white space in a text is one space, a word with the space before it is coded
-    alone, which gives the same ids as the whole text; other texts are coded whole."""
-
-    LIMIT = 250_000
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import tiktoken
-
-        self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[str, bytes] = {}
-        self.wide = re.compile(r"\s\s")
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        if self.wide.search(text) or text[:1].isspace() or text[-1:].isspace():
-            return np.array(self.encode(text), np.uint32).tobytes()
-        first, *words = text.split(" ")
-        known, out = self.known, [np.array(self.encode(first), np.uint32).tobytes()]
-        for w in words:
-            if (b := known.get(w)) is None:
-                if len(known) >= self.LIMIT:
-                    known.clear()
-                b = known[w] = np.array(self.encode(" " + w), np.uint32).tobytes()
-            out.append(b)
-        return b"".join(out)
-
-
-def default_vocabulary() -> tuple[str, str]:
-    """Place of the ranks file and the pattern that cuts texts into words."""
+def default_vocabulary() -> str:
+    """Place of the tokenizer file."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.json")
+
 
+class ByteBpe:
+    """The ids that the `tokenizers` library gives with a byte-level BPE file, for many texts at once.
 
-def load_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    A space before a character that is no white space always begins a new word of the tokenizer, so texts
+    are cut there, and each distinct piece of a batch is coded once; ids of pieces met before are kept.  Texts
+    with wider white space are coded whole.  Texts that hold an added token of the file go to the library
+    itself, and so does all where the file is not a plain byte-level BPE."""
 
+    LIMIT = 400_000
 
-def tokenized(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        self.added = [t["content"] for t in form["added_tokens"]]
+        self.top = max(form["model"]["vocab"].values(), default=0)
+        cut, model = form["pre_tokenizer"] or {}, form["model"]
+        self.plain = (
+            (cut.get("type"), cut.get("use_regex", True), cut.get("add_prefix_space"), form["normalizer"], form["post_processor"]) == ("ByteLevel", True, False, None, None)
+            and model["type"] == "BPE"
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        )
+        if self.plain:
+            # the file writes each byte as a printable character; printable bytes stand for themselves
+            letters = sorted(pre_tokenizers.ByteLevel.alphabet())
+            own = [c for c in letters if ord(c) < 256]
+            of = {c: ord(c) for c in own} | dict(zip([c for c in letters if ord(c) > 255], sorted(set(range(256)) - {ord(c) for c in own}), strict=True))
+            ranks = {bytes(of[c] for c in t): i for t, i in model["vocab"].items() if t not in self.added}
+            self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.known: dict[str, np.ndarray] = {}
+
+    def whole(self, text: str) -> np.ndarray:
+        if self.plain and not any(t in text for t in self.added):
+            return np.array(self.encode(text), np.uint32)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def piece(self, text: str) -> np.ndarray:
+        if (ids := self.known.get(text)) is None:
+            if len(self.known) >= self.LIMIT:
+                self.known.clear()
+            ids = self.known[text] = np.array(self.encode(text), np.uint32)
+        return ids
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and how many each has.  Null texts have none."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not self.plain:
+            each = [self.whole(t) for t in texts.to_pylist()]
+            return np.concatenate([np.empty(0, np.uint32), *each]), np.array([len(e) for e in each], np.int64)
+        cut = pc.split_pattern(texts, " ")
+        edges = cut.offsets.to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        edges, words = edges - edges[0], coded.dictionary.to_pylist()
+        index = coded.indices.to_numpy().astype(np.int64)
+        odd_words = np.fromiter((not w or w[0].isspace() or any(t in w for t in self.added) for w in words), bool, len(words))
+        odd_first = np.fromiter((any(t in w for t in self.added) for w in words), bool, len(words))
+        first = edges[:-1]
+        odd = odd_words[index]
+        odd[first] = odd_first[index[first]]
+        wide = np.flatnonzero(np.add.reduceat(odd, first)) if len(first) else first
+        own: dict[int, np.ndarray] = {}  # after the words: first pieces of texts, and texts coded whole
+        vocabulary = [self.piece(" " + w) if w else w for w in words]
+        for i in wide.tolist():
+            index[edges[i] : edges[i + 1]] = -1
+            own[i] = self.whole(texts[i].as_py())
+        for i in np.setdiff1d(np.arange(len(first)), wide).tolist():
+            own[i] = self.piece(words[index[first[i]]])
+        index[first] = len(words) + np.arange(len(first))
+        vocabulary = [np.empty(0, np.uint32) if isinstance(v, str) else v for v in itertools.chain(vocabulary, (own[i] for i in range(len(first))), [""])]
+        size = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))  # the last, empty one is that of places -1
+        flat, start = np.concatenate(vocabulary), np.cumsum(size) - size
+        n = size[index]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        out = flat[np.repeat(start[index] - (ends - n), n) + np.arange(total)]
+        return out, np.add.reduceat(n, first) if len(first) else np.empty(0, np.int64)
+
+
+@functools.lru_cache(maxsize=2)
+def coder(path: str) -> ByteBpe:
+    """One for each Python worker."""
+    return ByteBpe(path)
+
+
+def tokenized(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, source, part and at (which input partition, tokens of the source before in it), ids as
     binary (16 bits each where the vocabulary allows), with the end token."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, pattern = vocabulary or default_vocabulary()
-        ranks = load_ranks(path)
-        bpe, before = ByteBpe(ranks, pattern), {}
-        narrow = max(ranks.values(), default=0) < 1 << 16
-        for batch in batches:
-            texts, sources = (batch.column(k).to_pylist() for k in ("text", "source"))
-            ids, at, n = [], [], []
-            for text, source in zip(texts, sources, strict=True):
-                own = np.frombuffer(bpe.ids(text or "") + END_ID.to_bytes(4, "little"), np.uint32)
-                ids.append((own.astype(np.uint16) if narrow else own).tobytes())
-                at.append(before.get(source, 0))
-                n.append(len(own))
-                before[source] = at[-1] + len(own)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("part"), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "part", "at", "n", "ids"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("source").cast("string").alias("source"), F.spark_partition_id().alias("part"))
+        bpe, before = coder(vocabulary or default_vocabulary()), {}
+        kind = np.uint16 if bpe.top < 1 << 16 else np.uint32
+        for whole_batch in batches:
+            for batch in slices(whole_batch, "text", 32 << 20):
+                flat, n = bpe.ids(batch.column("text"))
+                ends = np.cumsum(n + 1)
+                ids = np.full(int(ends[-1]), END_ID, kind)
+                inner = np.ones(len(ids), bool)
+                inner[ends - 1] = False
+                ids[inner] = flat
+                at = []
+                for source, k in zip(batch.column("source").to_pylist(), (n + 1).tolist(), strict=True):
+                    at.append(before.get(source, 0))
+                    before[source] = at[-1] + k
+                offsets = np.append(0, ends * ids.itemsize)
+                binary = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("part"), pa.array(at, pa.int64()), pa.array(n + 1), binary], names=["doc_id", "source", "part", "at", "n", "ids"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.spark_partition_id().alias("part"))
     return rows.mapInArrow(encode, "doc_id long, source string, part int, at long, n long, ids binary")
 
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, window: int = 1024, part_windows: int = 2048, quantum: int = 128, vocabulary: tuple[str, str] | None = None) -> DataFrame:
+def pack(docs: DataFrame, window: int = 1024, part_windows: int = 2048, quantum: int = 128, vocabulary: str | None = None) -> DataFrame:
     """One row for each piece of a document in a window: doc_id, start, length, ids (little-endian
     32-bit), doc_tokens, sequence_id, offset.  Only the very last window may need padding."""
     tokens = stage(tokenized(docs, vocabulary), "tokens")
-    shares = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
-    # one row for each source: the mixture, which is part of the operator's configuration
-    sizes = sorted(((r["source"], r["n"]) for r in shares.groupBy("source").agg(F.sum("n").alias("n")).collect()), key=lambda r: (r[1], r[0] or ""))
-    small, small_n = [], 0
-    for s, n in sizes:  # sources of under two tokens a part share a queue
-        if min(n, small_n or n) * window * part_windows < 2 * sum(n for _, n in sizes):
-            small, small_n = [*small, s], small_n + n
-    queue = {s: (SMALL if s in small else s) for s, _ in sizes}
-    merged: dict[str | None, int] = {}
-    for s, n in sizes:
-        merged[queue[s]] = merged.get(queue[s], 0) + n
-    mixture = sorted(merged.items(), key=lambda r: (r[0] is not None, r[0]))
-    in_small = F.lit(False)
-    for s in small:
-        in_small = in_small | F.col("source").eqNullSafe(F.lit(s))
-    before = shares.withColumn("queue", F.when(in_small, F.lit(SMALL)).otherwise(F.col("source")))
-    before = before.withColumn("base", F.sum("n").over(Window.partitionBy("queue").orderBy("source", "part")) - F.col("n"))
+    shares = stage(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "shares")
+    sizes = shares.groupBy("source").agg(F.sum("n").alias("n"))
+    told = sizes.agg(F.sum("n")).first()[0] or 0
+    # sources of under `quantum` tokens a part share a queue, so there are at most window * part_windows / quantum + 1 queues
+    sizes = sizes.withColumn("queue", F.when(F.col("n") * (window * part_windows) < quantum * told, F.lit(SMALL)).otherwise(F.col("source")))
+    mixture = sorted(((r["queue"], r["n"]) for r in sizes.groupBy("queue").agg(F.sum("n").alias("n")).collect()), key=lambda r: (r[0] is not None, r[0]))
+    of = sizes.select(F.col("source").alias("s"), "queue")
+    queues = shares.join(of, F.col("source").eqNullSafe(F.col("s"))).select("source", "part", "queue", "n")
+    # tokens before: in a queue by input partition, and in a partition's share of the queue by source
+    in_part = Window.partitionBy("queue", "part").orderBy("source")
+    parts = queues.groupBy("queue", "part").agg(F.sum("n").alias("all"))
+    parts = parts.select(F.col("queue").alias("q"), F.col("part").alias("p"), (F.sum("all").over(Window.partitionBy("queue").orderBy("part")) - F.col("all")).alias("lower"))
+    before = queues.withColumn("inner", F.sum("n").over(in_part) - F.col("n")).join(parts, F.col("queue").eqNullSafe(F.col("q")) & (F.col("part") == F.col("p")))
+    before = before.withColumn("base", F.col("lower") + F.col("inner")).drop("q", "p")
     ends = np.cumsum([n for _, n in mixture], dtype=object) if mixture else []
     total = int(ends[-1]) if mixture else 0
     span = {s: (int(e) - n, int(e)) for (s, n), e in zip(mixture, ends, strict=True)}
@@ -171,7 +229,7 @@ def pack(docs: DataFrame, window: int = 1024, part_windows: int = 2048, quantum:
         size = {s: sum(len(ids[i]) // width[i] for i in q) for s, q in queues.items()}
         whole, first = sum(size.values()), j[0] * part_windows
         earn = {s: window * n / whole for s, n in size.items()}
-        owed, used, out, k, room = dict.fromkeys(queues, 0.0), dict.fromkeys(doc_id, 0), [], 0, window
+        owed, out, k, room = dict.fromkeys(queues, 0.0), [], 0, window
         done = [0] * len(source)
         order = sorted(queues, key=lambda s: (s is not None, s))
         for s in order:

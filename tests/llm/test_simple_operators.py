@@ -284,9 +284,18 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_byte_bpe_gives_the_library_s_ids():
+    rng, t = np.random.default_rng(5), tokenizer()
+    marks = ["a", "B", "'s", "9", " ", "  ", "\n", "\n\n", "\t", "\r", "\u3000", "\x1c", "\x85", "\u00a0", "é", "ß", "漢", "\u200b", "😀", "<|endoftext|>", "<|", "|>", "_", "!?", "\u0301"]
+    odd = ["", " ", "  ", None, "a <|endoftext|> b", "a  <|endoftext|>  b", "<|endoftext|>", "x" * 30_000, " " * 5000 + "y", "\n" * 3000, "word " * 2000, "ab" * 9000 + " <|endoftext|>"]
+    texts = odd + ["".join(rng.choice(marks, rng.integers(1, 30))) for _ in range(3000)]
+    flat, n = packing.ByteBpe(packing.default_vocabulary()).ids(pa.array(texts))
+    ends = np.cumsum(n)
+    for text, a, b in zip(texts, ends - n, ends, strict=True):
+        assert flat[a:b].tolist() == t.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
 def check_packing(pieces, wanted, window):
@@ -320,6 +329,15 @@ def test_packing(spark, data, odd, none):
         wanted.setdefault(i, []).append(t or "")
     check_packing(packing.piece_crc(packing.pack(odd, window=64, part_windows=2, quantum=16)).collect(), wanted, 64)
     assert packing.pack(none).count() == 0
+    special = [(i, t, None) for i, t in enumerate(["a <|endoftext|> b", "<|endoftext|>", "two  spaces \n\n and a" + "b" * 5000, " lead", "trail "])]
+    frame = spark.createDataFrame([(*r, "clash", 1) for r in special], "doc_id long, text string, source string, queue string, n long")
+    check_packing(packing.piece_crc(packing.pack(frame, window=64, part_windows=2, quantum=16)).collect(), {i: [t] for i, t, _ in special}, 64)
+
+
+def test_packing_many_small_sources(spark):
+    rows = [(i, f"word {i} " * (1 + i % 4), f"host{i}") for i in range(400)] + [(1000 + i, "big source text " * 20, "big") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    check_packing(packing.piece_crc(packing.pack(docs, window=64, part_windows=4, quantum=16)).collect(), {i: [t] for i, t, _ in rows}, 64)
 
 
 def test_packing_mixture(spark):
