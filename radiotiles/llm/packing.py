@@ -80,53 +80,66 @@ class ByteBpe:
             of = {c: ord(c) for c in own} | dict(zip([c for c in letters if ord(c) > 255], sorted(set(range(256)) - {ord(c) for c in own}), strict=True))
             ranks = {bytes(of[c] for c in t): i for t, i in model["vocab"].items() if t not in self.added}
             self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[str, np.ndarray] = {}
+        self.clear()
 
-    def whole(self, text: str) -> np.ndarray:
-        if self.plain and not any(t in text for t in self.added):
-            return np.array(self.encode(text), np.uint32)
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+    def clear(self) -> None:
+        """Forget the pieces: their numbers, and by number the place and count of their ids in `flat`."""
+        self.known: dict[str, int] = {"": 0}
+        self.flat, self.start, self.size = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def piece(self, text: str) -> np.ndarray:
-        if (ids := self.known.get(text)) is None:
-            if len(self.known) >= self.LIMIT:
-                self.known.clear()
-            ids = self.known[text] = np.array(self.encode(text), np.uint32)
-        return ids
+    def whole(self, text: str) -> list[int]:
+        if self.plain and not any(t in text for t in self.added):
+            return self.encode(text)
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def add(self, coded: list[list[int]]) -> None:
+        """Number some more ids, from the numbers given so far on."""
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        more = np.fromiter(itertools.chain.from_iterable(coded), np.uint32, int(size.sum()))
+        self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)
+        self.flat, self.size = np.append(self.flat, more), np.append(self.size, size)
+
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+        self.known.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+        self.add([self.encode(p) for p in new])
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and how many each has.  Null texts have none."""
         texts = texts.cast(pa.large_string()).fill_null("")
         if not self.plain:
             each = [self.whole(t) for t in texts.to_pylist()]
-            return np.concatenate([np.empty(0, np.uint32), *each]), np.array([len(e) for e in each], np.int64)
+            return np.fromiter(itertools.chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+        if not len(texts):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        if len(self.known) > self.LIMIT:
+            self.clear()
         cut = pc.split_pattern(texts, " ")
         edges = cut.offsets.to_numpy()
         coded = cut.flatten().dictionary_encode()
-        edges, words = edges - edges[0], coded.dictionary.to_pylist()
-        index = coded.indices.to_numpy().astype(np.int64)
-        odd_words = np.fromiter((not w or w[0].isspace() or any(t in w for t in self.added) for w in words), bool, len(words))
-        odd_first = np.fromiter((any(t in w for t in self.added) for w in words), bool, len(words))
+        edges, words, index = edges - edges[0], coded.dictionary, coded.indices.to_numpy()
+        special = np.zeros(len(words), bool)
+        for t in self.added:
+            special |= pc.match_substring(words, t).to_numpy(zero_copy_only=False)
+        spaced = pc.or_(pc.equal(words, ""), pc.utf8_is_space(pc.utf8_slice_codeunits(words, 0, 1))).to_numpy(zero_copy_only=False) | special
         first = edges[:-1]
-        odd = odd_words[index]
-        odd[first] = odd_first[index[first]]
-        wide = np.flatnonzero(np.add.reduceat(odd, first)) if len(first) else first
-        own: dict[int, np.ndarray] = {}  # after the words: first pieces of texts, and texts coded whole
-        vocabulary = [self.piece(" " + w) if w else w for w in words]
-        for i in wide.tolist():
-            index[edges[i] : edges[i + 1]] = -1
-            own[i] = self.whole(texts[i].as_py())
-        for i in np.setdiff1d(np.arange(len(first)), wide).tolist():
-            own[i] = self.piece(words[index[first[i]]])
-        index[first] = len(words) + np.arange(len(first))
-        vocabulary = [np.empty(0, np.uint32) if isinstance(v, str) else v for v in itertools.chain(vocabulary, (own[i] for i in range(len(first))), [""])]
-        size = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))  # the last, empty one is that of places -1
-        flat, start = np.concatenate(vocabulary), np.cumsum(size) - size
-        n = size[index]
+        odd = spaced[index]
+        odd[first] = special[index[first]]
+        wide = np.logical_or.reduceat(odd, first)
+        number = self.numbers(pc.binary_join_element_wise(pa.scalar(" ", words.type), words, pa.scalar("", words.type)).to_pylist())[index]
+        number[first] = self.numbers(words.take(pa.array(index[first])).to_pylist())
+        kept = len(self.size), len(self.flat)
+        for k, i in enumerate(np.flatnonzero(wide).tolist()):
+            number[edges[i] : edges[i + 1]] = 0  # no ids
+            number[first[i]] = kept[0] + k
+        self.add([self.whole(texts[i].as_py()) for i in np.flatnonzero(wide).tolist()])
+        n = self.size[number]
         ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        out = flat[np.repeat(start[index] - (ends - n), n) + np.arange(total)]
-        return out, np.add.reduceat(n, first) if len(first) else np.empty(0, np.int64)
+        out = self.flat[np.repeat(self.start[number] - (ends - n), n) + np.arange(ends[-1])]
+        # texts coded whole are not kept
+        self.start, self.size, self.flat = self.start[: kept[0]], self.size[: kept[0]], self.flat[: kept[1]]
+        return out, np.add.reduceat(n, first)
 
 
 @functools.lru_cache(maxsize=2)
@@ -143,7 +156,7 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         bpe, before = coder(vocabulary or default_vocabulary()), {}
         kind = np.uint16 if bpe.top < 1 << 16 else np.uint32
         for whole_batch in batches:
-            for batch in slices(whole_batch, "text", 32 << 20):
+            for batch in slices(whole_batch, "text", 16 << 20):
                 flat, n = bpe.ids(batch.column("text"))
                 ends = np.cumsum(n + 1)
                 ids = np.full(int(ends[-1]), END_ID, kind)
