@@ -81,7 +81,9 @@ def signed(values: np.ndarray) -> pa.Array:
 
 
 _rng = np.random.default_rng(7)
-LONGEST = 4096
+#: Words from so many bytes on (spaces after them included) are hashed by another function: in long words the sum
+#: below, which is modulo 2^64, can be the same for different ones.
+LONGEST = 64
 _POWERS = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(LONGEST - 1, _MULT)]))
 _SPACE = np.zeros(256, bool)
 _SPACE[[ord(c) for c in SPACES]] = True

@@ -1,23 +1,28 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words and word pairs are gathered from the training rows by one grouped sum.  A count c is
-quantised to a level q = 1 + floor(log c / log STEP), and the n-gram is put into a Bloom filter once
-for each level up to q; asking for levels 1, 2, ... until one is absent gives the count back.  The
-filter is made in slices, each by the task that holds the slice's n-grams, and holds all of them; its
-size follows from the insertions (pairs are estimated from a one-in-64 part of them by hash).  Up to
-`max_bits` it is sent to all workers.  Beyond, only words and the pairs that make up over 1 /
-`often_parts` of all tokens each (so fewer than `often_parts` pairs) are sent; the other pairs of the
-texts are dealt by slice and probed where the slice's bits are, and the logarithms are summed for each
-row.  The probability of a word after another is the Dirichlet-smoothed estimate
+Counts of words and word pairs are gathered from the training rows, by slices of the hash range; each
+task packs its counts by slice, and where a slice's counts meet they are summed.  A count c is quantised to a
+level q = 1 + floor(log c / log STEP), and the n-gram is put into the slice's part of the filter once
+for each level up to q; asking for levels 1, 2, ... until one is absent gives the level back.  A level
+stands for the mean count of the n-grams on it, so the counts of all words, and of all pairs, sum to what
+they are.  The number of slices and the bits of each follow from the data: no n-gram is left out.
 
-    (c(v, w) + PRIOR * p(w)) / (c(v) + PRIOR),   p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
+The probability of a word after another is the Dirichlet-smoothed estimate
 
-Base scores use exact counts: of up to `broadcast_words` words (16 bytes each) they are sent to all
-workers, beyond that the words of the documents are joined with them.
+    (c(v, w) + prior * p(w)) / (c(v) + prior),   p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
+
+whose prior is learned: it is the one with which all contexts together give the smoothing the share of
+tokens that Good and Turing's rule expects to be new pairs, (pairs seen once) / N.  Where a pair is absent, the
+filter says so but for under 1 % of the pairs asked for; these add to the mass of the next word.
+
+Up to `max_bits` the filter is sent to all workers, with the exact counts of up to `broadcast_words` words (for the
+base score).  Beyond either bound only the words and pairs that make up a large part of their slice are
+sent (`often` of a slice at most, 2^20 or four a slice in all).  The other words of the texts are dealt to their slices,
+which tell the counts and send the pair on to its own slice, and the logarithms are summed for each row.
 
 Empty table: no rows.  Null text: empty, so its end token alone.  A null id counts as the text '' for
 the split.  Repeated rows are counted and scored as often as they occur.  Without training rows
-every count is 0, N = V = 0.  Other columns are ignored.
+every count is 0, N = V = 0.  Very long texts are whole; ties do not arise.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +39,10 @@ from pyspark.sql import functions as F
 from radiotiles.llm.common import gram_hashes, hashed_words, learned_from, mix, signed, slices, stage
 
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x2545F4914F6CDD1D)
-STEP, PROBES, SLICES, PRIOR = 1.5, 3, 4096, 4000.0
+STEP, BITS_EACH, LEVELS = 1.5, 12, 64
 PAIR = np.uint64(0x632BE59BD9B4E019)
+#: Slices of the hash range at least, and bytes of text for each.
+LEAST_SLICES, SLICE_BYTES = 4096, 256 << 20
 
 
 def flat_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -57,135 +64,205 @@ def pairs(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     token = np.ones(len(flat), bool)
     token[begins] = False
     at = np.flatnonzero(token)
-    return at, gram_hashes(flat, 2)[at - 1]
+    return at, gram_hashes(flat, 2)[at - 1] ^ PAIR
 
 
 def level(count: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(STEP) + 1e-9).astype(np.int64)
 
 
-def count_at(lev: np.ndarray) -> np.ndarray:
-    """The middle of the counts of a level; 0 for none."""
-    low = np.ceil(STEP ** (lev - 1.0))
-    high = np.maximum(low, np.ceil(STEP ** lev.astype(float)) - 1)
-    return np.where(lev > 0, (low + high) / 2, 0.0)
+def slice_of(keys: np.ndarray, n_slices: int) -> np.ndarray:
+    """The slice of hashes: their leading bits, so sorted hashes are sorted by slice."""
+    return (keys >> np.uint64(65 - n_slices.bit_length())).astype(np.int64)
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their n."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(n, first)
+
+
+# ---- the filter: an n-gram at a level sets four bits in each of two 64-bit words of its slice ----
 
 
-def positions(keys: np.ndarray, lev: int | np.ndarray, mask: np.uint64) -> Iterator[np.ndarray]:
+def marks(keys: np.ndarray, lev: int | np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each of the two words: 32 bits that choose it, and 24 bits that choose its four bits."""
     a = mix(keys + np.asarray(lev).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    b = mix(a ^ PAIR) | np.uint64(1)
-    for i in range(PROBES):
-        yield (a + np.uint64(i) * b) & mask
+    yield a >> np.uint64(32), a
+    b = mix(a ^ PAIR)
+    yield b >> np.uint64(32), b
 
 
-def slice_of(keys: np.ndarray) -> np.ndarray:
-    return mix(keys) >> np.uint64(52)
+def words_for(insertions: int) -> int:
+    """64-bit words of a slice with so many insertions."""
+    return max(1, -(-insertions * BITS_EACH // 64))
 
 
-def fill(keys: np.ndarray, levels: np.ndarray, slice_bits: int) -> np.ndarray:
-    """Bits of one slice with its n-grams at all their levels."""
-    bits, mask = np.zeros(slice_bits, bool), np.uint64(slice_bits - 1)
+def fill(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """64-bit words of one slice with its n-grams at all their levels."""
+    size = words_for(int(levels.sum()))
+    bits = np.zeros(size * 64, bool)
     each = np.repeat(keys, levels)
     lev = np.arange(len(each)) - np.repeat(np.cumsum(levels) - levels, levels) + 1
-    for p in positions(each, lev, mask):
-        bits[p] = True
-    return np.packbits(bits, bitorder="little")
+    for place, four in marks(each, lev):
+        at = (place * np.uint64(size) >> np.uint64(32)) << np.uint64(6)
+        for k in range(4):
+            bits[at + (four >> np.uint64(6 * k) & np.uint64(63))] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
 @dataclass(frozen=True)
 class Filter:
-    bits: np.ndarray  # of uint8, slice after slice
-    slice_bits: int
-
-    def present(self, keys: np.ndarray, base: np.ndarray, lev: int, mask: np.uint64) -> np.ndarray:
-        hit = np.ones(len(keys), bool)
-        for p in positions(keys, lev, mask):
-            at = base + p
-            hit &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+    words: np.ndarray  # of uint64, slice after slice
+    starts: np.ndarray  # where each slice begins, and the end
+
+    def present(self, keys: np.ndarray, base: np.ndarray, size: np.ndarray, lev: int) -> np.ndarray:
+        hit, one = np.ones(len(keys), bool), np.uint64(1)
+        for place, four in marks(keys, lev):
+            want = one << (four & np.uint64(63))
+            for k in range(1, 4):
+                want |= one << (four >> np.uint64(6 * k) & np.uint64(63))
+            hit &= self.words[base + (place * size >> np.uint64(32))] & want == want
         return hit
 
-    def levels(self, keys: np.ndarray, one_slice: bool = False) -> np.ndarray:
-        """With `one_slice`, the bits are those of the slice that all keys are in."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
         out, left = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        base = np.zeros(len(keys), np.uint64) if one_slice else slice_of(keys) * np.uint64(self.slice_bits)
-        mask, lev = np.uint64(self.slice_bits - 1), 0
-        while len(left) and lev < 64:
+        if not len(self.words):
+            return out
+        s = slice_of(keys, len(self.starts) - 1)
+        base, size = self.starts[s].astype(np.uint64), np.diff(self.starts)[s].astype(np.uint64)
+        lev = 0
+        while len(left) and lev < LEVELS - 1:
             lev += 1
-            left = left[self.present(keys[left], base[left], lev, mask)]
+            left = left[self.present(keys[left], base[left], size[left], lev)]
             out[left] = lev
         return out
 
 
+# ---- the model ----
+
+
+def learned_prior(n: int, word_counts: np.ndarray, word_sums: np.ndarray, once: int) -> float:
+    """The prior by Good and Turing's rule, from the numbers of words and the sums of counts by level."""
+    own = word_sums > 0
+    if not n or not once or not own.any():
+        return 1.0
+    mean, share = word_sums[own] / word_counts[own], word_sums[own] / word_sums[own].sum()
+    lo, hi, new = -10.0, 20.0, min(once / n, 0.999)
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if (share / (1 + mean / np.exp(mid))).sum() < new else (lo, mid)
+    return float(np.exp(lo))
+
+
 @dataclass(frozen=True)
 class Model:
-    filter: Filter
     n: int
     v: int
     prior: float
+    word_value: np.ndarray  # the count that a level stands for
+    pair_value: np.ndarray
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
         return (count + 0.1) / (self.n + 0.1 * (self.v + 1))
 
-    def log10(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """log10 probability of each text."""
-        at, grams = pairs(flat, sizes)
-        words, back = np.unique(flat, return_inverse=True)
-        single = count_at(self.filter.levels(words))
-        context = single[back[at - 1]]
-        both = np.minimum(count_at(self.filter.levels(grams ^ PAIR)), context)
-        p = (both + self.prior * self.unigram(single[back[at]])) / (context + self.prior)
-        return np.add.reduceat(np.log10(p), np.cumsum(sizes) - sizes)
+    def context_log10(self, before: np.ndarray) -> np.ndarray:
+        return np.log10(self.word_value[before] + self.prior)
+
+    def pair_log10(self, pair: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """What a token's log10 probability is above minus that of its context, by the levels of its pair and of itself."""
+        return np.log10(self.pair_value[pair] + self.prior * self.unigram(self.word_value[own]))
+
 
-    def pair_log10(self, pair: np.ndarray, before: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """log10 probability of a word by the levels of its pair, of the word before it and its own."""
-        context = count_at(before)
-        p = (np.minimum(count_at(pair), context) + self.prior * self.unigram(count_at(own))) / (context + self.prior)
-        return np.log10(p)
+def looked_up(keys: np.ndarray, table: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a table sorted by its first column, and which keys it has."""
+    if not len(table[0]):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    i = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+    return i, table[0][i] == keys
 
 
-def counted(docs: DataFrame, part: int = 1) -> DataFrame:
-    """(place, key, n): counts of words (the begin mark too) and pairs as their tasks saw them.  place is twice
-    the slice, plus 1 for pairs.  With `part`, of one in so many pairs only and no words."""
+COUNTED = "slice int, words binary, word_n binary, once binary, more binary, more_n binary"
+
+
+def counted(docs: DataFrame, n_slices: int) -> DataFrame:
+    """Counts of words (the begin mark too) and pairs as their tasks saw them: a row for each slice and round, with
+    64-bit hashes and 32-bit counts packed; pairs seen once without a count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
+        bounds = np.arange(1, n_slices).astype(np.uint64) << np.uint64(65 - n_slices.bit_length())
 
         def told() -> Iterator[pa.RecordBatch]:
-            for kind in (0, 1):
-                if held and len(all_ := np.concatenate([x[kind] for x in held])):
-                    keys, n = np.unique(all_, return_counts=True)
-                    for a in range(0, len(keys), 200_000):
-                        k = keys[a : a + 200_000]
-                        yield pa.RecordBatch.from_arrays([pa.array((slice_of(k) << np.uint64(1)).astype(np.int32) + np.int32(kind)), signed(k), pa.array(n[a : a + 200_000].astype(np.int32))], names=["place", "key", "n"])
+            words, word_n = np.unique(np.concatenate([x[0] for x in held]), return_counts=True)
+            grams, gram_n = np.unique(np.concatenate([x[1] for x in held]), return_counts=True)
+            more = gram_n > 1
+            own = np.union1d(slice_of(words, n_slices), slice_of(grams, n_slices))
+
+            def packed(keys: np.ndarray, values: np.ndarray) -> pa.Array:
+                edges = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
+                offsets = np.append(edges[own], edges[own[-1] + 1]) * values.itemsize
+                return pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+            columns = [(words, words), (words, word_n.astype(np.uint32)), (grams[~more], grams[~more]), (grams[more], grams[more]), (grams[more], gram_n[more].astype(np.uint32))]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(packed(k, x) for k, x in columns)], names=[x.split()[0] for x in COUNTED.split(", ")])
 
         for batch in batches:
             for some in slices(batch, "text"):
                 flat, sizes = flat_tokens(some.column(0))
-                grams = pairs(flat, sizes)[1] ^ PAIR
-                if part > 1:
-                    flat, grams = flat[:0], grams[mix(grams) % np.uint64(part) == 0]
-                held.append((flat, grams))
-                size += len(flat) + len(grams)
-                if size > 4_000_000:
+                held.append((flat, pairs(flat, sizes)[1]))
+                size += len(flat) * 2
+                if size > 6_000_000:
                     yield from told()
                     held.clear()
                     size = 0
-        yield from told()
+        if held:
+            yield from told()
+
+    return docs.select("text").mapInArrow(count, COUNTED)
 
-    return docs.select("text").mapInArrow(count, "place int, key long, n int")
 
+MERGED = "slice int, bits binary, words binary, word_n binary, often_words binary, often_word_n binary, often_word_lev binary, often_pairs binary, often_pair_lev binary, word_counts array<long>, word_sums array<long>, pair_counts array<long>, pair_sums array<long>"
 
-def filter_bits(levels: int) -> int:
-    """Bits of a filter with so many insertions."""
-    return 1 << int(np.ceil(np.log2(max(SLICES * 64, levels * PROBES / np.log(2)))))
 
+def merged(parts: DataFrame, often: int) -> DataFrame:
+    """One row for each slice: its filter, its words with counts, and the words and pairs that make up over 1 / `often`
+    of it, with the levels that the filter tells of them; numbers and sums by level (without the begin mark)."""
+    names = [x.split()[0] for x in MERGED.split(", ")]
 
-def pair_levels(docs: DataFrame) -> int:
-    """About how many insertions the pairs need."""
-    part = 64
-    table = counted(docs, part).groupBy("key").agg(F.sum("n").alias("n")).groupBy("n").count().collect()
-    return sum(r["count"] * part * int(level(np.array([r["n"]]))[0]) for r in table)
+    def numbers(counts: np.ndarray, levels: np.ndarray) -> list[list[int]]:
+        return [np.bincount(levels, minlength=LEVELS).tolist(), np.bincount(levels, counts, LEVELS).astype(np.int64).tolist()]
+
+    def one(s: int, held: list[list[bytes]]) -> pa.RecordBatch:
+        words, word_n, once, more, more_n = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held, strict=True), (np.uint64, np.uint32, np.uint64, np.uint64, np.uint32), strict=True))
+        words, word_n = summed(words, word_n.astype(np.int64))
+        grams, gram_n = summed(np.concatenate([once, more]), np.concatenate([np.ones(len(once), np.int64), more_n.astype(np.int64)]))
+        word_lev, gram_lev = level(word_n), level(gram_n)
+        bits = fill(np.concatenate([words, grams]), np.concatenate([word_lev, gram_lev]))
+        own, real = Filter(bits, np.array([0, len(bits)])), words != BEGIN
+        w, g = (word_n * often > word_n.sum()) | ~real, gram_n * often > gram_n.sum()
+        blobs = [bits, words, word_n, words[w], word_n[w], own.levels(words[w]), grams[g], own.levels(grams[g])]
+        row = [s, *(np.ascontiguousarray(b).tobytes() for b in blobs), *numbers(word_n[real], word_lev[real]), *numbers(gram_n, gram_lev)]
+        types = [pa.int32()] + [pa.binary()] * 8 + [pa.list_(pa.int64())] * 4
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for s, some in by_slice(batches):
+            if s != now and held:
+                yield one(now, held)
+                held = []
+            now = s
+            held += [list(x) for x in zip(*(some.column(k).to_pylist() for k in range(1, 6)), strict=True)]
+        if held:
+            yield one(now, held)
+
+    return parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, MERGED)
 
 
 def by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -198,177 +275,166 @@ def by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Record
                 yield int(s[a]), batch.slice(a, b - a)
 
 
-def made_filter(sliced: DataFrame, bits: int) -> Filter:
-    """The filter of (slice, key, lev), on the driver."""
-    slice_bits = bits // SLICES
+def gathered(table: DataFrame, *types: type) -> tuple[np.ndarray, ...]:
+    """The packed columns of (slice, ...), end to end in the order of the slices: the hashes come out sorted."""
+    found = {r[0]: r[1:] for r in table.toLocalIterator()}
+    return tuple(np.concatenate([np.empty(0, t), *(np.frombuffer(found[s][k], t) for s in sorted(found))]) for k, t in enumerate(types))
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Bits of each slice in this partition, whose rows come sorted by slice."""
-        now, held = None, []
 
-        def done() -> pa.RecordBatch:
-            keys, levels = (np.concatenate(x) for x in zip(*held, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([fill(keys, levels, slice_bits).tobytes()], pa.binary())], names=["slice", "bits"])
+def made_filter(table: DataFrame, n_slices: int) -> Filter:
+    """The whole filter, on the driver."""
+    parts = {r["slice"]: np.frombuffer(r["bits"], np.uint64) for r in table.select("slice", "bits").toLocalIterator()}
+    none = np.zeros(1, np.uint64)
+    each = [parts.get(s, none) for s in range(n_slices)]
+    return Filter(np.concatenate(each), np.cumsum([0, *map(len, each)]))
 
-        for s, run in by_slice(batches):
-            if s != now and held:
-                yield done()
-                held = []
-            now = s
-            keys, levels = (run.column(i).to_numpy() for i in (1, 2))
-            held.append((keys.view(np.uint64), levels.astype(np.int64)))
-        if held:
-            yield done()
 
-    whole = np.zeros(bits // 8, np.uint8)
-    for r in sliced.sortWithinPartitions("slice").mapInArrow(build, "slice int, bits binary").toLocalIterator():
-        at = r["slice"] * (slice_bits // 8)
-        whole[at : at + slice_bits // 8] = np.frombuffer(r["bits"], np.uint8)
-    return Filter(whole, slice_bits)
+# ---- beyond the bounds: words and pairs dealt to their slices ----
+
+ASKED = "slice int, key long, row long, times long, own int, pair long, score double, base double, known long, copies long, kind int"
+SUMS = ("score", "base", "known", "copies")
 
 
-def dealt_scores(rows: DataFrame, sliced: DataFrame, bits: int, model: Broadcast, often: Broadcast) -> DataFrame:
-    """(row, score) of the distinct `row`s (their id and text's hash), with the pairs of the texts dealt to the
-    (slice, key, lev) of the model.  `often` has the keys and levels of pairs that are not worth a shuffle."""
-    slice_bits = bits // SLICES
+def asks(kind: int, n: int, slice_: np.ndarray | None = None, key: np.ndarray | None = None, row: np.ndarray | None = None, times: np.ndarray | None = None, own: np.ndarray | None = None, pair: np.ndarray | None = None, **sums: np.ndarray) -> pa.RecordBatch:
+    """Rows of ASKED.  kind 0: what is known of a row's sums; 1: a word for its slice, with its pair; 2: a pair for its slice."""
+    zero = np.zeros(n, np.int64)
+    pick = lambda x, t: (zero if x is None else x).astype(t)
+    whole = lambda x: zero if x is None else x if x.dtype == np.int64 else x.view(np.int64)
+    columns = [pick(slice_, np.int32), whole(key), whole(row), pick(times, np.int64), pick(own, np.int32), whole(pair), pick(sums.get("score"), np.float64), pick(sums.get("base"), np.float64), pick(sums.get("known"), np.int64), pick(sums.get("copies"), np.int64), np.full(n, kind, np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in ASKED.split(", ")])
+
+
+def dealt_sums(rows: DataFrame, table: DataFrame, n_slices: int, model: Model, often: Broadcast) -> DataFrame:
+    """(row, score, base, known) of the distinct `row`s (their id and text's hash)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each pair to be probed, with the levels of its words, and one with the rest of the
-        logarithms for each text (its lev null)."""
-        m, (keys, levels) = model.value, often.value
+        words_often, pairs_often = often.value
         for whole_batch in batches:
             for batch in slices(whole_batch, "text"):
                 flat, sizes = flat_tokens(batch.column(1))
                 at, grams = pairs(flat, sizes)
-                grams = grams ^ PAIR
-                row = batch.column(0).to_numpy()
-                words, back = np.unique(flat, return_inverse=True)
-                lev = m.filter.levels(words)
-                before, own = lev[back[at - 1]], lev[back[at]]
-                i = np.minimum(np.searchsorted(keys, grams.view(np.int64)), max(len(keys) - 1, 0))
-                known = keys[i] == grams.view(np.int64) if len(keys) else np.zeros(len(grams), bool)
-                part = np.zeros(len(grams))
-                if known.any():
-                    part[known] = m.pair_log10(levels[i[known]], before[known], own[known])
-                told = np.add.reduceat(part, np.cumsum(sizes) - sizes)
-                ask = np.flatnonzero(~known)
-                of = np.repeat(row, sizes)[ask]
-                spread = slice_of(row.view(np.uint64)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(row), pa.nulls(len(row), pa.int32()), pa.array(row), pa.array(told)], names=names)
-                for a in range(0, len(ask), 200_000):
-                    g, b = grams[ask[a : a + 200_000]], ask[a : a + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(slice_of(g).astype(np.int32)), signed(g), pa.array((before[b] * 256 + own[b]).astype(np.int32)), pa.array(of[a : a + 200_000]), pa.nulls(len(g), pa.float64())], names=names)
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The model's rows of a slice come before the texts'."""
-        m, now, held, filt = model.value, None, [], None
-        for s, run in by_slice(batches):
-            if s != now:
-                now, held, filt = s, [], None
-            asked = run.column(3).is_valid().to_numpy(zero_copy_only=False)
-            keys = run.column(1).to_numpy().view(np.uint64)
-            lev = run.column(2).fill_null(-1).to_numpy().astype(np.int64)
-            if not asked.all():
-                held.append((keys[~asked], lev[~asked]))
-            if not asked.any():
-                continue
-            if filt is None:
-                k, v = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-                filt, held = Filter(np.frombuffer(fill(k, v, slice_bits), np.uint8), slice_bits), []
-            row, part = run.column(3).fill_null(0).to_numpy(), run.column(4).fill_null(0.0).to_numpy().copy()
-            ask = asked & (lev >= 0)
-            if ask.any():
-                found, back = np.unique(keys[ask], return_inverse=True)
-                part[ask] = m.pair_log10(filt.levels(found, True)[back], lev[ask] >> 8, lev[ask] & 255)
-            yield pa.RecordBatch.from_arrays([pa.array(row[asked]), pa.array(part[asked]), pa.array((lev[asked] < 0).astype(np.int64))], names=["row", "part", "copies"])
-
-    schema = "slice int, key long, lev int, row long, part double"
-    names = [x.split()[0] for x in schema.split(", ")]
-    asking = rows.select("row", "text").mapInArrow(deal, schema)
-    model_rows = sliced.select("slice", "key", "lev", F.lit(None).cast("long").alias("row"), F.lit(None).cast("double").alias("part"))
-    met = model_rows.unionByName(asking).repartition("slice").withColumn("asks", F.col("row").isNotNull())
-    parts = met.sortWithinPartitions("slice", "asks").drop("asks").mapInArrow(probe, "row long, part double, copies long")
-    return parts.groupBy("row").agg((F.sum("part") / F.sum("copies")).alias("score"))
-
-
-def score(docs: DataFrame, modulus: int = 10, max_bits: int = 1 << 29, broadcast_words: int = 8_000_000, prior: float = PRIOR, often_parts: int = 100_000) -> DataFrame:
+                row = np.repeat(batch.column(0).to_numpy(), sizes)
+                i, has = looked_up(flat, words_often)
+                n = np.where(has, words_often[1][i] if len(words_often[1]) else 0, 0)
+                lev = np.where(has, words_often[2][i] if len(words_often[2]) else 0, 0)
+                own, before = has[at], (has | (flat == BEGIN))[at - 1]
+                j, paired = looked_up(grams, pairs_often)
+                glev = np.where(paired, pairs_often[1][j] if len(pairs_often[1]) else 0, 0)
+                base = np.where(own, np.log10(model.unigram(n[at])), 0)
+                score = np.where(own & paired, model.pair_log10(glev, lev[at]), 0) - np.where(before, model.context_log10(lev[at - 1]), 0)
+                first = np.cumsum(sizes) - sizes
+                yield asks(0, batch.num_rows, row=batch.column(0).to_numpy(), score=np.add.reduceat(score, first), base=np.add.reduceat(base, first), known=np.add.reduceat((own & (n[at] > 0)).astype(np.int64), first), copies=np.ones(batch.num_rows, np.int64))
+                for kind, ask in ((1, ~own), (2, own & ~paired)):
+                    of = np.flatnonzero(ask)
+                    if not len(of):
+                        continue
+                    # the same pair of the same row is asked for once
+                    _, one, times = np.unique(mix(grams[of]) ^ row[of].view(np.uint64), return_index=True, return_counts=True)
+                    of = of[one]
+                    key = flat[at][of] if kind == 1 else grams[of]
+                    for a in range(0, len(of), 200_000):
+                        p = slice(a, a + 200_000)
+                        yield asks(kind, len(of[p]), slice_of(key[p], n_slices), key[p], row[of[p]], times[p], lev[at][of[p]], grams[of[p]])
+
+    def probe(kind: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A slice's own row comes before those that ask."""
+            now, filt, words = None, None, None
+            for s, some in by_slice(batches):
+                if s != now:
+                    now, filt, words = s, Filter(np.empty(0, np.uint64), np.zeros(2, np.int64)), (np.empty(0, np.uint64), np.empty(0, np.int64))
+                bits = some.column(some.schema.get_field_index("bits"))
+                if (k := len(bits) - bits.null_count) > 0:
+                    filt = Filter(np.frombuffer(bits[0].as_py(), np.uint64), np.array([0, len(bits[0].as_py()) // 8]))
+                    words = tuple(np.frombuffer(some.column(some.schema.get_field_index(c))[0].as_py(), t) for c, t in (("words", np.uint64), ("word_n", np.int64)))
+                    some = some.slice(k)
+                if not some.num_rows:
+                    continue
+                get = lambda c: some.column(some.schema.get_field_index(c)).to_numpy()  # noqa: B023, E731
+                key, times, row = get("key").view(np.uint64), get("times"), get("row")
+                found, back = np.unique(key, return_inverse=True)
+                lev = filt.levels(found)[back]
+                if kind == 2:
+                    yield asks(0, len(key), row=row, score=times * model.pair_log10(lev, get("own")))
+                    continue
+                i, has = looked_up(key, words)
+                n = np.where(has, words[1][i] if len(words[1]) else 0, 0)
+                inner = key != END  # a word is the context of the token after it
+                yield asks(0, len(key), row=row, score=-np.where(inner, times * model.context_log10(lev), 0), base=times * np.log10(model.unigram(n)), known=times * (n > 0))
+                pair = get("pair").view(np.uint64)
+                yield asks(2, len(key), slice_of(pair, n_slices), pair, row, times, lev, pair)
+
+        return run
+
+    own = table.select("slice", "bits", "words", "word_n")
+
+    def met(some: DataFrame, kind: int) -> DataFrame:
+        both = own.unionByName(some.where(F.col("kind") == kind), allowMissingColumns=True).repartition("slice")
+        return both.sortWithinPartitions("slice", F.col("bits").isNull()).mapInArrow(probe(kind), ASKED)
+
+    first = stage(rows.select("row", "text").mapInArrow(deal, ASKED), "asked")
+    second = stage(met(first, 1), "answered")
+    third = met(first.unionByName(second), 2)
+    every = first.unionByName(second).unionByName(third).where("kind = 0")
+    return every.groupBy(F.col("row").alias("of")).agg(*(F.sum(c).alias(c) for c in SUMS))
+
+
+def score(docs: DataFrame, modulus: int = 10, max_bits: int = 1 << 30, broadcast_words: int = 8_000_000, prior: float | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (~learned_from(F.col("doc_id"), modulus)).alias("held_out"))
-    train = rows.where(~F.col("held_out"))
-    grams = counted(train)
-    words = stage(grams.where("place % 2 = 0").groupBy("place", "key").agg(F.sum("n").alias("n")), "words")
-    lev = F.floor(F.log(F.col("n").cast("double")) / float(np.log(STEP)) + 1e-9) + 1
-    not_begin = F.col("key") != int(BEGIN.astype(np.int64))
-    sums = words.agg(F.sum(F.when(not_begin, F.col("n"))).alias("n"), F.count_if(not_begin).alias("v"), F.sum(lev).alias("levels")).first()
-    n, v = sums["n"] or 0, sums["v"]
-    word_levels = sums["levels"] or 0
-    bits = filter_bits(word_levels + pair_levels(train))
-    sent = bits <= max_bits
-
-    # one shuffle, by slice: the sums and the bits of a slice are made where its rows meet
-    not_word = grams.where("place % 2 = 1")
-    dealt = (not_word.unionByName(words.select("place", "key", "n")) if sent else not_word).withColumn("slice", F.shiftright("place", 1)).repartition("slice")
-    summed = dealt.groupBy("slice", "place", "key").agg(F.sum("n").alias("n"))
-    sliced = summed.select("slice", "key", lev.cast("int").alias("lev"))
-    if sent:
-        model = spark.sparkContext.broadcast(Model(made_filter(sliced, bits), n, v, prior))
-    else:
-        sliced = stage(summed.select("slice", "key", lev.cast("int").alias("lev"), "n"), "pairs")
-        t = sliced.where(F.col("n") * often_parts > n).select("key", "lev").orderBy("key").toArrow()
-        often = spark.sparkContext.broadcast((t.column("key").to_numpy(), t.column("lev").to_numpy().astype(np.int64)))
-        own = words.select(F.shiftright("place", 1).alias("slice"), "key", lev.cast("int").alias("lev")).repartition("slice")
-        model = spark.sparkContext.broadcast(Model(made_filter(own, filter_bits(word_levels)), n, v, prior))
-    exact = None
-    if v <= broadcast_words:
-        t = words.where(not_begin).select("key", "n").orderBy("key").toArrow()
-        exact = spark.sparkContext.broadcast((t.column("key").to_numpy(), t.column("n").to_numpy()))
-        del t
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for whole_batch in batches:
-            for batch in slices(whole_batch, "text"):
-                flat, sizes = flat_tokens(batch.column(1))
-                out = [batch.column(0), batch.column(2), pa.array(sizes), pa.array(m.log10(flat, sizes) if sent else np.zeros(len(sizes)))]
-                if exact:
-                    keys, counts = exact.value
-                    at, _ = pairs(flat, sizes)
-                    found, back = np.unique(flat[at], return_inverse=True)
-                    if len(keys):
-                        i = np.minimum(np.searchsorted(keys, found.view(np.int64)), len(keys) - 1)
-                        c = np.where(keys[i] == found.view(np.int64), counts[i], 0)
-                    else:
-                        c = np.zeros(len(found), np.int64)
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_slices = LEAST_SLICES
+    while n_slices * SLICE_BYTES < n_bytes:
+        n_slices *= 2
+    table = stage(merged(counted(rows.where(~F.col("held_out")), n_slices), max(4, (1 << 20) // n_slices)), "slices")
+
+    by_level = table.select(F.posexplode(F.arrays_zip("word_counts", "word_sums", "pair_counts", "pair_sums"))).groupBy("pos")
+    sums = np.zeros((4, LEVELS))
+    for r in by_level.agg(*(F.sum(f"col.{c}") for c in ("word_counts", "word_sums", "pair_counts", "pair_sums"))).collect():
+        sums[:, r[0]] = r[1:]
+    n, v = int(sums[1].sum()), int(sums[0].sum())
+    values = np.divide(sums[1::2], sums[::2], out=np.zeros((2, LEVELS)), where=sums[::2] > 0)
+    middle = STEP ** np.arange(0.0, LEVELS) * np.append(0, np.ones(LEVELS - 1))  # of levels that only false answers give
+    values = np.where(values > 0, values, middle)
+    model = Model(n, v, learned_prior(n, sums[0], sums[1], int(sums[2][1])) if prior is None else prior, *values)
+    bits = table.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
+
+    columns = ("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    if bits * 8 <= max_bits and v <= broadcast_words:
+        sent = spark.sparkContext.broadcast((made_filter(table, n_slices), gathered(table.select("slice", "words", "word_n"), np.uint64, np.int64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            filt, exact = sent.value
+            for whole_batch in batches:
+                for batch in slices(whole_batch, "text"):
+                    flat, sizes = flat_tokens(batch.column(1))
+                    at, grams = pairs(flat, sizes)
+                    words, back = np.unique(flat, return_inverse=True)
+                    i, has = looked_up(words, exact)
+                    n = np.where(has, exact[1][i] if len(exact[1]) else 0, 0)
+                    lev = filt.levels(words)
+                    own = np.log10(model.unigram(n))[back[at]]
+                    p = model.pair_log10(filt.levels(grams), lev[back[at]]) - model.context_log10(lev)[back[at - 1]]
                     first = np.cumsum(sizes) - sizes
-                    out += [pa.array(np.add.reduceat((c > 0).astype(np.int64)[back], first)), pa.array(np.add.reduceat(np.log10(m.unigram(c))[back], first))]
-                yield pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in schema.split(", ")])
-
-    schema = "doc_id long, held_out boolean, n_tokens long, score double" + (", n_known long, base_score double" if exact else "")
-    if exact and sent:
-        return rows.mapInArrow(run, schema).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
-
-    text_key = F.xxhash64("text")
-    keyed_rows = rows.select(F.struct(text_key.alias("t"), "doc_id", F.xxhash64("doc_id", "text").alias("row")).alias("id"), "text", "held_out")
-    keyed = keyed_rows.mapInArrow(run, schema.replace("doc_id long", "id struct<t:long,doc_id:long,row:long>"))
-    told = ("id.doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
-    if not sent:
-        scores = dealt_scores(keyed_rows.select("id.row", "text"), sliced, bits, model, often)
-        keyed = keyed.drop("score").join(scores, F.col("id.row") == F.col("row"))
-    if exact:
-        return keyed.select(*told)
-
-    # the other way for vocabularies of any size: join each text's distinct words with their counts
-    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole_batch in batches:
-            for batch in slices(whole_batch, "text"):
-                words, at = hashed_words(batch.column(1))
-                for i, key in enumerate(batch.column(0).to_pylist()):
-                    w, c = np.unique(np.append(words[at[i] : at[i + 1]], END), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), key)), signed(w), pa.array(c)], names=["t", "key", "times"])
-
-    once = rows.groupBy(text_key.alias("t")).agg(F.first("text").alias("text"))
-    found = once.mapInArrow(distinct_words, "t long, key long, times long").join(words.where(not_begin), "key", "left")
-    p = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / (n + 0.1 * (v + 1)))
-    base = found.groupBy("t").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_known"), F.sum(p * F.col("times")).alias("base_score"))
-    return keyed.join(base, F.col("id.t") == F.col("t")).select(*told)
+                    known = np.add.reduceat((n > 0).astype(np.int64)[back[at]], first)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes), pa.array(known), pa.array(np.add.reduceat(own, first)), pa.array(np.add.reduceat(p, first))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+        return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double").select(*columns)
+
+    often = spark.sparkContext.broadcast((
+        gathered(table.select("slice", "often_words", "often_word_n", "often_word_lev"), np.uint64, np.int64, np.int64),
+        gathered(table.select("slice", "often_pairs", "often_pair_lev"), np.uint64, np.int64),
+    ))
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), some.column(3), pa.array(np.diff(hashed_words(some.column(1))[1]) + 1)], names=["doc_id", "held_out", "row", "n_tokens"])
+
+    keyed = rows.select("doc_id", "text", "held_out", F.xxhash64("doc_id", "text").alias("row"))
+    found = dealt_sums(keyed, table, n_slices, model, often)
+    told = keyed.mapInArrow(lengths, "doc_id long, held_out boolean, row long, n_tokens long").join(found, F.col("row") == F.col("of"))
+    each = {c: (F.col(c) / F.col("copies")).alias(name) for c, name in (("base", "base_score"), ("score", "score"))}
+    known = (F.col("known") / F.col("copies")).cast("long").alias("n_known")
+    return told.select("doc_id", "held_out", "n_tokens", known, columns[4], each["base"], each["score"])

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from radiotiles.llm import chat, lm, packing, quality, queries, sharding, toxicity, warc
+from radiotiles.llm.common import hashed_words
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 ODD = [
@@ -177,18 +178,71 @@ def base_scores(rows):
     return n, {i: (len(ws), sum(train[w] > 0 for w in ws), sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for i, ws in tokens.items()}
 
 
-@pytest.mark.parametrize("limit", [8_000_000, 0])
-def test_lm_base_scores(spark, data, limit):
+def exact_pair_scores(texts_by_id, prior):
+    """log10 probabilities with exact counts of words and pairs, in plain Python."""
+    words, both, rows = Counter(), Counter(), {}
+    for i, t in texts_by_id:
+        rows[i] = ["<", *re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), ">"]
+        if zlib.crc32(str(i).encode()) % 10:
+            words.update(rows[i])
+            both.update(zip(rows[i], rows[i][1:], strict=False))
+    n, v = sum(words.values()) - words["<"], len(words) - ("<" in words)
+    p = lambda a, b: (both[a, b] + prior * (words[b] + 0.1) / (n + 0.1 * (v + 1))) / (words[a] + prior)
+    return {i: sum(math.log10(p(a, b)) for a, b in zip(r, r[1:], strict=False)) for i, r in rows.items()}
+
+
+@pytest.mark.parametrize("bits", [1 << 30, 0])
+def test_lm_base_scores(spark, data, bits):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     n, want = base_scores(texts(spark, data).items())
-    got = lm.score(docs, broadcast_words=limit).collect()
+    got = lm.score(docs, max_bits=bits).collect()
     assert len(got) == len(want)
     for r in got:
         assert (r["train_tokens"], r["n_tokens"], r["n_known"]) == (n, *want[r["doc_id"]][:2])
         assert r["base_score"] == pytest.approx(want[r["doc_id"]][2], rel=1e-9)
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0)
-    held = [r for r in got if r["held_out"]]
-    assert sum(r["score"] for r in held) > 1.05 * sum(r["base_score"] for r in held)  # not worse by 5 %
+
+
+def test_lm_score_is_near_that_of_exact_counts(spark, data):
+    d = data.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    got = {r["doc_id"]: r for r in lm.score(docs, prior=65.0).collect()}
+    want = exact_pair_scores(texts(spark, d).items(), 65.0)
+    off = [abs(got[i]["score"] - x) / (got[i]["n_tokens"] + 10) for i, x in want.items()]
+    assert np.mean(off) < 0.02 and max(off) < 0.15  # log10 a token: levels, and pairs that the filter has by mistake
+
+
+def test_lm_prior_is_learned(spark, data):
+    d = data.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    held = lambda **k: [sum(r[c] for r in lm.score(docs, **k).collect() if r["held_out"]) for c in ("base_score", "score")]
+    base, own = held()
+    best = max(held(prior=p)[1] for p in (1.0, 20.0, 200.0, 4000.0))
+    assert own - base > 0.95 * (best - base) > 0.15 * abs(base)
+
+
+def test_lm_mass_of_the_next_word():
+    """Over all words and one unknown, probabilities sum to 1 but for false answers of the filter."""
+    rng = np.random.default_rng(3)
+    words = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2))
+    p = 1 / np.arange(1.0, len(words) + 1)
+    flat = rng.choice(words, 200_000, p=p / p.sum())
+    keys, n = np.unique(flat, return_counts=True)
+    grams, gram_n = np.unique(lm.gram_hashes(flat, 2) ^ lm.PAIR, return_counts=True)
+    lev, glev = lm.level(n), lm.level(gram_n)
+    f = lm.Filter(*(lambda w: (w, np.array([0, len(w)])))(lm.fill(np.concatenate([keys, grams]), np.concatenate([lev, glev]))))
+    sums = [np.bincount(x, c, lm.LEVELS) / np.maximum(np.bincount(x, minlength=lm.LEVELS), 1) for x, c in ((lev, n), (glev, gram_n))]
+    prior = lm.learned_prior(int(n.sum()), np.bincount(lev, minlength=lm.LEVELS), np.bincount(lev, n, lm.LEVELS), int((gram_n == 1).sum()))
+    m = lm.Model(int(n.sum()), len(keys), prior, *sums)
+    found = f.levels(keys)
+    mass = []
+    for k in range(0, 300, 3):
+        pair = lm.gram_hashes(np.stack([np.full(len(keys), keys[k]), keys], 1).ravel(), 2)[::2] ^ lm.PAIR
+        known = m.pair_log10(f.levels(pair), found) - m.context_log10(found[k])
+        mass.append((10**known).sum() + prior * m.unigram(np.zeros(1))[0] / 10 ** m.context_log10(found[k]))
+    weight = n[:300:3] / n[:300:3].sum()
+    assert abs(np.dot(mass, weight) - 1) < 0.06
+    assert abs(m.unigram(m.word_value[found]).sum() + m.unigram(0.0) - 1) < 0.01
 
 
 def test_lm_odd_tables(spark, odd, none):
@@ -198,49 +252,37 @@ def test_lm_odd_tables(spark, odd, none):
     assert lm.score(none).count() == 0
 
 
-@pytest.mark.parametrize(("how", "limit"), [({}, 8_000_000), ({"often_parts": 0}, 8_000_000), ({"often_parts": 500}, 0)])
-def test_lm_keeps_every_pair_beyond_the_bound(spark, how, limit):
+@pytest.mark.parametrize("how", [{"max_bits": 0}, {"broadcast_words": 0}])
+def test_lm_dealt_scores_are_those_of_the_filter_sent(spark, monkeypatch, how):
     rng = np.random.default_rng(4)
-    rows = [(i, " ".join(f"w{w}" for w in rng.zipf(1.5, 60).clip(1, 60))) for i in range(80)] + [(None, "w1 w2"), (None, "w1 w2"), (81, None), (82, "w1 w1 w2"), (82, "w1 w1 w2")]
-    model, known = ([], []), (Counter(), Counter())
-    flats = [(i, lm.flat_tokens(pa.array([t]))[0]) for i, t in rows]
-    for i, f in flats:
-        if zlib.crc32(("" if i is None else str(i)).encode()) % 10:
-            known[0].update(f.tolist())
-            known[1].update((lm.gram_hashes(f, 2) ^ lm.PAIR).tolist())
-    n, v = sum(known[0].values()) - known[0][int(lm.BEGIN)], len(known[0]) - 1
-    for found, counts in zip(model, known, strict=True):  # a filter of words and one of pairs, none left out
-        keys, c = np.array(list(counts), np.uint64), np.array(list(counts.values()))
-        own = [lm.slice_of(keys) == s for s in range(lm.SLICES)]
-        found.append(lm.Filter(np.concatenate([lm.fill(keys[o], lm.level(c[o]), 64) for o in own]), 64))
-    often = how.get("often_parts", 100_000)
-
-    def log10(f):
-        single = lm.count_at(model[0][0].levels(f))
-        grams = lm.gram_hashes(f, 2) ^ lm.PAIR
-        c = np.array([known[1][g] for g in grams.tolist()])
-        both = lm.count_at(np.where(c * often > n, lm.level(c), model[1][0].levels(grams)))
-        p = (single[1:] + 0.1) / (n + 0.1 * (v + 1))
-        return float(np.log10((np.minimum(both, single[:-1]) + lm.PRIOR * p) / (single[:-1] + lm.PRIOR)).sum())
-
-    want = sorted((-1 if i is None else i, round(log10(f), 6)) for i, f in flats)
+    rows = [(i, " ".join(f"w{w}" for w in rng.zipf(1.5, 60).clip(1, 60))) for i in range(80)] + [(None, "w1 w2"), (None, "w1 w2"), (81, None), (82, "w1 w1 w2"), (82, "w1 w1 w2"), (83, "new " * 40), (84, "q" * 5000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = lm.score(docs, max_bits=1 << 12, broadcast_words=limit, **how).collect()
-    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], round(r["score"], 6)) for r in got) == want
+    told = lambda **k: sorted(((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in lm.score(docs, **k).collect()))
+    for least in (4, 4096):  # few slices: hardly a word or pair is sent
+        monkeypatch.setattr(lm, "LEAST_SLICES", least)
+        assert told(**how) == told()
 
 
 def test_bloom_counts():
-    keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 4000).astype(np.uint64))
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 4000).astype(np.uint64) * np.uint64(2))
     counts = np.random.default_rng(2).zipf(1.6, len(keys)).clip(1, 10**6)
-    slice_bits, whole = 64, []
-    for s in range(lm.SLICES):
-        own = lm.slice_of(keys) == s
-        whole.append(lm.fill(keys[own], lm.level(counts[own]), slice_bits))
-    f = lm.Filter(np.concatenate(whole), slice_bits)
+    own = [lm.slice_of(keys, 8) == s for s in range(8)]
+    parts = [lm.fill(keys[o], lm.level(counts[o])) for o in own]
+    f = lm.Filter(np.concatenate(parts), np.cumsum([0, *map(len, parts)]))
     found = f.levels(keys)
-    assert (found >= lm.level(counts)).all() and (found == lm.level(counts)).mean() > 0.8
-    absent = np.random.default_rng(3).integers(0, 2**63, 4000).astype(np.uint64)
-    assert (f.levels(absent) == 0).mean() > 0.8
+    assert (found >= lm.level(counts)).all() and (found == lm.level(counts)).mean() > 0.98
+    absent = np.random.default_rng(3).integers(0, 2**63, 40_000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    assert (f.levels(absent) == 0).mean() > 0.985
+
+
+def test_long_words_have_hashes_of_their_own():
+    word = "a"
+    while len(word) < 1 << 14:
+        word += word.translate(str.maketrans("ab", "ba"))
+    cuts = [word[: 1 << k] for k in range(3, 15)]
+    texts_ = [*cuts, *(w.translate(str.maketrans("ab", "ba")) for w in cuts), word[:64].upper()]
+    hashes, _ = hashed_words(pa.array(texts_))
+    assert len(set(hashes.tolist())) == len(texts_) - 1 and hashes[-1] == hashes[3]
 
 
 def test_revisits(spark):
