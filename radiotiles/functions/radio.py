@@ -58,6 +58,10 @@ def squash(raw: Column, lo: float, hi: float) -> Column:
     return lo + (hi - lo) / (1.0 + F.exp(-raw))
 
 
+def clamp_log_variance(raw: Column) -> Column:
+    return F.least(F.greatest(raw, F.lit(-8.0)), F.lit(4.0))
+
+
 def hash_rank_key(seed: int, *keys: Column) -> Column:
     """A portable random order: the hex digits of an MD5 of seed and keys."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))

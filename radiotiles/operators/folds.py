@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from radiotiles.operators.blocks import running_total
+
 
 def paired(scores: DataFrame, reference: str) -> DataFrame:
     """(model, fold, d): each model's value less the reference's."""
@@ -83,12 +85,13 @@ def normal_tail(z: Column) -> Column:
 
 
 def holm(pvalues: DataFrame, alpha: float = 0.05, by: str = "family") -> DataFrame:
-    """Step-down: a hypothesis is rejected while each smaller p-value was."""
-    w = Window.partitionBy(by)
-    ranked = pvalues.withColumn("i", F.row_number().over(w.orderBy("p", "name")) - 1).withColumn("mm", F.count("*").over(w))
-    ok = (F.col("p") <= alpha / (F.col("mm") - F.col("i"))).cast("int")
-    run = F.min("ok").over(w.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("ok", ok).select(by, "name", "p", (run == 1).alias("rejected"))
+    """Step-down: a hypothesis is rejected while each smaller p-value was.  Ranks are running counts, so a family
+    may be of any size."""
+    ranked = running_total(pvalues.withColumn("one", F.lit(1)), (by,), ("p", "name"), "one", "i")
+    sizes = pvalues.groupBy(by).agg(F.count("*").alias("mm"))
+    tested = ranked.join(F.broadcast(sizes), by).withColumn("ok", F.col("p") <= alpha / (F.col("mm") - F.col("i") + 1))  # a row for each family
+    first = tested.where("not ok").groupBy(by).agg(F.min("i").alias("stop"))
+    return tested.join(F.broadcast(first), by, "left").select(by, "name", "p", (F.col("stop").isNull() | (F.col("i") < F.col("stop"))).alias("rejected"))  # a row for each family
 
 
 def parse_run(runs: DataFrame) -> DataFrame:
@@ -97,8 +100,8 @@ def parse_run(runs: DataFrame) -> DataFrame:
     return runs.select("*", part(1).alias("model"), part(2).alias("city"), part(3).try_cast("int").alias("seed"))
 
 
-def fold_table(scores: DataFrame, models: list[str]) -> DataFrame:
-    return scores.groupBy("fold").pivot("model", models).avg("value")
+def fold_table(scores: DataFrame, models: list[str], *keys: str) -> DataFrame:
+    return scores.groupBy(*(keys or ("fold",))).pivot("model", models).avg("value")
 
 
 def model_report(scores: DataFrame, n_boot: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:

@@ -68,6 +68,16 @@ def sweep_sizes(boxes: DataFrame, sizes: tuple[float, ...]) -> DataFrame:
     return out
 
 
+def assign_sizes(points: DataFrame, swept: DataFrame, lat: str = "rx_lat", lon: str = "rx_lon") -> DataFrame:
+    """The tile of each point for each tile_size of `sweep_sizes`: a row for each."""
+    sizes = [row["tile_size"] for row in swept.select("tile_size").distinct().orderBy("tile_size").collect()]
+    out = None
+    for size in sizes:
+        one = assign_tiles(points, swept.where(F.col("tile_size") == size), lat, lon).withColumn("tile_size", F.lit(size))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def cells_touched(structures: DataFrame, tile_m: float, clip: bool = False) -> DataFrame:
     """Structures (cx, cy, width_m, depth_m: upright rectangles in metres) by each cell of a metric grid that
     they share area with; `area_m2` is the whole footprint, or with `clip` the shared part."""
@@ -87,9 +97,24 @@ def polygon_area(vertices: Column) -> Column:
     return F.abs(F.aggregate(_cross(vertices), F.lit(0.0), lambda a, c: a + c)) / 2
 
 
+def polygon_centroid(vertices: Column) -> tuple[Column, Column]:
+    """x and y of a polygon's centre of mass, whichever way it runs; null where it has no area."""
+    cross = _cross(vertices)
+    twice = F.nullif(F.aggregate(cross, F.lit(0.0), lambda a, c: a + c), F.lit(0.0))
+
+    def mean(axis: str) -> Column:
+        sums = F.zip_with(vertices, _after(vertices), lambda p, q: p[axis] + q[axis])
+        return F.aggregate(F.zip_with(sums, cross, lambda s, c: s * c), F.lit(0.0), lambda a, c: a + c) / (3 * twice)
+
+    return mean("x"), mean("y")
+
+
+def _after(vertices: Column) -> Column:
+    return F.concat(F.slice(vertices, 2, F.greatest(F.size(vertices) - 1, F.lit(0))), F.slice(vertices, 1, 1))
+
+
 def _cross(vertices: Column) -> Column:
-    after = F.concat(F.slice(vertices, 2, F.greatest(F.size(vertices) - 1, F.lit(0))), F.slice(vertices, 1, 1))
-    return F.zip_with(vertices, after, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
+    return F.zip_with(vertices, _after(vertices), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
 
 
 def clip_to_box(vertices: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -104,10 +129,29 @@ def clip_to_box(vertices: Column, x0: Column, y0: Column, x1: Column, y1: Column
             parts = {axis: bound.cast("double"), other: p[other] + t * (q[other] - p[other])}
             return F.struct(parts["x"].alias("x"), parts["y"].alias("y"))
 
-        after = F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
+        after = _after(points)
         edge = lambda p, q: F.concat(F.when(inside(p), F.array(p)).otherwise(F.slice(F.array(p), 1, 0)), F.when(inside(p) != inside(q), F.array(crossing(p, q))).otherwise(F.slice(F.array(p), 1, 0)))
         return F.flatten(F.zip_with(points, after, edge))
 
     for axis, bound, above in (("x", x0, True), ("x", x1, False), ("y", y0, True), ("y", y1, False)):
         vertices = side(vertices, axis, bound, above)
     return vertices
+
+
+def clipped_polygons(polygons: DataFrame, tile_m: float) -> DataFrame:
+    """Polygons (vertices: array of x, y) by each cell of a metric grid that they share area with: `clipped`, the part inside,
+    and its `area_m2`.  Candidate cells are those of the bounding box; the sides cut the polygon one after another, so a
+    concave one may keep edges of no width, which do not change its area."""
+    ends = lambda f, axis: F.floor(f(F.transform("vertices", lambda p: p[axis])) / tile_m)
+    cells = polygons.where(F.size("vertices") >= 3)
+    for k, axis in (("m", "y"), ("z", "x")):
+        cells = cells.withColumn(k, F.explode(F.sequence(ends(F.array_min, axis), ends(F.array_max, axis))))
+    box = [F.col(k) * tile_m + add for k, add in (("z", 0.0), ("m", 0.0), ("z", tile_m), ("m", tile_m))]
+    cut = cells.withColumn("clipped", clip_to_box(F.col("vertices"), *box))
+    return cut.withColumn("area_m2", polygon_area(F.col("clipped"))).where("area_m2 > 0")
+
+
+def footprints(features: DataFrame, least_m2: float = 4.0) -> DataFrame:
+    """Polygons with an area of at least `least_m2` (slivers go), with area_m2 and centroid cx, cy."""
+    x, y = polygon_centroid(F.col("vertices"))
+    return features.withColumn("area_m2", polygon_area(F.col("vertices"))).where(F.col("area_m2") >= least_m2).withColumn("cx", x).withColumn("cy", y)

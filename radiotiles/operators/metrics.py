@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from radiotiles.operators.blocks import running_total
+
 KEYS = ("model", "fold", "target")
 #: Quantiles of the standard normal distribution at (1 + level) / 2.
 INTERVAL_Z = {0.5: 0.674489750196082, 0.8: 1.281551565544600, 0.9: 1.644853626951473, 0.95: 1.959963984540054}
@@ -33,14 +35,19 @@ def errors(predictions: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def average_rank(value: str, *keys: str) -> Column:
-    by = Window.partitionBy(*keys)
-    return F.rank().over(by.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2
+def average_rank(rows: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(keys, value, rank): ranks with ties at their mean, from counts of equal values."""
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    run = running_total(counts, keys, (value,), "__n", "__run")
+    return run.select(*keys, value, (F.col("__run") - (F.col("__n") - 1) / 2).alias("rank"))
 
 
 def spearman(predictions: DataFrame, *keys: str) -> DataFrame:
+    """Pearson's coefficient of the ranks."""
     keys = keys or KEYS
-    ranked = predictions.withColumn("rp", average_rank("pred", *keys)).withColumn("rt", average_rank("truth", *keys))
+    ranked = predictions.select(*keys, "pred", "truth")
+    for value, name in (("pred", "rp"), ("truth", "rt")):
+        ranked = ranked.join(average_rank(predictions, value, *keys).withColumnRenamed("rank", name), [*keys, value])
     return ranked.groupBy(*keys).agg(pearson("rp", "rt").alias("spearman"))
 
 
@@ -68,18 +75,23 @@ def _score(normalized: bool) -> Column:
     return r / F.greatest("sigma", F.lit(1e-6)) if normalized else r
 
 
+def _running_scores(calibration: DataFrame, keys: tuple[str, ...], weight: Column, normalized: bool) -> DataFrame:
+    """(keys, score, run, all): the weight of the scores up to each, and of all of its keys."""
+    sums = calibration.withColumn("score", _score(normalized)).groupBy(*keys, "score").agg(F.sum(weight).alias("__w"))
+    run = running_total(sums, keys, ("score",), "__w", "run")
+    return run.join(F.broadcast(sums.groupBy(*keys).agg(F.sum("__w").alias("all"))), list(keys))  # a row for each key
+
+
 def conformal_quantile(calibration: DataFrame, *keys: str, alpha: float = 0.1, normalized: bool = True) -> DataFrame:
     """The order statistic min(ceil((n + 1)(1 - alpha)), n) of the scores (no interpolation)."""
-    by = Window.partitionBy(*keys)
-    ranked = calibration.withColumn("score", _score(normalized)).select(*keys, "score", F.row_number().over(by.orderBy("score")).alias("k"), F.count("*").over(by).alias("n"))
-    return ranked.where(F.col("k") == F.least(F.ceil((F.col("n") + 1) * (1 - alpha) - 1e-9), F.col("n"))).select(*keys, F.col("score").alias("q"))
+    run = _running_scores(calibration, keys, F.lit(1), normalized)
+    return run.where(F.col("run") >= F.least(F.ceil((F.col("all") + 1) * (1 - alpha) - 1e-9), F.col("all"))).groupBy(*keys).agg(F.min("score").alias("q"))
 
 
 def weighted_conformal_quantile(calibration: DataFrame, *keys: str, weight: str = "w", alpha: float = 0.1, normalized: bool = True) -> DataFrame:
     """The least score at which the running weight passes (1 - alpha) of all weight."""
-    by = Window.partitionBy(*keys)
-    ranked = calibration.withColumn("score", _score(normalized)).withColumn("run", F.sum(weight).over(by.orderBy("score"))).withColumn("all", F.sum(weight).over(by))
-    return ranked.where(F.col("run") >= (1 - alpha) * F.col("all") - 1e-9).groupBy(*keys).agg(F.min("score").alias("q"))
+    run = _running_scores(calibration, keys, F.col(weight), normalized)
+    return run.where(F.col("run") >= (1 - alpha) * F.col("all") - 1e-9).groupBy(*keys).agg(F.min("score").alias("q"))
 
 
 def conformal_coverage(test: DataFrame, quantiles: DataFrame, *keys: str, normalized: bool = True) -> DataFrame:

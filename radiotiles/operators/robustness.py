@@ -29,13 +29,6 @@ def climate_features(cube: DataFrame, points: DataFrame, variables: tuple[str, .
     return at.groupBy("point_id", "month").agg(*[c for x in variables for c in (mean(x).alias(f"{x}_mean"), F.stddev_pop(x).alias(f"{x}_std"))])
 
 
-def climate_vector(monthly: DataFrame, variables: tuple[str, ...]) -> DataFrame:
-    """(point_id, climate): for each variable twelve means, then twelve spreads; null where a month is missing."""
-    names = [f"{x}_{s}" for x in variables for s in ("mean", "std")]
-    wide = monthly.groupBy("point_id").agg(*[F.max(F.when(F.col("month") == k, F.col(c))).alias(f"{c}_{k}") for c in names for k in range(1, 13)])
-    return wide.select("point_id", F.array(*[F.col(f"{c}_{k}") for c in names for k in range(1, 13)]).alias("climate"))
-
-
 def hash_normal(*key: Column) -> Column:
     """A standard normal deviate decided by the key (Box-Muller on two pieces of an MD5)."""
     digest = F.md5(F.concat_ws("|", *key))

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from radiotiles.sources.scratch import stage
+
+#: Steps after which what is left to cover is written.
+KEPT = 4
+
 
 def cover_edges(sites: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """(candidate_id, point_id) closer than `radius`: a range join on square cells of that size, in which
@@ -17,25 +22,27 @@ def cover_edges(sites: DataFrame, points: DataFrame, radius: float) -> DataFrame
     return spread.join(placed, ["i", "j"]).where(d2 < radius * radius).select("candidate_id", "point_id")
 
 
-def greedy_cover(edges: DataFrame, k: int) -> DataFrame:
+def greedy_cover(edges: DataFrame, k: int | None = None) -> DataFrame:
     """(step, candidate_id, gain): the site with most uncovered points, k times or until none gains; ties go to
-    the least id.  One row reaches the driver in each step."""
-    spark, left, rows = edges.sparkSession, edges, []
-    for step in range(k):
+    the least id.  Edges are written once, what is left of them every few steps; one row reaches the driver
+    in each step."""
+    spark, rows = edges.sparkSession, []
+    left = edges = stage(edges, "edges")
+    while k is None or len(rows) < k:
         best = left.groupBy("candidate_id").agg(F.count("*").alias("gain")).orderBy(F.desc("gain"), "candidate_id").first()
         if best is None:
             break
-        rows.append((step, best["candidate_id"], best["gain"]))
+        rows.append((len(rows), best["candidate_id"], best["gain"]))
         covered = edges.where(F.col("candidate_id") == best["candidate_id"]).select("point_id")
         left = left.join(covered, "point_id", "left_anti")
-        if step % 4 == 3:
-            left = left.checkpoint() if spark.sparkContext.getCheckpointDir() else left
+        if len(rows) % KEPT == 0:
+            left = stage(left, "left")
     return spark.createDataFrame(rows, "step int, candidate_id long, gain long")
 
 
-def greedy_set_cover(edges: DataFrame, required: DataFrame, max_steps: int = 10_000) -> DataFrame:
+def greedy_set_cover(edges: DataFrame, required: DataFrame) -> DataFrame:
     """Sites until every required point that can be covered is."""
-    return greedy_cover(edges.join(required.select("point_id"), "point_id", "left_semi"), max_steps)
+    return greedy_cover(edges.join(required.select("point_id"), "point_id", "left_semi"))
 
 
 def compare(steps: dict[str, DataFrame]) -> DataFrame:
@@ -75,8 +82,8 @@ def median_placement(sites: DataFrame, points: DataFrame, radius: float, max_ste
             used.append(best["candidate_id"])
         left = left.where(off("px", "py", at) >= radius)
         rows.append((step, best["candidate_id"] if best else None, float(at[0]), float(at[1]), 0))
-        if step % 4 == 3:
-            left = left.checkpoint() if spark.sparkContext.getCheckpointDir() else left
+        if step % KEPT == KEPT - 1:
+            left = stage(left, "left")
     return spark.createDataFrame(rows, "step int, candidate_id long, x double, y double, gain long")
 
 
@@ -89,20 +96,38 @@ def with_uncovered(steps: DataFrame, points: DataFrame) -> DataFrame:
 def rooftop_sites(buildings: DataFrame, n_sites: int, mast_m: float, min_sep_m: float = 250.0, cell_m: float = 25.0, least_m: float = 6.0, seed: int = 0) -> DataFrame:
     """(city, rank, structure_id, cx, cy, z): of the tallest roof of each cell, from the tallest down, those that
     keep their distance from all taken before; where fewer than n_sites do, others in the order of a seeded
-    hash.  A city has at most one candidate for each cell of its area.  Ties go to the least id."""
-    cell = lambda v: F.floor(F.col(v) / cell_m)
+    hash.  Ties go to the least id.
+
+    A roof that precedes all open roofs within the distance is taken, and those around it fall out; so on in rounds
+    over all cities at once, in which roofs meet those of the cells around by an equi-join."""
+    cell = lambda v, size: F.floor(F.col(v) / size)
     roof = F.struct((-F.col("height")).alias("low"), "structure_id", "cx", "cy")
-    roofs = buildings.where(F.col("height") > least_m).groupBy("city", cell("cx").alias("i"), cell("cy").alias("j")).agg(F.min(roof).alias("roof"))
-    listed = roofs.groupBy("city").agg(F.array_sort(F.collect_list("roof")).alias("roofs"))
-    near = lambda a, b: F.hypot(a["cx"] - b["cx"], a["cy"] - b["cy"]) < min_sep_m
-
-    def take(taken, p):
-        free = (F.size(taken) < n_sites) & ~F.exists(taken, lambda t: near(t, p))
-        return F.when(free, F.concat(taken, F.array(p))).otherwise(taken)
-
-    apart = listed.withColumn("taken", F.aggregate("roofs", F.slice("roofs", 1, 0), take))
-    turn = lambda p: F.md5(F.concat_ws("|", F.lit(str(seed)), p["structure_id"].cast("string")))
-    rest = F.array_sort(F.transform(F.array_except("roofs", "taken"), lambda p: F.struct(turn(p).alias("turn"), p.alias("p"))))
-    more = F.transform(F.slice(rest, F.lit(1), n_sites - F.size("taken")), lambda s: s["p"])
-    out = apart.select("city", F.posexplode(F.concat("taken", more)).alias("rank", "p"))
-    return out.select("city", "rank", "p.structure_id", "p.cx", "p.cy", (mast_m - F.col("p.low")).alias("z"))
+    best = buildings.where(F.col("height") > least_m).groupBy("city", cell("cx", cell_m).alias("i"), cell("cy", cell_m).alias("j")).agg(F.min(roof).alias("roof"))
+    roofs = stage(best.select("city", "roof.*").withColumn("i", cell("cx", min_sep_m)).withColumn("j", cell("cy", min_sep_m)), "roofs")
+    names = ("low", "structure_id", "cx", "cy")
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+
+    def near(open_: DataFrame, others: DataFrame) -> DataFrame:
+        """Open roofs with each other roof (o_...) within the distance."""
+        spread = others.withColumn("di", around).withColumn("dj", around)
+        spread = spread.select("city", (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"), *[F.col(c).alias(f"o_{c}") for c in names])
+        return open_.join(spread, ["city", "i", "j"]).where((F.col("structure_id") != F.col("o_structure_id")) & (F.hypot(F.col("cx") - F.col("o_cx"), F.col("cy") - F.col("o_cy")) < min_sep_m))
+
+    left, taken = roofs, None
+    while not left.isEmpty():
+        before = F.struct("o_low", "o_structure_id") < F.struct(F.col("low").alias("o_low"), F.col("structure_id").alias("o_structure_id"))
+        keys = ["city", "structure_id"]
+        first = stage(left.join(near(left, left).where(before).select(*keys), keys, "left_anti"), "taken")
+        taken = first if taken is None else taken.unionByName(first)
+        open_ = left.join(first.select(*keys), keys, "left_anti")
+        left = stage(open_.join(near(open_, first).select(*keys), keys, "left_anti"), "open")
+    if taken is None:
+        taken = roofs
+    apart = taken.withColumn("rank", F.row_number().over(Window.partitionBy("city").orderBy("low", "structure_id"))).where(F.col("rank") <= n_sites)
+    turn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("structure_id").cast("string")))
+    rest = roofs.join(apart.select("city", "structure_id"), ["city", "structure_id"], "left_anti").withColumn("turn", turn)
+    more = rest.withColumn("rank", F.row_number().over(Window.partitionBy("city").orderBy("turn", *names))).where(F.col("rank") <= n_sites)
+    counts = apart.groupBy("city").agg(F.count("*").alias("n"))
+    more = more.join(counts, "city").withColumn("rank", F.col("rank") + F.col("n")).where(F.col("rank") <= n_sites)
+    out = apart.select("city", "rank", *names).unionByName(more.select("city", "rank", *names))
+    return out.select("city", (F.col("rank") - 1).cast("int").alias("rank"), "structure_id", "cx", "cy", (mast_m - F.col("low")).alias("z"))

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from radiotiles.functions.radio import hash_rank_key
 
 
+# Numbers of anchors, and draws of each.
+KS, DRAWS = (3, 5, 10, 30, 100), 10
+
+
 def leave_one_city_out(cities: DataFrame, n_val: int = 1, seed: int = 0) -> DataFrame:
     """fold, city, role: each city is the test city of its own fold."""
     pairs = cities.select(F.col("city").alias("fold")).crossJoin(F.broadcast(cities.select("city")))  # a row for each city
@@ -38,7 +42,7 @@ def holdout(tiles: DataFrame, share: float = 0.15, seed: int = 0, key: str = "ti
     return tiles.withColumn("is_val", k <= F.floor(F.count("*").over(w) * share + 1e-9))
 
 
-def anchors(tiles: DataFrame, ks: tuple[int, ...] = (3, 5, 10, 30, 100), draws: int = 10, seed: int = 0) -> DataFrame:
+def anchors(tiles: DataFrame, ks: tuple[int, ...] = KS, draws: int = DRAWS, seed: int = 0) -> DataFrame:
     """(city, k, draw, tile, is_anchor): k tiles of each city in each draw without replacement."""
     grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(d).alias("draw")) for k in ks for d in range(draws)]))
     rows = tiles.select("city", "tile", grid.alias("g")).select("city", "tile", "g.*")

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from radiotiles.operators.blocks import block_pairs
+
+# Lower bounds of the height classes, and height planes, in metres.
 CLASSES = (0, 5, 10, 30, 60)
 PLANES = (5, 10, 30, 60, 100)
+#: Names of the features.
+BUILT = (*(f"{n}{i}" for n in ("base_area_ratio_h", "n_buildings_h") for i in range(5)), *(f"{n}_{s}" for n in ("base_area", "height", "volume") for s in ("mean", "std")), "building_density")
+PLANED = tuple(f"plane{p}_{s}" for p in PLANES for s in ("n", "dist_mean", "dist_std"))
+COVER = tuple(f"{n}_{s}" for n in ("water", "veg") for s in ("density", "area_share", "count"))
 
 
 def classify(features: DataFrame, rules: DataFrame) -> DataFrame:
@@ -52,16 +61,31 @@ def built_features(rows: DataFrame, tile_m2: float) -> DataFrame:
 
 def plane_features(rows: DataFrame) -> DataFrame:
     """Of the buildings that reach each height plane: their number, and mean and spread of the distances of
-    all pairs in a tile.  Pairs stay inside (city, m, z), which bounds them by a tile's buildings."""
-    keys = ["city", "m", "z"]
+    all pairs in a tile.  Blocks of a tile's buildings meet as matrices and give their sums."""
+    keys = ("city", "m", "z")
     counts = rows.groupBy(*keys).agg(*[F.count_if(F.col("height") >= p).cast("double").alias(f"plane{p}_n") for p in PLANES])
-    a = rows.select(*keys, F.col("structure_id").alias("ia"), F.col("cx").alias("xa"), F.col("cy").alias("ya"), F.col("height").alias("ha"))
-    b = rows.select(*keys, F.col("structure_id").alias("ib"), F.col("cx").alias("xb"), F.col("cy").alias("yb"), F.col("height").alias("hb"))
-    d = F.sqrt(F.pow(F.col("xa") - F.col("xb"), F.lit(2)) + F.pow(F.col("ya") - F.col("yb"), F.lit(2)))
-    pairs = a.join(b, keys).where("ia < ib").select(*keys, d.alias("d"), F.least("ha", "hb").alias("h"))
-    stats = pairs.groupBy(*keys).agg(*[f(F.when(F.col("h") >= p, F.col("d"))).alias(f"plane{p}_dist_{n}") for p in PLANES for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))])
-    filled = counts.join(stats, keys, "left")
-    return filled.select(*keys, *[F.coalesce(c, F.lit(0.0)).alias(c) for p in PLANES for c in (f"plane{p}_n", f"plane{p}_dist_mean", f"plane{p}_dist_std")])
+
+    def work(a: pa.Table, b: pa.Table) -> pa.Table:
+        col = lambda t, c: t.column(c).to_numpy()
+        d = np.hypot(col(a, "cx")[:, None] - col(b, "cx")[None, :], col(a, "cy")[:, None] - col(b, "cy")[None, :])
+        low = np.minimum(col(a, "height")[:, None], col(b, "height")[None, :])
+        once = col(a, "structure_id")[:, None] < col(b, "structure_id")[None, :]
+        d, low = d[once], low[once]
+        sums = [x for p in PLANES for x in ((low >= p).sum(), d[low >= p].sum(), (d[low >= p] ** 2).sum())]
+        return a.slice(0, 1).select(list(keys)).append_column("s", pa.array([[float(x) for x in sums]], pa.list_(pa.float64())))
+
+    own = rows.select(*keys, "structure_id", "cx", "cy", "height")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
+    sums = block_pairs(own, own, keys, "structure_id", work, f"{kinds}, s array<double>", per_block=1000)
+    at = lambda i, k: F.sum(F.get("s", 3 * i + k))
+    stats = sums.groupBy(*keys).agg(*[at(i, k).alias(f"s{i}_{k}") for i in range(len(PLANES)) for k in range(3)])
+    out = []
+    for i, p in enumerate(PLANES):
+        n = F.nullif(f"s{i}_0", F.lit(0.0))
+        mean = F.col(f"s{i}_1") / n
+        spread = F.sqrt(F.greatest(F.col(f"s{i}_2") / n - mean * mean, F.lit(0.0)))
+        out += [F.coalesce(f"plane{p}_n", F.lit(0.0)).alias(f"plane{p}_n"), F.coalesce(mean, F.lit(0.0)).alias(f"plane{p}_dist_mean"), F.coalesce(spread, F.lit(0.0)).alias(f"plane{p}_dist_std")]
+    return counts.join(stats, list(keys), "left").select(*keys, *out)
 
 
 def cover_features(rows: DataFrame, tile_m2: float) -> DataFrame:
@@ -79,13 +103,25 @@ def terrain_features(points: DataFrame, *keys: str) -> DataFrame:
 
 
 def neighbour_graph(rows: DataFrame, k: int = 4) -> DataFrame:
-    """Edges of each building to its k nearest in the tile, weighted by inverse distance."""
-    from pyspark.sql import Window
-
-    keys = ["city", "m", "z"]
-    a = rows.select(*keys, F.col("structure_id").alias("a"), F.col("cx").alias("xa"), F.col("cy").alias("ya"))
-    b = rows.select(*keys, F.col("structure_id").alias("b"), F.col("cx").alias("xb"), F.col("cy").alias("yb"))
-    d = F.sqrt(F.pow(F.col("xa") - F.col("xb"), F.lit(2)) + F.pow(F.col("ya") - F.col("yb"), F.lit(2)))
-    pairs = a.join(b, keys).where("a <> b").withColumn("d", d)
-    order = Window.partitionBy(*keys, "a").orderBy("d", "b")
-    return pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select(*keys, "a", "b", "d", (1 / F.nullif("d", F.lit(0.0))).alias("weight"))
+    """Edges of each building to its k nearest in the tile, weighted by inverse distance; ties go to the least id.  Blocks
+    of a tile's buildings meet as matrices, each gives the k nearest of its own, and the nearest of these stay."""
+    keys = ("city", "m", "z")
+
+    def work(a: pa.Table, b: pa.Table) -> pa.Table:
+        col = lambda t, c: t.column(c).to_numpy()
+        ia, ib = col(a, "structure_id"), col(b, "structure_id")
+        d = np.hypot(col(a, "cx")[:, None] - col(b, "cx")[None, :], col(a, "cy")[:, None] - col(b, "cy")[None, :])
+        d[ia[:, None] == ib[None, :]] = np.inf
+        by_id = np.argsort(ib, kind="stable")
+        near = by_id[np.argsort(d[:, by_id], axis=1, kind="stable")[:, :k]]
+        at = np.repeat(np.arange(len(ia)), near.shape[1])
+        real = np.isfinite(d[at, near.ravel()])
+        at, near = at[real], near.ravel()[real]
+        return a.select(list(keys)).take(pa.array(at)).append_column("a", pa.array(ia[at])).append_column("b", pa.array(ib[near])).append_column("d", pa.array(d[at, near]))
+
+    own = rows.select(*keys, "structure_id", "cx", "cy")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
+    unit = rows.schema["structure_id"].dataType.simpleString()
+    found = block_pairs(own, own, keys, "structure_id", work, f"{kinds}, a {unit}, b {unit}, d double", per_block=1000)
+    order = Window.partitionBy(*keys, "a").orderBy("d", "b")  # k rows for each block of the tile
+    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select(*keys, "a", "b", "d", (1 / F.nullif("d", F.lit(0.0))).alias("weight"))

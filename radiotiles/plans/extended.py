@@ -106,10 +106,16 @@ def k4_median_placement(spark, sf):
     return siting.with_uncovered(siting.median_placement(rows(spark, sf, "fx_sites"), points, 400.0), points)
 
 
-@query(f"SELECT * FROM ({ORACLE['j1_bootstrap']}) JOIN ({ORACLE['j2_paired_t']}) USING (model) LEFT JOIN (SELECT model, wilcoxon FROM ({ORACLE['j3_wilcoxon']})) USING (model)")
+@query(f"""WITH j AS (SELECT * FROM ({ORACLE['j1_bootstrap']}) JOIN ({ORACLE['j2_paired_t']}) USING (model) LEFT JOIN (SELECT model, wilcoxon, p_w FROM ({ORACLE['j3_wilcoxon']})) USING (model)),
+k AS (SELECT *, split_part(model, '/', 2) AS target, row_number() OVER (PARTITION BY split_part(model, '/', 2) ORDER BY p_w, model) - 1 AS i, count(*) OVER (PARTITION BY split_part(model, '/', 2)) AS mm FROM j)
+SELECT split_part(model, '/', 1) AS model, target, 'a' AS reference, diff_mean, ci_lo, ci_hi, significant, n_folds, t, p_t, cohens_dz_folds, wilcoxon, p_w, min((p_w <= 0.05 / (mm - i))::INT) OVER (PARTITION BY target ORDER BY i) = 1 AS rejected FROM k""")
 def j7_model_report(spark, sf):
-    report = folds.model_report(_scores(spark, sf), 2000)
-    return report.select("model", r("diff_mean", 5), r("ci_lo", 5), r("ci_hi", 5), "significant", "n_folds", r("t"), r("cohens_dz_folds"), "wilcoxon")
+    """Each target by itself."""
+    scores, out = _scores(spark, sf), None
+    for target in ("gamma", "pl0"):
+        one = folds.model_report(scores.where(F.col("target") == target)).withColumn("target", F.lit(target))
+        out = one if out is None else out.unionByName(one)
+    return out.select("model", "target", "reference", r("diff_mean", 5), r("ci_lo", 5), r("ci_hi", 5), "significant", "n_folds", r("t"), r("p_t", 6), r("cohens_dz_folds"), "wilcoxon", r("p_w", 6), "rejected")
 
 
 @query()

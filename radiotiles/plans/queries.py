@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from radiotiles.functions import radio
 from radiotiles.functions.geo import haversine_m
-from radiotiles.operators import fits, folds, grid, measure, metrics, siting, splits, structures, transfer
+from radiotiles.operators import descriptors, fits, folds, grid, measure, metrics, siting, splits, structures, transfer
 from radiotiles.sources import tables
 from radiotiles.sources.fixtures import cte, fixture
 
@@ -173,10 +173,11 @@ def a10_provenance(spark, sf):
     return tables.provenance(rows(spark, sf)).select("city", "n_measurements", "n_bs", r("pl_min"), r("pl_max"))
 
 
-@query("SELECT r_name AS city FROM region WHERE r_name NOT IN (SELECT r_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 5 <> r_regionkey AND r_regionkey > 1)")
+@query(f"WITH {cte('fx_measurements')} SELECT city FROM (SELECT r_name AS city FROM region UNION ALL SELECT n_name FROM nation) WHERE city NOT IN (SELECT city FROM fx_measurements)")
 def a1_missing_cities(spark, sf):
-    m = rows(spark, sf).where("bs_id % 5 <> city_idx and city_idx > 1")
-    return tables.missing_cities(m, spark.read.parquet(f"{sf}/region.parquet").select(F.col("r_name").alias("city")))
+    """Of all names of regions and nations, those without a measurement."""
+    name = lambda t: spark.read.parquet(f"{sf}/{t}.parquet").select(F.col(f"{t[0]}_name").alias("city"))
+    return tables.missing_cities(rows(spark, sf), name("region").unionByName(name("nation")))
 
 
 @query(f"WITH {cte('fx_tiles')} SELECT tile, city, round(gamma, 4) AS gamma FROM fx_tiles WHERE n_measurements >= 15")
@@ -297,40 +298,61 @@ def h9_ensemble(spark, sf):
     return metrics.ensemble(rows(spark, sf, "fx_predictions")).select("tile", "target", r("mean", 5), r("aleatoric", 5), r("epistemic", 5))
 
 
-@query(PRED + " SELECT tile, round(1 + 5 / (1 + exp(-(pred - 2.5))), 5) AS gamma FROM fx_predictions WHERE model = 'a' AND target = 'gamma'")
+@query(PRED + " SELECT model, tile, target, round(CASE WHEN target = 'gamma' THEN 1 + 5 / (1 + exp(-(pred - 2.5))) ELSE -40 + 130 / (1 + exp(-(pred - 30) / 10)) END, 5) AS value, round(greatest(least(20 * ln(sigma), 4), -8), 5) AS log_variance FROM fx_predictions")
 def h10_squash(spark, sf):
-    return rows(spark, sf, "fx_predictions").where("model = 'a' and target = 'gamma'").select("tile", r(radio.squash(F.col("pred") - 2.5, 1.0, 6.0), 5, "gamma"))
+    gamma, pl0 = radio.squash(F.col("pred") - 2.5, 1.0, 6.0), radio.squash((F.col("pred") - 30) / 10, -40.0, 90.0)
+    value = F.when(F.col("target") == "gamma", gamma).otherwise(pl0)
+    return rows(spark, sf, "fx_predictions").select("model", "tile", "target", r(value, 5, "value"), r(radio.clamp_log_variance(20 * F.log("sigma")), 5, "log_variance"))
 
 
 def _scores(spark, sf):
-    return metrics.errors(rows(spark, sf, "fx_predictions").where("target = 'gamma'"), "model", "fold").select("model", "fold", F.col("rmse").alias("value"))
+    return metrics.errors(rows(spark, sf, "fx_predictions"), "model", "fold", "target").select("model", "fold", "target", F.col("rmse").alias("value"))
 
 
-DIFF = FOLDS + ", df AS (SELECT s.model, s.fold, s.rmse - q.rmse AS d FROM sc s JOIN sc q USING (fold) WHERE s.target = 'gamma' AND q.target = 'gamma' AND q.model = 'a' AND s.model <> 'a')"
+def _diffs(spark, sf):
+    """Against model a, each target by itself; models are named with their target."""
+    scores = _scores(spark, sf)
+    each = [folds.paired(scores.where(F.col("target") == t), "a").withColumn("model", F.concat("model", F.lit(f"/{t}"))) for t in transfer.TARGETS]
+    return each[0].unionByName(each[1])
 
 
-@query(DIFF + """, rr AS (SELECT range AS run, unnest(range(0, n)) AS k, n FROM range(2000), (SELECT count(DISTINCT fold) AS n FROM df)),
+DIFF = FOLDS + ", df AS (SELECT s.model || '/' || s.target AS model, s.fold, s.rmse - q.rmse AS d FROM sc s JOIN sc q USING (fold, target) WHERE q.model = 'a' AND s.model <> 'a')"
+
+
+@query(DIFF + """, rr AS (SELECT range AS run, unnest(range(0, n)) AS k, n FROM range(10000), (SELECT count(DISTINCT fold) AS n FROM df)),
 ix AS (SELECT run, k, ('0x' || substr(md5(concat_ws('|', '0', run::VARCHAR, k::VARCHAR)), 1, 8))::BIGINT % n AS i FROM rr),
 nu AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY fold) - 1 AS i FROM df),
 bm AS (SELECT model, run, avg(d) AS b FROM ix JOIN nu USING (i) GROUP BY model, run)
 SELECT model, round(any_value(dm), 5) AS diff_mean, round(quantile_cont(b, 0.025), 5) AS ci_lo, round(quantile_cont(b, 0.975), 5) AS ci_hi, quantile_cont(b, 0.025) > 0 OR quantile_cont(b, 0.975) < 0 AS significant FROM bm JOIN (SELECT model, avg(d) AS dm FROM df GROUP BY model) USING (model) GROUP BY model""")
 def j1_bootstrap(spark, sf):
-    ci = folds.bootstrap_ci(folds.paired(_scores(spark, sf), "a"), 2000)
+    ci = folds.bootstrap_ci(_diffs(spark, sf))
     return ci.select("model", r("diff_mean", 5), r("ci_lo", 5), r("ci_hi", 5), "significant")
 
 
-@query(DIFF + " SELECT model, count(*) AS n_folds, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 4) AS t, round(avg(d) / greatest(stddev_samp(d), 1e-12), 4) AS cohens_dz_folds FROM df GROUP BY model")
+# p by the finite cosine series; with ten folds there are nine degrees of freedom
+T_TEST = DIFF + """, tt AS (SELECT model, count(*) AS n_folds, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t, avg(d) / greatest(stddev_samp(d), 1e-12) AS dz FROM df GROUP BY model),
+th AS (SELECT *, atan(abs(t) / 3) AS a, pow(cos(atan(abs(t) / 3)), 2) AS c FROM tt)"""
+T_P = "CASE WHEN n_folds = 10 THEN 1 - 2 / pi() * (a + sin(a) * cos(a) * (1 + c * 2 / 3 * (1 + c * 4 / 5 * (1 + c * 6 / 7)))) END"
+
+
+@query(T_TEST + f" SELECT model, n_folds, round(t, 4) AS t, round({T_P}, 6) AS p_t, round(dz, 4) AS cohens_dz_folds FROM th")
 def j2_paired_t(spark, sf):
-    return folds.paired_t(folds.paired(_scores(spark, sf), "a")).select("model", "n_folds", r("t"), r("cohens_dz_folds"))
+    return folds.paired_t(_diffs(spark, sf)).select("model", "n_folds", r("t"), r("p_t", 6), r("cohens_dz_folds"))
+
+
+# p exact over all signs
+SIGNED = DIFF + """, rk AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model, abs(d)) - 1) / 2.0 AS r, row_number() OVER (PARTITION BY model ORDER BY abs(d), fold) - 1 AS k FROM df WHERE d <> 0),
+wx AS (SELECT model, count(*) AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END))::DOUBLE AS w FROM rk GROUP BY model),
+ms AS (SELECT model, mask, sum(CASE WHEN (mask >> k) & 1 = 1 THEN r ELSE 0 END) AS s FROM rk JOIN (SELECT model, unnest(range(0, (1 << n)::BIGINT)) AS mask FROM wx) USING (model) GROUP BY model, mask),
+px AS (SELECT model, any_value(n) AS n, any_value(w) AS wilcoxon, least(1, 2 * avg((s <= w + 1e-9)::INT)) AS p_w FROM ms JOIN wx USING (model) GROUP BY model)"""
 
 
-@query(DIFF + """, rk AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model, abs(d)) - 1) / 2.0 AS r FROM df WHERE d <> 0)
-SELECT model, count(*) AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END))::DOUBLE AS wilcoxon FROM rk GROUP BY model""")
+@query(SIGNED + " SELECT model, n, wilcoxon, round(p_w, 6) AS p_w FROM px")
 def j3_wilcoxon(spark, sf):
-    return folds.wilcoxon(folds.paired(_scores(spark, sf), "a")).select("model", "n", "wilcoxon")
+    return folds.wilcoxon(_diffs(spark, sf)).select("model", "n", "wilcoxon", r("p_w", 6))
 
 
-@query("""WITH p AS (SELECT l_returnflag AS family, l_suppkey::VARCHAR AS name, (sum(l_orderkey) % 997)::DOUBLE / 4000 AS p FROM lineitem WHERE l_suppkey <= 30 GROUP BY ALL),
+@query("""WITH p AS (SELECT l_returnflag AS family, l_suppkey::VARCHAR AS name, (sum(l_orderkey) % 997)::DOUBLE / 4000 AS p FROM lineitem GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, name) - 1 AS i, count(*) OVER (PARTITION BY family) AS mm FROM p)
 SELECT family, name, round(p, 6) AS p, min((p <= 0.05 / (mm - i))::INT) OVER (PARTITION BY family ORDER BY i) = 1 AS rejected FROM rk""")
 def j4_holm(spark, sf):
@@ -344,9 +366,9 @@ def j5_parse_run(spark, sf):
     return folds.parse_run(runs).groupBy("model", "city").agg(F.count("*").alias("n"), F.sum("seed").alias("seeds"))
 
 
-@query(FOLDS + " SELECT fold, round(max(CASE WHEN model = 'a' THEN rmse END), 5) AS a, round(max(CASE WHEN model = 'b' THEN rmse END), 5) AS b, round(max(CASE WHEN model = 'c' THEN rmse END), 5) AS c FROM sc WHERE target = 'gamma' GROUP BY fold")
+@query(FOLDS + " SELECT fold, target, round(max(CASE WHEN model = 'a' THEN rmse END), 5) AS a, round(max(CASE WHEN model = 'b' THEN rmse END), 5) AS b, round(max(CASE WHEN model = 'c' THEN rmse END), 5) AS c FROM sc GROUP BY fold, target")
 def j6_fold_table(spark, sf):
-    return folds.fold_table(_scores(spark, sf), ["a", "b", "c"]).select("fold", r("a", 5), r("b", 5), r("c", 5))
+    return folds.fold_table(_scores(spark, sf), ["a", "b", "c"], "fold", "target").select("fold", "target", r("a", 5), r("b", 5), r("c", 5))
 
 
 SPLIT = """ct AS (SELECT DISTINCT city FROM fx_tiles), pr AS (SELECT a.city AS fold, b.city FROM ct a CROSS JOIN ct b),
@@ -377,12 +399,12 @@ def g3_holdout(spark, sf):
 
 
 ANCHOR = f"""WITH {cte('fx_tiles')}, g AS (SELECT city, tile, k, draw, row_number() OVER (PARTITION BY city, k, draw ORDER BY md5(concat_ws('|', '0', k::VARCHAR, draw::VARCHAR, tile::VARCHAR)), tile) <= k AS is_anchor,
-  gamma AS truth, gamma + 0.1 + 0.02 * ((tile % 9) - 4) AS pred FROM fx_tiles, (VALUES (3), (10)) ks(k), (VALUES (0), (1), (2)) ds(draw))"""
+  gamma AS truth, gamma + 0.1 + 0.02 * ((tile % 9) - 4) AS pred FROM fx_tiles, (VALUES {", ".join(f"({k})" for k in splits.KS)}) ks(k), range({splits.DRAWS}) ds(draw))"""
 
 
 @query(ANCHOR + " SELECT city, k, draw, count_if(is_anchor) AS n_anchors, sum(CASE WHEN is_anchor THEN tile ELSE 0 END)::BIGINT AS tiles FROM g GROUP BY ALL")
 def g4_anchors(spark, sf):
-    return splits.anchors(rows(spark, sf, "fx_tiles"), (3, 10), 3).groupBy("city", "k", "draw").agg(F.count_if("is_anchor").alias("n_anchors"), F.sum(F.when(F.col("is_anchor"), F.col("tile")).otherwise(0)).alias("tiles"))
+    return splits.anchors(rows(spark, sf, "fx_tiles")).groupBy("city", "k", "draw").agg(F.count_if("is_anchor").alias("n_anchors"), F.sum(F.when(F.col("is_anchor"), F.col("tile")).otherwise(0)).alias("tiles"))
 
 
 @query(ANCHOR + """, s AS (SELECT city, k, draw, avg(truth - pred) AS shift FROM g WHERE is_anchor GROUP BY ALL), e AS (SELECT g.city, g.k, g.draw, sqrt(avg(pow(truth - pred - shift, 2))) AS rmse FROM g JOIN s USING (city, k, draw) WHERE NOT is_anchor GROUP BY ALL)
@@ -390,7 +412,7 @@ SELECT k, round(avg(rmse), 5) AS rmse, count(*) AS n_draws FROM e GROUP BY k""")
 def h8_shot_curve(spark, sf):
     t = rows(spark, sf, "fx_tiles")
     own = t.select("tile", F.col("gamma").alias("truth"), (F.col("gamma") + 0.1 + 0.02 * ((F.col("tile") % 9) - 4)).alias("pred"))
-    drawn = splits.anchors(t, (3, 10), 3).join(own, "tile").withColumnRenamed("city", "fold")
+    drawn = splits.anchors(t).join(own, "tile").withColumnRenamed("city", "fold")
     return transfer.shot_curve(transfer.bias_corrected(drawn)).select("k", r("rmse", 5), "n_draws")
 
 
@@ -421,7 +443,7 @@ NORMAL = SCALE + """, nl AS (SELECT st.fold, role, tile, gamma, pl0, list(x / s
 SELECT fold, tile, round(sum(w * gamma) / greatest(sum(w), 1e-30), 4) AS gamma_pred, round(sum(w * pl0) / greatest(sum(w), 1e-30), 3) AS pl0_pred FROM pw GROUP BY ALL""")
 def h2_gaussian_transfer(spark, sf):
     s, _ = _stacked(spark, sf)
-    return transfer.gaussian_predict(transfer.pair_distances(s["test"], s["train"]), F.lit(1.0)).select("fold", "tile", r("gamma_pred"), r("pl0_pred", 3))
+    return transfer.gaussian_predict(s["test"], s["train"], 1.0).select("fold", "tile", r("gamma_pred"), r("pl0_pred", 3))
 
 
 @query(NORMAL + f""", pw AS (SELECT a.fold, a.tile, a.gamma AS gt, a.pl0 AS pt, pow(list_distance(a.v, b.v), 2) AS d2, b.gamma, b.pl0 FROM nl a JOIN nl b USING (fold) WHERE a.role = 'val' AND b.role = 'train'),
@@ -430,17 +452,14 @@ er AS (SELECT fold, s, sum(pow(g - gt, 2) + pow(p - pt, 2)) / (2 * count(*)) AS
 SELECT fold, arg_min(s, err)::DOUBLE AS sigma, round(min(err), 3) AS err FROM er GROUP BY fold""")
 def h3_select_sigma(spark, sf):
     s, _ = _stacked(spark, sf)
-    return transfer.select_sigma(transfer.pair_distances(s["val"], s["train"]), s["val"]).select("fold", "sigma", r("err", 3))
+    return transfer.select_sigma(s["val"], s["train"]).select("fold", "sigma", r("err", 3))
 
 
 @query(None)
 def h4_descriptor_ridge(spark, sf):
-    """Rows only here; a test compares the fits with the closed form."""
+    """Rows only here; tests/test_transfer.py compares the fits with the closed form."""
     s, _ = _stacked(spark, sf)
-    fitted = [(f, t, float(m.intercept), [float(x) for x in m.coefficients]) for (f, t), m in transfer.ridge_models(s["train"]).items()]  # folds x targets rows
-    models = spark.createDataFrame(fitted, "fold string, target string, b double, w array<double>")
-    dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return s["test"].join(F.broadcast(models), "fold").select("fold", "tile", "target", r(F.col("b") + dot, 4, "pred"))
+    return transfer.linear_predictions(transfer.ridge_models(s["train"]), s["test"]).select("fold", "tile", "target", r("pred"))
 
 
 @query(f"WITH {cte('fx_tiles')} SELECT city, count(DISTINCT i) AS n_nonzero FROM (SELECT city, unnest(v) AS x, unnest(range(64)) AS i FROM fx_tiles) WHERE x <> 0 GROUP BY city")
@@ -494,35 +513,49 @@ def c9_structures_by_tile(spark, sf):
     return t.groupBy("city", "m", "z").agg(F.count("*").alias("n"), r(F.sum("area_m2"), 3, "area_m2"), r(F.sum("clip_m2"), 3, "clip_m2"))
 
 
+def _cells(spark, sf):
+    """The tiles of the metric grid of every city."""
+    side = F.sequence(F.lit(-5).cast("long"), F.lit(4).cast("long"))
+    return spark.read.parquet(f"{sf}/region.parquet").select(F.col("r_name").alias("city"), F.explode(side).alias("m")).withColumn("z", F.explode(side))
+
+
+CELLS = "(SELECT r_name AS city, m, z FROM region CROSS JOIN range(-5, 5) AS a(m) CROSS JOIN range(-5, 5) AS b(z))"
+
+
+def zero_filled(sql: str, names: tuple[str, ...]) -> str:
+    """A query by city, m, z for all tiles of the grid, 0 where a tile has no row."""
+    return f"SELECT city, m, z, {', '.join(f'coalesce({n}, 0)::DOUBLE AS {n}' for n in names)} FROM {CELLS} LEFT JOIN ({sql}) USING (city, m, z)"
+
+
 def _cls(i: int) -> str:
     lo, hi = structures.CLASSES[i], (*structures.CLASSES[1:], 1e9)[i]
     return f"height >= {lo} AND height < {hi}"
 
 
-@query(HEIGHT + TOUCH.format("h") + " SELECT city, m, z, " + ", ".join(f"round(sum(CASE WHEN {_cls(i)} THEN area_m2 ELSE 0 END) / 90000, 6) AS base_area_ratio_h{i}, count_if({_cls(i)})::DOUBLE AS n_buildings_h{i}" for i in range(5)) + ", " + ", ".join(f"round(avg({e}), 3) AS {n}_mean, round(stddev_pop({e}), 3) AS {n}_std" for e, n in (("area_m2", "base_area"), ("height", "height"), ("area_m2 * height", "volume"))) + ", round(sum(area_m2) / 90000, 6) AS building_density FROM t GROUP BY ALL")
+@query(zero_filled(HEIGHT + TOUCH.format("h") + " SELECT city, m, z, " + ", ".join(f"round(sum(CASE WHEN {_cls(i)} THEN area_m2 ELSE 0 END) / 90000, 6) AS base_area_ratio_h{i}, count_if({_cls(i)})::DOUBLE AS n_buildings_h{i}" for i in range(5)) + ", " + ", ".join(f"round(avg({e}), 6) AS {n}_mean, round(stddev_pop({e}), 6) AS {n}_std" for e, n in (("area_m2", "base_area"), ("height", "height"), ("area_m2 * height", "volume"))) + ", round(sum(area_m2) / 90000, 6) AS building_density FROM t GROUP BY ALL", structures.BUILT))
 def d6_built_features(spark, sf):
     f = structures.built_features(grid.cells_touched(_buildings(spark, sf), METRIC_TILE), METRIC_TILE**2)
-    digits = lambda c: 6 if "ratio" in c or "density" in c else 3
-    return f.select("city", "m", "z", *[r(c, digits(c)) for c in f.columns[3:]])
+    f = descriptors.filled(f, _cells(spark, sf))
+    return f.select("city", "m", "z", *[r(c, 6) for c in f.columns[3:]])
 
 
-@query(HEIGHT + TOUCH.format("h") + ", p AS (SELECT a.city, a.m, a.z, sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)) AS d, least(a.height, b.height) AS hh FROM t a JOIN t b ON a.city = b.city AND a.m = b.m AND a.z = b.z AND a.structure_id < b.structure_id), g AS (SELECT city, m, z, " + ", ".join(f"avg(d) FILTER (hh >= {p}) AS a{p}, stddev_pop(d) FILTER (hh >= {p}) AS s{p}" for p in structures.PLANES) + " FROM p GROUP BY ALL) SELECT n.city, n.m, n.z, " + ", ".join(f"n{p} AS plane{p}_n, round(coalesce(a{p}, 0), 3) AS plane{p}_dist_mean, round(coalesce(s{p}, 0), 3) AS plane{p}_dist_std" for p in structures.PLANES) + " FROM (SELECT city, m, z, " + ", ".join(f"count_if(height >= {p})::DOUBLE AS n{p}" for p in structures.PLANES) + " FROM t GROUP BY ALL) n LEFT JOIN g USING (city, m, z)")
+@query(zero_filled(HEIGHT + TOUCH.format("h") + ", p AS (SELECT a.city, a.m, a.z, sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)) AS d, least(a.height, b.height) AS hh FROM t a JOIN t b ON a.city = b.city AND a.m = b.m AND a.z = b.z AND a.structure_id < b.structure_id), g AS (SELECT city, m, z, " + ", ".join(f"avg(d) FILTER (hh >= {p}) AS a{p}, stddev_pop(d) FILTER (hh >= {p}) AS s{p}" for p in structures.PLANES) + " FROM p GROUP BY ALL) SELECT n.city, n.m, n.z, " + ", ".join(f"n{p} AS plane{p}_n, round(coalesce(a{p}, 0), 3) AS plane{p}_dist_mean, round(coalesce(s{p}, 0), 3) AS plane{p}_dist_std" for p in structures.PLANES) + " FROM (SELECT city, m, z, " + ", ".join(f"count_if(height >= {p})::DOUBLE AS n{p}" for p in structures.PLANES) + " FROM t GROUP BY ALL) n LEFT JOIN g USING (city, m, z)", structures.PLANED))
 def d7_plane_features(spark, sf):
-    f = structures.plane_features(grid.cells_touched(_buildings(spark, sf), METRIC_TILE))
+    f = descriptors.filled(structures.plane_features(grid.cells_touched(_buildings(spark, sf), METRIC_TILE)), _cells(spark, sf))
     return f.select("city", "m", "z", *[r(c, 3) for c in f.columns[3:]])
 
 
-@query(f"WITH {cte('fx_structures')}" + TOUCH.format("fx_structures") + " SELECT city, m, z, " + ", ".join(f"round(count_if(kind = '{k}') / 0.09, 3) AS {n}_density, round(sum(CASE WHEN kind = '{k}' THEN area_m2 ELSE 0 END) / 90000, 6) AS {n}_area_share, count_if(kind = '{k}')::DOUBLE AS {n}_count" for k, n in (("water", "water"), ("vegetation", "veg"))) + " FROM t GROUP BY ALL")
+@query(zero_filled(f"WITH {cte('fx_structures')}" + TOUCH.format("fx_structures") + " SELECT city, m, z, " + ", ".join(f"round(count_if(kind = '{k}') / 0.09, 3) AS {n}_density, round(sum(CASE WHEN kind = '{k}' THEN area_m2 ELSE 0 END) / 90000, 6) AS {n}_area_share, count_if(kind = '{k}')::DOUBLE AS {n}_count" for k, n in (("water", "water"), ("vegetation", "veg"))) + " FROM t GROUP BY ALL", structures.COVER))
 def d8_cover_features(spark, sf):
-    f = structures.cover_features(grid.cells_touched(rows(spark, sf, "fx_structures"), METRIC_TILE), METRIC_TILE**2)
+    f = descriptors.filled(structures.cover_features(grid.cells_touched(rows(spark, sf, "fx_structures"), METRIC_TILE), METRIC_TILE**2), _cells(spark, sf))
     return f.select("city", "m", "z", *[r(c, 6 if "share" in c else 3) for c in f.columns[3:]])
 
 
-@query(f"WITH {cte('fx_dem')} SELECT floor(y / 300)::BIGINT AS m, floor(x / 300)::BIGINT AS z, " + ", ".join(f"round(min({c}), 3) AS {c}_min, round(avg({c}), 3) AS {c}_mean, round(stddev_pop({c}), 3) AS {c}_std" for c in ("asl", "agl")) + " FROM fx_dem GROUP BY ALL")
+@query(f"WITH {cte('fx_dem')} SELECT floor(y / 300)::BIGINT AS m, floor(x / 300)::BIGINT AS z, " + ", ".join(f"round(min({c}), 6) AS {c}_min, round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_std" for c in ("asl", "agl")) + " FROM fx_dem GROUP BY ALL")
 def d5_terrain_features(spark, sf):
     dem = rows(spark, sf, "fx_dem").withColumn("m", F.floor(F.col("y") / METRIC_TILE)).withColumn("z", F.floor(F.col("x") / METRIC_TILE))
     f = structures.terrain_features(dem, "m", "z")
-    return f.select("m", "z", *[r(c, 3) for c in f.columns[2:]])
+    return f.select("m", "z", *[r(c, 6) for c in f.columns[2:]])
 
 
 @query(HEIGHT + TOUCH.format("h") + """, p AS (SELECT a.city, a.m, a.z, a.structure_id AS a, b.structure_id AS b, sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)) AS d FROM t a JOIN t b ON a.city = b.city AND a.m = b.m AND a.z = b.z AND a.structure_id <> b.structure_id),

@@ -59,7 +59,7 @@ SELECT s_suppkey AS candidate_id, (s_suppkey * 6151) % 2400 - CAST(1199.5 AS DOU
 SELECT p_partkey AS point_id, (p_partkey * 7919) % 3000 - CAST(1499.5 AS DOUBLE) AS x, (p_partkey * 104729) % 3000 - CAST(1499.5 AS DOUBLE) AS y, p_retailprice AS asl, p_retailprice / 10 AS agl FROM part""",
     "fx_climate": """
 SELECT CAST(floor(n_nationkey / CAST(5 AS DOUBLE)) AS BIGINT) AS gi, CAST(n_nationkey % 5 AS BIGINT) AS gj, year(o_orderdate) * 12 + month(o_orderdate) AS time, month(o_orderdate) AS month,
-  avg(o_totalprice) / 1000 AS t2m, avg(CAST(o_custkey % 100 AS DOUBLE)) / 7 AS rh
+  avg(o_totalprice) / 1000 AS t2m, avg(CAST(o_custkey % 100 AS DOUBLE)) / 7 AS rh, avg(CAST(o_orderkey % 50 AS DOUBLE)) / 9 AS tp
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3, 4""",
     "fx_stations": """
 SELECT s_suppkey AS point_id, CAST((s_suppkey * 7919) % 450 AS DOUBLE) / 100 AS lat, CAST((s_suppkey * 104729) % 450 AS DOUBLE) / 100 AS lon FROM supplier""",

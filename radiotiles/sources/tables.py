@@ -51,10 +51,11 @@ def read_campaign_csv(spark: SparkSession, path: str, mapping: dict[str, str], c
     return raw.select(*cols)
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """feature_id, tags, type and vertices (array of x, y) of each polygon of a GeoJSON collection; a
-    multipolygon gives one row for each part, inner rings are left out."""
-    rows = spark.read.schema(GEOJSON).json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.id", F.col("f.properties").alias("tags"), "f.geometry.*")
+    multipolygon gives one row for each part, inner rings are left out.  Without `multi_line`, each line is a
+    collection."""
+    rows = spark.read.schema(GEOJSON).json(path, multiLine=multi_line).select(F.explode("features").alias("f")).select("f.id", F.col("f.properties").alias("tags"), "f.geometry.*")
     ring = "array<array<array<double>>>"
     one = F.array(F.from_json("coordinates", ring))
     many = F.from_json("coordinates", f"array<{ring}>")
@@ -98,3 +99,8 @@ def union_measurements(*frames: DataFrame) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def with_transmit_power(rows: DataFrame, scenarios: DataFrame, key: str, received: str) -> DataFrame:
+    """`rows` with pathloss_db, the scenario's p_tx_dbm less the received power; `scenarios` is a short table by `key`."""
+    return rows.join(F.broadcast(scenarios.select(key, "p_tx_dbm")), key).withColumn("pathloss_db", F.col("p_tx_dbm") - F.col(received))

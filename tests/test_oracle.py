@@ -7,18 +7,22 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from radiotiles.plans import extended  # noqa: F401
+from radiotiles.plans import extended, more  # noqa: F401
 from radiotiles.plans import queries as plans
 
 DATA = "/root/testdata/sf0.001"
+#: Queries whose values have differed on more rows only.
+LARGER = ("d5_terrain_features", "d6_built_features", "d7_plane_features", "d10_descriptor_vectors", "j4_holm", "i5_full_report")
 
 
 @pytest.fixture(scope="module")
 def con():
-    c = duckdb.connect()
-    for p in Path(DATA).glob("*.parquet"):
-        c.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
-    return c
+    out = {}
+    for sf in (DATA, DATA.replace("0.001", "0.01")):
+        out[sf] = duckdb.connect()
+        for p in Path(sf).glob("*.parquet"):
+            out[sf].execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    return out
 
 
 def plain(v):
@@ -27,10 +31,10 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(plans.ORACLE))
-def test_query_agrees(spark, con, name):
-    got = plans.QUERIES[name](spark, DATA)
-    cur = con.execute(plans.ORACLE[name])
+@pytest.mark.parametrize(("name", "sf"), [(n, DATA) for n in sorted(plans.ORACLE)] + [(n, DATA.replace("0.001", "0.01")) for n in LARGER])
+def test_query_agrees(spark, con, name, sf):
+    got = plans.QUERIES[name](spark, sf)
+    cur = con[sf].execute(plans.ORACLE[name])
     names = [d[0] for d in cur.description]
     assert sorted(names) == sorted(got.columns)
     order = sorted(names)

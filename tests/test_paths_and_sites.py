@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from radiotiles.functions import geo
-from radiotiles.operators import folds, paths, robustness, siting
+from radiotiles.operators import descriptors, folds, paths, robustness, siting
 
 
 def test_a_ray_is_cut_where_it_crosses_lines(spark):
@@ -77,10 +77,12 @@ def test_noise_has_its_spread_and_climate_its_order(spark):
     tiles = spark.range(200).select(F.col("id").alias("tile"), F.array_repeat(F.lit(0.0), 64).alias("v"))
     by = {r.level: r.s for r in robustness.noisy(tiles, (0.0, 0.4)).select("level", F.explode("v").alias("x")).groupBy("level").agg(F.stddev_pop("x").alias("s")).collect()}
     assert by[0.0] == 0 and abs(by[0.4] - 0.4) < 0.01
-    cube = spark.createDataFrame([(i, j, t, t % 12 + 1, 280.0 + i + 2 * j) for i in (0, 1) for j in (0, 1) for t in range(12)], "gi long, gj long, time int, month int, t2m double")
+    cube = spark.createDataFrame([(i, j, t, t % 12 + 1, 280.0 + i + 2 * j, float(t % 12), 5.0) for i in (0, 1) for j in (0, 1) for t in range(24)], "gi long, gj long, time int, month int, t2m double, rh double, tp double")
     at = spark.createDataFrame([(1, 0.5, 0.25), (2, 1.5, 0.5)], "point_id long, lat double, lon double")
-    out = robustness.climate_vector(robustness.climate_features(cube, at, ("t2m",), kelvin=("t2m",)), ("t2m",)).collect()
-    assert len(out) == 1 and out[0].point_id == 1 and out[0].climate[:12] == pytest.approx([281.0 - 273.15] * 12) and out[0].climate[12:] == [0.0] * 12
+    out = descriptors.by_month(robustness.climate_features(cube, at, descriptors.VARIABLES, kelvin=("t2m",)), "point_id").collect()
+    assert len(out) == 1 and out[0].point_id == 1
+    for month in range(12):  # by month, then variable, mean and spread
+        assert list(out[0])[1 + 6 * month : 7 + 6 * month] == pytest.approx([281.0 - 273.15, 0, month, 0, 5, 0])
 
 
 @pytest.mark.parametrize("n_sites", [4, 60])
