@@ -117,12 +117,3 @@ def local_frame_inverse(x: Column, y: Column, lat0: Column, lon0: Column) -> tup
     zone, south = utm_zone(lon0), lat0 < 0
     e0, n0 = utm(lat0, lon0, zone, south)
     return utm_inverse(x + e0, y + n0, zone, south)
-
-
-def scene_box(lat0: Column, lon0: Column, size_m: float, pad_m: float = 0.0) -> tuple[Column, Column, Column, Column]:
-    """South, west, north and east in degrees of a square scene around an origin.  All four corners count, as
-    the frame's north is not the meridian's."""
-    h = size_m / 2 + pad_m
-    corners = [local_frame_inverse(F.lit(x), F.lit(y), lat0, lon0) for x in (-h, h) for y in (-h, h)]
-    lats, lons = [c[0] for c in corners], [c[1] for c in corners]
-    return F.least(*lats), F.least(*lons), F.greatest(*lats), F.greatest(*lons)

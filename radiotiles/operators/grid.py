@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from radiotiles.functions.geo import span_lat, span_lon
+from radiotiles.functions.geo import span_lat, span_lon, utm, utm_inverse, utm_zone
 
 
 def spherical_centroid(points: DataFrame, by: str = "city", lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -155,3 +155,16 @@ def footprints(features: DataFrame, least_m2: float = 4.0) -> DataFrame:
     """Polygons with an area of at least `least_m2` (slivers go), with area_m2 and centroid cx, cy."""
     x, y = polygon_centroid(F.col("vertices"))
     return features.withColumn("area_m2", polygon_area(F.col("vertices"))).where(F.col("area_m2") >= least_m2).withColumn("cx", x).withColumn("cy", y)
+
+
+def scene_boxes(origins: DataFrame, size_m: float, pad_m: float = 0.0, by: str = "city") -> DataFrame:
+    """South, west, north and east in degrees of a square scene around each origin (lat0, lon0).  All four corners
+    count, as the frame's north is not the meridian's."""
+    h = size_m / 2 + pad_m
+    corner = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-h, h) for y in (-h, h)]))
+    zone, south = utm_zone(F.col("lon0")), F.col("lat0") < 0
+    e0, n0 = utm(F.col("lat0"), F.col("lon0"), F.col("zone"), F.col("south"))
+    placed = origins.select(by, "lat0", "lon0", zone.alias("zone"), south.alias("south")).withColumn("e0", e0).withColumn("n0", n0).withColumn("corner", corner)
+    lat, lon = utm_inverse(F.col("e"), F.col("n"), F.col("zone"), F.col("south"))
+    at = placed.select(by, "zone", "south", (F.col("e0") + F.col("corner.x")).alias("e"), (F.col("n0") + F.col("corner.y")).alias("n")).select(by, lat.alias("lat"), lon.alias("lon"))
+    return at.groupBy(by).agg(F.min("lat").alias("south"), F.min("lon").alias("west"), F.max("lat").alias("north"), F.max("lon").alias("east"))

@@ -134,7 +134,7 @@ RULES = [("building", None, "building"), ("natural", "water", "water"), ("waterw
 
 @query(f"""WITH {cte('fx_structures')}, f AS (SELECT city, structure_id, CASE WHEN structure_id % 7 = 0 THEN 1.0 / 4 ELSE 1 END AS shrink, kind, width_m * depth_m * 5 / 6 AS a FROM fx_structures WHERE structure_id % 11 <> 0),
 k AS (SELECT city, kind, a * shrink * shrink AS a FROM f UNION ALL SELECT city, 'vegetation', a * shrink * shrink FROM f WHERE kind = 'building' AND structure_id % 5 = 0)
-SELECT city, kind, count(*) AS n, round(sum(a), 2) AS area_m2 FROM k WHERE a >= 40.3 GROUP BY ALL""")
+SELECT city, kind, count(*) AS n, round(sum(a), 4) AS area_m2 FROM k WHERE a >= 40.3 GROUP BY ALL""")
 def d1_tag_classes(spark, sf):
     """Structures go out as GeoJSON collections (some as multipolygons, some as points, which are left out), come back by
     the reader, are classed by their tags and lose slivers.  A building in a park has two kinds."""
@@ -154,15 +154,14 @@ def d1_tag_classes(spark, sf):
     features = tables.read_geojson(spark, path, multi_line=False)
     kinds = structures.classify(features, spark.createDataFrame(RULES, "tag string, value string, kind string"))
     shapes = grid.footprints(features, 40.3).join(kinds, "feature_id")
-    return shapes.groupBy(F.split("feature_id", "/")[0].alias("city"), "kind").agg(F.count("*").alias("n"), r(F.sum("area_m2"), 2, "area_m2"))
+    return shapes.groupBy(F.split("feature_id", "/")[0].alias("city"), "kind").agg(F.count("*").alias("n"), r(F.sum("area_m2"), 4, "area_m2"))
 
 
 @query()
 def c12_scene_box(spark, sf):
     """Rows only here; a test walks the corners."""
     m = rows(spark, sf).select("city", "lat0", "lon0").distinct()
-    names = ("south", "west", "north", "east")
-    return m.select("city", *[r(c, 7, n) for c, n in zip(geo.scene_box(F.col("lat0"), F.col("lon0"), 3000.0, 100.0), names, strict=True)])
+    return grid.scene_boxes(m, 3000.0, 100.0).select("city", *[r(c, 7) for c in ("south", "west", "north", "east")])
 
 
 SIZES = (1000.0, 800.0, 600.0, 500.0, 300.0, 200.0)

@@ -32,8 +32,8 @@ def test_area_and_centroid(spark):
 
 def test_scene_box_holds_its_corners(spark):
     lat0, lon0 = 48.1, 11.6
-    box = [geo.scene_box(F.lit(lat0), F.lit(lon0), 2000.0, pad)[k] for pad in (0.0, 500.0) for k in range(4)]
-    r = [float(x) for x in spark.range(1).select(*box).first()]
+    origin = spark.createDataFrame([("c", lat0, lon0)], "city string, lat0 double, lon0 double")
+    r = [x for pad in (0.0, 500.0) for x in list(grid.scene_boxes(origin, 2000.0, pad).first())[1:]]
     for (s, w, n, e), half in ((r[:4], 1000), (r[4:], 1500)):
         assert s < lat0 < n and w < lon0 < e
         assert (n - s) * 111_200 == pytest.approx(2 * half, rel=0.06)
