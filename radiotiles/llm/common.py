@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (as pa.compute)
@@ -12,32 +9,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from radiotiles.sources.scratch import scratch_root, stage
+
+__all__ = ["column_bytes", "gram_hashes", "hashed_words", "learned_from", "mix", "scratch_root", "shingle_set", "signed", "slices", "stage", "table"]
+
 #: Characters that end a word: a space and \t \n \v \f \r.  `bytes.split()` splits at just these.
 SPACES = " \t\n\x0b\x0c\r"
-_own_scratch: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; where none is set (tests), a temporary one of this session."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not root:
-        root = _own_scratch.setdefault(app, "file://" + tempfile.mkdtemp(prefix="radiotiles-"))
-    return f"{root}/radiotiles-{app}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here, and a lost executor
-    costs a re-read, not a recomputation."""
-    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def learned_from(doc_id: Column, modulus: int) -> Column:
     """False for the held-out rows: crc32 of the id as text, modulo `modulus`, is 0.  A null id counts
     as the text ''."""

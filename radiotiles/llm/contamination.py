@@ -106,7 +106,12 @@ def runs(sizes: list[int], share: float, masks: tuple[str, ...]) -> dict[int, st
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, masks: tuple[str, ...] = MASKS, sent_rows: int = SENT_ROWS) -> DataFrame:
-    """doc_id, item_id, start (word of the document, may be negative), matched, item_words."""
+    """doc_id, item_id, start (word of the document, may be negative), matched, item_words, by document and text."""
+    return by_text(docs, benchmark, share, masks, sent_rows).drop("text_key")
+
+
+def by_text(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, masks: tuple[str, ...] = MASKS, sent_rows: int = SENT_ROWS) -> DataFrame:
+    """As `contaminated`, with text_key, the hash of the text: rows that share an id but not the text are told apart."""
     items = stage(benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_codes(F.col("text")).alias("item")).where("size(item) > 0").distinct(), "items")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), word_codes(F.col("text")).alias("codes"))
     sizes = [r["n"] for r in items.select(F.size("item").alias("n")).distinct().collect()]
@@ -130,12 +135,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, mask
     keyed = items.withColumn("item_key", F.xxhash64("item_id", "item"))
     both = aligned.join(F.broadcast(keyed) if few else keyed, F.col("i") == F.col("item_key"))
     same = F.aggregate(F.transform("item", lambda x, j: F.when(F.get("codes", F.col("start") + j) == x, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
-    checked = both.select("doc_id", "item_id", "start", same.alias("matched"), F.size("item").alias("item_words")).where(F.col("matched") >= F.ceil(F.col("item_words") * share - 1e-9))
+    checked = both.select("doc_id", "text_key", "item_id", "start", same.alias("matched"), F.size("item").alias("item_words")).where(F.col("matched") >= F.ceil(F.col("item_words") * share - 1e-9))
     best = F.max(F.struct("matched", (-F.col("start")).alias("s"), "item_words")).alias("best")
-    return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.s")).cast("long").alias("start"), F.col("best.matched").cast("long").alias("matched"), F.col("best.item_words").cast("long").alias("item_words"))
+    return checked.groupBy("doc_id", "text_key", "item_id").agg(best).select("doc_id", "text_key", "item_id", (-F.col("best.s")).cast("long").alias("start"), F.col("best.matched").cast("long").alias("matched"), F.col("best.item_words").cast("long").alias("item_words"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents without a contaminated one."""
-    bad = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad"]), "left_anti")
+    """The rows whose text is not contaminated; others with the same id, or without one, stay."""
+    bad = by_text(docs, benchmark, **how).select(F.col("doc_id").alias("bad"), F.col("text_key").alias("bad_text")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["bad"]) & (F.xxhash64(docs["text"]) == bad["bad_text"])
+    return docs.join(bad, same, "left_anti")

@@ -124,7 +124,7 @@ FROM escaped GROUP BY conv_id
     "op4_decontamination": r"""
 WITH d AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS p, unnest(w) AS x FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents)),
 b AS (SELECT item_id, len(w) AS n, generate_subscripts(w, 1) - 1 AS q, unnest(w) AS x FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM benchmark)),
-m AS (SELECT doc_id, item_id, n, p - q AS start, count(*) AS matched FROM d JOIN b USING (x) WHERE n >= 6 GROUP BY ALL HAVING count(*) >= ceil(n * 0.8 - 1e-9)),
+m AS (SELECT doc_id, item_id, n, p - q AS start, count(*) AS matched FROM d JOIN b USING (x) GROUP BY ALL HAVING count(*) >= ceil(n * 0.8 - 1e-9)),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, start) AS r FROM m)
 SELECT doc_id, item_id, start::BIGINT AS start, matched::BIGINT AS matched, n::BIGINT AS item_words FROM k WHERE r = 1
 """,

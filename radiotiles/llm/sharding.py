@@ -3,11 +3,13 @@
 Pass one scatters whole records into buckets that fit in memory, by a seeded hash of the record.
 Pass two shuffles each bucket with Fisher-Yates.  The buckets laid end to end are one random order
 of all rows; cutting it at equal row counts gives the shards, so the law is `rows`: counts are at
-most one apart.  Nothing but the row count of each bucket is ever in one place.
+most one apart.  Nothing but the row count of each bucket is ever in one place, and there are at
+most BUCKETS of these: beyond BUCKETS * `bucket_bytes` of input, buckets grow with it.
 
 Empty table: no rows.  Null ids and texts: hashed as nulls, size 8 for a null text.  Repeated rows:
-each gets a place of its own.  Equal texts under different ids scatter independently, so a group of
-copies never meets in one bucket.  Input columns named shard or slot are replaced.
+each gets a place of its own; where over MANY rows are equal in id and text they scatter by their place
+in the input.  Equal texts under different ids scatter independently, so a group of copies never meets
+in one bucket.  A very long text stays whole in its bucket.  Input columns named shard or slot are replaced.
 """
 
 from __future__ import annotations
@@ -18,6 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from radiotiles.llm.common import stage
+
+
+#: Most buckets, and equal rows from which on they scatter one by one.
+BUCKETS, MANY = 200_000, 1000
+
 
 def record_bytes(text: Column) -> Column:
     """UTF-8 bytes of the text plus 8."""
@@ -38,12 +46,12 @@ def external_shuffle(docs: DataFrame, seed: int = 20, bucket_bytes: int = 16 <<
     """All rows of `docs` as (rec, rank): rec is the row as a struct, rank its place in a random order."""
     rec, size = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), record_bytes(F.col(text_col))
     total = docs.agg(F.sum(size)).first()[0] or 0
-    n_buckets = max(1, -(-total // bucket_bytes))
+    n_buckets = min(max(1, -(-total // bucket_bytes)), BUCKETS)
     key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    scattered = docs.select(rec.alias("rec"), F.pmod(key, F.lit(n_buckets)).alias("bucket"), F.xxhash64(F.lit(seed + 1), key).alias("tie"))
-    # one row for each bucket: 12 bytes for every `bucket_bytes` of input, so this table is small and is sent to all
-    counts = docs.groupBy(F.pmod(key, F.lit(n_buckets)).alias("bucket")).agg(F.count("*").alias("n"))
-    bases = counts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("base"))
+    many = docs.groupBy(key.alias("many")).count().where(F.col("count") > MANY).select("many")
+    numbered = docs.select(rec.alias("rec"), key.alias("key"), F.monotonically_increasing_id().alias("at")).join(many, F.col("key") == F.col("many"), "left")
+    spread = F.when(F.col("many").isNull(), F.col("key")).otherwise(F.xxhash64("key", "at"))
+    scattered = numbered.select("rec", F.pmod(spread, F.lit(n_buckets)).alias("bucket"), F.xxhash64(F.lit(seed + 1), spread).alias("tie"))
     placed = T.StructType([scattered.schema["rec"], T.StructField("bucket", T.LongType()), T.StructField("place", T.LongType())])
 
     def shuffle(group: pa.Table) -> pa.Table:
@@ -52,7 +60,10 @@ def external_shuffle(docs: DataFrame, seed: int = 20, bucket_bytes: int = 16 <<
         place = fisher_yates(group.num_rows, seed, bucket)
         return pa.table({"rec": group.column("rec"), "bucket": group.column("bucket"), "place": pa.array(place)})
 
-    shuffled = scattered.groupBy("bucket").applyInArrow(shuffle, placed)
+    shuffled = stage(scattered.groupBy("bucket").applyInArrow(shuffle, placed), "shuffled")
+    # a row for each bucket, so BUCKETS at most
+    counts = shuffled.groupBy("bucket").agg(F.count("*").alias("n"))
+    bases = counts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("base"))
     return shuffled.join(F.broadcast(bases), "bucket").select("rec", (F.col("base") + F.col("place")).alias("rank"))
 
 

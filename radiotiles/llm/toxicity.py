@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick.
 
-Texts are folded first: lower case, compatibility forms and accents of homoglyphs resolved, and in words that
-mix letters with digits or signs, those read as the letters they imitate.  The lexicon is learned:
+Texts are folded first: compatibility forms resolved, accents taken off, lower case, letters of other scripts read as
+the Latin ones they look like, and in words that mix letters with digits or signs, those as the letters they imitate.  The lexicon is learned:
 word beginnings that are far more frequent in toxic training documents get the log of their odds as
 weight, and two-word phrases around them that are as frequent in clean documents become exceptions.
 The score is a logistic function of the matched weight, normalised by the text's length, fitted on
@@ -12,7 +12,9 @@ id; a documented bound).  Labels, language, source and id are never inputs of a
 
 Empty table: no rows.  Null or empty text: no match, so the score is that of zero weight.  Rows with
 null labels do not train.  Repeated label rows train once for each.  Without any toxic or clean
-training row the lexicon is empty and every score is the base rate.  Other columns are ignored.
+training row the lexicon is empty and every score is the base rate.  Very long texts are matched whole,
+in one pass.  Of terms that begin at one place the longest counts; of terms equally telling the lexicon
+takes the shorter, then the first by name.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,10 +37,11 @@ from radiotiles.llm.common import learned_from, stage
 TRAIN_ROWS = 20_000
 TERMS = 4_000
 #: Letters of other scripts that look like Latin ones.
-HOMOGLYPHS = dict(zip("аеорсухіјѕԁԛԝһкмтпгвιονρτυκαεη", "aeopcyxijsdqwhkmtnrbiovptukaen", strict=True))
+HOMOGLYPHS = dict(zip("аеорсухіјѕԁԛԝһкмтпгвιονρτυκαεηıøłđħ", "aeopcyxijsdqwhkmtnrbiovptukaeniold" "h", strict=True))
 #: Digits and signs that stand for letters.
 IMITATED = dict(zip("013457869@$!|+€£", "oieastbgqasiltel", strict=True))
-FOLD = str.maketrans({**HOMOGLYPHS, "​": "", "‌": "", "‍": "", "­": "", "﻿": ""})
+#: Combining accents U+0300 to U+036F go, as do characters without width.
+FOLD = str.maketrans({**HOMOGLYPHS, **{chr(c): "" for c in range(0x300, 0x370)}, "​": "", "‌": "", "‍": "", "­": "", "﻿": ""})
 UNMASK = str.maketrans(IMITATED)
 WORD = re.compile(r"[^\W_]+(?:[@$!|+€£*_]+[^\W_]+)*|[@$][^\W_]+(?:[@$!|+]+[^\W_]+)*")
 ODD = re.compile(r"[0-9@$!|+€£*_]")
@@ -52,9 +55,10 @@ def fold_word(w: str) -> str:
 
 def fold(text: str) -> list[str]:
     """The folded words of a text."""
-    text = text.lower().translate(FOLD)
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).lower().translate(FOLD)
+        text = unicodedata.normalize("NFKD", text).lower().translate(FOLD)
+    else:
+        text = text.lower()
     words = WORD.findall(text)
     if ODD.search(text):
         words = [fold_word(w) for w in words]
@@ -95,9 +99,16 @@ def matched_weight(folded: str, automaton) -> float:
             free.append((start, end))
         elif n > longest.get(start, 0):
             longest[start], best[start] = n, w
-    if free:
-        best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in free)}
-    return sum(best.values())
+    # exceptions and hits in the order of their places, each looked at once
+    total, reach, at = 0.0, -1, 0
+    free.sort()
+    for start in sorted(best):
+        while at < len(free) and free[at][0] <= start:
+            reach = max(reach, free[at][1])
+            at += 1
+        if start >= reach:
+            total += best[start]
+    return total
 
 
 def feature(weight: float, n_words: int) -> float:

@@ -221,3 +221,20 @@ def test_pipeline_stages(spark, data):
             assert all(abs(len(got[i]) - len(cut[i])) <= 4 for i in got)
     assert docs.agg(F.countDistinct("doc_id")).first()[0] == before.count()
     assert np.isfinite(docs.count())
+
+
+def test_decontamination_tells_rows_of_one_id_apart(spark):
+    item = "one two three four five six seven eight nine"
+    docs = spark.createDataFrame([(None, f"x {item} y", 1), (None, "clean text here", 2), (5, item, 3), (5, "other clean text", 4), (6, None, 5)], "doc_id long, text string, n int")
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string")
+    assert sorted(r["n"] for r in contamination.decontaminate(docs, bench).collect()) == [2, 4, 5]
+    assert contamination.decontaminate(docs.where("false"), bench).count() == 0
+
+
+def test_repeat_stage_keeps_blank_rows_and_needs_no_count_column(spark):
+    import corpus_pipeline
+
+    long = "".join(f"word{i} " for i in range(60))
+    docs = spark.createDataFrame([(1, long, -1), (2, long, 7), (3, " \n", -1), (4, None, None), (5, "short", 5)], "doc_id long, text string, n_chars long")
+    assert {r["doc_id"]: r["n_chars"] for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()} == {3: 2, 4: None, 5: 5}
+    assert {r["doc_id"] for r in corpus_pipeline.cut_repeats(spark, docs.drop("n_chars"), "").collect()} == {3, 4, 5}

@@ -395,3 +395,28 @@ def test_packing_mixture(spark):
     full = [w["big"] / 512 for w in windows.values() if sum(w.values()) == 512]
     assert len(full) > 30 and all(abs(x - want) < 0.13 for x in full)
     assert abs(np.mean(full) - want) < 0.01
+
+
+def test_toxicity_folds_accents_and_matches_as_plain_python_does():
+    assert toxicity.fold("ìdïot İDIOT ıdıot 1d!0t іdіоt") == ["idiot"] * 5
+    rng = np.random.default_rng(8)
+    words = ["bad", "badly", "ba", "lid", "proof", "x", "worse"]
+    model = toxicity.Model({"bad": 2.0, "badl": 3.5, "wor": 1.0}, ("bad lid", "proof badly", "lid worse"), 1.0, 0.0)
+    automaton = model.automaton()
+    for _ in range(300):
+        text = f" {' '.join(rng.choice(words, rng.integers(0, 12)))} "
+        inside = {p for e in model.exceptions for a in range(len(text)) if text.startswith(f" {e} ", a) for p in range(a, a + len(e) + 1)}
+        want = 0.0
+        for a in range(len(text)):
+            own = [t for t in model.weights if text.startswith(f" {t}", a)]
+            if own and a not in inside:
+                want += model.weights[max(own, key=len)]
+        assert toxicity.matched_weight(text, automaton) == pytest.approx(want), text
+
+
+def test_equal_rows_scatter_over_buckets(spark):
+    docs = spark.createDataFrame([(1, "same text")] * 3000 + [(i, f"t{i}") for i in range(2, 50)], "doc_id long, text string")
+    shuffled = sharding.external_shuffle(docs, bucket_bytes=4000)
+    assert sorted(r["rank"] for r in shuffled.collect()) == list(range(3048))
+    got = sharding.assign_shards(docs, 4, bucket_bytes=4000).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("top")).collect()
+    assert sorted(r["n"] for r in got) == [762] * 4 and all(r["top"] == r["n"] - 1 for r in got)
