@@ -1,4 +1,8 @@
-"""Cleaning and packing a corpus: five stages, each of which reads what the one before kept."""
+"""Cleaning and packing a corpus: five stages, each of which reads what the one before kept.
+
+Null and empty texts pass every filter and are packed as their end token.  Of repeated rows, near copies
+and ties the row with the least id stays.  Null ids are ids of their own.  Empty tables give empty ones.  Further columns
+of documents are kept up to packing, whatever their names."""
 
 from __future__ import annotations
 
@@ -23,12 +27,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings of 200 that occur elsewhere leave the texts; rows of which no word is left go."""
-    blank = F.translate(F.col("text"), SPACES, "") == ""
-    before = docs.withColumn("n_chars", F.when(blank, F.lit(-1)).otherwise(F.col("n_chars")))
-    after = repeats.without_repeats(before)
-    emptied = F.coalesce(blank, F.lit(False)) & (F.coalesce("n_chars", F.lit(0)) != -1)
-    return after.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Byte strings of 200 that occur elsewhere leave the texts; rows of which no word is left go.  Rows that had none
+    before stay.  n_chars, where there is such a column, counts the text that is left."""
+    blank, own = F.coalesce(F.translate(F.col("text"), SPACES, "") == "", F.lit(False)), "__had_words"
+    after = repeats.without_repeats(docs.withColumn(own, ~blank))
+    kept = after.where(~(blank & F.col(own)))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast("long"))
+    return kept.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
