@@ -55,14 +55,14 @@ class ByteBpe:
     with wider white space are coded whole.  Texts that hold an added token of the file go to the library
     itself, and so does all where the file is not a plain byte-level BPE."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             form = json.load(f)
         self.added = [t["content"] for t in form["added_tokens"]]
@@ -82,6 +82,12 @@ class ByteBpe:
             self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.clear()
 
+    @functools.cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def clear(self) -> None:
         """Forget the pieces: their numbers, and by number the place and count of their ids in `flat`."""
         self.known: dict[str, int] = {"": 0}
@@ -142,18 +148,12 @@ class ByteBpe:
         return out, np.add.reduceat(n, first)
 
 
-@functools.lru_cache(maxsize=2)
-def coder(path: str) -> ByteBpe:
-    """One for each Python worker."""
-    return ByteBpe(path)
-
-
 def tokenized(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, source, part and at (which input partition, tokens of the source before in it), ids as
     binary (16 bits each where the vocabulary allows), with the end token."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, before = coder(vocabulary or default_vocabulary()), {}
+        bpe, before = ByteBpe(vocabulary or default_vocabulary()), {}  # for this task only: workers live on, and so would its memory
         kind = np.uint16 if bpe.top < 1 << 16 else np.uint32
         for whole_batch in batches:
             for batch in slices(whole_batch, "text", 16 << 20):
