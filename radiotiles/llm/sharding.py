@@ -25,6 +25,8 @@ from radiotiles.llm.common import stage
 
 #: Most buckets, and equal rows from which on they scatter one by one.
 BUCKETS, MANY = 200_000, 1000
+#: Keys of such rows that are sent to all tasks; more are joined by shuffle.
+SENT_KEYS = 100_000
 
 
 def record_bytes(text: Column) -> Column:
@@ -49,6 +51,9 @@ def external_shuffle(docs: DataFrame, seed: int = 20, bucket_bytes: int = 16 <<
     n_buckets = min(max(1, -(-total // bucket_bytes)), BUCKETS)
     key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     many = docs.groupBy(key.alias("many")).count().where(F.col("count") > MANY).select("many")
+    many = stage(many, "many")
+    if many.count() <= SENT_KEYS:
+        many = F.broadcast(many)
     numbered = docs.select(rec.alias("rec"), key.alias("key"), F.monotonically_increasing_id().alias("at")).join(many, F.col("key") == F.col("many"), "left")
     spread = F.when(F.col("many").isNull(), F.col("key")).otherwise(F.xxhash64("key", "at"))
     scattered = numbered.select("rec", F.pmod(spread, F.lit(n_buckets)).alias("bucket"), F.xxhash64(F.lit(seed + 1), spread).alias("tie"))
