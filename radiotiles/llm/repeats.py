@@ -6,9 +6,9 @@ it, with the bytes they span as its context.  Grams that occur once are dropped.
 of a gram are equal, or a context has copies, all its windows repeat.  The contexts that are left meet
 per gram; their suffixes are sorted, and a stack scan over the common prefix lengths of neighbours
 walks the tree of common-prefix intervals.  An interval whose members are preceded by different bytes
-is a maximal repeat, and is told with all its occurrences.  Grams with more than `bucket` different
-contexts are not sorted in one task: their windows' hashes are counted instead, which finds the same
-windows.  Contexts are compared by 64-bit hashes.
+is a maximal repeat.  `repeat_groups` returns these with all their occurrences, `repeated_spans` what
+they cover.  Grams with more than `bucket` different contexts are not sorted in one task: their windows'
+hashes are counted instead, which finds the same windows.  Contexts are compared by 64-bit hashes.
 
 Null text: empty.  Texts shorter than `length` are left alone.  Copies of a document, repeated rows
 included, repeat as a whole.  A null id is an id of its own.  Empty table: no rows.  Other columns are
@@ -176,8 +176,9 @@ def in_pieces(rows: DataFrame, keys: DataFrame, names: dict[str, str], size: str
     return met.select(*rows.columns, *([c for c in keys.columns if c not in (*columns, size)] if how == "inner" else []))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, text_key, spans: of each text (docs: doc_id, text_key, text) the bytes in repeats."""
+def contexts_of(docs: DataFrame, length: int, bucket: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The occurrences of grams that repeat, the different contexts of those that have several (one occurrence of each
+    and how many there are), and the bytes of these."""
     everywhere = found_in(docs, length)
     several = everywhere.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1").select("g", "n", (F.col("c0") != F.col("c1")).alias("mixed"))
     repeated = stage(in_pieces(everywhere, stage(several, "grams"), {"gram": "g"}, "n"), "occurrences")
@@ -204,49 +205,122 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET)
                 yield rows(out, CUT)
 
     contexts = stage(texts.select("doc_id", "text_key", "text", "classes").mapInArrow(cut, CUT), "contexts")
-    SPAN = "doc_id long, text_key long, start long, stop long"
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Partitions sorted by gram: the maximal repeats of each gram's contexts."""
-        now, held = None, {}
-
-        def done() -> list[tuple]:
-            members = list(held.values())
-            spans: list[list[tuple[int, int]]] = [[] for _ in members]
-            for depth, places in maximal_repeats([m[4] for m in members], length):
-                for k, p in places:
-                    if members[k][0] == 1:
-                        spans[k].append((p, p + depth))
-            return [(m[1], m[2], m[3] + a, m[3] + b) for m, s in zip(members, spans, strict=True) for a, b in merged(s)]
-
-        for batch in batches:
+    return repeated, classes, contexts
+
+
+#: One occurrence of a context: gram, context, copies, doc_id, text_key, lo, bytes.
+Member = tuple[int, int, int, int | None, int, int, bytes]
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Member]]:
+    """The contexts of each gram, from a partition sorted by gram."""
+    held: dict[int, Member] = {}
+    gram = None
+    for batch in batches:
+        for member in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6, 7)), strict=True):
+            if member[0] != gram and held:
+                yield list(held.values())
+                held = {}
+            gram = member[0]
+            held[member[1]] = member
+    if held:
+        yield list(held.values())
+
+
+def in_bulk(found: Iterator[tuple], schema: str, n: int = 10_000) -> Iterator[pa.RecordBatch]:
+    out = []
+    for row in found:
+        out.append(row)
+        if len(out) == n:
+            yield rows(out, schema)
             out = []
-            for gram, context, copies, doc_id, text_key, lo, ctx in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6, 7)), strict=True):
-                if gram != now and held:
-                    out += done()
-                    held = {}
-                now = gram
-                held[context] = (copies, doc_id, text_key, lo, ctx)
-            if out:
-                yield rows(out, SPAN)
-        if held and (out := done()):
-            yield rows(out, SPAN)
+    if out:
+        yield rows(out, schema)
 
-    sorted_ = contexts.where("not crowded").repartition("gram").sortWithinPartitions("gram").mapInArrow(solve, SPAN)
 
-    WINDOWS = "gram long, window long, copies long, doc_id long, text_key long, start long"
+def windows(contexts: DataFrame, length: int) -> DataFrame:
+    """gram, window, copies, context, place, doc_id, text_key, start: each window of the crowded grams' contexts."""
+    schema = "gram long, window long, copies long, context long, place long, doc_id long, text_key long, start long"
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for gram, copies, doc_id, text_key, lo, ctx in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5, 6, 7)), strict=True):
+            for gram, context, copies, doc_id, text_key, lo, ctx in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6, 7)), strict=True):
                 n = len(ctx) - length + 1
                 h = np.fromiter((xxhash.xxh3_64_intdigest(ctx[i : i + length]) for i in range(n)), np.uint64, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, gram)), signed(h), pa.array(np.full(n, copies)), pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, text_key)), pa.array(lo + np.arange(n))], names=[c.split()[0] for c in WINDOWS.split(", ")])
+                same = [pa.array(np.full(n, v)) for v in (copies, context)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, gram)), signed(h), *same, pa.array(np.arange(n)), pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, text_key)), pa.array(lo + np.arange(n))], names=[c.split()[0] for c in schema.split(", ")])
+
+    return contexts.where("crowded").dropDuplicates(["gram", "context"]).mapInArrow(hashed, schema)
+
+
+def by_gram(contexts: DataFrame) -> DataFrame:
+    return contexts.where("not crowded").repartition("gram").sortWithinPartitions("gram")
 
-    crowd = contexts.where("crowded").dropDuplicates(["gram", "context"]).mapInArrow(windows, WINDOWS)
+
+def repeat_groups(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -> DataFrame:
+    """gram, repeat, n_bytes, doc_id, text_key, start: every maximal repeat (gram, repeat) of the texts (docs: doc_id,
+    text_key, text) with all its occurrences, copies included.
+
+    A repeat is maximal among the strings whose windows share a gram: one that is longer than a context is told as a
+    chain of repeats that overlap.  Grams with over `bucket` contexts give repeats of `length` bytes."""
+    repeated, classes, contexts = contexts_of(docs, length, bucket)
+    GROUP = "gram long, context long, repeat long, n_bytes long, place long"
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def groups() -> Iterator[tuple]:
+            for members in gathered(batches):
+                n, whole = 0, set()
+                for depth, places in maximal_repeats([m[6] for m in members], length):
+                    for k, p in places:
+                        if depth == len(members[k][6]):
+                            whole.add(k)
+                        yield (*members[k][:2], n, depth, p)
+                    n += 1
+                for k, m in enumerate(members):
+                    if m[2] > 1 and k not in whole:  # copies that no other context holds
+                        yield (*m[:2], n, len(m[6]), 0)
+                        n += 1
+
+        yield from in_bulk(groups(), GROUP)
+
+    tree = by_gram(contexts).mapInArrow(solve, GROUP)
+    crowd = windows(contexts, length)
+    twice = crowd.groupBy(F.col("gram").alias("g"), F.col("window").alias("w")).agg(F.sum("copies").alias("all")).where("all > 1").select("g", "w")
+    counted = crowd.join(twice, (F.col("gram") == F.col("g")) & (F.col("window") == F.col("w"))).select("gram", "context", F.col("window").alias("repeat"), F.lit(length).cast("long").alias("n_bytes"), "place")
+    # of one context, so no more than its suffixes are in
+    held = tree.unionByName(counted).groupBy("gram", "context").agg(F.collect_list(F.struct("repeat", "n_bytes", "place")).alias("held"))
+    sized = held.join(classes.select("gram", "context", "copies"), ["gram", "context"]).withColumnsRenamed({"gram": "g", "context": "c"})
+    met = in_pieces(repeated.where("mixed"), sized, {"gram": "g", "context": "c"}, "copies").withColumn("x", F.explode("held"))
+    several = met.select("gram", "x.repeat", "x.n_bytes", "doc_id", "text_key", (F.col("lo") + F.col("x.place")).alias("start"))
+    same = repeated.where("not mixed").select("gram", F.lit(0).cast("long").alias("repeat"), (F.col("hi") - F.col("lo") + length).alias("n_bytes"), "doc_id", "text_key", F.col("lo").alias("start"))
+    return several.unionByName(same)
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, text_key, spans: of each text (docs: doc_id, text_key, text) the bytes that the repeats of
+    `repeat_groups` cover, merged where they are found so that nested repeats are not shuffled."""
+    repeated, classes, contexts = contexts_of(docs, length, bucket)
+    SPAN = "doc_id long, text_key long, start long, stop long"
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def covered() -> Iterator[tuple]:
+            for members in gathered(batches):
+                spans: list[list[tuple[int, int]]] = [[] for _ in members]
+                for depth, places in maximal_repeats([m[6] for m in members], length):
+                    for k, p in places:
+                        if members[k][2] == 1:  # copies are covered as a whole
+                            spans[k].append((p, p + depth))
+                for m, own in zip(members, spans, strict=True):
+                    yield from ((m[3], m[4], m[5] + a, m[5] + b) for a, b in merged(own))
+
+        yield from in_bulk(covered(), SPAN)
+
+    sorted_ = by_gram(contexts).mapInArrow(solve, SPAN)
+    crowd = windows(contexts, length)
     twice = crowd.groupBy(F.col("gram").alias("g"), F.col("window").alias("w")).count().where("count > 1").select("g", "w")
     counted = crowd.where("copies = 1").join(twice, (F.col("gram") == F.col("g")) & (F.col("window") == F.col("w")), "left_semi").select("doc_id", "text_key", "start", (F.col("start") + length).alias("stop"))
 
+    mixed = repeated.where("mixed")
     whole = F.col("lo").alias("start"), (F.col("hi") + length).alias("stop")
     copied = classes.where("copies > 1").select(F.col("gram").alias("g"), F.col("context").alias("c"), "copies")
     same = repeated.where("not mixed").select("doc_id", "text_key", *whole)

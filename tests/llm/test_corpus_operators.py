@@ -90,6 +90,32 @@ def test_repeats_agree_with_brute_force(spark, bucket):
     assert repeats.kept_digests(frame(spark, []), bucket=bucket).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [2000, 1])
+def test_repeat_groups_hold_all_occurrences(spark, bucket):
+    rows = [(i, t) for i, t in dict.fromkeys(repeat_rows()) if i is not None]
+    texts = {}
+    for i, t in rows:
+        texts[i] = texts.get(i, []) + [(t or "").encode()]
+    rows = [(i, t[0].decode()) for i, t in texts.items()]
+    texts = {i: t[0] for i, t in texts.items()}
+    docs = frame(spark, rows).withColumn("text_key", F.xxhash64("text")).select("doc_id", "text_key", "text")
+    groups = {}
+    for r in repeats.repeat_groups(docs, bucket=bucket).collect():
+        groups.setdefault((r["gram"], r["repeat"], r["n_bytes"]), []).append((r["doc_id"], r["start"]))
+    assert groups
+    covered = {i: set() for i in texts}
+    for (_, _, n), places in groups.items():
+        assert len(places) == len(set(places)) > 1
+        (said,) = {texts[i][a : a + n] for i, a in places}
+        assert len(said) == n >= repeats.LENGTH
+        everywhere = {(i, a) for i, t in texts.items() for a in range(len(t)) if t.startswith(said, a)}
+        assert set(places) == everywhere
+        for i, a in places:
+            covered[i].update(range(a, a + n))
+    removed = {r["doc_id"]: r["n_removed"] for r in repeats.kept_digests(docs, bucket=bucket).collect()}
+    assert {i: len(c) for i, c in covered.items()} == removed
+
+
 def test_maximal_repeats():
     texts = [b"xabcdey", b"zabcdew", b"qabcdr", b"abcd"]
     found = {(d, tuple(sorted(p))) for d, p in repeats.maximal_repeats(texts, 3)}
