@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from radiotiles.sources.scratch import stage
+
 SHORTEST_M = 1e-6
 
 
@@ -36,6 +38,32 @@ def ray_split(rays: DataFrame, size: float, x0: str = "tx_x", y0: str = "tx_y",
     return out.where(F.col("len_m") > SHORTEST_M)
 
 
+def conjugate_gradients(gram: DataFrame, right: DataFrame, close: float = 1e-10, most: int = 5000) -> DataFrame:
+    """(city, i, x) with gram x = b in every city, by conjugate gradients scaled by the diagonal.  gram: city, i, j, g
+    with both triangles; right: city, i, b.  A step is one join and one sum over the entries of `gram`, whichever
+    city they are of; one row reaches the driver in each.  Not settled after `most` steps is an error."""
+    diagonal = gram.where("i = j").select("city", "i", F.col("g").alias("d"))
+    size = F.sum(F.col("r") * F.col("r") / F.col("d"))
+    start = right.join(diagonal, ["city", "i"]).select("city", "i", "d", F.lit(0.0).alias("x"), F.col("b").alias("r"), (F.col("b") / F.col("d")).alias("p"))
+    first = start.groupBy("city").agg(size.alias("goal"), size.alias("old"))
+    now = stage(start.join(first, "city"), "gradients")
+    open_ = F.col("old") > close * close * F.col("goal")
+    for _ in range(most):
+        if now.where(open_).isEmpty():
+            return now.select("city", "i", "x")
+        # cities that have settled keep their rows and take no step
+        ways = gram.join(now.where(open_).select("city", F.col("i").alias("j"), "p"), ["city", "j"]).groupBy("city", "i").agg(F.sum(F.col("g") * F.col("p")).alias("q"))
+        both = stage(now.join(ways, ["city", "i"], "left").fillna(0.0, ["q"]), "products")
+        length = both.groupBy("city").agg((F.first("old") / F.nullifzero(F.sum(F.col("p") * F.col("q")))).alias("step"))
+        step = F.when(open_, F.col("step")).otherwise(0.0)
+        moved = both.join(length, "city").withColumns({"x": F.col("x") + step * F.col("p"), "r": F.col("r") - step * F.col("q")}).drop("q", "step")
+        moved = stage(moved, "moved")
+        sizes = moved.groupBy("city").agg(size.alias("new"))
+        turned = moved.join(sizes, "city").withColumn("p", F.col("r") / F.col("d") + F.coalesce(F.col("new") / F.nullifzero("old"), F.lit(0.0)) * F.col("p"))
+        now = stage(turned.drop("old").withColumnRenamed("new", "old"), "gradients")
+    raise RuntimeError("conjugate gradients did not settle")
+
+
 def mixed_path_fit(segments: DataFrame, damp: float = 1e-3, max_unknowns: int = 3000) -> DataFrame:
     """(city, tile, n, gamma, pl0) of the damped least-squares fit of
 
@@ -43,7 +71,7 @@ def mixed_path_fit(segments: DataFrame, damp: float = 1e-3, max_unknowns: int =
 
     `segments`: city, ray (unique in its city), tile (long), len_m, pathloss_db.  The products of the columns
     of a ray are summed by Spark; a city's task gets only its normal equations, with two unknowns for each
-    tile.  A city with over `max_unknowns` unknowns is an error: its grid is too fine to be solved in one task."""
+    tile.  Cities with over `max_unknowns` unknowns are solved by conjugate gradients over all tasks."""
     per_tile = segments.groupBy("city", "ray", "tile").agg(F.sum("len_m").alias("len_m"), F.first("pathloss_db").alias("y"))
     totals = per_tile.groupBy("city", "ray").agg(F.greatest(F.sum("len_m"), F.lit(1.0)).alias("total"), F.count("*").alias("k"))
     rows = per_tile.join(totals, ["city", "ray"])
@@ -52,17 +80,27 @@ def mixed_path_fit(segments: DataFrame, damp: float = 1e-3, max_unknowns: int =
     right = terms.groupBy("city", "i").agg(F.sum(F.col("a") * F.col("y")).alias("b"), F.count("*").alias("n"))
     other = terms.select("city", "ray", F.col("i").alias("j"), F.col("a").alias("a2"))
     gram = terms.join(other, ["city", "ray"]).where("i <= j").groupBy("city", "i", "j").agg(F.sum(F.col("a") * F.col("a2")).alias("g"))
-    system = gram.select("city", "i", "j", "g", F.lit(None).cast("long").alias("n")).unionByName(right.select("city", "i", F.lit(-1).cast("long").alias("j"), F.col("b").alias("g"), "n"))
+    gram, right = stage(gram, "gram"), stage(right, "right")
+    fine = right.groupBy("city").count().where(F.col("count") > max_unknowns).select("city")
+    coarse = [df.join(fine, "city", "left_anti") for df in (gram, right)]
+    system = coarse[0].select("city", "i", "j", "g", F.lit(None).cast("long").alias("n")).unionByName(coarse[1].select("city", "i", F.lit(-1).cast("long").alias("j"), F.col("b").alias("g"), "n"))
 
     def solve(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         b, g = own[own.j < 0].sort_values("i"), own[own.j >= 0]
         ids = b.i.to_numpy()
-        if len(ids) > max_unknowns:
-            raise ValueError(f"{len(ids)} unknowns in {key[0]}, over {max_unknowns}")
         full = np.zeros((len(ids), len(ids)))
         at, to = np.searchsorted(ids, g.i.to_numpy()), np.searchsorted(ids, g.j.to_numpy())
         full[at, to] = full[to, at] = g.g.to_numpy()
         x = np.linalg.solve(full + damp * damp * np.eye(len(ids)), b.g.to_numpy())
         return pd.DataFrame({"city": key[0], "tile": ids[::2] // 2, "n": b.n.to_numpy(dtype=np.int64)[::2], "gamma": x[::2], "pl0": x[1::2]})
 
-    return system.groupBy("city").applyInPandas(solve, "city string, tile long, n long, gamma double, pl0 double")
+    solved = system.groupBy("city").applyInPandas(solve, "city string, tile long, n long, gamma double, pl0 double")
+    if fine.isEmpty():
+        return solved
+    large, b = (df.join(fine, "city", "left_semi") for df in (gram, right))
+    damped = large.select("city", "i", "j", (F.col("g") + F.when(F.col("i") == F.col("j"), F.lit(damp * damp)).otherwise(0.0)).alias("g"))
+    mirrored = damped.where("i < j").select("city", F.col("j").alias("i"), F.col("i").alias("j"), "g")
+    x = conjugate_gradients(stage(damped.unionByName(mirrored), "gram"), b.select("city", "i", "b"))
+    value = lambda odd: F.max(F.when(F.col("i") % 2 == odd, F.col("x")))
+    found = x.join(b.select("city", "i", "n"), ["city", "i"]).groupBy("city", F.expr("i div 2").alias("tile")).agg(F.max("n").alias("n"), value(0).alias("gamma"), value(1).alias("pl0"))
+    return solved.unionByName(found)

@@ -25,8 +25,22 @@ def test_mixed_path_finds_the_planted_tiles(spark):
     got = {r.tile: r for r in paths.mixed_path_fit(seg).collect()}
     for t in (0, 1):
         assert got[t].n == 600 and got[t].gamma == pytest.approx(gamma[t], abs=0.01) and got[t].pl0 == pytest.approx(pl0[t], abs=0.1)
-    with pytest.raises(Exception, match="unknowns"):
-        paths.mixed_path_fit(seg, max_unknowns=3).collect()
+
+
+def test_cities_beyond_one_task_are_solved_alike(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for city, tiles in (("x", 2), ("y", 4), ("z", 3)):
+        for i in range(200):
+            cut = [(t, float(rng.uniform(20, 200))) for t in range(tiles) if t != i % 5]
+            y = float(rng.uniform(80, 140)) if city != "z" else 0.0  # all zero: nothing to solve
+            rows += [(city, i, t, s, y) for t, s in cut]
+    seg = spark.createDataFrame(rows, "city string, ray long, tile long, len_m double, pathloss_db double")
+    dense = {(r.city, r.tile): r for r in paths.mixed_path_fit(seg).collect()}
+    split = {(r.city, r.tile): r for r in paths.mixed_path_fit(seg, max_unknowns=4).collect()}
+    assert len(dense) == 9 and dense.keys() == split.keys()
+    for k, r in dense.items():
+        assert split[k].n == r.n and split[k].gamma == pytest.approx(r.gamma, abs=1e-5) and split[k].pl0 == pytest.approx(r.pl0, abs=1e-4)
 
 
 def test_median_placement_takes_a_site_then_a_new_station(spark):
