@@ -12,7 +12,8 @@ id; a documented bound).  Labels, language, source and id are never inputs of a
 
 Empty table: no rows.  Null or empty text: no match, so the score is that of zero weight.  Rows with
 null labels do not train.  Repeated label rows train once for each.  Without any toxic or clean
-training row the lexicon is empty and every score is the base rate.  Very long texts are matched whole,
+training row the lexicon is empty and every score is the base rate, counted with two rows more of which
+half a row is toxic: with no row at all nothing is predicted toxic.  Very long texts are matched whole,
 in one pass.  Of terms that begin at one place the longest counts; of terms equally telling the lexicon
 takes the shorter, then the first by name.  Other columns are ignored.
 """
@@ -161,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, limit: int = TRAIN
     totals = counts.where("term = ''").select("clean", "toxic").first()
     n_clean, n_toxic = (totals["clean"], totals["toxic"]) if totals else (0, 0)
     if not n_clean or not n_toxic:
-        p = (n_toxic + 0.5) / (n_clean + n_toxic + 1)
+        p = (n_toxic + 0.5) / (n_clean + n_toxic + 2)  # without any row under a half, so nothing is rejected
         return Model({}, (), 0.0, math.log(p / (1 - p)))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     least = max(2, n_toxic // 200)

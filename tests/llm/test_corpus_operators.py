@@ -264,3 +264,32 @@ def test_repeat_stage_keeps_blank_rows_and_needs_no_count_column(spark):
     docs = spark.createDataFrame([(1, long, -1), (2, long, 7), (3, " \n", -1), (4, None, None), (5, "short", 5)], "doc_id long, text string, n_chars long")
     assert {r["doc_id"]: r["n_chars"] for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()} == {3: 2, 4: None, 5: 5}
     assert {r["doc_id"] for r in corpus_pipeline.cut_repeats(spark, docs.drop("n_chars"), "").collect()} == {3, 4, 5}
+
+
+def test_stages_on_empty_tables(spark, data, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{data}/{name}.parquet").where("false").write.parquet(str(tmp_path / f"{name}.parquet"))
+    some = spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").limit(40)
+    for docs in (some.where("false"), some):
+        for name, step in corpus_pipeline.STAGES:
+            out = step(spark, docs, str(tmp_path))
+            if name != "packing":
+                assert out.columns == docs.columns
+            if docs is not some:
+                assert out.count() == 0
+            elif name in ("toxicity", "decontamination"):  # nothing learned and nothing to look for
+                assert out.count() == 40
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_further_columns_of_clashing_names(spark, tmp_path):
+    spark.createDataFrame([(1, 0), (6, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(some_words(2, 40)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = frame(spark, odd_rows())
+    names = {"token": "bad", "node": "bad_text", "d": "gone", "k": "text_key", "spans": "codes", "start": "component_id", "item_id": "predicted"}
+    for docs in (docs, docs.withColumnsRenamed(names)):
+        for name, step in corpus_pipeline.STAGES:
+            out = step(spark, docs, str(tmp_path))
+            rows = out.collect()
+            if name != "packing":
+                assert out.columns == docs.columns and all(r["rec"] == "r" for r in rows)

@@ -420,3 +420,19 @@ def test_equal_rows_scatter_over_buckets(spark):
     assert sorted(r["rank"] for r in shuffled.collect()) == list(range(3048))
     got = sharding.assign_shards(docs, 4, bucket_bytes=4000).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("top")).collect()
     assert sorted(r["n"] for r in got) == [762] * 4 and all(r["top"] == r["n"] - 1 for r in got)
+
+
+def test_revisits_of_repeated_records_and_clashing_names(spark):
+    rows = [(1, "http://a.org/x", 10, False, {"etag": "1"}), (2, "http://a.org/x", 20, True, {"etag": "1"}), (3, "http://a.org/x", 20, True, None)]
+    schema = "record_id long, url string, ts long, revisit boolean, headers map<string,string>, own int, u string, b int, end int, carry int, target int, status string, canonical_url string"
+    frame = spark.createDataFrame([(*r, 1, "u", 2, 3, 4, 5, "s", "c") for r in rows for _ in range(2)], schema)
+    for per in (50_000, 1):
+        got = Counter((r["record_id"], r["canonical_url"], r["status"], r["target_id"]) for r in warc.resolve_revisits(frame, per).collect())
+        assert got == {(2, "a.org/x", "resolved", 1): 2, (3, "a.org/x", "unverified", 1): 2}
+
+
+def test_shards_of_tables_with_shard_and_slot(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", "old", -1) for i in range(10)], "doc_id long, text string, shard string, slot int")
+    out = sharding.assign_shards(docs, 3)
+    assert out.columns == ["doc_id", "text", "shard", "slot"]
+    assert sorted(Counter(r["shard"] for r in out.collect()).items()) == [(0, 4), (1, 3), (2, 3)]
