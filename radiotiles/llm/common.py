@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from radiotiles.sources.scratch import scratch_root, stage
 
-__all__ = ["column_bytes", "gram_hashes", "hashed_words", "learned_from", "mix", "scratch_root", "shingle_set", "signed", "slices", "stage", "table"]
+__all__ = ["column_bytes", "gram_hashes", "hashed_words", "learned_from", "mix", "numbered", "scratch_root", "shingle_set", "signed", "slices", "stage", "table"]
 
 #: Characters that end a word: a space and \t \n \v \f \r.  `bytes.split()` splits at just these.
 SPACES = " \t\n\x0b\x0c\r"
@@ -27,6 +27,11 @@ def learned_from(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus != 0
 
 
+def numbered(df: DataFrame, names: list[str], *more: Column) -> DataFrame:
+    """The named columns as c0, c1, ... and `more`: Spark's Arrow functions take no names with dots."""
+    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], *more)
+
+
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radiotiles.llm import chat, contamination, jaccard, lm, packing, quality, repeats, sharding, toxicity, warc
-from radiotiles.llm.common import learned_from, table
+from radiotiles.llm import chat, codes, contamination, infill, jaccard, lm, packing, pii, quality, repeats, sharding, toxicity, warc
+from radiotiles.llm.common import learned_from, stage, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,53 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_crc(packing.pack(table(spark, sf_dir, "documents"))).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_chat_format, op4_decontamination, op5_lm_score, op6_warc_revisits, op7_suffix_dedup, op8_ngram_jaccard, op9_toxicity, op10_packing)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    books = codes.fit(vectors)
+    coded = codes.with_label_error(stage(codes.encode(vectors, books), "codes"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    back = infill.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.digests(pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.BASE], "base_sha256", F.col("listed").alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_chat_format, op4_decontamination, op5_lm_score, op6_warc_revisits, op7_suffix_dedup, op8_ngram_jaccard, op9_toxicity, op10_packing, op11_vector_codes, op12_fill_in_middle, op13_personal_data)}
+
+ROUNDS = 4
+#: Squared distance from inner products, which are exact on doubles of whole numbers.
+SQUARE = "list_inner_product(q.v, q.v) - 2 * list_inner_product(q.v, c.v) + list_inner_product(c.v, c.v)"
+
+
+def nearest_sql(k: int) -> str:
+    return f"(SELECT q.vec_id, q.p, min_by(c.e, {{d: {SQUARE}, e: c.e}}) AS e, min({SQUARE}) AS d FROM q JOIN cb{k} c USING (p) GROUP BY q.vec_id, q.p)"
+
+
+def codes_sql() -> str:
+    out = """
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id, p, v[p * 16 + 1 : p * 16 + 16] AS v FROM kept CROSS JOIN range(4) AS r(p)),
+cb0 AS (SELECT p, e, v FROM q JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept) USING (vec_id) WHERE e < 256)"""
+    for k in range(ROUNDS):
+        out += f""",
+a{k} AS MATERIALIZED {nearest_sql(k)},
+m{k} AS (SELECT p, e, list(s ORDER BY i) AS v FROM (SELECT p, e, i, floor(sum(x) / count(*)) AS s FROM (SELECT p, e, unnest(v) AS x, unnest(range(16)) AS i FROM a{k} JOIN q USING (vec_id, p)) GROUP BY p, e, i) GROUP BY p, e),
+cb{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.v, cb{k}.v) AS v FROM cb{k} LEFT JOIN m{k} USING (p, e))"""
+    return out + f""",
+z AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM {nearest_sql(ROUNDS)} GROUP BY vec_id),
+l AS (SELECT label, sum(error)::BIGINT AS label_error FROM z JOIN kept USING (vec_id) GROUP BY label),
+s AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(v) AS x, unnest(range(16)) AS i FROM cb{ROUNDS}))
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM z JOIN kept USING (vec_id) JOIN l ON l.label IS NOT DISTINCT FROM kept.label CROSS JOIN s
+"""
+
 
 CANONICAL = """
 n AS (SELECT *, regexp_replace(url, '#.*$', '') AS plain FROM cap),
@@ -164,5 +210,14 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id
+""",
+    "op11_vector_codes": codes_sql(),
+    "op12_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id::VARCHAR) AS h, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w FROM documents),
+c AS (SELECT *, len(w) AS n, ('0x' || h[1:8])::BIGINT % (len(w) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(w) + 1) AS y, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(w[1 : least(x, y)], '') AS a, array_to_string(w[least(x, y) + 1 : greatest(x, y)], '') AS b, array_to_string(w[greatest(x, y) + 1 : n], '') AS c FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(t) AS restored_sha256 FROM f
 """,
 }
