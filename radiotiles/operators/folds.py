@@ -106,10 +106,10 @@ def fold_table(scores: DataFrame, models: list[str], *keys: str) -> DataFrame:
 
 def model_report(scores: DataFrame, n_boot: int = 10_000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """Each model against the first by name: interval of the mean difference, t, signed ranks, and whether
-    Holm's procedure rejects by the p-values of the signed ranks."""
+    Holm's procedure rejects by the p-values of the t-tests."""
     reference = scores.agg(F.min("model")).first()[0]
     d = paired(scores, reference)
-    ranks = wilcoxon(d)
-    tested = holm(ranks.select(F.lit("all").alias("family"), F.col("model").alias("name"), F.col("p_w").alias("p")), alpha)
-    all_ = bootstrap_ci(d, n_boot, alpha, seed).join(paired_t(d), "model").join(ranks.drop("n"), "model", "left")
+    means = paired_t(d)
+    tested = holm(means.select(F.lit("all").alias("family"), F.col("model").alias("name"), F.col("p_t").alias("p")), alpha)
+    all_ = bootstrap_ci(d, n_boot, alpha, seed).join(means, "model").join(wilcoxon(d).drop("n"), "model", "left")
     return all_.join(tested.select(F.col("name").alias("model"), "rejected"), "model", "left").withColumn("reference", F.lit(reference))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from radiotiles.functions.radio import predict_db
 from radiotiles.sources.scratch import stage
 
 #: Steps after which what is left to cover is written.
@@ -22,22 +23,92 @@ def cover_edges(sites: DataFrame, points: DataFrame, radius: float) -> DataFrame
     return spread.join(placed, ["i", "j"]).where(d2 < radius * radius).select("candidate_id", "point_id")
 
 
-def greedy_cover(edges: DataFrame, k: int | None = None) -> DataFrame:
-    """(step, candidate_id, gain): the site with most uncovered points, k times or until none gains; ties go to
-    the least id.  Edges are written once, what is left of them every few steps; one row reaches the driver
-    in each step."""
+def power_reach(sites: DataFrame, threshold_dbm: float, d0: float = 1.0) -> DataFrame:
+    """`sites` (p_tx_dbm, gamma, pl0, margin_db) with reach_m: the distance within which the lower bound of the received
+    power, p_tx - (pl0 + gamma x) - margin, passes the threshold.  Sites that do not pass it at d0, and sites
+    without a positive gamma, have no reach and go."""
+    spare = F.col("p_tx_dbm") - F.col("margin_db") - F.col("pl0") - threshold_dbm
+    return sites.where((F.col("gamma") > 0) & (spare >= 0)).withColumn("reach_m", d0 * F.pow(F.lit(10.0), spare / (10 * F.col("gamma"))))
+
+
+def cover_by_power(sites: DataFrame, points: DataFrame, threshold_dbm: float, d0: float = 1.0) -> DataFrame:
+    """(candidate_id, point_id, power_dbm): the points at which the lower bound of a site's received power passes the
+    threshold.  A range join with a radius of its own for each row: sites fall into classes of reach by powers of two,
+    each class has square cells of that size, and a site meets the points of nine cells of its class.  Points are
+    copied once for each class that some site is of (a few dozen at most, as reaches are distances on Earth)."""
+    reach = power_reach(sites, threshold_dbm, d0).withColumn("k", F.ceil(F.log2(F.col("reach_m") * (1 + 1e-9))).cast("int"))
+    cell = lambda v: F.floor(F.col(v) / F.pow(F.lit(2.0), F.col("k")))
+    near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    spread = reach.withColumn("i", near).withColumn("i", cell("sx") + F.col("i")).withColumn("j", near).withColumn("j", cell("sy") + F.col("j"))
+    classes = reach.select("k").distinct()
+    placed = points.crossJoin(F.broadcast(classes)).withColumn("i", cell("px")).withColumn("j", cell("py"))  # a row for each power of two
+    d = F.hypot(F.col("sx") - F.col("px"), F.col("sy") - F.col("py"))
+    power = F.col("p_tx_dbm") - F.col("margin_db") - predict_db(d, F.col("gamma"), F.col("pl0"), d0)
+    edges = spread.join(placed, ["k", "i", "j"]).select("candidate_id", "point_id", power.alias("power_dbm"))
+    return edges.where(F.col("power_dbm") >= threshold_dbm)
+
+
+#: Rows of stale bounds that the driver holds, how many of them are recounted at once, and steps after which the covered
+#: points are written.
+HEAD, AT_ONCE, COVERED = 4096, 16, 12
+
+
+def greedy_cover(edges: DataFrame, k: int | None = None, head: int = HEAD, at_once: int = AT_ONCE) -> DataFrame:
+    """(step, candidate_id, gain, recounted, recounted_edges): the site with most uncovered points, k times or until none
+    gains; ties go to the least id.
+
+    Lazy: gains only fall, so a gain of an earlier step is an upper bound.  Bounds with the step that they were counted in
+    are a table; the driver holds its `head` best rows and the bound of the next.  Of the head, the `at_once` best are
+    recounted together until the best bound is of this step; edges of other sites are not read (edges are
+    written in the order of sites, so a filter by id skips the other files).  When the best falls behind the bound of the
+    next row, the head goes back into the table and a new one is taken."""
     spark, rows = edges.sparkSession, []
-    left = edges = stage(edges, "edges")
+    edges = stage(edges.select("candidate_id", "point_id").distinct().repartitionByRange("candidate_id", "point_id").sortWithinPartitions("candidate_id"), "edges")
+    bounds = edges.groupBy("candidate_id").agg(F.count("*").alias("gain")).select("*", F.lit(0).alias("step"), F.col("gain").alias("n"))
+    bounds = stage(bounds, "bounds")
+    own: dict[int, tuple[int, int, int]] = {}  # the head: site -> gain, the step that it was counted in, edges
+    rest = None  # the best row outside the head, as its rank
+    covered, recent, taken, recounted, read = None, [], [], 0, 0
+    rank = lambda c: (-own[c][0], c)
+
+    def points_of(sites: list[int]) -> DataFrame:
+        return edges.where(F.col("candidate_id").isin(sites)).select("point_id")
+
     while k is None or len(rows) < k:
-        best = left.groupBy("candidate_id").agg(F.count("*").alias("gain")).orderBy(F.desc("gain"), "candidate_id").first()
-        if best is None:
+        best = min(own, key=rank, default=None)
+        if best is None and rest is None and rows:
+            break  # all sites were in the head
+        if best is None or (rest is not None and rank(best) > rest):
+            if taken:
+                bounds, taken = bounds.where(~F.col("candidate_id").isin(taken)), []
+            if own:
+                held = spark.createDataFrame([(c, g, t) for c, (g, t, _) in own.items()], "candidate_id long, g long, t int")
+                bounds = bounds.join(F.broadcast(held), "candidate_id", "left").select("candidate_id", F.coalesce("g", "gain").alias("gain"), F.coalesce("t", "step").alias("step"), "n")  # `head` rows
+                bounds = stage(bounds.where("gain > 0"), "bounds")
+            top = bounds.orderBy(F.desc("gain"), "candidate_id").limit(head + 1).collect()
+            if not top:
+                break
+            own = {r["candidate_id"]: (r["gain"], r["step"], r["n"]) for r in top[:head]}
+            rest = (-top[head]["gain"], top[head]["candidate_id"]) if len(top) > head else None
+            continue
+        if own[best][0] == 0:
             break
-        rows.append((len(rows), best["candidate_id"], best["gain"]))
-        covered = edges.where(F.col("candidate_id") == best["candidate_id"]).select("point_id")
-        left = left.join(covered, "point_id", "left_anti")
-        if len(rows) % KEPT == 0:
-            left = stage(left, "left")
-    return spark.createDataFrame(rows, "step int, candidate_id long, gain long")
+        if own[best][1] == len(rows):
+            rows.append((len(rows), best, own.pop(best)[0], recounted, read))
+            recent, taken, recounted, read = [*recent, best], [*taken, best], 0, 0
+            if len(recent) == COVERED:
+                new = points_of(recent).distinct()
+                covered = stage(new if covered is None else covered.unionByName(new.join(covered, "point_id", "left_anti")), "covered")
+                recent = []
+            continue
+        stale = [c for c in sorted(own, key=rank)[:at_once] if own[c][1] < len(rows)]
+        gone = covered if not recent else points_of(recent) if covered is None else covered.unionByName(points_of(recent))
+        open_ = edges.where(F.col("candidate_id").isin(stale)).join(gone, "point_id", "left_anti")
+        counts = dict(open_.groupBy("candidate_id").count().collect())
+        for c in stale:
+            own[c] = (counts.get(c, 0), len(rows), own[c][2])
+        recounted, read = recounted + len(stale), read + sum(own[c][2] for c in stale)
+    return spark.createDataFrame(rows, "step int, candidate_id long, gain long, recounted int, recounted_edges long")
 
 
 def greedy_set_cover(edges: DataFrame, required: DataFrame) -> DataFrame:
@@ -55,15 +126,30 @@ def compare(steps: dict[str, DataFrame]) -> DataFrame:
     return both.select("method", "step", "candidate_id", F.sum("gain").over(so_far).alias("covered"))
 
 
-def median_placement(sites: DataFrame, points: DataFrame, radius: float, max_steps: int = 1000) -> DataFrame:
+def median_placement(sites: DataFrame, points: DataFrame, radius: float | None = None, max_steps: int | None = None, threshold_dbm: float | None = None, station: dict[str, float] | None = None) -> DataFrame:
     """(step, candidate_id, x, y, gain): around the uncovered point nearest to the median of all uncovered
-    ones, the nearest unused site within `radius`, or else a new station (null id) at the median itself.
-    Ties go to the least id.  Ends when all points are covered, or with a new station that covers none, as all
-    steps after it would be the same; one row reaches the driver in each step."""
+    ones, the unused site that is strongest there and covers it, or else a new station (null id) at the median itself.
+    With `radius`, a site covers the points nearer than that and the nearest is the strongest; with `threshold_dbm`
+    the lower bound of received power counts, by the sites' p_tx_dbm, gamma, pl0 and margin_db, and new stations have those of
+    `station`.  Ties go to the least id.  Ends when all points are covered, or with a new station that covers none, as all
+    steps after it would be the same, or after `max_steps`; one row reaches the driver in each step."""
     spark, left, rows = points.sparkSession, points, []
     used: list[int] = []
-    before = 0
-    for step in range(max_steps + 1):
+    before, step = 0, 0
+    own = ("p_tx_dbm", "gamma", "pl0", "margin_db") if radius is None else ()
+    if radius is None:
+        if threshold_dbm is None or station is None:
+            raise ValueError("give a radius, or a threshold and what a new station has")
+        sites = power_reach(sites, threshold_dbm)
+
+    def strength(d: Column, site: dict) -> Column:
+        if radius is not None:
+            return -d
+        return F.lit(site["p_tx_dbm"]) - F.lit(site["margin_db"]) - predict_db(d, F.lit(site["gamma"]), F.lit(site["pl0"]))
+
+    covers = lambda power: power > -radius if radius is not None else power >= threshold_dbm
+    off = lambda a, b, at: F.sqrt(F.pow(F.col(a) - at[0], F.lit(2)) + F.pow(F.col(b) - at[1], F.lit(2)))
+    while True:
         med = left.agg(F.percentile("px", F.lit(0.5)).alias("x"), F.percentile("py", F.lit(0.5)).alias("y"), F.count("*").alias("n")).first()
         stuck = False
         if rows:
@@ -72,17 +158,17 @@ def median_placement(sites: DataFrame, points: DataFrame, radius: float, max_ste
         if not med["n"] or stuck or step == max_steps:
             break
         before = med["n"]
-        off = lambda a, b, at: F.sqrt(F.pow(F.col(a) - at[0], F.lit(2)) + F.pow(F.col(b) - at[1], F.lit(2)))
         star = left.agg(F.min(F.struct(off("px", "py", (med["x"], med["y"])).alias("d"), "point_id", "px", "py")).alias("p")).first()["p"]
         free = sites.where(~F.col("candidate_id").isin(used)) if used else sites
-        near = free.withColumn("d", off("sx", "sy", (star["px"], star["py"]))).where(F.col("d") < radius)
-        best = near.agg(F.min(F.struct("d", "candidate_id", "sx", "sy")).alias("s")).first()["s"]
+        near = free.withColumn("power", strength(off("sx", "sy", (star["px"], star["py"])), {c: F.col(c) for c in own})).where(covers(F.col("power")))
+        best = near.agg(F.min(F.struct((-F.col("power")).alias("low"), "candidate_id", "sx", "sy", *own)).alias("s")).first()["s"]
         at = (best["sx"], best["sy"]) if best else (med["x"], med["y"])
         if best:
             used.append(best["candidate_id"])
-        left = left.where(off("px", "py", at) >= radius)
+        left = left.where(~covers(strength(off("px", "py", at), best if best else station)))
         rows.append((step, best["candidate_id"] if best else None, float(at[0]), float(at[1]), 0))
-        if step % KEPT == KEPT - 1:
+        step += 1
+        if step % KEPT == 0:
             left = stage(left, "left")
     return spark.createDataFrame(rows, "step int, candidate_id long, x double, y double, gain long")
 

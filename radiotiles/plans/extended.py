@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from radiotiles.functions import geo
 from radiotiles.operators import folds, grid, paths, robustness, siting, structures
-from radiotiles.plans.queries import COVER, ORACLE, TOUCH, _scores, query, r, rows
+from radiotiles.plans.queries import ORACLE, POWER, THRESHOLD_DBM, TOUCH, _scores, greedy_sql, power_sites, query, r, rows
 from radiotiles.sources.fixtures import cte
 
 CELL = 300.0
@@ -86,17 +86,21 @@ def c11_local_frame(spark, sf):
     return back.select("city", "bs_id", "l_orderkey", "l_linenumber", "l_partkey", r("x", 3), r("y", 3), r("error_deg", 7))
 
 
-def _steps(radius: float, method: str, k: int) -> str:
-    out = f", e_{method} AS (SELECT candidate_id, point_id FROM fx_sites, fx_points WHERE pow(sx - px, 2) + pow(sy - py, 2) < {radius * radius}), {method}0 AS (SELECT * FROM e_{method})"
-    for i in range(k):
-        out += f", {method}_b{i} AS (SELECT {i} AS step, candidate_id, count(*) AS gain FROM {method}{i} GROUP BY candidate_id ORDER BY gain DESC, candidate_id LIMIT 1), {method}{i + 1} AS (SELECT * FROM {method}{i} WHERE point_id NOT IN (SELECT point_id FROM e_{method} JOIN {method}_b{i} USING (candidate_id)))"
-    return out
+@query(POWER + greedy_sql("nominal", "en") + greedy_sql("averse", "ea") + " SELECT method, step, candidate_id, sum(gain) OVER (PARTITION BY method ORDER BY step)::BIGINT AS covered FROM (SELECT 'nominal' AS method, * FROM g_nominal UNION ALL SELECT 'averse', * FROM g_averse)")
+def k6_placement_comparison(spark, sf):
+    """Greedy sites by expected power and by its conformal lower bound, until none gains."""
+    sites, points = power_sites(spark, sf), rows(spark, sf, "fx_points")
+    methods = {"nominal": sites.withColumn("margin_db", F.lit(0.0)), "averse": sites}
+    return siting.compare({m: siting.greedy_cover(siting.cover_by_power(own, points, THRESHOLD_DBM)) for m, own in methods.items()})
 
 
-@query(COVER + _steps(300.0, "nominal", 3) + _steps(240.0, "averse", 3) + " SELECT method, step, candidate_id, sum(gain) OVER (PARTITION BY method ORDER BY step)::BIGINT AS covered FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS method, * FROM {m}_b{i}" for m in ("nominal", "averse") for i in range(3)) + ")")
-def k6_placement_comparison(spark, sf):
-    sites, points = rows(spark, sf, "fx_sites"), rows(spark, sf, "fx_points")
-    return siting.compare({m: siting.greedy_cover(siting.cover_edges(sites, points, radius), 3) for m, radius in (("nominal", 300.0), ("averse", 240.0))})
+@query()
+def k6_median_comparison(spark, sf):
+    """Rows only here, as medians of what is left are no SQL: the greedy sites by the lower bound against median-seeking
+    placement by the same; a test follows the placement by hand."""
+    sites, points = power_sites(spark, sf), rows(spark, sf, "fx_points")
+    placed = siting.median_placement(sites, points, threshold_dbm=THRESHOLD_DBM, station={"p_tx_dbm": 35.0, "gamma": 2.5, "pl0": 42.0, "margin_db": 2.0})
+    return siting.compare({"averse": siting.greedy_cover(siting.cover_by_power(sites, points, THRESHOLD_DBM)), "median": placed})
 
 
 @query()
@@ -107,8 +111,8 @@ def k4_median_placement(spark, sf):
 
 
 @query(f"""WITH j AS (SELECT * FROM ({ORACLE['j1_bootstrap']}) JOIN ({ORACLE['j2_paired_t']}) USING (model) LEFT JOIN (SELECT model, wilcoxon, p_w FROM ({ORACLE['j3_wilcoxon']})) USING (model)),
-k AS (SELECT *, split_part(model, '/', 2) AS target, row_number() OVER (PARTITION BY split_part(model, '/', 2) ORDER BY p_w, model) - 1 AS i, count(*) OVER (PARTITION BY split_part(model, '/', 2)) AS mm FROM j)
-SELECT split_part(model, '/', 1) AS model, target, 'a' AS reference, diff_mean, ci_lo, ci_hi, significant, n_folds, t, p_t, cohens_dz_folds, wilcoxon, p_w, min((p_w <= 0.05 / (mm - i))::INT) OVER (PARTITION BY target ORDER BY i) = 1 AS rejected FROM k""")
+k AS (SELECT *, split_part(model, '/', 2) AS target, row_number() OVER (PARTITION BY split_part(model, '/', 2) ORDER BY p_t, model) - 1 AS i, count(*) OVER (PARTITION BY split_part(model, '/', 2)) AS mm FROM j)
+SELECT split_part(model, '/', 1) AS model, target, 'a' AS reference, diff_mean, ci_lo, ci_hi, significant, n_folds, t, p_t, cohens_dz_folds, wilcoxon, p_w, min((p_t <= 0.05 / (mm - i))::INT) OVER (PARTITION BY target ORDER BY i) = 1 AS rejected FROM k""")
 def j7_model_report(spark, sf):
     """Each target by itself."""
     scores, out = _scores(spark, sf), None

@@ -577,14 +577,49 @@ def k1_cover_relation(spark, sf):
     return _edges(spark, sf).groupBy("candidate_id").agg(F.count("*").alias("n"))
 
 
-def _greedy_sql(k: int) -> str:
-    out, left = COVER + ", l0 AS (SELECT * FROM ed)", ""
-    for i in range(k):
-        out += f", b{i} AS (SELECT {i} AS step, candidate_id, count(*) AS gain FROM l{i} GROUP BY candidate_id ORDER BY gain DESC, candidate_id LIMIT 1), l{i + 1} AS (SELECT * FROM l{i} WHERE point_id NOT IN (SELECT point_id FROM ed JOIN b{i} USING (candidate_id)))"
-        left += (" UNION ALL " if i else " ") + f"SELECT step, candidate_id, gain FROM b{i}"
-    return out + left
+def greedy_sql(name: str, edges: str) -> str:
+    """CTE g_name of greedy steps over a CTE of edges until none gains: sites as bitmaps of their points, up to 150,000."""
+    return f""", i_{name} AS (SELECT point_id, row_number() OVER (ORDER BY point_id) - 1 AS b FROM (SELECT DISTINCT point_id FROM {edges})),
+b_{name} AS (SELECT candidate_id, bitstring_agg(b::INT, 0, 149999) AS bits FROM {edges} JOIN i_{name} USING (point_id) GROUP BY candidate_id),
+r_{name} AS (SELECT -1 AS step, -1::BIGINT AS candidate_id, 0::BIGINT AS gain, any_value(bits) & ~any_value(bits) AS cov FROM b_{name}
+  UNION ALL SELECT * FROM (SELECT step + 1, b.candidate_id::BIGINT, bit_count(bits & ~cov)::BIGINT AS gain, bits | cov FROM r_{name}, b_{name} b ORDER BY gain DESC, b.candidate_id LIMIT 1) WHERE gain > 0),
+g_{name} AS (SELECT step::INT AS step, candidate_id, gain FROM r_{name} WHERE step >= 0)"""
 
 
-@query(_greedy_sql(4))
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(recursive(COVER + greedy_sql("all", "ed") + " SELECT * FROM g_all"))
 def k2_greedy_cover(spark, sf):
-    return siting.greedy_cover(_edges(spark, sf), 4)
+    """All steps until no site gains."""
+    return siting.greedy_cover(_edges(spark, sf)).select("step", "candidate_id", "gain")
+
+
+THRESHOLD_DBM = -62.0
+#: Sites with the parameters of their station's measurements (half of them) and the conformal margin of the city's others.
+POWER = f"""WITH RECURSIVE {cte('fx_sites', 'fx_points', 'fx_measurements')}, me AS (SELECT city, bs_id, l_orderkey % 2 = 0 AS fit, 10 * log10(greatest(dist_m, 1)) AS x, pathloss_db AS y FROM fx_measurements),
+mo AS (SELECT bs_id, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) / nullif(var_pop(x), 0) AS gamma FROM me WHERE fit GROUP BY bs_id),
+rs AS (SELECT city, abs(y - (my + gamma * (x - mx))) AS s FROM me JOIN mo USING (bs_id) WHERE NOT fit AND gamma IS NOT NULL),
+mg AS (SELECT city, min(s) AS margin_db FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY s) AS k, count(*) OVER (PARTITION BY city) AS n FROM rs) WHERE k >= least(ceil((n + 1) * 0.9 - 1e-9), n) GROUP BY city),
+pw AS (SELECT candidate_id, sx, sy, 30.0::DOUBLE + candidate_id % 10 AS p_tx_dbm, gamma, my - gamma * mx AS pl0, margin_db FROM fx_sites JOIN mo ON bs_id = candidate_id JOIN (SELECT DISTINCT city, bs_id FROM me) USING (bs_id) JOIN mg USING (city)),
+rc AS (SELECT *, p_tx_dbm - pl0 - gamma * 10 * log10(greatest(sqrt(pow(sx - px, 2) + pow(sy - py, 2)), 1)) AS power FROM pw, fx_points WHERE gamma > 0),
+en AS (SELECT candidate_id, point_id FROM rc WHERE power >= {THRESHOLD_DBM}), ea AS (SELECT candidate_id, point_id, power - margin_db AS power_dbm FROM rc WHERE power - margin_db >= {THRESHOLD_DBM})"""
+
+
+def power_sites(spark, sf):
+    """Sites with transmit power, the fit of their station's measurements (even order keys) and their city's conformal
+    margin: the 0.9 quantile of the absolute errors of the fit on the other measurements."""
+    m = rows(spark, sf).select("city", "bs_id", (F.col("l_orderkey") % 2 == 0).alias("fit"), radio.log_distance(F.col("dist_m")).alias("x"), F.col("pathloss_db").alias("y"))
+    own = fits.with_least_squares(fits.statistics(m.where("fit"), "city", "bs_id")).where("gamma is not null").select("city", "bs_id", "gamma", "pl0")
+    told = m.where("not fit").join(own, ["city", "bs_id"]).select("city", F.col("y").alias("truth"), (F.col("pl0") + F.col("gamma") * F.col("x")).alias("pred"))
+    margin = metrics.conformal_quantile(told, "city", normalized=False).withColumnRenamed("q", "margin_db")
+    sites = rows(spark, sf, "fx_sites").join(own, F.col("candidate_id") == F.col("bs_id")).join(margin, "city")
+    return sites.select("candidate_id", "sx", "sy", (30.0 + F.col("candidate_id") % 10).alias("p_tx_dbm"), "gamma", "pl0", "margin_db")
+
+
+@query(POWER + " SELECT candidate_id, count(*) AS n, sum(point_id)::BIGINT AS points, round(min(power_dbm), 3) AS least_dbm FROM ea GROUP BY candidate_id")
+def k1_power_cover(spark, sf):
+    """A candidate covers a point where the lower bound of its received power passes the threshold."""
+    edges = siting.cover_by_power(power_sites(spark, sf), rows(spark, sf, "fx_points"), THRESHOLD_DBM)
+    return edges.groupBy("candidate_id").agg(F.count("*").alias("n"), F.sum("point_id").alias("points"), r(F.min("power_dbm"), 3, "least_dbm"))
