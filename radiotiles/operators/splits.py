@@ -9,7 +9,7 @@ from radiotiles.functions.radio import hash_rank_key
 
 
 # Numbers of anchors, and draws of each.
-KS, DRAWS = (3, 5, 10, 30, 100), 10
+KS, DRAWS = (3, 5, 10, 25, 50, 100), 10
 
 
 def leave_one_city_out(cities: DataFrame, n_val: int = 1, seed: int = 0) -> DataFrame:

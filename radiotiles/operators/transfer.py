@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -11,10 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from radiotiles.operators.blocks import block_pairs, matrix, squared_distances
+from radiotiles.sources.scratch import stage
 
 # The widths that are tried.
 SIGMAS = (0.05, 0.1, 0.2, 0.3, 0.5, 0.8, 1.0, 1.5, 2.0)
 TARGETS = ("gamma", "pl0")
+#: The least squared residual of which a log is taken.
+LEAST_SQUARE = 1e-12
 
 
 def column_max(stacked: DataFrame, by: str = "fold") -> DataFrame:
@@ -80,70 +85,156 @@ def median_predictor(train: DataFrame) -> DataFrame:
     return train.groupBy("fold").agg(*[F.percentile(t, F.lit(0.5)).alias(f"{t}_pred") for t in TARGETS])
 
 
-def fitted_models(train: DataFrame, estimator, targets: tuple[str, ...] = TARGETS, parallel: int = 8) -> dict:
-    """{(fold, target): model} of one estimator for each fold and target, `parallel` at a time; `estimator`
-    takes the target, the number of rows and the label's population spread."""
-    from pyspark.ml.functions import array_to_vector
+def city_products(tiles: DataFrame, targets: tuple[str, ...] = TARGETS) -> DataFrame:
+    """(city, n, width, products, largest): what ridge fits of any set of cities need, from one pass over the tiles.  products:
+    the sums of the products of (1, v, targets) with one another, row by row; largest: the largest absolute value of
+    each dimension.  Tiles with a null or a non-finite target are left out.  Each batch gives a matrix for each of its
+    cities, Spark sums them."""
+    finite_ = [F.col(t).isNotNull() & ~F.isnan(t) for t in targets]
+    kept = tiles.where(reduce(lambda x, y: x & y, finite_)).select("city", F.col("v").cast("array<double>").alias("v"), *[F.col(t).cast("double").alias(t) for t in targets])
+    schema = f"city {tiles.schema['city'].dataType.simpleString()}, products array<double>, largest array<double>"
 
-    known = train.groupBy("fold").agg(F.count("*").alias("n"), *[F.stddev_pop(t).alias(t) for t in targets]).collect()
-    wide = train.withColumn("features", array_to_vector("v"))
-
-    def fit(job: tuple) -> tuple:
-        r, t = job
-        return (r["fold"], t), estimator(t, r["n"], r[t]).fit(wide.where(F.col("fold") == r["fold"]))
-
-    with ThreadPool(parallel) as pool:
-        return dict(pool.map(fit, [(r, t) for r in known for t in targets]))
-
-
-def ridge_models(train: DataFrame, alpha: float = 1.0, targets: tuple[str, ...] = TARGETS) -> dict:
-    """Ridge regressions of each fold and target with a free intercept: {(fold, target): model}."""
-    from pyspark.ml.regression import LinearRegression
-
-    return fitted_models(train, lambda t, n, sd: LinearRegression(featuresCol="features", labelCol=t, elasticNetParam=0.0, standardization=False, solver="normal", regParam=alpha * sd / n), targets)
-
-
-def boosted_models(train: DataFrame, trees: int = 600, step: float = 0.05, depth: int = 5, least_rows: int = 40, share: float = 0.8, seed: int = 0) -> dict:
-    """Gradient-boosted regression trees of each fold and target, on a share of the rows and of the features."""
-    from pyspark.ml.regression import GBTRegressor
-
-    return fitted_models(
-        train,
-        lambda t, n, sd: GBTRegressor(
-            featuresCol="features", labelCol=t, maxIter=trees, stepSize=step, maxDepth=depth, minInstancesPerNode=least_rows, subsamplingRate=share, featureSubsetStrategy=str(share), seed=seed, cacheNodeIds=True
-        ),
-    )
-
-
-def predicted(models: dict, test: DataFrame) -> DataFrame:
-    """(fold, tile, target, pred): each test tile by the models of its fold."""
-    from pyspark.ml.functions import array_to_vector
-
-    wide, out = test.withColumn("features", array_to_vector("v")), None
-    for (fold, target), m in sorted(models.items()):
-        own = m.transform(wide.where(F.col("fold") == fold)).select("fold", "tile", F.lit(target).alias("target"), F.col("prediction").alias("pred"))
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-def linear_predictions(models: dict, test: DataFrame) -> DataFrame:
-    """(fold, tile, target, pred) by linear models, whose coefficients are joined: one pass over the test tiles."""
-    fitted = [(f, t, float(m.intercept), [float(x) for x in m.coefficients]) for (f, t), m in models.items()]  # folds x targets rows
-    own = test.sparkSession.createDataFrame(fitted, f"fold {test.schema['fold'].dataType.simpleString()}, target string, b double, w array<double>")
-    return test.join(F.broadcast(own), "fold").select("fold", "tile", "target", (F.col("b") + dot("v", "w")).alias("pred"))
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
+            x = np.column_stack([np.ones(table.num_rows), matrix(table, "v"), *(table.column(t).to_numpy() for t in targets)])
+            names, place = np.unique(np.array(table.column("city").to_pylist(), object).astype(str), return_inverse=True)
+            first = [int(np.flatnonzero(place == k)[0]) for k in range(len(names))]
+            own = [x[place == k] for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(
+                [table.column("city").take(pa.array(first)).combine_chunks(), pa.array([(o.T @ o).ravel().tolist() for o in own], pa.list_(pa.float64())), pa.array([np.abs(o[:, 1 : -len(targets)]).max(0).tolist() for o in own], pa.list_(pa.float64()))],
+                names=["city", "products", "largest"],
+            )
+
+    parts = stage(kept.mapInArrow(products, schema), "products")  # a few rows for each city and task
+    sums = summed(parts, ("city",), "products", F.sum)
+    most = summed(parts, ("city",), "largest", F.max)
+    return sums.join(most, "city").select("city", F.get("products", 0).cast("long").alias("n"), F.sqrt(F.size("products")).cast("int").alias("width"), "products", "largest")
+
+
+def summed(rows: DataFrame, keys: tuple[str, ...], column: str, by) -> DataFrame:
+    """Arrays of equal length added up (or whatever `by` does) place by place."""
+    cells = rows.select(*keys, F.posexplode(column).alias("at", "x")).groupBy(*keys, "at").agg(by("x").alias("x"))
+    listed = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("s"))  # an array for each key
+    return listed.select(*keys, F.transform("s", lambda e: e["x"]).alias(column))
+
+
+def fold_products(cities: DataFrame, splits: DataFrame, roles: tuple[str, ...] = ("train",)) -> DataFrame:
+    """(fold, products, largest) of the cities with these roles.  Sums are those of all cities less those of the
+    fold's few others, so they cost a row for each fold and not one for each pair of cities."""
+    out = splits.where(~F.col("role").isin(*roles)).join(cities, "city")
+    folds = splits.select("fold").distinct()
+    total = summed(cities.select("products"), (), "products", F.sum)
+    less = folds.join(summed(out, ("fold",), "products", F.sum).withColumnRenamed("products", "less"), "fold", "left")
+    left = F.when(F.col("less").isNull(), F.col("products")).otherwise(F.zip_with("products", "less", lambda x, y: x - y))
+    # the largest value has no inverse: of each dimension the three largest cities would do for two others; all are taken
+    most = summed(splits.where(F.col("role").isin(*roles)).join(cities, "city"), ("fold",), "largest", F.max)
+    return less.crossJoin(F.broadcast(total)).select("fold", left.alias("products")).join(most, "fold")  # one row
+
+
+def ridge_fits(products: DataFrame, alpha: float = 1.0, targets: tuple[str, ...] = TARGETS, fitted: tuple[str, ...] | None = None) -> DataFrame:
+    """(fold, target, n, b, w): ridge regressions with a free intercept on descriptors divided by the fold's largest
+    values, as coefficients of the raw ones; `products` has the sums of (1, v, targets).  A task solves a fold's
+    equations of one unknown for each dimension."""
+    fitted = fitted or targets
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for fold, sums, most in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                g = np.array(sums).reshape(int(round(len(sums) ** 0.5)), -1)
+                d, n = len(most), g[0, 0]
+                if round(n) < 1:
+                    continue
+                scale = np.array([m or 1.0 for m in most])
+                mean = g[0, 1 : d + 1] / n
+                centred = (g[1 : d + 1, 1 : d + 1] - n * np.outer(mean, mean)) / np.outer(scale, scale)
+                for t in fitted:
+                    k = d + 1 + targets.index(t)
+                    right = (g[1 : d + 1, k] - n * mean * (g[0, k] / n)) / scale
+                    w = np.linalg.solve(centred + alpha * np.eye(d), right) / scale
+                    out.append((fold, t, int(round(n)), float(g[0, k] / n - mean @ w), w.tolist()))
+            if out:
+                columns = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1]), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.list_(pa.float64()))], names=["fold", "target", "n", "b", "w"])
+
+    return products.select("fold", "products", "largest").mapInArrow(solve, f"fold {products.schema['fold'].dataType.simpleString()}, target string, n long, b double, w array<double>")
+
+
+def ridge_by_fold(tiles: DataFrame, splits: DataFrame, alpha: float = 1.0, targets: tuple[str, ...] = TARGETS, roles: tuple[str, ...] = ("train",)) -> DataFrame:
+    """Ridge fits of every fold and target from one pass over the tiles (city, v, targets), written: a row for each fold
+    and target."""
+    return stage(ridge_fits(fold_products(stage(city_products(tiles, targets), "cities"), splits, roles), alpha, targets), "fits")
+
+
+def fold_scales(products: DataFrame) -> DataFrame:
+    """(fold, scale): the divisors of `column_max` from the sums of `fold_products`."""
+    return products.select("fold", F.transform("largest", lambda x: F.when(x == 0, F.lit(1.0)).otherwise(x)).alias("scale"))
+
+
+def linear_predictions(fits: DataFrame, test: DataFrame) -> DataFrame:
+    """(fold, tile, target, pred) by linear fits (fold, target, b, w): one pass over the test tiles (fold, tile, v)."""
+    own = fits.select("fold", "target", "b", "w")
+    return test.join(own, "fold").select("fold", "tile", "target", (F.col("b") + dot("v", "w")).alias("pred"))
+
+
+def log_variance_fits(tiles: DataFrame, splits: DataFrame, fits: DataFrame, target: str = "gamma", alpha: float = 1.0, roles: tuple[str, ...] = ("train",)) -> DataFrame:
+    """(fold, target, n, b, w): a second regression in each fold, of the log of the squared residual of its training
+    tiles under its own fit, on the descriptors.  The products of the descriptors are those of `city_products`; the
+    residuals of a tile in all folds come from one matrix product, so the tiles are read once more and never copied
+    by fold.  Fits are sent to all tasks in groups of 256 folds."""
+    cities = stage(city_products(tiles, (target,)), "cities")
+    base = fold_products(cities, splits, roles)
+    models = fits.where(F.col("target") == target).join(splits.where(F.col("role").isin(*roles)).groupBy("fold").agg(F.collect_list("city").alias("cities")), "fold")
+    known = models.select("fold", "b", "w", "cities").orderBy("fold").toLocalIterator()
+    own = tiles.where(F.col(target).isNotNull() & ~F.isnan(target)).select("city", F.col("v").cast("array<double>").alias("v"), F.col(target).cast("double").alias("y"))
+    fold_type, out = fits.schema["fold"].dataType.simpleString(), None
+    while group := list(islice(known, 256)):
+        b, w = np.array([r["b"] for r in group]), np.array([r["w"] for r in group]).T
+        member: dict = {}
+        for k, r in enumerate(group):
+            for c in r["cities"]:
+                member.setdefault(c, []).append(k)
+        names = [r["fold"] for r in group]
+
+        def second(batches: Iterator[pa.RecordBatch], b=b, w=w, member=member, names=names) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((w.shape[1], w.shape[0] + 1))
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                if not table.num_rows:
+                    continue
+                x, y = matrix(table, "v"), table.column("y").to_numpy()
+                z = np.log(np.maximum((y[:, None] - b[None, :] - x @ w) ** 2, LEAST_SQUARE))
+                mine = np.zeros(z.shape, bool)
+                for i, c in enumerate(table.column("city").to_pylist()):
+                    mine[i, member.get(c, [])] = True
+                z[~mine] = 0.0
+                sums += z.T @ np.column_stack([np.ones(len(y)), x])
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(sums.tolist(), pa.list_(pa.float64()))], names=["fold", "right"])
+
+        one = own.mapInArrow(second, f"fold {fold_type}, right array<double>")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return fits.where("false")
+    right = summed(out, ("fold",), "right", F.sum)
+    # the sums of (1, v, log square): those of (1, v) with the new column; its own square is not needed
+    d = F.size("largest")
+    row = lambda i: F.concat(F.slice("products", i * (d + 2) + 1, d + 1), F.array(F.get("right", i)))
+    square = F.concat(F.flatten(F.transform(F.sequence(F.lit(0), d), row)), F.col("right"), F.array(F.lit(0.0)))
+    joined = base.join(right, "fold").select("fold", square.alias("products"), "largest")
+    return stage(ridge_fits(joined, alpha, ("log_square",)), "fits")
 
 
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def log_variances(train: DataFrame, test: DataFrame, alpha: float = 1.0, least: float = -8.0, most: float = 4.0) -> DataFrame:
-    """(fold, tile, sigma): a second regression, of the log of the squared residual (column `residual`) of the
-    train tiles on their descriptors; sigma = exp(f / 2), f clamped."""
-    target = "log_square"
-    with_logs = train.withColumn(target, F.log(F.greatest(F.col("residual") * F.col("residual"), F.lit(1e-12))))
+def second_sigma(fits: DataFrame, test: DataFrame, least: float = -8.0, most: float = 4.0) -> DataFrame:
+    """(fold, tile, sigma): sigma = exp(f / 2) of the predicted log variance f, clamped."""
     f = F.least(F.greatest("pred", F.lit(least)), F.lit(most))
-    return linear_predictions(ridge_models(with_logs, alpha, (target,)), test).select("fold", "tile", F.exp(f / 2).alias("sigma"))
+    return linear_predictions(fits, test).select("fold", "tile", F.exp(f / 2).alias("sigma"))
 
 
 def domain_separability(rows: DataFrame, side: str = "side", iterations: int = 100, reg: float = 1e-3) -> tuple[DataFrame, float]:
@@ -186,11 +277,23 @@ def residual_corrected(rows: DataFrame, alpha: float = 10.0) -> DataFrame:
     return rows.where("not is_anchor").join(fits, keys).withColumn("pred", F.col("pred") + F.col("b") + dot("v", "w")).drop("b", "w")
 
 
-def shot_curve(rows: DataFrame) -> DataFrame:
-    """Root mean squared error by k, averaged over folds and draws."""
+def shot_curve(rows: DataFrame, *keys: str) -> DataFrame:
+    """Root mean squared error by k (and further keys), averaged over folds and draws."""
     e = F.col("truth") - F.col("pred")
-    each = rows.groupBy("fold", "k", "draw").agg(F.sqrt(F.avg(e * e)).alias("rmse"))
-    return each.groupBy("k").agg(F.avg("rmse").alias("rmse"), F.count("*").alias("n_draws"))
+    each = rows.groupBy("fold", *keys, "k", "draw").agg(F.sqrt(F.avg(e * e)).alias("rmse"))
+    return each.groupBy(*keys, "k").agg(F.avg("rmse").alias("rmse"), F.count("*").alias("n_draws"))
+
+
+def shot_table(modes: dict[str, DataFrame], unshot: DataFrame) -> DataFrame:
+    """k and a column of errors for each mode of correction; `unshot` (fold, tile, truth, pred) gives the row of k = 0,
+    which is the same in all modes."""
+    zero = unshot.select("fold", "tile", "truth", "pred", F.lit(0).alias("k"), F.lit(0).alias("draw"))
+    out = None
+    for mode, rows in modes.items():
+        both = rows.select("fold", "tile", "truth", "pred", "k", "draw").unionByName(zero)
+        one = both.withColumn("mode", F.lit(mode))
+        out = one if out is None else out.unionByName(one)
+    return shot_curve(out, "mode").groupBy("k").pivot("mode", list(modes)).agg(F.first("rmse"))
 
 
 def coral(rows: DataFrame, side: str = "side") -> DataFrame:

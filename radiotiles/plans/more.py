@@ -6,11 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from radiotiles.functions import geo
-from radiotiles.operators import descriptors, grid, metrics, robustness, siting, splits, structures, transfer
-from radiotiles.plans.queries import GRID, HEIGHT, METRIC_TILE, ORACLE, PRED, TILE_M, TOUCH, _buildings, _edges, _stacked, query, r, rows
+from radiotiles.operators import boosting, descriptors, grid, metrics, robustness, siting, splits, structures, transfer
+from radiotiles.plans.queries import GRID, HEIGHT, METRIC_TILE, ORACLE, PRED, TILE_M, TOUCH, _buildings, _edges, _splits, _stacked, query, r, rows
 from radiotiles.sources import tables
 from radiotiles.sources.fixtures import cte
-from radiotiles.sources.scratch import scratch_path
+from radiotiles.sources.scratch import scratch_path, stage
 
 # ---- sources and sinks ----
 
@@ -245,35 +245,44 @@ def d11_tile_rasters(spark, sf):
 
 @query()
 def h5_boosted_trees(spark, sf):
-    """Rows only here, of 10 trees a model so that it ends in seconds (the operator's default is 600); a test
-    compares the error with that of the median."""
-    s, _ = _stacked(spark, sf)
-    return transfer.predicted(transfer.boosted_models(s["train"], trees=10, step=0.3, depth=3), s["test"]).select("fold", "tile", "target", r("pred"))
+    """Rows only here: 600 trees of every fold and target; tests compare both ways of growing them with each other and with
+    plain trees."""
+    t, sp, shape = rows(spark, sf, "fx_tiles"), _splits(spark, sf), boosting.Shape()
+    models, edges = boosting.boosted_models(t, sp, shape)
+    return boosting.boosted_predictions(models, edges, tables.stack(t, sp, "test"), shape.depth).select("fold", "tile", "target", r("pred"))
+
+
+SOURCES = ("train", "val")
 
 
 @query()
 def h7_residual_ridge(spark, sf):
-    """Rows only here: error by k of the shot curve with the anchors' residual ridge on the ridge model's
-    predictions; a test compares the dual with the plain form."""
-    s, _ = _stacked(spark, sf)
-    base = transfer.linear_predictions(transfer.ridge_models(s["train"], targets=("gamma",)), s["test"]).select("fold", "tile", "pred")
-    drawn = splits.anchors(s["test"].select(F.col("fold").alias("city"), "tile")).withColumnRenamed("city", "fold")
-    known = drawn.join(s["test"].select("fold", "tile", "v", F.col("gamma").alias("truth")), ["fold", "tile"]).join(base, ["fold", "tile"])
+    """Rows only here: error by k of the shot curve with the anchors' mean and with the anchors' residual ridge on the ridge
+    model's predictions, both targets; a test compares the dual with the plain form."""
+    t, sp = rows(spark, sf, "fx_tiles"), _splits(spark, sf)
+    sums = stage(transfer.fold_products(stage(transfer.city_products(t), "cities"), sp, SOURCES), "folds")
+    test = tables.stack(t, sp, "test")
+    base = stage(transfer.linear_predictions(transfer.ridge_fits(sums), test), "base")
+    scaled = transfer.normalised(test, transfer.fold_scales(sums))
+    drawn = splits.anchors(t.select("city", "tile")).withColumnRenamed("city", "fold")
     out = None
-    for mode, corrected in (("bias", transfer.bias_corrected(known)), ("residual", transfer.residual_corrected(known))):
-        one = transfer.shot_curve(corrected).withColumn("mode", F.lit(mode))
+    for target in transfer.TARGETS:
+        own = base.where(F.col("target") == target).drop("target").join(scaled.select("fold", "tile", "v", F.col(target).alias("truth")), ["fold", "tile"])
+        known = drawn.join(own, ["fold", "tile"])
+        one = transfer.shot_table({"bias": transfer.bias_corrected(known), "residual": transfer.residual_corrected(known)}, own).withColumn("target", F.lit(target))
         out = one if out is None else out.unionByName(one)
-    return out.select("mode", "k", r("rmse", 5), "n_draws")
+    return out.select("target", "k", r("bias", 5), r("residual", 5))
 
 
 @query()
 def h11_second_stage_sigma(spark, sf):
-    """Rows only here; a test plants a spread that depends on a descriptor."""
-    s, _ = _stacked(spark, sf)
-    models = transfer.ridge_models(s["train"], targets=("gamma",))
-    fitted = transfer.linear_predictions(models, s["train"]).select("fold", "tile", "pred")
-    train = s["train"].join(fitted, ["fold", "tile"]).withColumn("residual", F.col("gamma") - F.col("pred"))
-    return transfer.log_variances(train, s["test"]).select("fold", "tile", r("sigma", 5))
+    """Rows only here, of both targets; a test plants a spread that depends on a descriptor."""
+    t, sp = rows(spark, sf, "fx_tiles"), _splits(spark, sf)
+    fitted, test, out = transfer.ridge_by_fold(t, sp), tables.stack(t, sp, "test"), None
+    for target in transfer.TARGETS:
+        one = transfer.second_sigma(transfer.log_variance_fits(t, sp, fitted, target), test).withColumn("target", F.lit(target))
+        out = one if out is None else out.unionByName(one)
+    return out.select("target", "fold", "tile", r("sigma", 5))
 
 
 @query()

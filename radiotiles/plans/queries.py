@@ -407,13 +407,18 @@ def g4_anchors(spark, sf):
     return splits.anchors(rows(spark, sf, "fx_tiles")).groupBy("city", "k", "draw").agg(F.count_if("is_anchor").alias("n_anchors"), F.sum(F.when(F.col("is_anchor"), F.col("tile")).otherwise(0)).alias("tiles"))
 
 
-@query(ANCHOR + """, s AS (SELECT city, k, draw, avg(truth - pred) AS shift FROM g WHERE is_anchor GROUP BY ALL), e AS (SELECT g.city, g.k, g.draw, sqrt(avg(pow(truth - pred - shift, 2))) AS rmse FROM g JOIN s USING (city, k, draw) WHERE NOT is_anchor GROUP BY ALL)
-SELECT k, round(avg(rmse), 5) AS rmse, count(*) AS n_draws FROM e GROUP BY k""")
+@query(ANCHOR + """, s AS (SELECT city, k, draw, avg(truth - pred) AS shift FROM g WHERE is_anchor GROUP BY ALL),
+e AS (SELECT 'bias' AS mode, g.city, g.k, g.draw, sqrt(avg(pow(truth - pred - shift, 2))) AS rmse FROM g JOIN s USING (city, k, draw) WHERE NOT is_anchor GROUP BY ALL
+  UNION ALL SELECT 'none', city, k, draw, sqrt(avg(pow(truth - pred, 2))) FROM g WHERE NOT is_anchor GROUP BY ALL
+  UNION ALL SELECT mode, city, 0, 0, sqrt(avg(pow(truth - pred, 2))) FROM g, (VALUES ('none'), ('bias')) ms(mode) WHERE k = 3 AND draw = 0 GROUP BY ALL)
+SELECT k::INT AS k, round(avg(rmse) FILTER (mode = 'none'), 5) AS none, round(avg(rmse) FILTER (mode = 'bias'), 5) AS bias FROM e GROUP BY k""")
 def h8_shot_curve(spark, sf):
+    """Error by the number of anchors, one column for each mode of correction; 0: without any."""
     t = rows(spark, sf, "fx_tiles")
     own = t.select("tile", F.col("gamma").alias("truth"), (F.col("gamma") + 0.1 + 0.02 * ((F.col("tile") % 9) - 4)).alias("pred"))
     drawn = splits.anchors(t).join(own, "tile").withColumnRenamed("city", "fold")
-    return transfer.shot_curve(transfer.bias_corrected(drawn)).select("k", r("rmse", 5), "n_draws")
+    zero = t.select(F.col("city").alias("fold"), "tile").join(own, "tile")
+    return transfer.shot_table({"none": drawn.where("not is_anchor"), "bias": transfer.bias_corrected(drawn)}, zero).select("k", r("none", 5), r("bias", 5))
 
 
 @query(TILES + " SELECT fold, round(quantile_cont(gamma, 0.5), 5) AS gamma_pred, round(quantile_cont(pl0, 0.5), 5) AS pl0_pred FROM fx_tiles JOIN sp USING (city) WHERE role = 'train' GROUP BY fold")
@@ -457,9 +462,9 @@ def h3_select_sigma(spark, sf):
 
 @query(None)
 def h4_descriptor_ridge(spark, sf):
-    """Rows only here; tests/test_transfer.py compares the fits with the closed form."""
-    s, _ = _stacked(spark, sf)
-    return transfer.linear_predictions(transfer.ridge_models(s["train"]), s["test"]).select("fold", "tile", "target", r("pred"))
+    """Rows only here; tests/test_transfer.py compares them with the closed form of every fold."""
+    t, sp = rows(spark, sf, "fx_tiles"), _splits(spark, sf)
+    return transfer.linear_predictions(transfer.ridge_by_fold(t, sp), tables.stack(t, sp, "test")).select("fold", "tile", "target", r("pred"))
 
 
 @query(f"WITH {cte('fx_tiles')} SELECT city, count(DISTINCT i) AS n_nonzero FROM (SELECT city, unnest(v) AS x, unnest(range(64)) AS i FROM fx_tiles) WHERE x <> 0 GROUP BY city")

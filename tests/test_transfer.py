@@ -4,7 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from radiotiles.operators import blocks, folds, metrics, transfer
+from radiotiles.operators import blocks, boosting, folds, metrics, splits, transfer
+from radiotiles.plans import extended, more  # noqa: F401
+from radiotiles.plans import queries as plans
+from radiotiles.sources import tables
+from radiotiles.sources.fixtures import fixture
 
 
 def frame(spark, rng, n=120, d=5, folds_=("p", "q"), noise=0.05):
@@ -28,24 +32,110 @@ def ridge(x, y, alpha):
     return w, y.mean() - x.mean(0) @ w
 
 
-def test_ridge_is_the_closed_form(spark):
-    df, rows = frame(spark, np.random.default_rng(0))
-    models = transfer.ridge_models(df, 3.0)
-    got = {(r["fold"], r["tile"], r["target"]): r["pred"] for r in transfer.linear_predictions(models, df).collect()}
-    for fold in ("p", "q"):
-        x, y = by_fold(rows, fold)
-        w, b = ridge(x, y, 3.0)
-        assert models[fold, "gamma"].coefficients.toArray() == pytest.approx(w, abs=1e-8)
-        assert got[fold, 7, "gamma"] == pytest.approx(x[7] @ w + b, abs=1e-8)
+def in_cities(spark, rng, n=300, d=5, cities=("a", "b", "c", "d"), noise=0.05):
+    """Tiles of cities with a constant dimension and one unfitted tile, and the splits of all folds."""
+    w, rows = rng.normal(size=d), []
+    for i in range(n):
+        x = rng.normal(size=d) * [1, 10, 0.1, 1, 1]
+        x[4] = 0.0
+        rows.append((cities[i % 7 % len(cities)], i, x.tolist(), float(x @ w + 1.5 + noise * rng.normal()), float(rng.normal())))
+    rows.append((cities[0], n, [1e9] * d, float("nan"), None))
+    tiles = spark.createDataFrame(rows, "city string, tile long, v array<double>, gamma double, pl0 double").repartition(3)
+    return tiles, rows, splits.leave_one_city_out(spark.createDataFrame([(c,) for c in cities], "city string"))
+
+
+def closed_form(rows, roles, fold, k, alpha, kept=("train",)):
+    own = [r for r in rows if roles[fold, r[0]] in kept and r[1] < 300]
+    x, y = np.array([r[2] for r in own]), np.array([r[k] for r in own])
+    scale = np.abs(x).max(0)
+    scale[scale == 0] = 1
+    w, b = ridge(x / scale, y, alpha)
+    return w / scale, b, x, y
+
+
+def test_ridge_of_all_folds_is_the_closed_form(spark):
+    tiles, rows, sp = in_cities(spark, np.random.default_rng(0))
+    roles = {(r.fold, r.city): r.role for r in sp.collect()}
+    for kept in (("train",), ("train", "val")):
+        fits = {(r.fold, r.target): r for r in transfer.ridge_by_fold(tiles, sp, 3.0, roles=kept).collect()}
+        assert len(fits) == 8
+        for (fold, target), r in fits.items():
+            w, b, x, _ = closed_form(rows, roles, fold, 3 + (target == "pl0"), 3.0, kept)
+            assert r.n == len(x) and r.b == pytest.approx(b, abs=1e-8) and r.w == pytest.approx(w, abs=1e-8)
+    got = transfer.linear_predictions(transfer.ridge_by_fold(tiles, sp, 3.0), tables.stack(tiles, sp, "test")).where("target = 'gamma' and tile = 7").first()
+    w, b, _, _ = closed_form(rows, roles, got.fold, 3, 3.0)
+    assert got.pred == pytest.approx(np.array(rows[7][2]) @ w + b, abs=1e-8)
+
+
+def test_registered_ridge_is_the_closed_form_of_every_fold(spark):
+    sf = "/root/testdata/sf0.01"
+    t = {r.tile: r for r in fixture(spark, sf, "fx_tiles").collect()}
+    roles = {(r.fold, r.city): r.role for r in plans.QUERIES["g1_leave_one_city_out"](spark, sf).collect()}
+    rows = [(r.city, 0, [float(x) for x in r.v], r.gamma, r.pl0) for r in t.values()]
+    got = plans.QUERIES["h4_descriptor_ridge"](spark, sf).collect()
+    assert len(got) == 2 * len(t)
+    models = {(f, k): closed_form(rows, roles, f, k, 1.0)[:2] for f in {r.fold for r in got} for k in (3, 4)}
+    for r in got:
+        w, b = models[r.fold, 3 + (r.target == "pl0")]
+        assert r.pred == pytest.approx(np.array(t[r.tile].v, float) @ w + b, abs=1e-4)
+
+
+def plain_trees(x, y, shape):
+    """Boosting by trying every split of every node over all rows."""
+    now, unit = np.full(len(y), y.mean()), max(y.max() - y.mean(), y.mean() - y.min()) / boosting.UNITS
+    for t in range(shape.trees):
+        g, feats, nodes = np.rint((now - y) / unit), shape.features(t, x.shape[1]), [np.arange(len(y))]
+        for _ in range(shape.depth):
+            after = []
+            for own in nodes:
+                best = (1e-9 * (g[own].sum() ** 2 / len(own) + 1), None)
+                for f in feats:
+                    for b in range(shape.bins - 1):
+                        right = x[own, f] > b
+                        n, m = (~right).sum(), right.sum()
+                        if min(n, m) >= shape.least_rows:
+                            gain = g[own][~right].sum() ** 2 / n + g[own][right].sum() ** 2 / m - g[own].sum() ** 2 / len(own)
+                            if gain > best[0]:
+                                best = (gain, right)
+                after += [own] if best[1] is None else [own[~best[1]], own[best[1]]]
+            nodes = after
+        for own in nodes:
+            now[own] -= shape.step * unit * g[own].sum() / len(own)
+    return now
+
+
+def test_boosted_trees_are_those_of_all_splits(spark):
+    tiles, rows, sp = in_cities(spark, np.random.default_rng(1), n=240)
+    shape = boosting.Shape(trees=4, step=0.3, depth=3, least_rows=8, share=0.6, bins=12)
+    models, edges = boosting.boosted_models(tiles, sp, shape)
+    roles = {(r.fold, r.city): r.role for r in sp.collect()}
+    same = tables.stack(tiles, sp, "train").where("tile < 240")  # predictions of the rows that the trees grew from
+    got = {(r.fold, r.tile): r.pred for r in boosting.boosted_predictions(models, edges, same, 3).where("target = 'gamma'").collect()}
+    for fold in {f for f, _ in got}:
+        own = [r for r in rows if roles[fold, r[0]] == "train" and r[1] < 240]
+        x = np.stack([np.searchsorted(e, [r[2][i] for r in own], "left") for i, e in enumerate(edges)], 1)
+        want = plain_trees(x, np.array([r[3] for r in own]), shape)
+        assert [got[fold, r[1]] for r in own] == pytest.approx(want, abs=1e-9)
+
+
+def test_trees_grown_over_all_tasks_are_the_same(spark, monkeypatch):
+    tiles, rows, sp = in_cities(spark, np.random.default_rng(2), n=200, cities=("a", "b", "c"))
+    shape = boosting.Shape(trees=3, step=0.3, depth=2, least_rows=8, bins=12)
+    monkeypatch.setattr(boosting, "WRITTEN", 2)
+    one = {(r.fold, r.target): r for r in boosting.boosted_models(tiles, sp, shape)[0].collect()}
+    other = {(r.fold, r.target): r for r in boosting.boosted_models(tiles, sp, shape, in_task=0)[0].collect()}
+    assert one.keys() == other.keys() and len(one) == 6
+    assert all(one[k] == other[k] for k in one)
 
 
 def test_boosted_trees_beat_the_median(spark):
-    df, rows = frame(spark, np.random.default_rng(1), n=200)
-    got = {(r["fold"], r["tile"]): r["pred"] for r in transfer.predicted(transfer.boosted_models(df, trees=15, step=0.3, depth=3, least_rows=5), df).where("target = 'gamma'").collect()}
-    for fold in ("p", "q"):
-        x, y = by_fold(rows, fold)
-        e = np.array([got[fold, i] for i in range(len(y))]) - y
-        assert np.sqrt((e**2).mean()) < 0.5 * y.std()
+    tiles, rows, sp = in_cities(spark, np.random.default_rng(3), n=300, noise=0.01)
+    shape = boosting.Shape(trees=60, step=0.2, depth=3, least_rows=5)
+    models, edges = boosting.boosted_models(tiles, sp, shape)
+    got = {r.tile: r.pred for r in boosting.boosted_predictions(models, edges, tables.stack(tiles, sp, "test"), 3).where("target = 'gamma' and tile < 300").collect()}
+    y = np.array([r[3] for r in rows[:300]])
+    e = np.array([got[i] for i in range(300)]) - y
+    assert np.sqrt((e**2).mean()) < 0.6 * y.std()
 
 
 def test_residual_ridge_is_the_plain_form(spark):
@@ -64,15 +154,27 @@ def test_residual_ridge_is_the_plain_form(spark):
 
 def test_second_stage_finds_a_spread_that_depends_on_a_descriptor(spark):
     rng = np.random.default_rng(3)
-    x = rng.uniform(-1, 1, size=(800, 3))
+    x = rng.uniform(-1, 1, size=(900, 3))
     sigma = np.exp(0.9 * x[:, 0] - 1)
-    rows = [("f", i, x[i].tolist(), float(sigma[i] * rng.normal())) for i in range(800)]
-    df = spark.createDataFrame(rows, "fold string, tile long, v array<double>, residual double")
-    got = {r["tile"]: r["sigma"] for r in transfer.log_variances(df, df).collect()}
-    found = np.array([got[i] for i in range(800)])
+    rows = [("abc"[i % 3], i, x[i].tolist(), float(sigma[i] * rng.normal() + 2)) for i in range(900)]
+    tiles = spark.createDataFrame(rows, "city string, tile long, v array<double>, gamma double").repartition(3)
+    sp = splits.leave_one_city_out(spark.createDataFrame([("a",), ("b",), ("c",)], "city string"), n_val=0)
+    fits = transfer.ridge_by_fold(tiles, sp, targets=("gamma",))
+    second = transfer.log_variance_fits(tiles, sp, fits)
+    test = tables.stack(tiles, sp, "test")
+    got = {r["tile"]: r["sigma"] for r in transfer.second_sigma(second, test).collect()}
+    found = np.array([got[i] for i in range(900)])
     assert np.corrcoef(np.log(found), np.log(sigma))[0, 1] > 0.95
-    wild = df.withColumn("v", F.transform("v", lambda y: y * 1e3))
-    ends = [r["sigma"] for r in transfer.log_variances(df, wild).collect()]
+    # the fit itself: of the log squares of the fold's own residuals
+    own = {r.fold: r for r in fits.collect()}
+    for r in second.collect():
+        mine = [i for i in range(900) if "abc"[i % 3] != r.fold]
+        resid = np.array([rows[i][3] for i in mine]) - own[r.fold].b - x[mine] @ own[r.fold].w
+        scale = np.abs(x[mine]).max(0)
+        w, b = ridge(x[mine] / scale, np.log(resid**2), 1.0)
+        assert r.n == 600 and r.b == pytest.approx(b, abs=1e-7) and r.w == pytest.approx(w / scale, abs=1e-7)
+    wild = test.withColumn("v", F.transform("v", lambda y: y * 1e3))
+    ends = [r["sigma"] for r in transfer.second_sigma(second, wild).collect()]
     assert min(ends) == pytest.approx(np.exp(-4)) and max(ends) == pytest.approx(np.exp(2))
 
 
