@@ -44,6 +44,34 @@ def _pixels(lo: Column, hi: Column, first: Column, size: float, n: int) -> Colum
     return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
 
 
+def polygon_pixels(polygons: DataFrame, size: float) -> DataFrame:
+    """Polygons (vertices: array of x, y in metres) by each pixel of a metric raster whose centre they hold, by scanlines:
+    row (py of the whole plane), and px.  The sides that cross a pixel row's middle line, sorted by where they do, bound the
+    filled runs in pairs (even-odd, so holes and concave parts come out right); a centre on the left end of a
+    run counts, one on the right end does not.  No join and no shuffle: pixels come from arithmetic on the polygon itself."""
+    ys = F.transform("vertices", lambda p: p["y"])
+    first, last = F.ceil(F.array_min(ys) / size - 0.5), F.ceil(F.array_max(ys) / size - 0.5) - 1
+    sides = F.zip_with("vertices", F.concat(F.slice("vertices", 2, F.greatest(F.size("vertices") - 1, F.lit(0))), F.slice("vertices", 1, 1)), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    rows = polygons.where(F.size("vertices") >= 3).withColumn("__sides", sides)
+    rows = rows.withColumn("row", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
+    y = (F.col("row") + 0.5) * size
+    crossed = F.filter("__sides", lambda s: (F.least(s["p"]["y"], s["q"]["y"]) <= y) & (y < F.greatest(s["p"]["y"], s["q"]["y"])))
+    xs = F.array_sort(F.transform(crossed, lambda s: s["p"]["x"] + (s["q"]["x"] - s["p"]["x"]) * (y - s["p"]["y"]) / (s["q"]["y"] - s["p"]["y"])))
+    rows = rows.withColumn("__xs", xs).drop("__sides").where(F.size("__xs") >= 2)
+    place = lambda x: F.ceil(F.round(x / size, 9) - 0.5)
+    runs = F.transform(F.sequence(F.lit(0), F.size("__xs") - 2, F.lit(2)), lambda i: F.struct(place(F.get("__xs", i)).alias("a"), (place(F.get("__xs", i + 1)) - 1).alias("b")))
+    filled_ = F.transform(F.filter(runs, lambda r: r["a"] <= r["b"]), lambda r: F.sequence(r["a"], r["b"]))
+    return rows.withColumn("px", F.explode(F.flatten(filled_))).drop("__xs")
+
+
+def rasterised_polygons(polygons: DataFrame, terrain: DataFrame, tile_m: float, n: int = 128) -> DataFrame:
+    """As `rasterised`, for footprints of any shape: polygons with city, kind, height and vertices."""
+    by_pixel = polygon_pixels(polygons.select("city", "kind", "height", "vertices"), tile_m / n)
+    tile, within = lambda c: F.floor(F.col(c) / n), lambda c: F.pmod(F.col(c), F.lit(n))
+    pixels = by_pixel.select("city", "kind", "height", tile("row").alias("m"), tile("px").alias("z"), within("row").alias("py"), within("px").alias("px"))
+    return _with_terrain(pixels, terrain, tile_m, n)
+
+
 def rasterised(footprints: DataFrame, terrain: DataFrame, tile_m: float, n: int = 128) -> DataFrame:
     """(city, m, z, py, px, building_height, terrain_asl, vegetation, water) of the pixels of n x n tiles that something
     lies on, in long form.  `footprints`: structures by tile (upright boxes, as `cells_touched` gives them) with kind
@@ -54,8 +82,13 @@ def rasterised(footprints: DataFrame, terrain: DataFrame, tile_m: float, n: int
     hi = lambda c, s: F.col(c) + F.col(s) / 2
     boxes = footprints.withColumn("py", F.explode(_pixels(lo("cy", "depth_m"), hi("cy", "depth_m"), F.col("m") * tile_m, size, n)))
     boxes = boxes.withColumn("px", F.explode(_pixels(lo("cx", "width_m"), hi("cx", "width_m"), F.col("z") * tile_m, size, n)))
+    return _with_terrain(boxes, terrain, tile_m, n)
+
+
+def _with_terrain(pixels: DataFrame, terrain: DataFrame, tile_m: float, n: int) -> DataFrame:
+    size = tile_m / n
     is_ = lambda kind: F.col("kind") == kind
-    cover = boxes.groupBy("city", "m", "z", "py", "px").agg(
+    cover = pixels.groupBy("city", "m", "z", "py", "px").agg(
         F.coalesce(F.max(F.when(is_("building"), F.col("height"))), F.lit(0.0)).alias("building_height"),
         F.max(is_("vegetation").cast("int")).alias("vegetation"),
         F.max(is_("water").cast("int")).alias("water"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from radiotiles.functions.geo import span_lat, span_lon, utm, utm_inverse, utm_zone
@@ -43,6 +43,60 @@ def grid_tiles(parameters: DataFrame) -> DataFrame:
     return tiles.withColumn("tile_index", index)
 
 
+def region_edges(regions: DataFrame, tile_m: float) -> DataFrame:
+    """The sides of regions (city, vertices: an array of lon x and lat y in degrees) in units of tiles: city, lat0, lon0,
+    dphi, dlam and x0, y0, x1, y1, where tile (m, z) is the square [z, z + 1) x [m, m + 1).  The origin is the spherical
+    centroid of the vertices."""
+    corners = regions.select("city", F.explode("vertices").alias("p")).select("city", F.col("p.y").alias("lat"), F.col("p.x").alias("lon"))
+    origin = spherical_centroid(corners, "city").withColumn("dphi", span_lat(tile_m)).withColumn("dlam", span_lon(tile_m, F.col("lat0")))
+    place = lambda v, at, step: F.round((F.radians(v) - F.col(at)) / F.col(step) + 0.5, 9)
+    sides = F.zip_with("vertices", _after(F.col("vertices")), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    rows = regions.join(origin, "city").select("city", "lat0", "lon0", "dphi", "dlam", F.explode(sides).alias("s"))
+    ends = [place(f"s.{end}.{axis}", at, step).alias(f"{axis}{k}") for k, end in ((0, "p"), (1, "q")) for axis, at, step in (("x", "lon0", "dlam"), ("y", "lat0", "dphi"))]
+    return rows.select("city", "lat0", "lon0", "dphi", "dlam", *ends)
+
+
+def region_runs(edges: DataFrame) -> DataFrame:
+    """(city, m, runs): for each row of tiles the disjoint runs [lo, hi] of tiles that share a point with the region, by
+    scanlines.  The part of each side within the row's band touches the tiles from its least to its largest x; tiles that
+    no side touches are inside or outside as a whole, and the crossings of the band's middle line, taken in pairs, tell
+    which.  A group is one row of tiles of one region, whatever its area."""
+    rows = edges.withColumn("m", F.explode(F.sequence(F.floor(F.least("y0", "y1")), F.floor(F.greatest("y0", "y1")))))
+    at = lambda y: F.col("x0") + (F.col("x1") - F.col("x0")) * (y - F.col("y0")) / (F.col("y1") - F.col("y0"))
+    level = F.col("y0") == F.col("y1")
+    low, high = F.greatest(F.least("y0", "y1"), F.col("m")), F.least(F.greatest("y0", "y1"), F.col("m") + 1)
+    xs = F.when(level, F.array("x0", "x1")).otherwise(F.array(at(low), at(high)))
+    touched = F.struct(F.floor(F.round(F.array_min(xs), 9)).alias("lo"), F.floor(F.round(F.array_max(xs), 9)).alias("hi"))
+    middle = F.col("m") + 0.5
+    crossing = F.when((F.least("y0", "y1") <= middle) & (middle < F.greatest("y0", "y1")), at(middle))
+    own = rows.groupBy("city", "m").agg(F.collect_list(touched).alias("touched"), F.array_sort(F.collect_list(crossing)).alias("xs"))  # the sides of one row of tiles
+    pairs = F.when(F.size("xs") >= 2, F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    inside = F.transform(pairs, lambda i: F.struct(F.floor(F.get("xs", i)).alias("lo"), F.floor(F.get("xs", i + 1)).alias("hi")))
+    every = F.array_sort(F.concat("touched", inside))
+    empty = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+
+    def add(runs: Column, run: Column) -> Column:
+        last = F.element_at(runs, -1)
+        joined = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], run["hi"]).alias("hi"))))
+        return F.when((F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["hi"] + 1 >= run["lo"]), joined).otherwise(F.concat(runs, F.array(run)))
+
+    return own.select("city", "m", F.aggregate(every, empty, add).alias("runs"))
+
+
+def region_tiles(regions: DataFrame, tile_m: float) -> DataFrame:
+    """Every tile that shares a point with its city's region polygon (simple, maybe concave; one for each city), with
+    the grid's parameters and tile_index, its place row by row without gaps.  Counts run over rows of tiles and over runs
+    within a row, not over tiles.  Regions of fewer than three vertices have no tiles."""
+    edges = region_edges(regions.where(F.size("vertices") >= 3), tile_m)
+    runs = region_runs(edges).select("city", "m", F.posexplode("runs").alias("k", "run")).select("city", "m", "k", "run.lo", "run.hi").withColumn("n", F.col("hi") - F.col("lo") + 1)
+    sums = runs.groupBy("city", "m").agg(F.sum("n").alias("in_row"))
+    before = sums.withColumn("before", F.sum("in_row").over(Window.partitionBy("city").orderBy("m")) - F.col("in_row"))  # a row for each row of tiles
+    inside = F.sum("n").over(Window.partitionBy("city", "m").orderBy("k")) - F.col("n")
+    placed = runs.withColumn("inside", inside).join(before, ["city", "m"]).join(edges.select("city", "lat0", "lon0", "dphi", "dlam").distinct(), "city")
+    tiles = placed.withColumn("z", F.explode(F.sequence("lo", "hi")))
+    return tiles.select("city", "m", "z", (F.col("before") + F.col("inside") + F.col("z") - F.col("lo")).alias("tile_index"), "lat0", "lon0", "dphi", "dlam")
+
+
 def tile_bounds(tiles: DataFrame) -> DataFrame:
     """Degrees of the four sides of each tile."""
     side = lambda at, step, k, h: F.degrees(F.col(at) + (F.col(k) + h) * F.col(step))

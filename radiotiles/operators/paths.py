@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from radiotiles.functions.geo import haversine_m
 from radiotiles.sources.scratch import stage
 
 SHORTEST_M = 1e-6
@@ -19,21 +20,60 @@ def _crossings(a: Column, b: Column, size: float) -> Column:
     return F.transform(lines, lambda k: (k * size - a) / (b - a))
 
 
+def _ray_pieces(rays: DataFrame, a: Column, b: Column, c: Column, d: Column, size: float, taken: tuple[str, ...]) -> DataFrame:
+    """The columns of `rays` but `taken`, and s and t (`__p`): the shares of the way from (a, b) to (c, d) between which a
+    ray is in one square cell."""
+    cuts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), _crossings(a, c, size), _crossings(b, d, size)))
+    kept = [F.col(f"`{n}`") for n in rays.columns if n not in taken]
+    ends = F.struct(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d")).alias("__e")
+    with_cuts = rays.select("*", ends).withColumn("__cuts", cuts)
+    spans = F.zip_with(F.slice("__cuts", F.lit(1), F.size("__cuts") - 1), F.slice("__cuts", F.lit(2), F.size("__cuts") - 1), lambda s, t: F.struct(s.alias("s"), t.alias("t")))
+    return with_cuts.select(*kept, "__e", F.explode(spans).alias("__p"))
+
+
 def ray_split(rays: DataFrame, size: float, x0: str = "tx_x", y0: str = "tx_y", x1: str = "rx_x", y1: str = "rx_y") -> DataFrame:
     """A row for each piece of a ray in a square cell: the columns of `rays`, m, z, len_m.  The cell is that
     of the piece's middle; pieces of no length, and rays of none, give no rows.  No shuffle."""
     a, b, c, d = (F.col(n).cast("double") for n in (x0, y0, x1, y1))
-    cuts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), _crossings(a, c, size), _crossings(b, d, size)))
-    kept = [F.col(f"`{n}`") for n in rays.columns if n not in ("m", "z", "len_m")]
-    with_cuts = rays.withColumn("__cuts", cuts)
-    spans = F.zip_with(F.slice("__cuts", F.lit(1), F.size("__cuts") - 1), F.slice("__cuts", F.lit(2), F.size("__cuts") - 1), lambda s, t: F.struct(s.alias("s"), t.alias("t")))
-    pieces = with_cuts.select(*kept, F.explode(spans).alias("__p"))
+    pieces = _ray_pieces(rays, a, b, c, d, size, ("m", "z", "len_m"))
+    e = {k: F.col(f"__e.{k}") for k in "abcd"}
     mid, share = (F.col("__p.s") + F.col("__p.t")) / 2, F.col("__p.t") - F.col("__p.s")
     out = pieces.select(
-        *kept,
-        F.floor((b + (d - b) * mid) / size).alias("m"),
-        F.floor((a + (c - a) * mid) / size).alias("z"),
-        (share * F.sqrt((c - a) * (c - a) + (d - b) * (d - b))).alias("len_m"),
+        *[F.col(f"`{n}`") for n in pieces.columns[:-2]],
+        F.floor((e["b"] + (e["d"] - e["b"]) * mid) / size).alias("m"),
+        F.floor((e["a"] + (e["c"] - e["a"]) * mid) / size).alias("z"),
+        (share * F.sqrt((e["c"] - e["a"]) * (e["c"] - e["a"]) + (e["d"] - e["b"]) * (e["d"] - e["b"]))).alias("len_m"),
+    )
+    return out.where(F.col("len_m") > SHORTEST_M)
+
+
+#: Metres for a degree, whichever way it runs, of the mode deg111.
+FLAT_M = 111_000.0
+
+
+def ray_split_tiles(rays: DataFrame, parameters: DataFrame, length_mode: str = "haversine") -> DataFrame:
+    """A row for each piece of a ray (city; tx_lat, tx_lon, rx_lat, rx_lon in degrees) in a tile of the spherical grid:
+    the columns of `rays`, m, z, len_m.  The tiles are those of `grid.assign_tiles`, whose borders lie half a tile from the
+    centres.  A ray is straight in degrees; a piece has the great-circle length between its ends, or with "deg111"
+    its length in degrees times 111,000, which counts a degree of longitude like one of latitude.  No shuffle; grid
+    parameters (a row for each city) are sent."""
+    if length_mode not in ("haversine", "deg111"):
+        raise ValueError("length_mode is haversine or deg111")
+    own = F.broadcast(parameters.select("city", F.struct("lat0", "lon0", "dphi", "dlam").alias("__g")))  # a row for each city
+    at = lambda v, origin, step: (F.radians(v) - F.col(f"__g.{origin}")) / F.col(f"__g.{step}") + 0.5
+    a, c = (at(v, "lon0", "dlam") for v in ("tx_lon", "rx_lon"))
+    b, d = (at(v, "lat0", "dphi") for v in ("tx_lat", "rx_lat"))
+    pieces = _ray_pieces(rays.join(own, "city"), a, b, c, d, 1.0, ("m", "z", "len_m"))
+    e = {k: F.col(f"__e.{k}") for k in "abcd"}
+    mid = (F.col("__p.s") + F.col("__p.t")) / 2
+    point = lambda lo, hi, k: F.col(lo) + (F.col(hi) - F.col(lo)) * F.col(f"__p.{k}")
+    ends = [point(f"tx_{v}", f"rx_{v}", k) for k in "st" for v in ("lat", "lon")]
+    length = haversine_m(*ends) if length_mode == "haversine" else FLAT_M * F.hypot(ends[2] - ends[0], ends[3] - ends[1])
+    out = pieces.select(
+        *[F.col(f"`{n}`") for n in pieces.columns[:-3]],
+        F.floor(F.round(e["b"] + (e["d"] - e["b"]) * mid, 9)).alias("m"),
+        F.floor(F.round(e["a"] + (e["c"] - e["a"]) * mid, 9)).alias("z"),
+        length.alias("len_m"),
     )
     return out.where(F.col("len_m") > SHORTEST_M)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from radiotiles.functions import geo
 from radiotiles.operators import folds, grid, paths, robustness, siting, structures
-from radiotiles.plans.queries import ORACLE, POWER, THRESHOLD_DBM, TOUCH, _scores, greedy_sql, power_sites, query, r, rows
+from radiotiles.plans.queries import GRID, ORACLE, POWER, THRESHOLD_DBM, TILE_M, TOUCH, _scores, greedy_sql, power_sites, query, r, rows
 from radiotiles.sources.fixtures import cte
 
 CELL = 300.0
@@ -28,13 +28,35 @@ def c10_ray_split(spark, sf):
     return pieces.groupBy("city", "m", "z").agg(F.count("*").alias("n"), r(F.sum("len_m"), 2, "len_m"))
 
 
+TILE_RAYS = GRID + """,
+gp AS (SELECT f.*, (radians(tx_lon) - p.lon0) / dlam + 0.5 AS a, (radians(tx_lat) - p.lat0) / dphi + 0.5 AS b, (radians(rx_lon) - p.lon0) / dlam + 0.5 AS c, (radians(rx_lat) - p.lat0) / dphi + 0.5 AS d FROM fx_measurements f JOIN par2 p USING (city)),
+cu AS (SELECT *, list_sort(list_concat([0.0::DOUBLE, 1.0::DOUBLE], list_concat(
+  list_transform(range(floor(least(a, c))::BIGINT + 1, ceil(greatest(a, c))::BIGINT), lambda k: (k - a) / (c - a)), list_transform(range(floor(least(b, d))::BIGINT + 1, ceil(greatest(b, d))::BIGINT), lambda k: (k - b) / (d - b))))) AS ts FROM gp),
+pc AS (SELECT *, ts[i] AS s, ts[i + 1] AS t FROM (SELECT *, unnest(range(1, len(ts))) AS i FROM cu)),
+pe AS (SELECT city, floor(round(b + (d - b) * (s + t) / 2, 9))::BIGINT AS m, floor(round(a + (c - a) * (s + t) / 2, 9))::BIGINT AS z, tx_lat + (rx_lat - tx_lat) * s AS la, tx_lon + (rx_lon - tx_lon) * s AS lo, tx_lat + (rx_lat - tx_lat) * t AS lb, tx_lon + (rx_lon - tx_lon) * t AS lp FROM pc),
+ln AS (SELECT city, m, z, 111000.0 * sqrt(pow(lb - la, 2) + pow(lp - lo, 2)) AS flat_m, 2 * 6371000.0 * asin(sqrt(pow(sin((radians(lb) - radians(la)) / 2), 2) + cos(radians(la)) * cos(radians(lb)) * pow(sin((radians(lp) - radians(lo)) / 2), 2))) AS arc_m FROM pe)"""
+
+
+@query(TILE_RAYS + " SELECT mode, city, m, z, count(*) AS n, round(sum(len_m), 1) AS len_m FROM (SELECT 'haversine' AS mode, city, m, z, arc_m AS len_m FROM ln UNION ALL SELECT 'deg111', city, m, z, flat_m FROM ln) WHERE len_m > 1e-6 GROUP BY ALL")
+def c10_ray_tiles(spark, sf):
+    """Rays cut at the borders of the spherical tiles, by both measures of length."""
+    m, out = rows(spark, sf), None
+    par = grid.grid_parameters(grid.region_boxes(m), TILE_M)
+    for mode in ("haversine", "deg111"):
+        one = paths.ray_split_tiles(m, par, mode).withColumn("mode", F.lit(mode))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("mode", "city", "m", "z").agg(F.count("*").alias("n"), r(F.sum("len_m"), 1, "len_m"))
+
+
 @query()
 def e5_mixed_path(spark, sf):
-    """Rows only here; a test plants the parameters of two tiles and finds them."""
+    """Rows only here, on the tiles of the fits by tile; a test plants the parameters of two tiles and finds them."""
     ray = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "bs_id")
-    pieces = paths.ray_split(rows(spark, sf).withColumn("ray", ray), CELL)
-    fitted = paths.mixed_path_fit(pieces.withColumn("tile", (F.col("m") + 100) * 1000 + F.col("z") + 100))
-    return fitted.select("city", (F.floor(F.col("tile") / 1000) - 100).alias("m"), (F.col("tile") % 1000 - 100).alias("z"), "n", r("gamma", 3), r("pl0", 2))
+    m = rows(spark, sf)
+    par = grid.grid_parameters(grid.region_boxes(m), TILE_M)
+    pieces = paths.ray_split_tiles(m.withColumn("ray", ray), par)
+    fitted = paths.mixed_path_fit(pieces.withColumn("tile", (F.col("m") + 100_000) * 1_000_000 + F.col("z") + 100_000))
+    return fitted.select("city", (F.expr("tile div 1000000") - 100_000).alias("m"), (F.col("tile") % 1_000_000 - 100_000).alias("z"), "n", r("gamma", 3), r("pl0", 2))
 
 
 CLIMATE = f"""WITH {cte("fx_climate", "fx_stations")},

@@ -240,6 +240,26 @@ def d11_tile_rasters(spark, sf):
     )
 
 
+#: Pixel centres of the box around each notched footprint that an odd number of its sides lies to the right of.
+FILL = HEIGHT + f""", fp AS (SELECT city, structure_id, kind, cx, cy, width_m, depth_m, height FROM h UNION ALL SELECT city, structure_id, kind, cx, cy, width_m, depth_m, 0 FROM fx_structures WHERE kind <> 'building'),
+vs AS (SELECT *, [cx - width_m / 2, cx + width_m / 2, cx + width_m / 2, cx, cx - width_m / 2] AS vx, [cy - depth_m / 2, cy - depth_m / 2, cy + depth_m / 2, cy + depth_m / 6, cy + depth_m / 2] AS vy FROM fp),
+pr AS (SELECT *, unnest(range(floor((cy - depth_m / 2) / {PX})::BIGINT - 1, ceil((cy + depth_m / 2) / {PX})::BIGINT + 1)) AS pr FROM vs),
+pp AS (SELECT *, unnest(range(floor((cx - width_m / 2) / {PX})::BIGINT - 1, ceil((cx + width_m / 2) / {PX})::BIGINT + 1)) AS pc FROM pr),
+ps AS (SELECT *, unnest(range(1, 6)) AS i FROM pp), pq AS (SELECT city, structure_id, kind, height, pr, pc, vx[i] AS xa, vy[i] AS ya, vx[i % 5 + 1] AS xb, vy[i % 5 + 1] AS yb FROM ps),
+fl AS (SELECT city, structure_id, kind, height, pr, pc FROM pq GROUP BY ALL HAVING count(*) FILTER (least(ya, yb) <= (pr + 0.5) * {PX} AND (pr + 0.5) * {PX} < greatest(ya, yb) AND round((xa + (xb - xa) * ((pr + 0.5) * {PX} - ya) / nullif(yb - ya, 0)) / {PX}, 9) > pc + 0.5) % 2 = 1),
+cv AS (SELECT city, floor(pr / 128)::BIGINT AS m, floor(pc / 128)::BIGINT AS z, pr - 128 * floor(pr / 128)::BIGINT AS py, pc - 128 * floor(pc / 128)::BIGINT AS px, coalesce(max(height) FILTER (kind = 'building'), 0) AS b, max((kind = 'vegetation')::INT) AS v, max((kind = 'water')::INT) AS w FROM fl GROUP BY ALL)"""
+
+
+@query(FILL + " SELECT city, m, z, count(*) AS n, round(sum(b), 3) AS height_sum, sum(v)::BIGINT AS vegetation, sum(w)::BIGINT AS water, sum((py * 128 + px) * (1 + v + 2 * w))::BIGINT AS place_sum FROM cv GROUP BY ALL")
+def d11_polygon_rasters(spark, sf):
+    """Rasters of concave footprints, told by counts and sums."""
+    heights = _buildings(spark, sf).select("city", "structure_id", "height")
+    shapes = _polygons(spark, sf).join(heights, ["city", "structure_id"], "left").withColumn("height", F.coalesce("height", F.lit(0.0)))
+    p = descriptors.rasterised_polygons(shapes, rows(spark, sf, "fx_dem"), METRIC_TILE)
+    place = (F.col("py") * 128 + F.col("px")) * (1 + F.col("vegetation") + 2 * F.col("water"))
+    return p.groupBy("city", "m", "z").agg(F.count("*").alias("n"), r(F.sum("building_height"), 3, "height_sum"), F.sum("vegetation").alias("vegetation"), F.sum("water").alias("water"), F.sum(place).alias("place_sum"))
+
+
 # ---- models on descriptors ----
 
 

@@ -628,3 +628,32 @@ def k1_power_cover(spark, sf):
     """A candidate covers a point where the lower bound of its received power passes the threshold."""
     edges = siting.cover_by_power(power_sites(spark, sf), rows(spark, sf, "fx_points"), THRESHOLD_DBM)
     return edges.groupBy("candidate_id").agg(F.count("*").alias("n"), F.sum("point_id").alias("points"), r(F.min("power_dbm"), 3, "least_dbm"))
+
+
+# ---- region polygons ----
+
+#: All tiles of the box around a region, kept where a side enters the tile or the tile's centre is inside.
+REGIONS = f"""WITH {cte("fx_corners")},
+rc AS (SELECT city, atan2(avg(sin(radians(lat))), sqrt(pow(avg(cos(radians(lat)) * cos(radians(lon))), 2) + pow(avg(cos(radians(lat)) * sin(radians(lon))), 2))) AS lat0, atan2(avg(cos(radians(lat)) * sin(radians(lon))), avg(cos(radians(lat)) * cos(radians(lon)))) AS lon0 FROM fx_corners GROUP BY city),
+rs AS (SELECT *, {TILE_M} / 6371000.0 AS dphi, {TILE_M} / (6371000.0 * abs(cos(lat0))) AS dlam FROM rc),
+rp AS (SELECT city, k, round((radians(lon) - lon0) / dlam + 0.5, 9) AS x, round((radians(lat) - lat0) / dphi + 0.5, 9) AS y, lat0, lon0, dphi, dlam FROM fx_corners JOIN rs USING (city)),
+re AS (SELECT city, x AS x0, y AS y0, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x1, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y1 FROM rp WINDOW w AS (PARTITION BY city ORDER BY k)),
+rb AS (SELECT city, floor(min(x))::BIGINT AS xl, floor(max(x))::BIGINT AS xh, floor(min(y))::BIGINT AS yl, floor(max(y))::BIGINT AS yh FROM rp GROUP BY city),
+rt AS (SELECT city, m, unnest(range(xl, xh + 1)) AS z FROM (SELECT *, unnest(range(yl, yh + 1)) AS m FROM rb)),
+cl AS (SELECT city, m, z, x0, y0, x1, y1, x1 - x0 AS dx, y1 - y0 AS dy FROM rt JOIN re USING (city)),
+tt AS (SELECT *, greatest(0, CASE WHEN dx <> 0 THEN least((z - x0) / dx, (z + 1 - x0) / dx) WHEN x0 >= z AND x0 < z + 1 THEN 0 ELSE 2 END, CASE WHEN dy <> 0 THEN least((m - y0) / dy, (m + 1 - y0) / dy) WHEN y0 >= m AND y0 < m + 1 THEN 0 ELSE 2 END) AS t0,
+  least(1, CASE WHEN dx <> 0 THEN greatest((z - x0) / dx, (z + 1 - x0) / dx) ELSE 1 END, CASE WHEN dy <> 0 THEN greatest((m - y0) / dy, (m + 1 - y0) / dy) ELSE 1 END) AS t1 FROM cl),
+kt AS (SELECT city, m, z FROM tt GROUP BY ALL HAVING bool_or(t0 <= t1) OR count(*) FILTER (least(y0, y1) <= m + 0.5 AND m + 0.5 < greatest(y0, y1) AND x0 + dx * (m + 0.5 - y0) / nullif(dy, 0) > z + 0.5) % 2 = 1)"""
+
+
+def regions(spark, sf):
+    """One polygon for each city: a concave star whose corners are at distances of their own."""
+    corner = F.struct("k", F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")).alias("p"))
+    own = rows(spark, sf, "fx_corners").groupBy("city").agg(F.array_sort(F.collect_list(corner)).alias("c"))
+    return own.select("city", F.transform("c", lambda e: e["p"]).alias("vertices"))
+
+
+@query(REGIONS + " SELECT city, m, z, row_number() OVER (PARTITION BY city ORDER BY m, z) - 1 AS tile_index, round(degrees(lat0 + (m - 0.5) * dphi), 7) AS south, round(degrees(lon0 + (z + 0.5) * dlam), 7) AS east FROM kt JOIN rs USING (city)")
+def c4_region_tiles(spark, sf):
+    """The tiles of concave regions with their dense index."""
+    return grid.tile_bounds(grid.region_tiles(regions(spark, sf), TILE_M)).select("city", "m", "z", "tile_index", r("south", 7), r("east", 7))

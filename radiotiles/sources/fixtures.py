@@ -55,6 +55,12 @@ SELECT l_suppkey AS bs_id, l_orderkey, l_linenumber, l_partkey, -60 - CAST(l_qua
 SELECT c_custkey AS point_id, (c_custkey * 7919) % 3000 - CAST(1499.5 AS DOUBLE) AS px, (c_custkey * 104729) % 3000 - CAST(1499.5 AS DOUBLE) AS py FROM customer""",
     "fx_sites": """
 SELECT s_suppkey AS candidate_id, (s_suppkey * 6151) % 2400 - CAST(1199.5 AS DOUBLE) AS sx, (s_suppkey * 3079) % 2400 - CAST(1199.5 AS DOUBLE) AS sy FROM supplier""",
+    "fx_corners": """
+SELECT city, k, lat0 + radius * sin(angle) / CAST(111320 AS DOUBLE) AS lat, lon0 + radius * cos(angle) / (CAST(111320 AS DOUBLE) * cos(radians(lat0))) AS lon
+FROM (
+  SELECT r_name AS city, c_custkey, row_number() OVER (PARTITION BY r_name ORDER BY c_custkey) AS k, CAST(40 + 3 * r_regionkey AS DOUBLE) AS lat0, CAST(2 + 5 * r_regionkey AS DOUBLE) AS lon0,
+    2 * pi() * row_number() OVER (PARTITION BY r_name ORDER BY c_custkey) / count(*) OVER (PARTITION BY r_name) AS angle, CAST(500.5 + (c_custkey * 7919) % 1400 AS DOUBLE) AS radius
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)""",
     "fx_dem": """
 SELECT p_partkey AS point_id, (p_partkey * 7919) % 3000 - CAST(1499.5 AS DOUBLE) AS x, (p_partkey * 104729) % 3000 - CAST(1499.5 AS DOUBLE) AS y, p_retailprice AS asl, p_retailprice / 10 AS agl FROM part""",
     "fx_climate": """
