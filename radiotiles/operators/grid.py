@@ -22,8 +22,8 @@ def region_boxes(points: DataFrame, pad_deg: float = 0.002, lat: str = "rx_lat",
     )
 
 
-def grid_parameters(boxes: DataFrame, tile_m: float) -> DataFrame:
-    """One row for each city: origin and spans of its grid, and the ranges of the tile indexes."""
+def grid_parameters(boxes: DataFrame, tile_m: Column | float) -> DataFrame:
+    """One row for each box (of a city, or of a city and tile size): origin and spans of its grid, and the ranges of the tile indexes."""
     corner = lambda a, b: F.struct(F.col(a).alias("lat"), F.col(b).alias("lon"))
     corners = boxes.select("city", F.explode(F.array(*[corner(a, b) for a in ("lat_lo", "lat_hi") for b in ("lon_lo", "lon_hi")])).alias("c")).select("city", "c.*")
     origin = boxes.join(spherical_centroid(corners), "city").withColumn("dphi", span_lat(tile_m)).withColumn("dlam", span_lon(tile_m, F.col("lat0")))
@@ -105,9 +105,10 @@ def tile_bounds(tiles: DataFrame) -> DataFrame:
     )
 
 
-def assign_tiles(points: DataFrame, parameters: DataFrame, lat: str = "rx_lat", lon: str = "rx_lon") -> DataFrame:
-    """The tile (m, z) of each point, by arithmetic: cells are half open, so each point has one."""
-    own = F.broadcast(parameters.select("city", "lat0", "lon0", "dphi", "dlam").withColumnsRenamed({"lat0": "g_lat0", "lon0": "g_lon0"}))  # a row for each city
+def assign_tiles(points: DataFrame, parameters: DataFrame, lat: str = "rx_lat", lon: str = "rx_lon", more: tuple[str, ...] = ()) -> DataFrame:
+    """The tile (m, z) of each point, by arithmetic: cells are half open, so each point has one in each grid of its city;
+    `more` columns of the parameters are kept."""
+    own = F.broadcast(parameters.select("city", *more, "lat0", "lon0", "dphi", "dlam").withColumnsRenamed({"lat0": "g_lat0", "lon0": "g_lon0"}))  # a row for each city
     index = lambda v, at, step: F.floor(F.round((F.radians(v) - F.col(at)) / F.col(step), 9) + 0.5)
     placed = points.join(own, "city")
     return placed.withColumn("m", index(lat, "g_lat0", "dphi")).withColumn("z", index(lon, "g_lon0", "dlam")).drop("g_lat0", "g_lon0", "dphi", "dlam")
@@ -115,21 +116,12 @@ def assign_tiles(points: DataFrame, parameters: DataFrame, lat: str = "rx_lat",
 
 def sweep_sizes(boxes: DataFrame, sizes: tuple[float, ...]) -> DataFrame:
     """Grid parameters for several tile sizes, with tile_size as another key."""
-    out = None
-    for s in sizes:
-        one = grid_parameters(boxes, s).withColumn("tile_size", F.lit(float(s)))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return grid_parameters(boxes.withColumn("tile_size", F.explode(F.array(*[F.lit(float(s)) for s in sizes]))), F.col("tile_size"))
 
 
 def assign_sizes(points: DataFrame, swept: DataFrame, lat: str = "rx_lat", lon: str = "rx_lon") -> DataFrame:
-    """The tile of each point for each tile_size of `sweep_sizes`: a row for each."""
-    sizes = [row["tile_size"] for row in swept.select("tile_size").distinct().orderBy("tile_size").collect()]
-    out = None
-    for size in sizes:
-        one = assign_tiles(points, swept.where(F.col("tile_size") == size), lat, lon).withColumn("tile_size", F.lit(size))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The tile of each point for each tile_size of `sweep_sizes`: a row for each, from one join with the grids."""
+    return assign_tiles(points, swept, lat, lon, ("tile_size",))
 
 
 def cells_touched(structures: DataFrame, tile_m: float, clip: bool = False) -> DataFrame:

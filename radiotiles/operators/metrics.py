@@ -35,19 +35,23 @@ def errors(predictions: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def average_rank(rows: DataFrame, value: str, *keys: str) -> DataFrame:
-    """(keys, value, rank): ranks with ties at their mean, from counts of equal values."""
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    run = running_total(counts, keys, (value,), "__n", "__run")
-    return run.select(*keys, value, (F.col("__run") - (F.col("__n") - 1) / 2).alias("rank"))
+def average_ranks(rows: DataFrame, values: tuple[str, ...], *keys: str) -> DataFrame:
+    """(keys, which, value, rank) of each of the columns `values`: ranks with ties at their mean, from counts of equal
+    values of all columns in one table, which is put in order once."""
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("which"), F.col(v).cast("double").alias("value")) for v in values])).alias("e")
+    counts = rows.select(*keys, each).select(*keys, "e.*").groupBy(*keys, "which", "value").agg(F.count("*").alias("__n"))
+    run = running_total(counts, (*keys, "which"), ("value",), "__n", "__run")
+    return run.select(*keys, "which", "value", (F.col("__run") - (F.col("__n") - 1) / 2).alias("rank"))
 
 
 def spearman(predictions: DataFrame, *keys: str) -> DataFrame:
     """Pearson's coefficient of the ranks."""
     keys = keys or KEYS
-    ranked = predictions.select(*keys, "pred", "truth")
+    ranks = average_ranks(predictions, ("pred", "truth"), *keys)
+    ranked = predictions.select(*keys, F.col("pred").cast("double").alias("pred"), F.col("truth").cast("double").alias("truth"))
     for value, name in (("pred", "rp"), ("truth", "rt")):
-        ranked = ranked.join(average_rank(predictions, value, *keys).withColumnRenamed("rank", name), [*keys, value])
+        own = ranks.where(F.col("which") == value).select(*keys, F.col("value").alias(value), F.col("rank").alias(name))
+        ranked = ranked.join(own, [*keys, value])
     return ranked.groupBy(*keys).agg(pearson("rp", "rt").alias("spearman"))
 
 
@@ -123,6 +127,14 @@ def gaussian_nll(predictions: DataFrame, scale: float = 1.0) -> DataFrame:
     return predictions.groupBy("model", "target").agg(F.avg(0.5 * (logvar + e * e * F.exp(-logvar))).alias("nll"))
 
 
+def composite_loss(nll: DataFrame, physics: DataFrame, shift: DataFrame, w_physics: float = 0.1, w_shift: float = 0.1) -> DataFrame:
+    """(model, nll, physics, shift, loss): each model's mean likelihood term plus weighted physics residual and shift
+    measure; `nll` (model, target, nll), `physics` (mse_db2 of cities) and `shift` (one value)."""
+    own = nll.groupBy("model").agg(F.avg("nll").alias("nll"))
+    more = physics.agg(F.avg("mse_db2").alias("physics")).crossJoin(shift.toDF("shift"))  # one row
+    return own.crossJoin(F.broadcast(more)).withColumn("loss", F.col("nll") + w_physics * F.col("physics") + w_shift * F.col("shift"))
+
+
 def ensemble(members: DataFrame) -> DataFrame:
     """Mean, aleatoric variance and epistemic variance over members (member, tile, target, pred, sigma)."""
     return members.groupBy("tile", "target").agg(F.avg("pred").alias("mean"), F.avg(F.col("sigma") * F.col("sigma")).alias("aleatoric"), F.var_pop("pred").alias("epistemic"))

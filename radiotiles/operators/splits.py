@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from radiotiles.functions.radio import hash_rank_key
+from radiotiles.operators.draws import flag_least
 
 
 # Numbers of anchors, and draws of each.
@@ -37,14 +38,12 @@ def geographic_blocks(points: DataFrame, lat: str, lon: str, n_blocks: int = 5,
 
 def holdout(tiles: DataFrame, share: float = 0.15, seed: int = 0, key: str = "tile", by: str = "city") -> DataFrame:
     """Exactly int(share * n) rows of each group to validation, by hash order."""
-    w = Window.partitionBy(by)
-    k = F.row_number().over(w.orderBy(hash_rank_key(seed, F.col(key)), key))
-    return tiles.withColumn("is_val", k <= F.floor(F.count("*").over(w) * share + 1e-9))
+    return flag_least(tiles, (by,), hash_rank_key(seed, F.col(key)), (key,), lambda n: F.floor(n * share + 1e-9), "is_val")
 
 
 def anchors(tiles: DataFrame, ks: tuple[int, ...] = KS, draws: int = DRAWS, seed: int = 0) -> DataFrame:
     """(city, k, draw, tile, is_anchor): k tiles of each city in each draw without replacement."""
     grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(d).alias("draw")) for k in ks for d in range(draws)]))
     rows = tiles.select("city", "tile", grid.alias("g")).select("city", "tile", "g.*")
-    order = Window.partitionBy("city", "k", "draw").orderBy(hash_rank_key(seed, F.col("k"), F.col("draw"), F.col("tile")), "tile")
-    return rows.withColumn("is_anchor", F.row_number().over(order) <= F.col("k"))
+    drawn = flag_least(rows, ("city", "k", "draw"), hash_rank_key(seed, F.col("k"), F.col("draw"), F.col("tile")), ("tile",), lambda n: F.col("k").cast("long"), "is_anchor")
+    return drawn.select("city", "tile", "k", "draw", "is_anchor")

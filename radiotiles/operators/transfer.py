@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import islice
 
@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from radiotiles.functions.radio import hash_rank_key
 from radiotiles.operators.blocks import block_pairs, matrix, squared_distances
+from radiotiles.operators.metrics import average_ranks
 from radiotiles.sources.scratch import stage
 
 # The widths that are tried.
@@ -71,6 +73,12 @@ def gaussian_predict(test: DataFrame, train: DataFrame, sigma: float) -> DataFra
     return kernel_sums(test, train, (sigma,)).select("fold", "tile", *[_mean(t).alias(f"{t}_pred") for t in TARGETS])
 
 
+def gaussian_predict_at(test: DataFrame, train: DataFrame, widths: DataFrame, grid: tuple[float, ...] = SIGMAS) -> DataFrame:
+    """As `gaussian_predict`, at a width of its own for each fold (fold, sigma: one of `grid`)."""
+    own = kernel_sums(test, train, grid).withColumn("sigma", F.get(F.array(*[F.lit(float(s)) for s in grid]), F.col("i")))
+    return own.join(widths.select("fold", "sigma"), ["fold", "sigma"]).select("fold", "tile", *[_mean(t).alias(f"{t}_pred") for t in TARGETS])
+
+
 def select_sigma(validation: DataFrame, train: DataFrame, grid: tuple[float, ...] = SIGMAS) -> DataFrame:
     """(fold, sigma, err): the width of least squared error on validation tiles; the first wins ties."""
     truth = validation.select("fold", "tile", *[F.col(t).alias(f"{t}_true") for t in TARGETS])
@@ -237,20 +245,29 @@ def second_sigma(fits: DataFrame, test: DataFrame, least: float = -8.0, most: fl
     return linear_predictions(fits, test).select("fold", "tile", F.exp(f / 2).alias("sigma"))
 
 
-def domain_separability(rows: DataFrame, side: str = "side", iterations: int = 100, reg: float = 1e-3) -> tuple[DataFrame, float]:
+def domain_separability(rows: DataFrame, side: str = "side", iterations: int = 100, reg: float = 1e-3, parts: int = 5, unit: str = "tile", seed: int = 0) -> tuple[DataFrame, float]:
     """A logistic classifier of two sides (0 source, 1 target) by v: the rows with `weight`, the odds p / (1 - p) of the
-    target corrected for the sizes of the sides, and the area under the curve on the rows it learned from.  0.5: the
-    sides cannot be told apart."""
+    target corrected for the sizes of the sides, and the area under the curve.  Rows fall into `parts` by a seeded hash of
+    `unit`, and each part is told by a classifier of the others, so neither odds nor area come from rows that were
+    learned from.  0.5: the sides cannot be told apart."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    wide = rows.withColumn("features", array_to_vector("v"))
-    model = LogisticRegression(featuresCol="features", labelCol=side, maxIter=iterations, regParam=reg).fit(wide)
-    n = rows.groupBy(side).count().collect()
-    size = {r[side]: r["count"] for r in n}
+    part = F.pmod(F.conv(F.substring(hash_rank_key(seed, F.col(unit)), 1, 8), 16, 10).cast("long"), F.lit(parts))
+    wide = stage(rows.withColumn("__part", part), "sides").withColumn("features", array_to_vector("v"))
+    size = {r[side]: r["count"] for r in rows.groupBy(side).count().collect()}
     p = F.least(F.greatest(vector_to_array("probability")[1], F.lit(1e-6)), F.lit(1 - 1e-6))
-    out = model.transform(wide).withColumn("weight", p / (1 - p) * F.lit(size.get(0, 0) / max(size.get(1, 0), 1)))
-    return out.drop("features", "rawPrediction", "probability", "prediction"), float(model.summary.areaUnderROC)
+    out = None
+    for k in range(parts):
+        model = LogisticRegression(featuresCol="features", labelCol=side, maxIter=iterations, regParam=reg).fit(wide.where(F.col("__part") != k))
+        one = model.transform(wide.where(F.col("__part") == k)).withColumn("weight", p / (1 - p) * F.lit(size.get(0, 0) / max(size.get(1, 0), 1)))
+        out = one if out is None else out.unionByName(one)
+    told = stage(out.drop("features", "rawPrediction", "probability", "prediction", "__part"), "told")
+    # the rank sum of the target's rows, ties at their mean
+    ranks = average_ranks(told.withColumn("__all", F.lit(0)), ("weight",), "__all").select("value", "rank")
+    total = told.where(F.col(side) == 1).join(ranks, F.col("weight") == F.col("value")).agg(F.sum("rank")).first()[0]
+    a, b = size.get(0, 0), size.get(1, 0)
+    return told, float((total - b * (b + 1) / 2) / (a * b)) if a and b else float("nan")
 
 
 def bias_corrected(rows: DataFrame) -> DataFrame:
@@ -319,17 +336,61 @@ def coral(rows: DataFrame, side: str = "side") -> DataFrame:
     return cov.agg((F.sum(F.col("gap") * F.col("gap")) / (4 * F.pow(F.max("d") - 1, F.lit(2)))).alias("coral"))
 
 
-def mmd2(rows: DataFrame, side: str = "side", widths: tuple[float, ...] = (1.0, 2.0, 4.0, 8.0)) -> DataFrame:
-    """Squared mean discrepancy with a mixture of Gaussian kernels, the diagonal included.  Blocks of rows meet as
-    matrix products and give one sum for each pair of sides."""
+#: Widths of the mixture of kernels.
+WIDTHS = (1.0, 2.0, 4.0, 8.0)
+
+
+def kernel(a: pa.Table, b: pa.Table, widths: tuple[float, ...]) -> np.ndarray:
+    d2 = squared_distances(matrix(a, "v"), matrix(b, "v"))
+    return sum(np.exp(-d2 / (2 * s * s)) for s in widths) / len(widths)
+
+
+def mmd2(rows: DataFrame, side: str = "side", widths: tuple[float, ...] = WIDTHS, unit: str = "tile") -> DataFrame:
+    """Squared mean discrepancy with a mixture of Gaussian kernels, the diagonal included, from all pairs of rows:
+    each is sent once for every block of the other side, so work grows with the square of the rows (`mmd2_blocks` does not).
+    Blocks of rows meet as matrix products and give one sum for each pair of sides.  `unit` tells rows apart."""
 
     def work(a: pa.Table, b: pa.Table) -> pa.Table:
-        d2 = squared_distances(matrix(a, "v"), matrix(b, "v"))
-        kernel = sum(np.exp(-d2 / (2 * s * s)) for s in widths) / len(widths)
+        k = kernel(a, b, widths)
         sa, sb = a.column("side").to_numpy(), b.column("side").to_numpy()
-        cells = [(i, j, float(kernel[np.ix_(sa == i, sb == j)].sum()), int((sa == i).sum() * (sb == j).sum())) for i in (0, 1) for j in (0, 1)]
+        cells = [(i, j, float(k[np.ix_(sa == i, sb == j)].sum()), int((sa == i).sum() * (sb == j).sum())) for i in (0, 1) for j in (0, 1)]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), (pa.int32(), pa.int32(), pa.float64(), pa.int64()), strict=True)], names=["sa", "sb", "k", "n"])
 
-    own = rows.select(F.lit(0).alias("all"), F.col(side).cast("int").alias("side"), F.col("v").cast("array<double>").alias("v"), F.xxhash64("v").alias("unit"))
+    own = rows.select(F.lit(0).alias("all"), F.col(side).cast("int").alias("side"), F.col("v").cast("array<double>").alias("v"), F.col(unit).alias("unit"))
     sums = block_pairs(own, own, ("all",), "unit", work, "sa int, sb int, k double, n long").groupBy("sa", "sb").agg((F.sum("k") / F.sum("n")).alias("k"))
     return sums.agg(F.sum(F.when(F.col("sa") == F.col("sb"), F.col("k")).otherwise(-F.col("k"))).alias("mmd2"))
+
+
+def mmd2_blocks(rows: DataFrame, side: str = "side", widths: tuple[float, ...] = WIDTHS, unit: str = "tile", per_block: int = 2000, seed: int = 0) -> DataFrame:
+    """(mmd2, error, n_blocks): `mmd2` estimated from the pairs within blocks of about `per_block` rows, dealt by a seeded
+    hash of `unit`, and its standard error.  Every row is in one block, so work grows with the rows.  Pairs of different rows
+    of a block stand for those of all rows; the diagonal, which is known, is added in its share.  The error is the jackknife's
+    over blocks; null with one block."""
+    n = rows.count()
+    blocks = max(1, -(-n // per_block))
+    digits = F.conv(F.substring(hash_rank_key(seed, F.col(unit)), 1, 8), 16, 10).cast("long")
+    own = rows.select(F.pmod(digits, F.lit(blocks)).alias("block"), F.col(side).cast("int").alias("side"), F.col("v").cast("array<double>").alias("v"))
+
+    def work(a: pa.Table) -> pa.Table:
+        k, s = kernel(a, a, widths), a.column("side").to_numpy()
+        np.fill_diagonal(k, 0.0)
+        sums = [[a.column("block")[0].as_py()]]
+        for i, j in ((0, 0), (1, 1), (0, 1)):
+            x, y = (s == i).sum(), (s == j).sum()
+            sums += [[float(k[np.ix_(s == i, s == j)].sum())], [float(x * (y - (i == j)))]]
+        return pa.table(sums, names=["block", *names])
+
+    names = [f"{c}{p}" for p in ("ss", "tt", "st") for c in ("k", "n")]
+    each = stage(own.groupBy("block").applyInArrow(work, "block long, " + ", ".join(f"{c} double" for c in names)), "blocks")
+    sizes = own.agg(F.count_if(F.col("side") == 0).cast("double").alias("s"), F.count_if(F.col("side") == 1).cast("double").alias("t"))
+    totals = each.agg(*[F.sum(c).alias(f"all_{c}") for c in names]).crossJoin(sizes)  # one row
+
+    def value(of: Callable[[str], Column]) -> Column:
+        mean = lambda p: of(f"k{p}") / F.nullif(of(f"n{p}"), F.lit(0.0))
+        within = lambda p, m: (mean(p) * (F.col(m) - 1) + 1) / F.col(m)
+        return within("ss", "s") + within("tt", "t") - 2 * mean("st")
+
+    left = each.crossJoin(F.broadcast(totals)).select(value(lambda c: F.col(f"all_{c}")).alias("value"), value(lambda c: F.col(f"all_{c}") - F.col(c)).alias("without"))  # one row is sent
+    m = F.count("without")
+    error = F.when(m > 1, F.sqrt((m - 1) * F.var_pop("without")))
+    return left.agg(F.max("value").alias("mmd2"), error.alias("error"), F.count("*").alias("n_blocks"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from radiotiles.functions import geo
-from radiotiles.operators import boosting, descriptors, grid, metrics, robustness, siting, splits, structures, transfer
+from radiotiles.functions import geo, radio
+from radiotiles.operators import boosting, descriptors, fits, grid, metrics, robustness, siting, splits, structures, transfer
 from radiotiles.plans.queries import GRID, HEIGHT, METRIC_TILE, ORACLE, PRED, TILE_M, TOUCH, _buildings, _edges, _splits, _stacked, query, r, rows
 from radiotiles.sources import tables
 from radiotiles.sources.fixtures import cte
@@ -32,25 +32,23 @@ def a1_scan_measurements(spark, sf):
 
 @query(f"WITH {cte('fx_measurements')} SELECT city, count(*) AS n, round(avg(pathloss_db), 5) AS mean_db, round(max(rx_lat), 6) AS top FROM fx_measurements GROUP BY city")
 def a4_campaign_csv(spark, sf):
-    """A drive-test CSV for each city with names of its own, in the one schema."""
+    """Drive-test CSVs in a folder for each city with names of their own, read at once in the one schema."""
     names = {"bs_id": "Cell ID", "rx_lat": "Latitude", "rx_lon": "Longitude", "pathloss_db": "Path loss"}
-    frames = []
-    for city in sorted(x["r_name"] for x in spark.read.parquet(f"{sf}/region.parquet").select("r_name").collect()):
-        path = scratch_path(spark, "campaign")
-        tables.write_result(rows(spark, sf).where(F.col("city") == city).select(*[F.col(c).alias(n) for c, n in names.items()]), path)
-        frames.append(tables.read_campaign_csv(spark, path, names, city))
-    return tables.union_measurements(*frames).groupBy("city").agg(F.count("*").alias("n"), r(F.avg("pathloss_db"), 5, "mean_db"), r(F.max("rx_lat"), 6, "top"))
+    path = scratch_path(spark, "campaign")
+    rows(spark, sf).select("city", *[F.col(c).alias(n) for c, n in names.items()]).write.partitionBy("city").option("header", True).csv(path)
+    back = tables.read_campaign_csv(spark, path, names)
+    return back.groupBy("city").agg(F.count("*").alias("n"), r(F.avg("pathloss_db"), 5, "mean_db"), r(F.max("rx_lat"), 6, "top"))
 
 
-@query(PRED + " SELECT model, fold, round(avg(abs(pred - truth)), 6) AS mae FROM fx_predictions WHERE target = 'gamma' GROUP BY ALL")
+@query(PRED + " SELECT model, fold, round(avg(abs(pred - truth)) FILTER (target = 'gamma'), 6) AS gamma_mae, round(avg(abs(pred - truth)) FILTER (target = 'pl0'), 6) AS pl0_mae FROM fx_predictions GROUP BY ALL")
 def a6_eval_records(spark, sf):
     """Each run's eval.json is written to its folder and all are read by one pattern."""
     root = scratch_path(spark, "runs")
-    report = metrics.errors(rows(spark, sf, "fx_predictions").where("target = 'gamma'"), "model", "fold")
-    named = report.withColumn("run", F.format_string("%s_loco_%s_s0", "model", "fold")).select("run", "mae")
+    report = metrics.errors(rows(spark, sf, "fx_predictions")).groupBy("model", "fold").pivot("target", ["gamma", "pl0"]).agg(F.first("mae"))
+    named = report.select(F.format_string("%s_loco_%s_s0", "model", "fold").alias("run"), F.col("gamma").alias("gamma_mae"), F.col("pl0").alias("pl0_mae"))
     named.write.partitionBy("run").json(root)
     part = lambda k: F.regexp_extract("run", r"^(?:run=)?(.*)_loco_(.+)_s\d+$", k)
-    return tables.scan_eval_records(spark, f"{root}/*/*.json").select(part(1).alias("model"), part(2).alias("fold"), r("mae", 6))
+    return tables.scan_eval_records(spark, f"{root}/*/*.json").select(part(1).alias("model"), part(2).alias("fold"), r("gamma_mae", 6), r("pl0_mae", 6))
 
 
 @query(f"WITH {cte('fx_tiles')} SELECT city, count(*) AS n, round(sum(CASE WHEN city = 'c1' THEN gamma + 1 ELSE gamma END), 4) AS gamma FROM fx_tiles GROUP BY city")
@@ -307,8 +305,8 @@ def h11_second_stage_sigma(spark, sf):
 
 @query()
 def l3_domain_classifier(spark, sf):
-    """Rows only here: how well tiles of two cities are told from the others by their descriptors, and the conformal
-    quantile of each model's errors weighted by the odds; a test plants a shift."""
+    """Rows only here: how well tiles of two cities are told from the others by their descriptors, by classifiers that have
+    not seen them, and the conformal quantile of each model's errors weighted by the odds; a test plants a shift."""
     side = F.col("city").isin("c0", "c1").cast("int")
     own = rows(spark, sf, "fx_tiles").select("tile", side.alias("side"), F.col("v").cast("array<double>").alias("v"))
     told, auc = transfer.domain_separability(own)
@@ -317,6 +315,45 @@ def l3_domain_classifier(spark, sf):
     return q.select("model", "target", r("q", 5), F.lit(round(auc, 5)).alias("auc"))
 
 
+def described_tiles(spark, sf):
+    """Tiles of the metric grid with their 116 numbers and the shrunk fit of their measurements: from raw rows."""
+    m, z = (F.floor(F.col(c) / METRIC_TILE) for c in ("rx_y", "rx_x"))
+    d = geo.haversine_m(F.col("tx_lat"), F.col("tx_lon"), F.col("rx_lat"), F.col("rx_lon"))
+    points = rows(spark, sf).select("city", m.alias("m"), z.alias("z"), radio.log_distance(d).alias("x"), F.col("pathloss_db").alias("y"))
+    moments = fits.tile_moments(points)
+    fitted = fits.fit_ridge(moments.select("city", "m", "z"), moments)
+    tile = (F.col("m") + 5) * 10 + F.col("z") + 5
+    return vectors(spark, sf).join(fitted.select("city", "m", "z", "gamma", "pl0"), ["city", "m", "z"]).where("gamma is not null").select("city", tile.alias("tile"), "v", "gamma", "pl0")
+
+
+@query()
+def h_fold_scores(spark, sf):
+    """The whole way from measurements, structures, terrain and climate to errors of each model in each fold: descriptors and
+    fits of all tiles, folds of cities, then the median, Gaussian transfer at the fold's best width, ridge and boosted
+    trees.  Rows only here; a test follows it with numpy from the tiles on."""
+    t = stage(described_tiles(spark, sf), "tiles")
+    sp = splits.leave_one_city_out(t.select("city").distinct())
+    part = {role: tables.stack(t, sp, role) for role in ("train", "val", "test")}
+    shape = boosting.Shape(trees=100, step=0.1)
+    models, edges = boosting.boosted_models(t, sp, shape)
+    scale = transfer.column_max(part["train"])
+    near = {role: transfer.normalised(part[role], scale) for role in part}
+    widths = transfer.select_sigma(near["val"], near["train"])
+    unpivot = lambda df: df.unpivot(["fold", "tile"], ["gamma_pred", "pl0_pred"], "target", "pred").withColumn("target", F.regexp_replace("target", "_pred", ""))
+    preds = {
+        "median": unpivot(part["test"].select("fold", "tile").join(transfer.median_predictor(part["train"]), "fold")),
+        "gaussian": unpivot(transfer.gaussian_predict_at(near["test"], near["train"], widths)),
+        "ridge": transfer.linear_predictions(transfer.ridge_by_fold(t, sp), part["test"]),
+        "trees": boosting.boosted_predictions(models, edges, part["test"], shape.depth),
+    }
+    truth = part["test"].unpivot(["fold", "tile"], ["gamma", "pl0"], "target", "truth")
+    out = None
+    for name, p in preds.items():
+        one = metrics.errors(p.join(truth, ["fold", "tile", "target"]).withColumn("model", F.lit(name))).select("model", "fold", "target", "n", r("rmse", 4), r("mae", 4))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query()
 def k3_set_cover(spark, sf):
     """Rows only here; a test follows a small cover by hand."""

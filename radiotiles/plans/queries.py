@@ -77,7 +77,7 @@ SELECT t.city, t.m, t.z, coalesce(c.n, 0)::BIGINT AS n, round(gamma, 4) AS gamma
 FROM tiles t LEFT JOIN (SELECT city, m, z, count(*) AS n FROM pts GROUP BY ALL) c USING (city, m, z) LEFT JOIN rf USING (city, m, z)""")
 def e4_ridge_tiles(spark, sf):
     pts, par = placed(spark, sf)
-    out = fits.fit_ridge(grid.grid_tiles(par), pts, min_count=100)
+    out = fits.fit_ridge(grid.grid_tiles(par), fits.tile_moments(pts), min_count=100)
     return out.select("city", "m", "z", "n", r("gamma"), r("pl0", 3), r("fit_rmse_db"), r("shrinkage"))
 
 
@@ -86,38 +86,41 @@ SELECT t.city, t.m, t.z, coalesce(n, 0)::BIGINT AS n, round(cxy / cxx, 4) AS gam
 FROM tiles t LEFT JOIN (SELECT city, m, z, """ + STATS + """ FROM pts GROUP BY ALL HAVING count(*) >= 10) USING (city, m, z)""")
 def e3_local_tiles(spark, sf):
     pts, par = placed(spark, sf)
-    out = fits.fit_local(grid.grid_tiles(par), pts, 10)
+    out = fits.fit_local(grid.grid_tiles(par), fits.tile_moments(pts), 10)
     return out.select("city", "m", "z", F.when(F.col("gamma").isNull(), 0).otherwise(F.col("n")).cast("long").alias("n"), r("gamma"), r("pl0", 3))
 
 
 @query(GRID + PRIOR + " SELECT city, round(g0, 4) AS gamma, round(p0, 3) AS pl0 FROM prior")
 def e1_global_fit(spark, sf):
-    return fits.fit_global(placed(spark, sf)[0]).select("city", r("gamma"), r("pl0", 3))
+    return fits.fit_global(fits.tile_moments(placed(spark, sf)[0])).select("city", r("gamma"), r("pl0", 3))
 
 
 @query(GRID + PRIOR + " SELECT city, count(*) AS n, round(avg(p0 + g0 * x), 3) AS mean_pred, round(sqrt(avg(pow(p0 + g0 * x - y, 2))), 3) AS rmse FROM pts JOIN prior USING (city) GROUP BY city")
 def e2_predict(spark, sf):
     pts, _ = placed(spark, sf)
-    p = pts.join(F.broadcast(fits.priors_of(pts)), "city").withColumn("p", F.col("p0") + F.col("g0") * F.col("x"))  # a row for each city
+    prior = fits.priors_of(fits.tile_moments(pts))
+    d = haversine_m(F.col("tx_lat"), F.col("tx_lon"), F.col("rx_lat"), F.col("rx_lon"))
+    p = pts.join(F.broadcast(prior), "city").withColumn("p", radio.predict_db(d, F.col("g0"), F.col("p0")))  # a row for each city
     return p.groupBy("city").agg(F.count("*").alias("n"), r(F.avg("p"), 3, "mean_pred"), r(F.sqrt(F.avg(F.pow(F.col("p") - F.col("y"), F.lit(2)))), 3, "rmse"))
 
 
 @query(RIDGE + " SELECT city, count(*) AS n_fitted, round(quantile_cont(gamma, 0.5), 4) AS median_gamma, round(quantile_cont(fit_rmse_db, 0.5), 4) AS median_rmse_db FROM rf GROUP BY city")
 def e6_fit_summary(spark, sf):
     pts, par = placed(spark, sf)
-    return fits.fit_summary(fits.fit_ridge(grid.grid_tiles(par), pts, 100)).select("city", "n_fitted", r("median_gamma"), r("median_rmse_db"))
+    return fits.fit_summary(fits.fit_ridge(grid.grid_tiles(par), fits.tile_moments(pts), 100)).select("city", "n_fitted", r("median_gamma"), r("median_rmse_db"))
 
 
 @query(RIDGE + " SELECT pts.city, round(avg(pow(pl0 + gamma * x - y, 2)), 4) AS mse_db2 FROM pts JOIN rf USING (city, m, z) GROUP BY pts.city")
 def e8_physics_residual(spark, sf):
     pts, par = placed(spark, sf)
-    return fits.physics_residual(fits.fit_ridge(grid.grid_tiles(par), pts, 100), pts).select("city", r("mse_db2"))
+    moments = fits.tile_moments(pts)
+    return fits.physics_residual(fits.fit_ridge(grid.grid_tiles(par), moments, 100), moments).select("city", r("mse_db2"))
 
 
 @query(RIDGE + " SELECT city, m, z, round(gamma_se, 5) AS gamma_se, round(pl0_se, 4) AS pl0_se FROM rf")
 def f1_standard_errors(spark, sf):
     pts, par = placed(spark, sf)
-    return fits.fit_ridge(grid.grid_tiles(par), pts, 100).where("gamma is not null").select("city", "m", "z", r("gamma_se", 5), r("pl0_se"))
+    return fits.fit_ridge(grid.grid_tiles(par), fits.tile_moments(pts), 100).where("gamma is not null").select("city", "m", "z", r("gamma_se", 5), r("pl0_se"))
 
 
 HALVES = GRID + PRIOR + """,
@@ -128,7 +131,7 @@ df AS (SELECT a.city, a.m, a.z, a.gamma - b.gamma AS gamma_diff, a.pl0 - b.pl0 A
 
 @query(HALVES + " SELECT city, m, z, round(gamma_diff, 4) AS gamma_diff, round(pl0_diff, 3) AS pl0_diff FROM df")
 def f2_split_half(spark, sf):
-    return fits.split_half(placed(spark, sf)[0], 20).select("city", "m", "z", r("gamma_diff"), r("pl0_diff", 3))
+    return fits.split_half(fits.station_moments(placed(spark, sf)[0]), 20).select("city", "m", "z", r("gamma_diff"), r("pl0_diff", 3))
 
 
 NOISE = HALVES + ", pts_rf AS (SELECT * FROM pts)" + ridge_sql("rf", "city, m, z", 100) + """,
@@ -138,7 +141,8 @@ su AS (SELECT * FROM (SELECT city, count(*) AS n_tiles, sqrt(avg(gamma_se * gamm
 
 def _noise(spark, sf):
     pts, par = placed(spark, sf)
-    return fits.noise_summary(fits.fit_ridge(grid.grid_tiles(par), pts, 100), fits.split_half(pts, 20))
+    moments = fits.station_moments(pts)
+    return fits.noise_summary(fits.fit_ridge(grid.grid_tiles(par), moments, 100), fits.split_half(moments, 20))
 
 
 @query(NOISE + " SELECT city, n_tiles, n_split, round(ga, 5) AS gamma_se_analytic, round(gs, 4) AS gamma_se_split, round(pa, 4) AS pl0_se_analytic, round(ps, 3) AS pl0_se_split FROM su")
@@ -168,9 +172,10 @@ def c7_assign_tiles(spark, sf):
     return placed(spark, sf)[0].groupBy("city", "m", "z").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {cte('fx_measurements')} SELECT city, count(*) AS n_measurements, count(DISTINCT bs_id) AS n_bs, round(min(pathloss_db), 4) AS pl_min, round(max(pathloss_db), 4) AS pl_max FROM fx_measurements GROUP BY city")
+@query(f"WITH {cte('fx_measurements')} SELECT city, count(*) AS n_measurements, count(DISTINCT bs_id) AS n_bs, round(min(pathloss_db), 4) AS pl_min, round(max(pathloss_db), 4) AS pl_max, 700.0::DOUBLE + 100 * min(bs_id % 9) AS freq_min_mhz, 700.0::DOUBLE + 100 * max(bs_id % 9) AS freq_max_mhz, round(avg(tx_lat), 6) AS origin_lat, round(avg(tx_lon), 6) AS origin_lon FROM fx_measurements GROUP BY city")
 def a10_provenance(spark, sf):
-    return tables.provenance(rows(spark, sf)).select("city", "n_measurements", "n_bs", r("pl_min"), r("pl_max"))
+    m = rows(spark, sf).withColumn("freq_mhz", 700.0 + 100 * (F.col("bs_id") % 9))
+    return tables.provenance(m).select("city", "n_measurements", "n_bs", r("pl_min"), r("pl_max"), "freq_min_mhz", "freq_max_mhz", r("origin_lat", 6), r("origin_lon", 6))
 
 
 @query(f"WITH {cte('fx_measurements')} SELECT city FROM (SELECT r_name AS city FROM region UNION ALL SELECT n_name FROM nation) WHERE city NOT IN (SELECT city FROM fx_measurements)")
@@ -212,18 +217,27 @@ def b8_silent_stations(spark, sf):
     return measure.silent_stations(m.select("city", "bs_id").distinct(), m.where("pathloss_db <= 85"))
 
 
-@query(f"WITH {cte('fx_measurements')} SELECT city, bs_id, count(*) AS n_total, count(pathloss_db) AS n_valid, round(min(pathloss_db), 4) AS pl_min, round(max(pathloss_db), 4) AS pl_max FROM fx_measurements GROUP BY ALL")
+@query(f"WITH {cte('fx_measurements')} SELECT city, bs_id, count(*) AS n_total, count(pathloss_db) AS n_valid, round(min(pathloss_db), 4) AS pl_min, round(max(pathloss_db), 4) AS pl_max, round(avg((dist_m < 600)::INT) FILTER (l_linenumber <> 3), 5) AS los_share FROM fx_measurements GROUP BY ALL")
 def b9_ingest_summary(spark, sf):
-    return measure.ingest_summary(rows(spark, sf)).select("city", "bs_id", "n_total", "n_valid", r("pl_min"), r("pl_max"))
+    """Line of sight within 600 m, unknown for some rows."""
+    m = rows(spark, sf).withColumn("los", F.when(F.col("l_linenumber") != 3, F.col("dist_m") < 600))
+    return measure.ingest_summary(m).select("city", "bs_id", "n_total", "n_valid", r("pl_min"), r("pl_max"), r("los_share", 5))
+
+
+_RANGE = "(44.9 - 6.55 * log10(30)) * log10(greatest(dist_m / 1000, 1e-3))"
+_SMALL = "((1.1 * log10({f}) - 0.7) * 1.5 - (1.56 * log10({f}) - 0.8))"
+_HATA = "69.55 + 26.16 * log10({f}) - 13.82 * log10(30) - {a} + " + _RANGE
+_LARGE = "(3.2 * pow(log10(11.75 * 1.5), 2) - 4.97)"
+_COST = "46.3 + 33.9 * log10(3500) - 13.82 * log10(30) - " + _SMALL.format(f=3500) + " + " + _RANGE
 
 
-@query(f"""WITH {cte('fx_measurements')} SELECT city,
- round(avg(69.55 + 26.16 * log10(3500) - 13.82 * log10(30) - (3.2 * pow(log10(11.75 * 1.5), 2) - 4.97) + (44.9 - 6.55 * log10(30)) * log10(greatest(dist_m / 1000, 1e-3))), 3) AS hata,
- round(avg(46.3 + 33.9 * log10(3500) - 13.82 * log10(30) - ((1.1 * log10(3500) - 0.7) * 1.5 - (1.56 * log10(3500) - 0.8)) + (44.9 - 6.55 * log10(30)) * log10(greatest(dist_m / 1000, 1e-3)) + 3), 3) AS cost231,
- round(avg(13.54 + 39.08 * log10(greatest(dist_m, 1)) + 20 * log10(3.5)), 3) AS uma FROM fx_measurements GROUP BY city""")
+@query(f"""WITH {cte('fx_measurements')} SELECT city, round(avg({_HATA.format(f=3500, a=_LARGE)}), 3) AS hata, round(avg({_HATA.format(f=150, a=_SMALL.format(f=150))}), 3) AS hata_low, round(avg({_HATA.format(f=900, a=_SMALL.format(f=900))}), 3) AS hata_small,
+ round(avg({_COST} + 3), 3) AS cost231, round(avg({_COST}), 3) AS cost231_medium, round(avg(13.54 + 39.08 * log10(greatest(dist_m, 1)) + 20 * log10(3.5)), 3) AS uma, round(avg(13.54 + 39.08 * log10(greatest(dist_m, 1)) + 20 * log10(3.5) - 0.6 * 8.5), 3) AS uma_high FROM fx_measurements GROUP BY city""")
 def e7_empirical_models(spark, sf):
+    """Every branch: under 300 MHz, small cities, medium-sized cities, and a receiver above the street."""
     d, f = F.col("dist_m"), F.lit(3500.0)
-    return rows(spark, sf).groupBy("city").agg(r(F.avg(radio.hata_db(d, f)), 3, "hata"), r(F.avg(radio.cost231_db(d, f)), 3, "cost231"), r(F.avg(radio.uma_nlos_db(d, F.lit(3.5))), 3, "uma"))
+    models = {"hata": radio.hata_db(d, f), "hata_low": radio.hata_db(d, F.lit(150.0)), "hata_small": radio.hata_db(d, F.lit(900.0), large_city=False), "cost231": radio.cost231_db(d, f), "cost231_medium": radio.cost231_db(d, f, metropolitan=False), "uma": radio.uma_nlos_db(d, F.lit(3.5)), "uma_high": radio.uma_nlos_db(d, F.lit(3.5), h_ut=10.0)}
+    return rows(spark, sf).groupBy("city").agg(*[r(F.avg(v), 3, k) for k, v in models.items()])
 
 
 PRED = f"WITH {cte('fx_predictions')}"
@@ -490,7 +504,21 @@ def l1_coral(spark, sf):
 k AS (SELECT sa, sb, avg((exp(-d2 / 2) + exp(-d2 / 8) + exp(-d2 / 32) + exp(-d2 / 128)) / 4) AS k FROM p GROUP BY ALL) SELECT round(sum(CASE WHEN sa = sb THEN k ELSE -k END), 5) AS mmd2 FROM k""")
 def l2_mmd2(spark, sf):
     side = F.col("city").isin("c0", "c1").cast("int")
-    return transfer.mmd2(rows(spark, sf, "fx_tiles").select(side.alias("side"), F.col("v").cast("array<double>").alias("v"))).select(r("mmd2", 5))
+    return transfer.mmd2(rows(spark, sf, "fx_tiles").select("tile", side.alias("side"), "v")).select(r("mmd2", 5))
+
+
+@query(f"""WITH {cte('fx_tiles')}, nb AS (SELECT ceil(count(*) / 100.0)::BIGINT AS blocks, count(*) FILTER (city NOT IN ('c0', 'c1'))::DOUBLE AS s, count(*) FILTER (city IN ('c0', 'c1'))::DOUBLE AS t FROM fx_tiles),
+e AS (SELECT tile, ('0x' || substr(md5(concat_ws('|', '0', tile::VARCHAR)), 1, 8))::BIGINT % blocks AS block, (city IN ('c0', 'c1'))::INT AS side, v::DOUBLE[] AS v FROM fx_tiles, nb),
+p AS (SELECT a.block, a.side AS sa, b.side AS sb, pow(list_distance(a.v, b.v), 2) AS d2 FROM e a JOIN e b ON a.block = b.block AND a.tile <> b.tile),
+k AS (SELECT block, sa, sb, sum((exp(-d2 / 2) + exp(-d2 / 8) + exp(-d2 / 32) + exp(-d2 / 128)) / 4) AS k, count(*)::DOUBLE AS n FROM p GROUP BY ALL),
+w AS (SELECT block, coalesce(sum(k) FILTER (sa = 0 AND sb = 0), 0) AS kss, coalesce(sum(n) FILTER (sa = 0 AND sb = 0), 0) AS nss, coalesce(sum(k) FILTER (sa = 1 AND sb = 1), 0) AS ktt, coalesce(sum(n) FILTER (sa = 1 AND sb = 1), 0) AS ntt, coalesce(sum(k) FILTER (sa = 0 AND sb = 1), 0) AS kst, coalesce(sum(n) FILTER (sa = 0 AND sb = 1), 0) AS nst FROM (SELECT DISTINCT block FROM e) LEFT JOIN k USING (block) GROUP BY block),
+a AS (SELECT sum(kss) AS a1, sum(nss) AS a2, sum(ktt) AS a3, sum(ntt) AS a4, sum(kst) AS a5, sum(nst) AS a6 FROM w),
+j AS (SELECT (a1 / a2 * (s - 1) + 1) / s + (a3 / a4 * (t - 1) + 1) / t - 2 * a5 / a6 AS value, ((a1 - kss) / (a2 - nss) * (s - 1) + 1) / s + ((a3 - ktt) / (a4 - ntt) * (t - 1) + 1) / t - 2 * (a5 - kst) / (a6 - nst) AS without FROM w, a, nb)
+SELECT round(max(value), 6) AS mmd2, round(sqrt((count(*) - 1) * var_pop(without)), 6) AS error, count(*) AS n_blocks FROM j""")
+def l2_mmd2_blocks(spark, sf):
+    """The estimate from blocks of about 100 rows, with its error."""
+    side = F.col("city").isin("c0", "c1").cast("int")
+    return transfer.mmd2_blocks(rows(spark, sf, "fx_tiles").select("tile", side.alias("side"), "v"), per_block=100).select(r("mmd2", 6), r("error", 6), "n_blocks")
 
 
 HEIGHT = f"""WITH {cte('fx_structures')}, k AS (SELECT *, coalesce(try_cast(height_tag AS DOUBLE), try_cast(levels_tag AS DOUBLE) * 3.2) AS known,
@@ -657,3 +685,19 @@ def regions(spark, sf):
 def c4_region_tiles(spark, sf):
     """The tiles of concave regions with their dense index."""
     return grid.tile_bounds(grid.region_tiles(regions(spark, sf), TILE_M)).select("city", "m", "z", "tile_index", r("south", 7), r("east", 7))
+
+
+# ---- composite loss ----
+
+
+@query(f"""SELECT model, round(avg(nll), 4) AS nll, round(any_value(physics), 3) AS physics, round(any_value(shift) * 1e6, 3) AS shift_u, round(avg(nll) + 0.1 * any_value(physics) + 0.1 * any_value(shift), 3) AS loss
+FROM ({PRED} SELECT model, target, avg(0.5 * (2 * ln(sigma) + pow(truth - pred, 2) / (sigma * sigma))) AS nll FROM fx_predictions GROUP BY ALL) CROSS JOIN (SELECT avg(mse_db2) AS physics FROM ({ORACLE["e8_physics_residual"]})) CROSS JOIN (SELECT coral_u / 1e6 AS shift FROM ({ORACLE["l1_coral"]})) GROUP BY model""")
+def i11_composite_loss(spark, sf):
+    """Likelihood of the predictions, physics residual of the tile fits and shift of the descriptors in one number."""
+    pts, par = placed(spark, sf)
+    moments = fits.tile_moments(pts)
+    physics = fits.physics_residual(fits.fit_ridge(grid.grid_tiles(par), moments, 100), moments)
+    side = F.col("city").isin("c0", "c1").cast("int")
+    shift = transfer.coral(rows(spark, sf, "fx_tiles").select(side.alias("side"), F.col("v").cast("array<double>").alias("v")))
+    own = metrics.composite_loss(metrics.gaussian_nll(rows(spark, sf, "fx_predictions")), physics, shift)
+    return own.select("model", r("nll"), r("physics", 3), r(F.col("shift") * 1e6, 3, "shift_u"), r("loss", 3))

@@ -41,13 +41,17 @@ def stack(tiles: DataFrame, splits: DataFrame, role: str) -> DataFrame:
     return tiles.join(F.broadcast(splits.where(F.col("role") == role)), "city")  # folds x cities rows
 
 
-def read_campaign_csv(spark: SparkSession, path: str, mapping: dict[str, str], city: str) -> DataFrame:
-    """A drive-test CSV in the one schema; mapping: canonical name to the campaign's."""
+def read_campaign_csv(spark: SparkSession, path: str, mapping: dict[str, str], city: str | None = None) -> DataFrame:
+    """Drive-test CSVs in the one schema; mapping: canonical name to the campaign's.  Without `city` the files lie in
+    folders city=..., which name it, and all are read at once."""
     raw = spark.read.csv(path, header=True)
+    if city is None and "city" not in raw.columns:
+        raise ValueError(f"no city and no folders city=... in {path}")
     if missing := sorted(set(mapping.values()) - set(raw.columns)):
         raise ValueError(f"columns missing in {path}: {missing}")
+    names = mapping if city is not None else {**mapping, "city": "city"}
     known = {f.name: f.dataType for f in MEASUREMENTS}
-    cols = [(F.col(f"`{mapping[n]}`").try_cast(t) if n in mapping else F.lit(city if n == "city" else None).cast(t)).alias(n) for n, t in known.items()]
+    cols = [(F.col(f"`{names[n]}`").try_cast(t) if n in names else F.lit(city if n == "city" else None).cast(t)).alias(n) for n, t in known.items()]
     return raw.select(*cols)
 
 
@@ -85,12 +89,16 @@ def write_result(df: DataFrame, path: str, form: str = "csv") -> None:
 
 
 def provenance(measurements: DataFrame) -> DataFrame:
-    """Counts and ranges by city."""
+    """Counts, ranges, frequencies and origin (the mean transmitter position) by city."""
     return measurements.groupBy("city").agg(
         F.count("*").alias("n_measurements"),
         F.countDistinct("bs_id").alias("n_bs"),
         F.min("pathloss_db").alias("pl_min"),
         F.max("pathloss_db").alias("pl_max"),
+        F.min("freq_mhz").alias("freq_min_mhz"),
+        F.max("freq_mhz").alias("freq_max_mhz"),
+        F.avg("tx_lat").alias("origin_lat"),
+        F.avg("tx_lon").alias("origin_lon"),
     )
 
 
