@@ -5,9 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from radiotiles.functions import geo
 from radiotiles.operators import folds, grid, paths, robustness, siting, structures
-from radiotiles.plans.queries import GRID, ORACLE, POWER, THRESHOLD_DBM, TILE_M, TOUCH, _scores, greedy_sql, power_sites, query, r, rows
+from radiotiles.plans.queries import GRID, HEIGHT, ORACLE, POWER, THRESHOLD_DBM, TILE_M, TOUCH, _scores, greedy_sql, power_sites, query, r, rows
 from radiotiles.sources.fixtures import cte
 
 CELL = 300.0
@@ -97,17 +96,6 @@ def d16_snapshot_drift(spark, sf):
     return robustness.drift(*made, ("city", "m", "z"), ("water_count", "veg_count"))
 
 
-@query()
-def c11_local_frame(spark, sf):
-    """Metres east and north of the city's origin for each receiver, and the error of the way back; rows
-    only here, a test compares published positions."""
-    m = rows(spark, sf).select("city", "bs_id", "l_orderkey", "l_linenumber", "l_partkey", "lat0", "lon0", "rx_lat", "rx_lon")
-    x, y = geo.local_frame(F.col("rx_lat"), F.col("rx_lon"), F.col("lat0"), F.col("lon0"))
-    lat, lon = geo.local_frame_inverse(F.col("x"), F.col("y"), F.col("lat0"), F.col("lon0"))
-    back = m.withColumn("x", x).withColumn("y", y).withColumn("error_deg", F.greatest(F.abs(lat - F.col("rx_lat")), F.abs(lon - F.col("rx_lon"))))
-    return back.select("city", "bs_id", "l_orderkey", "l_linenumber", "l_partkey", r("x", 3), r("y", 3), r("error_deg", 7))
-
-
 @query(POWER + greedy_sql("nominal", "en") + greedy_sql("averse", "ea") + " SELECT method, step, candidate_id, sum(gain) OVER (PARTITION BY method ORDER BY step)::BIGINT AS covered FROM (SELECT 'nominal' AS method, * FROM g_nominal UNION ALL SELECT 'averse', * FROM g_averse)")
 def k6_placement_comparison(spark, sf):
     """Greedy sites by expected power and by its conformal lower bound, until none gains."""
@@ -125,11 +113,22 @@ def k6_median_comparison(spark, sf):
     return siting.compare({"averse": siting.greedy_cover(siting.cover_by_power(sites, points, THRESHOLD_DBM)), "median": placed})
 
 
-@query()
+_OFF = "sqrt(pow({0}.x - {1}, 2) + pow({0}.y - {2}, 2))"
+#: Each step carries the points that are left and the sites that are used, as lists.
+MEDIANS = f"""WITH RECURSIVE {cte("fx_sites", "fx_points")}, si AS (SELECT list({{id: candidate_id, x: sx, y: sy}} ORDER BY candidate_id) AS sites FROM fx_sites),
+rr AS (SELECT -1 AS step, NULL::BIGINT AS candidate_id, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0::BIGINT AS gain, list({{id: point_id, x: px, y: py}} ORDER BY point_id) AS open, []::BIGINT[] AS used FROM fx_points
+UNION ALL SELECT step + 1, id, ax, ay, len(open) - len(after), after, CASE WHEN id IS NULL THEN used ELSE list_append(used, id) END FROM (
+  SELECT *, list_filter(open, lambda p: {_OFF.format("p", "ax", "ay")} >= 400) AS after FROM (
+    SELECT *, best.id AS id, coalesce(best.x, mx) AS ax, coalesce(best.y, my) AS ay FROM (
+      SELECT *, list_sort(list_transform(list_filter(sites, lambda s: NOT list_contains(used, s.id) AND {_OFF.format("s", "star.x", "star.y")} < 400), lambda s: {{d: {_OFF.format("s", "star.x", "star.y")}, id: s.id, x: s.x, y: s.y}}))[1] AS best FROM (
+        SELECT *, list_sort(list_transform(open, lambda p: {{d: {_OFF.format("p", "mx", "my")}, id: p.id, x: p.x, y: p.y}}))[1] AS star FROM (
+          SELECT step, used, open, list_aggregate(list_transform(open, lambda p: p.x), 'median') AS mx, list_aggregate(list_transform(open, lambda p: p.y), 'median') AS my FROM rr WHERE len(open) > 0 AND NOT (step >= 0 AND candidate_id IS NULL AND gain = 0))), si))))"""
+
+
+@query(MEDIANS + " SELECT step, candidate_id, round(x, 6) AS x, round(y, 6) AS y, gain, len(open) AS uncovered FROM rr WHERE step >= 0")
 def k4_median_placement(spark, sf):
-    """Rows only here; a test follows the steps by hand on two clusters."""
     points = rows(spark, sf, "fx_points")
-    return siting.with_uncovered(siting.median_placement(rows(spark, sf, "fx_sites"), points, 400.0), points)
+    return siting.with_uncovered(siting.median_placement(rows(spark, sf, "fx_sites"), points, 400.0), points).select("step", "candidate_id", r("x", 6), r("y", 6), "gain", "uncovered")
 
 
 @query(f"""WITH j AS (SELECT * FROM ({ORACLE['j1_bootstrap']}) JOIN ({ORACLE['j2_paired_t']}) USING (model) LEFT JOIN (SELECT model, wilcoxon, p_w FROM ({ORACLE['j3_wilcoxon']})) USING (model)),
@@ -144,8 +143,18 @@ def j7_model_report(spark, sf):
     return out.select("model", "target", "reference", r("diff_mean", 5), r("ci_lo", 5), r("ci_hi", 5), "significant", "n_folds", r("t"), r("p_t", 6), r("cohens_dz_folds"), "wilcoxon", r("p_w", 6), "rejected")
 
 
-@query()
+#: Roofs are taken one by one in their order, with those taken before as a list.
+ROOFS = HEIGHT.replace("WITH ", "WITH RECURSIVE ", 1) + """, rc AS (SELECT city, min({low: -height, id: structure_id, x: cx, y: cy}) AS p FROM h WHERE height > 6 GROUP BY city, floor(cx / 25), floor(cy / 25)),
+ro AS (SELECT city, p, row_number() OVER (PARTITION BY city ORDER BY p.low, p.id) AS i FROM rc),
+tk AS (SELECT city, 0::BIGINT AS i, false AS ok, []::STRUCT(x DOUBLE, y DOUBLE)[] AS taken FROM (SELECT DISTINCT city FROM ro)
+  UNION ALL SELECT city, i, ok, CASE WHEN ok THEN list_append(taken, {x: p.x, y: p.y}) ELSE taken END FROM (SELECT ro.city, ro.i, p, taken, len(list_filter(taken, lambda q: sqrt(pow(q.x - p.x, 2) + pow(q.y - p.y, 2)) < 250)) = 0 AS ok FROM tk JOIN ro ON ro.city = tk.city AND ro.i = tk.i + 1)),
+ap AS (SELECT city, p, row_number() OVER (PARTITION BY city ORDER BY i) AS k FROM tk JOIN ro USING (city, i) WHERE ok),
+fi AS (SELECT * FROM ap WHERE k <= 20), nn AS (SELECT city, count(*) AS n FROM fi GROUP BY city),
+mo AS (SELECT city, p, n + row_number() OVER (PARTITION BY city ORDER BY md5(concat_ws('|', '0', p.id::VARCHAR)), p.low, p.id) AS k FROM ro JOIN nn USING (city) WHERE p.id NOT IN (SELECT p.id FROM fi))
+SELECT city, (k - 1)::INT AS rank, p.id AS structure_id, round(p.x, 2) AS cx, round(p.y, 2) AS cy, round(3 - p.low, 3) AS z FROM (SELECT * FROM fi UNION ALL SELECT city, p, k FROM mo WHERE k <= 20)"""
+
+
+@query(ROOFS)
 def k5_rooftop_sites(spark, sf):
-    """Rows only here; a test compares a plain loop over one city."""
     buildings = structures.with_heights(rows(spark, sf, "fx_structures").where("kind = 'building'"))
     return siting.rooftop_sites(buildings, 20, 3.0).select("city", "rank", "structure_id", r("cx", 2), r("cy", 2), r("z", 3))

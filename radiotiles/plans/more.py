@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from radiotiles.functions import geo, radio
 from radiotiles.operators import boosting, descriptors, fits, grid, metrics, robustness, siting, splits, structures, transfer
-from radiotiles.plans.queries import GRID, HEIGHT, METRIC_TILE, ORACLE, PRED, TILE_M, TOUCH, _buildings, _edges, _splits, _stacked, query, r, rows
+from radiotiles.plans.queries import COVER, GRID, HEIGHT, METRIC_TILE, ORACLE, PRED, TILE_M, TOUCH, _buildings, _edges, _splits, _stacked, greedy_sql, query, r, recursive, rows
 from radiotiles.sources import tables
 from radiotiles.sources.fixtures import cte
 from radiotiles.sources.scratch import scratch_path, stage
@@ -155,13 +155,51 @@ def d1_tag_classes(spark, sf):
     return shapes.groupBy(F.split("feature_id", "/")[0].alias("city"), "kind").agg(F.count("*").alias("n"), r(F.sum("area_m2"), 4, "area_m2"))
 
 
-@query()
+def _sums(first: str, coefficients: tuple[float, ...], sign: str, f: str, g: str, a: str, b: str) -> str:
+    return first + "".join(f" {sign} {c!r} * {f}({2 * j} * {a}) * {g}({2 * j} * {b})" for j, c in enumerate(coefficients, 1))
+
+
+def utm_sql(rows_: str, lat: str, lon: str, zone: str, names: str) -> str:
+    """Rows of a table north of the equator with e and n, by the transverse Mercator series."""
+    k = geo.SCALE * geo._A
+    return f"""(SELECT {names}, {geo.FALSE_EASTING} + {k!r} * ({_sums("eta", geo._ALPHA, "+", "cos", "sinh", "xi", "eta")}) AS e, {k!r} * ({_sums("xi", geo._ALPHA, "+", "sin", "cosh", "xi", "eta")}) AS n
+FROM (SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta FROM (SELECT *, sinh(atanh(sn) - {geo._E!r} * atanh({geo._E!r} * sn)) AS t FROM (SELECT *, sin(radians({lat})) AS sn, radians({lon}) - radians({zone} * 6.0 - 183.0) AS dl FROM {rows_}))))"""
+
+
+def utm_inverse_sql(rows_: str, names: str) -> str:
+    """Rows with e, n and zone, north of the equator, with lat and lon in degrees."""
+    k = geo.SCALE * geo._A
+    lat = "chi" + "".join(f" + {c!r} * sin({2 * j} * chi)" for j, c in enumerate(geo._DELTA, 1))
+    return f"""(SELECT {names}, degrees({lat}) AS lat, degrees(radians(zone * 6.0 - 183.0) + atan2(sinh(e2), cos(x2))) AS lon FROM (SELECT *, asin(sin(x2) / cosh(e2)) AS chi
+FROM (SELECT *, {_sums("xi", geo._BETA, "-", "sin", "cosh", "xi", "eta")} AS x2, {_sums("eta", geo._BETA, "-", "cos", "sinh", "xi", "eta")} AS e2 FROM (SELECT *, (e - {geo.FALSE_EASTING}) / {k!r} AS eta, n / {k!r} AS xi FROM {rows_}))))"""
+
+
+ORIGINS = f"WITH {cte('fx_measurements')}, og AS (SELECT DISTINCT city, lat0, lon0, (floor((lon0 + 180) / 6) + 1)::INT AS zone FROM fx_measurements)"
+
+
+@query(ORIGINS + f""", c0 AS (SELECT city, zone, e AS e0, n AS n0 FROM {utm_sql("og", "lat0", "lon0", "zone", "city, zone")}),
+co AS (SELECT city, zone, e0 + x AS e, n0 + y AS n FROM c0, (VALUES (-1600.0), (1600.0)) a(x), (VALUES (-1600.0), (1600.0)) b(y))
+SELECT city, round(min(lat), 7) AS south, round(min(lon), 7) AS west, round(max(lat), 7) AS north, round(max(lon), 7) AS east FROM {utm_inverse_sql("co", "city")} GROUP BY city""")
 def c12_scene_box(spark, sf):
-    """Rows only here; a test walks the corners."""
     m = rows(spark, sf).select("city", "lat0", "lon0").distinct()
     return grid.scene_boxes(m, 3000.0, 100.0).select("city", *[r(c, 7) for c in ("south", "west", "north", "east")])
 
 
+LOCAL = "city, bs_id, l_orderkey, l_linenumber, l_partkey, e0, n0"
+
+
+@query(ORIGINS + f""", c0 AS (SELECT city, zone, e AS e0, n AS n0 FROM {utm_sql("og", "lat0", "lon0", "zone", "city, zone")}), me AS (SELECT * FROM fx_measurements JOIN c0 USING (city))
+SELECT city, bs_id, l_orderkey, l_linenumber, l_partkey, round(e - e0, 2) AS x, round(n - n0, 2) AS y, 0.0::DOUBLE AS error_deg FROM {utm_sql("me", "rx_lat", "rx_lon", "zone", LOCAL)}""")
+def c11_local_frame(spark, sf):
+    """Metres east and north of the city's origin for each receiver, and the error of the way back, which is none; a test
+    compares published positions."""
+    m = rows(spark, sf).select("city", "bs_id", "l_orderkey", "l_linenumber", "l_partkey", "lat0", "lon0", "rx_lat", "rx_lon")
+    x, y = geo.local_frame(F.col("rx_lat"), F.col("rx_lon"), F.col("lat0"), F.col("lon0"))
+    lat, lon = geo.local_frame_inverse(F.col("x"), F.col("y"), F.col("lat0"), F.col("lon0"))
+    back = m.withColumn("x", x).withColumn("y", y).withColumn("error_deg", F.greatest(F.abs(lat - F.col("rx_lat")), F.abs(lon - F.col("rx_lon"))))
+    return back.select("city", "bs_id", "l_orderkey", "l_linenumber", "l_partkey", r("x", 2), r("y", 2), r("error_deg", 7))
+
+
 SIZES = (1000.0, 800.0, 600.0, 500.0, 300.0, 200.0)
 
 
@@ -354,8 +392,8 @@ def h_fold_scores(spark, sf):
     return out
 
 
-@query()
+@query(recursive(COVER + ", er AS (SELECT ed.* FROM ed JOIN fx_points USING (point_id) WHERE py > 0)" + greedy_sql("need", "er") + " SELECT * FROM g_need"))
 def k3_set_cover(spark, sf):
-    """Rows only here; a test follows a small cover by hand."""
+    """Sites until all points of the northern half that can be covered are."""
     required = rows(spark, sf, "fx_points").where("py > 0").select("point_id")
-    return siting.greedy_set_cover(_edges(spark, sf), required)
+    return siting.greedy_set_cover(_edges(spark, sf), required).select("step", "candidate_id", "gain")
