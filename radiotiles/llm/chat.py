@@ -7,9 +7,11 @@ a span, the text is located by rendering the same prefix with a marker in place
 
 Prefixes are whole, so time grows with the square of a conversation's length.  Only a template that is
 declared `local` (what it writes for a turn depends on the turn before it only, and on whether there is
-one) is rendered in windows of at most `context` turns that overlap by one.  At each cut the whole prefix
-is rendered too, and the window's output must be its end and the overlapping turn alike in both windows;
-otherwise the turn is marked as rewritten, and whole prefixes are used from there on.
+one) is rendered in windows of `context` turns that overlap by one.  A window is given out when it has been
+checked, at its end or at that of the conversation: the whole conversation so far is rendered, and must be the
+checked output before with the window's pieces behind it.  Otherwise the window is rendered again by whole
+prefixes, as is all that follows, so a wrong declaration costs time and the pieces of every conversation end to end
+are its output.  What a template declared local rewrites within a window and takes back before its end is not seen.
 
 Empty table: no rows.  Null text or role: empty.  A null conv_id is a conversation of its own.  Turns
 that share a number are ordered by role and text; repeated rows are separate turns.  Other columns
@@ -58,43 +60,62 @@ def parse(piece: str) -> tuple[str, str]:
     return role, unescape(body[: body.rindex(END)])
 
 
-class Spans:
-    """Feeds the turns of one conversation to a template and gives each one's piece of the output."""
+Turn = tuple[str, str]
+Piece = tuple[str, int, int, bool]
 
-    def __init__(self, template: Template, context: int):
-        self.template, self.context = template, context if getattr(template, "local", False) else None
-        self.turns: list[tuple[str, str]] = []
-        self.all: list[tuple[str, str]] = []  # of a local template's conversation
-        self.window: list[str] = []  # pieces since the last cut
-        self.last, self.at, self.piece = template([]), 0, ""
-        self.head = self.last
-
-    def add(self, role: str, text: str) -> tuple[str, int, int, bool]:
+
+class Prefixes:
+    """Feeds turns to a template one by one, after those of `turns`, and gives each one's piece of the output."""
+
+    def __init__(self, template: Template, turns: list[Turn]):
+        self.template, self.turns = template, list(turns)
+        self.last = template(self.turns)
+
+    def add(self, role: str, text: str) -> Piece:
         """The piece of this turn, where its text starts and ends in the piece (-1: not found), rewritten or not."""
-        rewritten = False
-        if self.context is not None and len(self.turns) > self.context:
-            whole, again = self.template(self.all), self.template(self.turns[-1:])
-            if whole.endswith("".join(self.window)) and again.endswith(self.piece):
-                self.turns, self.last = self.turns[-1:], again
-            else:  # not local after all
-                rewritten, self.context = True, None
-                self.turns, self.last, self.all = self.all, whole, []
-            self.window = []
         self.turns.append((role, text))
-        if self.context is not None:
-            self.all.append((role, text))
         now = self.template(self.turns)
-        rewritten = rewritten or not now.startswith(self.last)
-        self.piece = now[len(self.last) :] if not rewritten else now
-        if self.context is not None:
-            self.window.append(self.piece)
+        rewritten = not now.startswith(self.last)
+        piece = now if rewritten else now[len(self.last) :]
         marked = self.template([*self.turns[:-1], (role, MARK)])
         before, found, after = marked.rpartition(MARK)
         known = found and now.startswith(before) and now.endswith(after) and len(now) >= len(before) + len(after)
-        base = len(now) - len(self.piece)
+        base = len(now) - len(piece)
         start, end = (len(before) - base, len(now) - len(after) - base) if known else (-1, -1)
         self.last = now
-        return self.piece, start, end, bool(rewritten)
+        return piece, start, end, rewritten
+
+
+class Spans:
+    """The pieces of one conversation's turns, in order; those of a window come together."""
+
+    def __init__(self, template: Template, context: int):
+        self.template, self.context = template, context
+        self.plain = None if getattr(template, "local", False) else Prefixes(template, [])
+        self.window = Prefixes(template, []) if self.plain is None else None
+        self.done: list[Turn] = []  # checked turns, and their output
+        self.output = self.window.last if self.window else ""
+        self.held: list[tuple[Turn, Piece]] = []
+
+    def add(self, role: str, text: str) -> list[Piece]:
+        if self.plain:
+            return [self.plain.add(role, text)]
+        self.held.append(((role, text), self.window.add(role, text)))
+        return self.rest() if len(self.held) == self.context else []
+
+    def rest(self) -> list[Piece]:
+        """The pieces of the turns that are still held."""
+        turns, pieces = [t for t, _ in self.held], [p for _, p in self.held]
+        if not turns:
+            return []
+        self.held = []
+        whole = self.template([*self.done, *turns])
+        if not any(p[3] for p in pieces) and whole == self.output + "".join(p[0] for p in pieces):
+            self.done, self.output = [*self.done, *turns], whole
+            self.window = Prefixes(self.template, turns[-1:])
+            return pieces
+        self.plain, self.window = Prefixes(self.template, self.done), None  # not local after all
+        return [self.plain.add(*t) for t in turns]
 
 
 FORMATTED = "conv_id long, seq long, role string, piece string, text_start long, text_end long, rewritten boolean"
@@ -105,16 +126,31 @@ def formatted(conversations: DataFrame, template: Template = chat_template, cont
     templates only.  The output for a conversation is its pieces laid end to end; text_start and text_end are offsets in the piece."""
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, spans, seq = object(), None, 0
+        conv, spans, waiting, seq = object(), None, [], 0
+        out: dict[str, list] = {k: [] for k in SCHEMA.names}
+
+        def give(pieces: list[Piece]) -> None:
+            nonlocal seq
+            for piece in pieces:
+                for k, v in zip(out, (conv, seq, waiting.pop(0), *piece), strict=True):
+                    out[k].append(v)
+                seq += 1
+
         for batch in batches:
-            out = {k: [] for k in ("conv_id", "seq", "role", "piece", "text_start", "text_end", "rewritten")}
             for c, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "text")), strict=True):
                 if c != conv:
-                    conv, spans, seq = c, Spans(template, context), 0
-                for k, v in zip(out, (c, seq, role, *spans.add(role, text)), strict=True):
-                    out[k].append(v)
-                seq += 1
-            yield pa.RecordBatch.from_pydict(out, schema=SCHEMA)
+                    if spans:
+                        give(spans.rest())
+                    conv, spans, waiting, seq = c, Spans(template, context), [], 0
+                waiting.append(role)
+                give(spans.add(role, text))
+            if out["seq"]:
+                yield pa.RecordBatch.from_pydict(out, schema=SCHEMA)
+                out.update({k: [] for k in out})
+        if spans:
+            give(spans.rest())
+            if out["seq"]:
+                yield pa.RecordBatch.from_pydict(out, schema=SCHEMA)
 
     SCHEMA = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("role", pa.string()), ("piece", pa.string()), ("text_start", pa.int64()), ("text_end", pa.int64()), ("rewritten", pa.bool_())])
     turns = conversations.select(F.col("conv_id").cast("long"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
