@@ -1,9 +1,10 @@
 """Resolution of not-modified revisits in a web archive.
 
 A revisit (a 304 record without payload) is resolved to the latest earlier full response for its
-canonical URL: an as-of join.  Time is cut into buckets, so that a URL with very many records is
-dealt to many tasks: within (URL, bucket) a window carries the last full response forward, and a
-second, small window over one row for each (URL, bucket) carries it across buckets.  The validators
+canonical URL: an as-of join.  Records are dealt by sampled ranges of (URL, time, id), so that a URL with very
+many records lies in many buckets however its times are spread: within (URL, bucket) a window carries the last
+full response forward, and a second, small window over one row for each (URL, bucket) carries it across
+buckets.  The validators
 are then checked (entity tag before modification date), and the stored headers are updated with
 those headers of the revisit that a 304 may change.
 
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from radiotiles.llm.common import stage
+
 #: Header fields of a 304 response that replace stored ones.
 UPDATED_BY_304 = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 
@@ -36,9 +39,10 @@ def strong(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
-def resolve_revisits(records: DataFrame, rows_per_bucket: int = 50_000) -> DataFrame:
+def resolve_revisits(records: DataFrame, buckets: int | None = None) -> DataFrame:
     """`records`: record_id long, url string, ts long, revisit boolean, headers map<string,string> (names
-    in lower case).  One row for each revisit: record_id, canonical_url, ts, status, target_id, headers."""
+    in lower case).  One row for each revisit: record_id, canonical_url, ts, status, target_id, headers.  `buckets`: as
+    many as there are shuffle partitions unless given."""
     rows = records.select(
         F.col("record_id").cast("long").alias("record_id"),
         canonical_url(F.col("url")).alias("canonical_url"),
@@ -46,11 +50,9 @@ def resolve_revisits(records: DataFrame, rows_per_bucket: int = 50_000) -> DataF
         F.coalesce("revisit", F.lit(False)).alias("revisit"),
         F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"),
     )
-    span = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count("*").alias("n")).first()
-    n_buckets = max(1, -(-span["n"] // rows_per_bucket))
-    lo, hi = span["lo"] or 0, span["hi"] or 0
-    width = max(1, -(-(hi - lo + 1) // n_buckets))
-    rows = rows.withColumn("bucket", F.expr(f"(ts - {lo}L) div {width}L"))
+    order = ("canonical_url", "ts", "record_id")
+    dealt = rows.repartitionByRange(buckets, *order) if buckets else rows.repartitionByRange(*order)
+    rows = stage(dealt.withColumn("bucket", F.spark_partition_id()), "captures")  # written, so that the buckets stay
     full = F.when(~F.col("revisit") & F.col("ts").isNotNull() & F.col("record_id").isNotNull(), F.struct("ts", "record_id", "headers"))
     in_order = Window.partitionBy("canonical_url", "bucket").orderBy("ts", "record_id")
     local = rows.withColumn("own", F.last(full, True).over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
