@@ -241,30 +241,29 @@ def pack(docs: DataFrame, window: int = 1024, part_windows: int = 2048, quantum:
             queues.setdefault(source[i], []).append(i)
         size = {s: sum(len(ids[i]) // width[i] for i in q) for s, q in queues.items()}
         whole, first = sum(size.values()), j[0] * part_windows
-        earn = {s: window * n / whole for s, n in size.items()}
-        owed, out, k, room = dict.fromkeys(queues, 0.0), [], 0, window
-        done = [0] * len(source)
         order = sorted(queues, key=lambda s: (s is not None, s))
-        for s in order:
-            owed[s] += earn[s]
+        earn = np.array([window * size[s] / whole for s in order])
+        owed, out, k, room = earn.copy(), [], 0, window  # of empty queues: minus infinity
+        done = [0] * len(source)
         while queues:
-            s = max((s for s in order if s in queues), key=owed.__getitem__)
-            turn = min(room, max(quantum, int(owed[s])))
+            q = int(owed.argmax())
+            s = order[q]
+            turn = min(room, max(quantum, int(owed[q])))
             while turn and s in queues:
                 i = queues[s][-1]
                 n, w = len(ids[i]) // width[i], width[i]
                 take = min(turn, n - done[i])
                 out.append((doc_id[i], start[i] + done[i], take, np.frombuffer(ids[i], f"<u{w}")[done[i] : done[i] + take].astype("<u4").tobytes(), doc_tokens[i], first + k, window - room))
                 done[i] += take
-                turn, room, owed[s] = turn - take, room - take, owed[s] - take
+                turn, room, owed[q] = turn - take, room - take, owed[q] - take
                 if done[i] == n:
                     queues[s].pop()
                     if not queues[s]:
                         del queues[s]
+                        owed[q] = -np.inf
             if not room:
                 k, room = k + 1, window
-                for s in queues:
-                    owed[s] += earn[s]
+                owed += earn
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()], strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
     bases = before.select("queue", "base", F.col("source").alias("s"), F.col("part").alias("p"))
