@@ -1,21 +1,21 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick.
 
-Texts are folded first: compatibility forms resolved, accents taken off, lower case, letters of other scripts read as
-the Latin ones they look like, and in words that mix letters with digits or signs, those as the letters they imitate.  The lexicon is learned:
-word beginnings that are far more frequent in toxic training documents get the log of their odds as
-weight, and two-word phrases around them that are as frequent in clean documents become exceptions.
+Texts are folded first: compatibility forms resolved, accents taken off, case folded, Latin letters of other shapes read by
+their Unicode names, letters of other scripts as the Latin ones they look like, and in words that mix letters with digits or
+signs, those as the letters they imitate.  The lexicon is learned: words and word beginnings (of 4 to 12 letters) that are far
+more frequent in toxic training documents get the log of their odds as weight, and two-word phrases around them that
+are as frequent in clean documents become exceptions.  All of them are kept: the training sample bounds their number.
 The score is a logistic function of the matched weight, normalised by the text's length, fitted on
 the same training rows.
 
 Training uses labelled rows only, at most `TRAIN_ROWS` of them (those with the smallest hash of the
-id; a documented bound).  Labels, language, source and id are never inputs of a score.
+id; a documented bound; documents that share an id each count, and so enlarge it).  Labels, language, source and id are never inputs of a score.
 
 Empty table: no rows.  Null or empty text: no match, so the score is that of zero weight.  Rows with
 null labels do not train.  Repeated label rows train once for each.  Without any toxic or clean
 training row the lexicon is empty and every score is the base rate, counted with two rows more of which
 half a row is toxic: with no row at all nothing is predicted toxic.  Very long texts are matched whole,
-in one pass.  Of terms that begin at one place the longest counts; of terms equally telling the lexicon
-takes the shorter, then the first by name.  Other columns are ignored.
+in one pass.  Of terms that begin at one place the longest counts.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +36,15 @@ from pyspark.sql import types as T
 from radiotiles.llm.common import learned_from, stage
 
 TRAIN_ROWS = 20_000
-TERMS = 4_000
 #: Letters of other scripts that look like Latin ones.
-HOMOGLYPHS = dict(zip("аеорсухіјѕԁԛԝһкмтпгвιονρτυκαεηıøłđħ", "aeopcyxijsdqwhkmtnrbiovptukaeniold" "h", strict=True))
+HOMOGLYPHS = dict(zip("аеорсухіјѕԁԛԝһкмтпгвьѵӏ" "ιονρτυκαεηβγϲϳ" "օհցսոԛզ", "aeopcyxijsdqwhkmtnrbbvl" "iovptukaenbycj" "ohgunqq", strict=True))
+#: Latin letters of other shapes, by name: small capitals, script, dotless and open letters, letters with strokes and hooks.
+SHAPED = re.compile(r"LATIN (?:SMALL LETTER|LETTER SMALL CAPITAL) (?:SCRIPT |DOTLESS |OPEN |BARRED )?([A-Z]|ALPHA|IOTA|UPSILON)(?: WITH .+)?")
+NAMED = {chr(c): {"ALPHA": "a", "IOTA": "i", "UPSILON": "u"}.get(m[1], m[1].lower()) for c in range(0x80, 0x1E00) if (m := SHAPED.fullmatch(unicodedata.name(chr(c), "")))}
 #: Digits and signs that stand for letters.
 IMITATED = dict(zip("013457869@$!|+€£", "oieastbgqasiltel", strict=True))
 #: Combining accents U+0300 to U+036F go, as do characters without width.
-FOLD = str.maketrans({**HOMOGLYPHS, **{chr(c): "" for c in range(0x300, 0x370)}, "​": "", "‌": "", "‍": "", "­": "", "﻿": ""})
+FOLD = str.maketrans({**NAMED, **HOMOGLYPHS, **{chr(c): "" for c in range(0x300, 0x370)}, "​": "", "‌": "", "‍": "", "­": "", "﻿": ""})
 UNMASK = str.maketrans(IMITATED)
 WORD = re.compile(r"[^\W_]+(?:[@$!|+€£*_]+[^\W_]+)*|[@$][^\W_]+(?:[@$!|+]+[^\W_]+)*")
 ODD = re.compile(r"[0-9@$!|+€£*_]")
@@ -57,7 +59,7 @@ def fold_word(w: str) -> str:
 def fold(text: str) -> list[str]:
     """The folded words of a text."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).lower().translate(FOLD)
+        text = unicodedata.normalize("NFKD", text).casefold().translate(FOLD)
     else:
         text = text.lower()
     words = WORD.findall(text)
@@ -129,10 +131,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, modulus: int, limit: int)
 
 
 def prefixes(word: str) -> Iterator[str]:
-    return (word[:k] for k in range(4, min(len(word), 12) + 1))
+    """Beginnings of 4 to 12 letters, and the word itself."""
+    yield from (word[:k] for k in range(4, min(len(word), 12) + 1))
+    if len(word) > 12 or 1 < len(word) < 4:
+        yield word
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, limit: int = TRAIN_ROWS, terms: int = TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, limit: int = TRAIN_ROWS) -> Model:
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [" ".join(fold(t or "")) for t in batch.column(0).to_pylist()]
@@ -147,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, limit: int = TRAIN
         for batch in batches:
             for line, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = set(line.split())
-                seen[1 if toxic else 0].update({p for w in words for p in prefixes(w)} | {"", *(w for w in words if 1 < len(w) < 4)})
+                seen[1 if toxic else 0].update({p for w in words for p in prefixes(w)} | {""})
             if sum(map(len, seen)) > 500_000:
                 yield told(seen)
                 seen = (Counter(), Counter())
@@ -166,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, limit: int = TRAIN
         return Model({}, (), 0.0, math.log(p / (1 - p)))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     least = max(2, n_toxic // 200)
-    found = counts.where("term != ''").where(F.col("toxic") >= least).select("term", odds.alias("w")).where("w > 3").orderBy(F.desc("w"), F.length("term"), "term").limit(terms).collect()
+    found = counts.where("term != ''").where(F.col("toxic") >= least).select("term", odds.alias("w")).where("w > 3").collect()  # of the sample, whose size is bounded
     weights = {r["term"]: r["w"] for r in found}
     # a longer term says nothing new where its beginning is already as telling
     weights = {t: w for t, w in weights.items() if not any(t[:k] in weights and weights[t[:k]] >= w - 1.5 for k in range(2, len(t)))}
@@ -177,14 +182,14 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, limit: int = TRAIN
         for batch in batches:
             for line, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = line.split()
-                hits = [i for i, w in enumerate(words) if w in weights or any(p in weights for p in prefixes(w))]
+                hits = [i for i, w in enumerate(words) if any(p in weights for p in prefixes(w))]
                 seen[1 if toxic else 0].update({" ".join(words[a : a + 2]) for i in hits for a in (i - 1, i) if 0 <= a < len(words) - 1})
         if seen[0] or seen[1]:
             yield told(seen)
 
     phrases = rows.mapInArrow(around, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    harmless = phrases.where((F.col("clean") >= 3) & (odds < -1)).orderBy(F.desc("clean"), "term").limit(terms).collect()
-    model = Model(weights, tuple(r["term"] for r in harmless), 1.0, 0.0)
+    harmless = phrases.where((F.col("clean") >= 3) & (odds < -1)).collect()
+    model = Model(weights, tuple(sorted(r["term"] for r in harmless)), 1.0, 0.0)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
@@ -194,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, limit: int = TRAIN
 
     # at most `limit` rows of two numbers
     points = rows.mapInArrow(gather, "x double, toxic int").toPandas()
-    slope, intercept = logistic(np.minimum(points["x"].to_numpy(), 20.0), points["toxic"].to_numpy())
+    slope, intercept = logistic(points["x"].to_numpy(), points["toxic"].to_numpy())
     return Model(weights, model.exceptions, slope, intercept)
 
 
@@ -213,7 +218,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(rec, score, predicted) of every row; rec is the row as a struct."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * TERMS short strings
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # words of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -222,7 +227,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             out = []
             for text in batch.column(1).to_pylist():
                 words = fold(text or "")
-                x = min(feature(matched_weight(f" {' '.join(words)} ", automaton), len(words)), 20.0)
+                x = feature(matched_weight(f" {' '.join(words)} ", automaton), len(words))
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, m.slope * x + m.intercept)))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), pa.array([int(v >= 0.5) for v in out], pa.int32())], names=["rec", "score", "predicted"])
 

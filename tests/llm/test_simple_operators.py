@@ -431,6 +431,47 @@ def test_packing_mixture(spark):
     assert abs(np.mean(full) - want) < 0.01
 
 
+def plain_fit(rows):
+    """Terms and their weights, and exceptions, by counting over all rows: (text, toxic)."""
+    docs = [(toxicity.fold(t or ""), y) for t, y in rows]
+    starts = lambda w: ({w[:k] for k in range(4, min(len(w), 12) + 1)} | ({w} if len(w) > 12 or len(w) in (2, 3) else set()))
+    n = [sum(y == k for _, y in docs) for k in (0, 1)]
+    seen = {}
+    for words, y in docs:
+        for t in {t for w in words for t in starts(w)}:
+            seen.setdefault(t, [0, 0])[y] += 1
+    odds = lambda c: math.log((c[1] + 0.5) / (n[1] + 1)) - math.log((c[0] + 0.5) / (n[0] + 1))
+    far = {t: odds(c) for t, c in seen.items() if c[1] >= max(2, n[1] // 200) and odds(c) > 3}
+    weights = {t: w for t, w in far.items() if not any(far.get(t[:k], -99) >= w - 1.5 for k in range(2, len(t)))}
+    near = {}
+    for words, y in docs:
+        own = {" ".join(words[i : i + 2]) for i in range(len(words) - 1) if any(s in weights for w in words[i : i + 2] for s in starts(w))}
+        for t in own:
+            near.setdefault(t, [0, 0])[y] += 1
+    return weights, {t for t, c in near.items() if c[0] >= 3 and odds(c) < -1}
+
+
+def test_toxicity_lexicon_is_that_of_plain_counts(spark):
+    rng = np.random.default_rng(9)
+    plain, bad = [f"plain{'abcdefghij'[i]}word" for i in range(10)], ["vilest", "vileness", "bad", "ug", "extraordinarilybadword", "scum"]
+    rows = []
+    for i in range(700):
+        y = int(i % 4 == 0)
+        words = [*rng.choice(plain, 8), *(rng.choice(bad, 2) if y else (["scum", "pond"] if i % 9 == 1 else []))]
+        rows.append((i, " ".join(words), y))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    weights, exceptions = plain_fit([(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5])
+    assert model.weights == pytest.approx(weights) and set(model.exceptions) == exceptions
+    assert "extraordinarilybadword" not in weights and "extr" in weights and "bad" in weights and "scum pond" in exceptions
+
+
+def test_toxicity_reads_letters_of_other_shapes():
+    assert toxicity.fold("ɡɑʙɪ ꜰ ӏօհѵ ցьβ ɐ ß") [:3] == ["gabi", "ꜰ", "lohv"]
+    assert toxicity.fold("ᴀʙᴄᴅᴇ ɨɖɩøŧ") == ["abcde", "idiot"]
+
+
 def test_toxicity_folds_accents_and_matches_as_plain_python_does():
     assert toxicity.fold("ìdïot İDIOT ıdıot 1d!0t іdіоt") == ["idiot"] * 5
     rng = np.random.default_rng(8)
