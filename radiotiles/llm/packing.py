@@ -156,7 +156,7 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         bpe, before = ByteBpe(vocabulary or default_vocabulary()), {}  # for this task only: workers live on, and so would its memory
         kind = np.uint16 if bpe.top < 1 << 16 else np.uint32
         for whole_batch in batches:
-            for batch in slices(whole_batch, "text", 16 << 20):
+            for batch in slices(whole_batch, "text", 6 << 20):
                 flat, n = bpe.ids(batch.column("text"))
                 ends = np.cumsum(n + 1)
                 ids = np.full(int(ends[-1]), END_ID, kind)
@@ -170,6 +170,7 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 offsets = np.append(0, ends * ids.itemsize)
                 binary = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("part"), pa.array(at, pa.int64()), pa.array(n + 1), binary], names=["doc_id", "source", "part", "at", "n", "ids"])
+            pa.default_memory_pool().release_unused()  # the worker lives on, beside others
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.spark_partition_id().alias("part"))
     return rows.mapInArrow(encode, "doc_id long, source string, part int, at long, n long, ids binary")

@@ -457,7 +457,7 @@ def test_toxicity_lexicon_is_that_of_plain_counts(spark):
     rows = []
     for i in range(700):
         y = int(i % 4 == 0)
-        words = [*rng.choice(plain, 8), *(rng.choice(bad, 2) if y else (["scum", "pond"] if i % 9 == 1 else []))]
+        words = [*rng.choice(plain, 8), *(rng.choice(bad, 2) if y else (["scum", "pond"] if i % 140 == 1 else []))]
         rows.append((i, " ".join(words), y))
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
