@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from radiotiles.functions import geo, radio
 from radiotiles.operators import boosting, descriptors, fits, grid, metrics, robustness, siting, splits, structures, transfer
-from radiotiles.plans.queries import COVER, GRID, HEIGHT, METRIC_TILE, ORACLE, PRED, TILE_M, TOUCH, _buildings, _edges, _splits, _stacked, greedy_sql, query, r, recursive, rows
+from radiotiles.plans.queries import COVER, GRID, HEIGHT, METRIC_TILE, OFF, ORACLE, PRED, TILE_M, TOUCH, _buildings, _edges, _splits, _stacked, greedy_sql, query, r, recursive, rows
 from radiotiles.sources import tables
 from radiotiles.sources.fixtures import cte
 from radiotiles.sources.scratch import scratch_path, stage
@@ -40,7 +40,7 @@ def a4_campaign_csv(spark, sf):
     return back.groupBy("city").agg(F.count("*").alias("n"), r(F.avg("pathloss_db"), 5, "mean_db"), r(F.max("rx_lat"), 6, "top"))
 
 
-@query(PRED + " SELECT model, fold, round(avg(abs(pred - truth)) FILTER (target = 'gamma'), 6) AS gamma_mae, round(avg(abs(pred - truth)) FILTER (target = 'pl0'), 6) AS pl0_mae FROM fx_predictions GROUP BY ALL")
+@query(PRED + f" SELECT model, fold, round(avg(abs(pred - truth)) FILTER (target = 'gamma') + {OFF}, 6) AS gamma_mae, round(avg(abs(pred - truth)) FILTER (target = 'pl0') + {OFF}, 6) AS pl0_mae FROM fx_predictions GROUP BY ALL")
 def a6_eval_records(spark, sf):
     """Each run's eval.json is written to its folder and all are read by one pattern."""
     root = scratch_path(spark, "runs")
@@ -48,7 +48,7 @@ def a6_eval_records(spark, sf):
     named = report.select(F.format_string("%s_loco_%s_s0", "model", "fold").alias("run"), F.col("gamma").alias("gamma_mae"), F.col("pl0").alias("pl0_mae"))
     named.write.partitionBy("run").json(root)
     part = lambda k: F.regexp_extract("run", r"^(?:run=)?(.*)_loco_(.+)_s\d+$", k)
-    return tables.scan_eval_records(spark, f"{root}/*/*.json").select(part(1).alias("model"), part(2).alias("fold"), r("gamma_mae", 6), r("pl0_mae", 6))
+    return tables.scan_eval_records(spark, f"{root}/*/*.json").select(part(1).alias("model"), part(2).alias("fold"), r(F.col("gamma_mae") + OFF, 6, "gamma_mae"), r(F.col("pl0_mae") + OFF, 6, "pl0_mae"))
 
 
 @query(f"WITH {cte('fx_tiles')} SELECT city, count(*) AS n, round(sum(CASE WHEN city = 'c1' THEN gamma + 1 ELSE gamma END), 4) AS gamma FROM fx_tiles GROUP BY city")
@@ -60,7 +60,7 @@ def a7_tile_sink(spark, sf):
     return spark.read.parquet(path).groupBy("city").agg(F.count("*").alias("n"), r(F.sum("gamma"), 4, "gamma"))
 
 
-@query(PRED + " SELECT form, model, fold, target, count(*) AS n, round(avg(abs(pred - truth)), 5) AS mae FROM fx_predictions CROSS JOIN (VALUES ('csv'), ('json')) f(form) GROUP BY ALL")
+@query(PRED + f" SELECT form, model, fold, target, count(*) AS n, round(avg(abs(pred - truth)) + {OFF}, 5) AS mae FROM fx_predictions CROSS JOIN (VALUES ('csv'), ('json')) f(form) GROUP BY ALL")
 def a9_result_sinks(spark, sf):
     """The report as CSV and as JSON, read back."""
     report = metrics.errors(rows(spark, sf, "fx_predictions")).select(*metrics.KEYS, "n", "mae")
@@ -70,7 +70,7 @@ def a9_result_sinks(spark, sf):
         tables.write_result(report, path, form)
         back = spark.read.schema(report.schema).option("header", True).format(form).load(path).withColumn("form", F.lit(form))
         out = back if out is None else out.unionByName(back)
-    return out.select("form", *metrics.KEYS, "n", r("mae", 5))
+    return out.select("form", *metrics.KEYS, "n", r(F.col("mae") + OFF, 5, "mae"))
 
 
 @query(f"WITH {cte('fx_paths')} SELECT hops, count(*) AS n, round(avg(-p1 + CASE hops WHEN 0 THEN 30 WHEN 1 THEN 33 WHEN 2 THEN 36 END), 4) AS mean_pl FROM fx_paths WHERE hops < 3 GROUP BY hops")
