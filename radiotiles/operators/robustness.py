@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from radiotiles.operators.transfer import masked
+
 KELVIN = 273.15
 
 
@@ -44,6 +46,15 @@ def noisy(tiles: DataFrame, levels: tuple[float, ...], seed: int = 0) -> DataFra
     return each.withColumn("v", F.transform("v", lambda x, i: x + F.col("level") * deviate(i)))
 
 
+def swept(tiles: DataFrame, groups: dict[str, tuple[int, int]], levels: tuple[float, ...], seed: int = 0) -> DataFrame:
+    """The tiles once for each level of noise and each group of descriptors (first to last place) that is left out, and
+    once with none left out: columns level and without."""
+    rows = {"none": (-1, -1), **groups}
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("without"), F.lit(a).alias("first"), F.lit(b).alias("last")) for n, (a, b) in rows.items()]))
+    out = noisy(tiles, levels, seed).withColumn("__g", each)
+    return out.withColumn("v", masked(F.col("v"), F.col("__g.first"), F.col("__g.last"))).withColumn("without", F.col("__g.without")).drop("__g")
+
+
 def drift(old: DataFrame, new: DataFrame, keys: tuple[str, ...], values: tuple[str, ...]) -> DataFrame:
     """Every tile of either snapshot with the change of each value; a snapshot without the tile counts as 0."""
     pick = lambda df, tag: df.select(*keys, F.lit(True).alias(f"in_{tag}"), *[F.col(c).cast("double").alias(f"{c}_{tag}") for c in values])

@@ -35,7 +35,7 @@ def normalised(stacked: DataFrame, scales: DataFrame, by: str = "fold") -> DataF
     return stacked.join(F.broadcast(scales), by).withColumn("v", F.zip_with("v", "scale", lambda x, s: x / s)).drop("scale")  # a row for each fold
 
 
-def masked(v: Column, first: int, last: int) -> Column:
+def masked(v: Column, first: Column | int, last: Column | int) -> Column:
     """Zeros in dimensions first..last (from 0)."""
     return F.transform(v, lambda x, i: F.when(i.between(first, last), F.lit(0.0)).otherwise(x))
 

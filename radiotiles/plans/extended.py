@@ -5,8 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from radiotiles.operators import folds, grid, paths, robustness, siting, structures
-from radiotiles.plans.queries import GRID, HEIGHT, ORACLE, POWER, THRESHOLD_DBM, TILE_M, TOUCH, _scores, greedy_sql, power_sites, query, r, rows
+from radiotiles.operators import descriptors, folds, grid, paths, robustness, siting, structures, transfer
+from radiotiles.plans.queries import GRID, HEIGHT, ORACLE, POWER, THRESHOLD_DBM, TILE_M, TOUCH, _scores, _splits, greedy_sql, power_sites, query, r, rows
+from radiotiles.sources import tables
 from radiotiles.sources.fixtures import cte
 
 CELL = 300.0
@@ -83,6 +84,30 @@ def d15_descriptor_noise(spark, sf):
     return robustness.noisy(clean, LEVELS).select("tile", "level", r(total, 3, "total"), r(F.sqrt(square / 64), 4, "rms"))
 
 
+_GROUPS = ", ".join(f"('{n}', {a}, {b})" for n, (a, b) in {"none": (-1, -1), **descriptors.GROUPS}.items())
+
+
+@query(NOISE + f" SELECT without, level, count(DISTINCT tile) AS n, round(sum(CASE WHEN i BETWEEN a AND b THEN 0 ELSE y END), 2) AS total FROM no, (VALUES {_GROUPS}) g(without, a, b) GROUP BY without, level")
+def d14_robustness_sweep(spark, sf):
+    """Every group of descriptors left out at every level of noise."""
+    tiles = rows(spark, sf, "fx_tiles").select("tile", F.col("v").cast("array<double>").alias("v"))
+    total = F.sum(F.aggregate("v", F.lit(0.0), lambda a, y: a + y))
+    return robustness.swept(tiles, descriptors.GROUPS, LEVELS).groupBy("without", "level").agg(F.countDistinct("tile").alias("n"), r(total, 2, "total"))
+
+
+@query()
+def d14_robustness_errors(spark, sf):
+    """Rows only here: errors of the ridge fits of all folds on test tiles of each kind of the sweep; a test finds that
+    more noise and a group left out make them larger."""
+    t, sp = rows(spark, sf, "fx_tiles"), _splits(spark, sf)
+    fits = transfer.ridge_by_fold(t, sp)
+    test = tables.stack(t, sp, "test").withColumn("v", F.col("v").cast("array<double>"))
+    kinds = robustness.swept(test.select("fold", "tile", "v", *transfer.TARGETS), descriptors.GROUPS, LEVELS)
+    told = kinds.join(fits.select("fold", "target", "b", "w"), "fold")
+    e = F.col("b") + transfer.dot("v", "w") - F.when(F.col("target") == "gamma", F.col("gamma")).otherwise(F.col("pl0"))
+    return told.groupBy("target", "without", "level").agg(F.count("*").alias("n"), r(F.sqrt(F.avg(e * e)), 5, "rmse"))
+
+
 DRIFT = f"""WITH {cte("fx_structures")}, od AS (SELECT f.* FROM fx_structures f JOIN orders ON o_orderkey = structure_id WHERE o_orderdate < TIMESTAMP '1998-01-01')""" + TOUCH.format("fx_structures") + TOUCH.format("od").replace(", c AS", ", c2 AS").replace("t AS", "t2 AS").replace("FROM c\n", "FROM c2\n") + """,
 nw AS (SELECT city, m, z, count_if(kind = 'water')::DOUBLE AS w, count_if(kind = 'vegetation')::DOUBLE AS v FROM t GROUP BY ALL), ol AS (SELECT city, m, z, count_if(kind = 'water')::DOUBLE AS w, count_if(kind = 'vegetation')::DOUBLE AS v FROM t2 GROUP BY ALL)"""
 

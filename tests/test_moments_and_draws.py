@@ -113,3 +113,30 @@ def test_fold_scores_follow_from_the_tiles(spark):
             for model, pred in (("median", np.median(y)), ("ridge", ridge)):
                 r = got[model, fold, target]
                 assert r.n == len(test) and r.rmse == pytest.approx(np.sqrt(np.mean((pred - truth) ** 2)), abs=2e-4)
+
+
+def test_noise_and_left_out_groups_make_errors_larger(spark):
+    got = {(r.target, r.without, r.level): r for r in plans.QUERIES["d14_robustness_errors"](spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == 2 * 5 * 4 and len({r.n for r in got.values()}) == 1
+    for target in ("gamma", "pl0"):
+        clean = [got[target, "none", level].rmse for level in (0.0, 0.1, 0.2, 0.4)]
+        assert clean == sorted(clean) and clean[-1] > 2 * clean[0]
+        assert got[target, "topographic", 0.0].rmse > 2 * clean[0]  # the fixture's targets depend on the first three values
+
+
+def test_scans_prune_cities_and_columns(spark, tmp_path):
+    from radiotiles.sources import tables
+
+    rows = spark.createDataFrame([("1", 3500.0, *[float(k)] * 8, None, c) for c in "abc" for k in range(3)], tables.MEASUREMENTS)
+    tables.write_tiles(rows, str(tmp_path / "m"))
+    scan = tables.scan_measurements(spark, str(tmp_path / "m"), ["a", "c"]).select("city", "pathloss_db").where("pathloss_db > 0")
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [city" in plan and "GreaterThan(pathloss_db,0.0)" in plan and "ReadSchema: struct<pathloss_db:double>" in plan
+    assert {r.city for r in scan.collect()} == {"a", "c"}
+    tiles = spark.createDataFrame([("a", 12, 2.0), ("b", 50, 2.0), ("c", 11, None), ("a", 3, 2.0)], "city string, n_measurements int, gamma double")
+    assert [(r.city, r.n_measurements) for r in tables.scan_tiles(tiles, ["a", "c"]).collect()] == [("a", 12)]
+
+
+def test_largest_values_by_city(spark):
+    t = spark.createDataFrame([("a", [1.0, -3.0, 0.0]), ("a", [2.0, 1.0, 0.0]), ("b", [0.5, 0.0, 7.0])], "city string, v array<double>")
+    assert {r.city: r.scale for r in transfer.column_max(t, "city").collect()} == {"a": [2.0, 3.0, 1.0], "b": [0.5, 1.0, 7.0]}
