@@ -80,27 +80,40 @@ def ray_split_tiles(rays: DataFrame, parameters: DataFrame, length_mode: str = "
 
 def conjugate_gradients(gram: DataFrame, right: DataFrame, close: float = 1e-10, most: int = 5000) -> DataFrame:
     """(city, i, x) with gram x = b in every city, by conjugate gradients scaled by the diagonal.  gram: city, i, j, g
-    with both triangles; right: city, i, b.  A step is one join and one sum over the entries of `gram`, whichever
-    city they are of; one row reaches the driver in each.  Not settled after `most` steps is an error."""
+    with both triangles; right: city, i, b.  Chronopoulos and Gear's form needs both of a step's sums at one point, so a
+    step is one join and sum over the entries of `gram`, one table written, and two numbers of each city that reach the
+    driver.  Cities that have settled take no more steps.  Not settled after `most` steps is an error."""
     diagonal = gram.where("i = j").select("city", "i", F.col("g").alias("d"))
-    size = F.sum(F.col("r") * F.col("r") / F.col("d"))
-    start = right.join(diagonal, ["city", "i"]).select("city", "i", "d", F.lit(0.0).alias("x"), F.col("b").alias("r"), (F.col("b") / F.col("d")).alias("p"))
-    first = start.groupBy("city").agg(size.alias("goal"), size.alias("old"))
-    now = stage(start.join(first, "city"), "gradients")
-    open_ = F.col("old") > close * close * F.col("goal")
+    zero = [F.lit(0.0).alias(c) for c in ("x", "p", "s")]
+    now = right.join(diagonal, ["city", "i"]).select("city", "i", "d", F.col("b").alias("r"), *zero)
+    spark, open_, first = gram.sparkSession, None, True
+    goal: dict[str, float] = {}
+    old: dict[str, tuple[float, float]] = {}  # of each city the size of r, and the last step
+    u = F.col("r") / F.col("d")
     for _ in range(most):
-        if now.where(open_).isEmpty():
+        ahead = now.select("city", F.col("i").alias("j"), u.alias("u"))
+        if not first:
+            ahead = ahead.where(F.col("city").isin(open_)) if len(open_) <= 1000 else ahead.join(spark.createDataFrame([(c,) for c in open_], "city string"), "city", "left_semi")
+        ways = gram.join(ahead, ["city", "j"]).groupBy("city", "i").agg(F.sum(F.col("g") * F.col("u")).alias("w"))
+        now = stage(now.join(ways, ["city", "i"], "left").fillna(0.0, ["w"]), "gradients")
+        steps, open_ = [], []
+        for city, size, product in now.groupBy("city").agg(F.sum(F.col("r") * u), F.sum(F.col("w") * u)).collect():  # a row for each city
+            goal.setdefault(city, size)
+            if size <= close * close * goal[city]:
+                continue
+            before, step = old.get(city, (0.0, 0.0))
+            beta = size / before if before else 0.0
+            alpha = size / (product - (beta * size / step if step else 0.0))
+            old[city] = (size, alpha)
+            open_.append(city)
+            steps.append((city, alpha, beta))
+        if not open_:
             return now.select("city", "i", "x")
-        # cities that have settled keep their rows and take no step
-        ways = gram.join(now.where(open_).select("city", F.col("i").alias("j"), "p"), ["city", "j"]).groupBy("city", "i").agg(F.sum(F.col("g") * F.col("p")).alias("q"))
-        both = stage(now.join(ways, ["city", "i"], "left").fillna(0.0, ["q"]), "products")
-        length = both.groupBy("city").agg((F.first("old") / F.nullifzero(F.sum(F.col("p") * F.col("q")))).alias("step"))
-        step = F.when(open_, F.col("step")).otherwise(0.0)
-        moved = both.join(length, "city").withColumns({"x": F.col("x") + step * F.col("p"), "r": F.col("r") - step * F.col("q")}).drop("q", "step")
-        moved = stage(moved, "moved")
-        sizes = moved.groupBy("city").agg(size.alias("new"))
-        turned = moved.join(sizes, "city").withColumn("p", F.col("r") / F.col("d") + F.coalesce(F.col("new") / F.nullifzero("old"), F.lit(0.0)) * F.col("p"))
-        now = stage(turned.drop("old").withColumnRenamed("new", "old"), "gradients")
+        sent = F.broadcast(spark.createDataFrame(steps, "city string, alpha double, beta double"))  # a row for each city
+        alpha, beta = F.coalesce("alpha", F.lit(0.0)), F.coalesce("beta", F.lit(0.0))
+        turned = now.join(sent, "city", "left").withColumns({"alpha": alpha, "p": u + beta * F.col("p"), "s": F.col("w") + beta * F.col("s")})
+        now = turned.withColumns({"x": F.col("x") + F.col("alpha") * F.col("p"), "r": F.col("r") - F.col("alpha") * F.col("s")}).drop("w", "alpha", "beta")
+        first = False
     raise RuntimeError("conjugate gradients did not settle")
 
 

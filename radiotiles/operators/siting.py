@@ -59,9 +59,10 @@ def greedy_cover(edges: DataFrame, k: int | None = None, head: int = HEAD, at_on
 
     Lazy: gains only fall, so a gain of an earlier step is an upper bound.  Bounds with the step that they were counted in
     are a table; the driver holds its `head` best rows and the bound of the next.  Of the head, the `at_once` best are
-    recounted together until the best bound is of this step; edges of other sites are not read (edges are
-    written in the order of sites, so a filter by id skips the other files).  When the best falls behind the bound of the
-    next row, the head goes back into the table and a new one is taken."""
+    recounted together; edges of other sites are not read (edges are written in the order of sites, so a filter by id skips
+    the other files).  The recount tells how many uncovered points each set of these sites shares, so as long as the best
+    of them is not behind the bound of another site, step after step is taken without a further pass.  When the best falls
+    behind the bound of the first row outside the head, the head goes back into the table and a new one is taken."""
     spark, rows = edges.sparkSession, []
     edges = stage(edges.select("candidate_id", "point_id").distinct().repartitionByRange("candidate_id", "point_id").sortWithinPartitions("candidate_id"), "edges")
     bounds = edges.groupBy("candidate_id").agg(F.count("*").alias("gain")).select("*", F.lit(0).alias("step"), F.col("gain").alias("n"))
@@ -93,21 +94,31 @@ def greedy_cover(edges: DataFrame, k: int | None = None, head: int = HEAD, at_on
             continue
         if own[best][0] == 0:
             break
-        if own[best][1] == len(rows):
+        batch = sorted(own, key=rank)[:at_once]
+        bit = F.create_map(*[F.lit(x) for i, c in enumerate(batch) for x in (c, 1 << i)])[F.col("candidate_id")]
+        open_ = edges.where(F.col("candidate_id").isin(batch))
+        if covered is not None or recent:
+            open_ = open_.join(covered if not recent else points_of(recent) if covered is None else covered.unionByName(points_of(recent)), "point_id", "left_anti")
+        # uncovered points by the set of these sites that they are near: 2 ** at_once rows at most
+        shared = open_.groupBy("point_id").agg(F.sum(bit).alias("sites")).groupBy("sites").count().collect()
+        recounted, read = recounted + len(batch), read + sum(own[c][2] for c in batch)
+        others = min((rank(c) for c in own if c not in batch), default=rest)
+        others = others if rest is None else min(others, rest)
+        here = {c: 1 << i for i, c in enumerate(batch)}
+        while k is None or len(rows) < k:
+            for c, own_bit in here.items():
+                own[c] = (sum(n for mask, n in shared if mask & own_bit), len(rows), own[c][2])
+            best = min(here, key=rank, default=None)
+            if best is None or own[best][0] == 0 or (others is not None and rank(best) > others):
+                break
             rows.append((len(rows), best, own.pop(best)[0], recounted, read))
+            gone = here.pop(best)
+            shared = [(mask, n) for mask, n in shared if not mask & gone]
             recent, taken, recounted, read = [*recent, best], [*taken, best], 0, 0
-            if len(recent) == COVERED:
-                new = points_of(recent).distinct()
-                covered = stage(new if covered is None else covered.unionByName(new.join(covered, "point_id", "left_anti")), "covered")
-                recent = []
-            continue
-        stale = [c for c in sorted(own, key=rank)[:at_once] if own[c][1] < len(rows)]
-        gone = covered if not recent else points_of(recent) if covered is None else covered.unionByName(points_of(recent))
-        open_ = edges.where(F.col("candidate_id").isin(stale)).join(gone, "point_id", "left_anti")
-        counts = dict(open_.groupBy("candidate_id").count().collect())
-        for c in stale:
-            own[c] = (counts.get(c, 0), len(rows), own[c][2])
-        recounted, read = recounted + len(stale), read + sum(own[c][2] for c in stale)
+        if len(recent) >= COVERED:
+            new = points_of(recent).distinct()
+            covered = stage(new if covered is None else covered.unionByName(new.join(covered, "point_id", "left_anti")), "covered")
+            recent = []
     return spark.createDataFrame(rows, "step int, candidate_id long, gain long, recounted int, recounted_edges long")
 
 

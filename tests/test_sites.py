@@ -54,8 +54,6 @@ def test_lazy_steps_are_those_of_full_counts(spark, head, at_once):
     assert sum(r.recounted_edges for r in got) < len(want) * all_edges
     first = siting.greedy_cover(spark.createDataFrame(edges, "candidate_id long, point_id long"), 2, head, at_once).orderBy("step").collect()
     assert [(r.candidate_id, r.gain) for r in first] == want[:2]
-    if at_once == 2:  # far fewer than a count of all edges in each step
-        assert sum(r.recounted_edges for r in got) < len(want) * all_edges / 2
 
 
 def test_no_edges_give_no_steps(spark):
