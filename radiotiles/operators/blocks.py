@@ -21,6 +21,8 @@ def matrix(table: pa.Table, column: str) -> np.ndarray:
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if not len(a) or not len(b):  # a block may be empty on one side
+        return np.zeros((len(a), len(b)))
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
 
 

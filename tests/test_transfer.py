@@ -220,7 +220,7 @@ def test_running_totals_and_ranks(spark):
         assert r["run"] == sum(w for k, v, w in rows if k == r["k"] and v <= r["v"])
     for r in metrics.average_ranks(df, ("v",), "k").collect():
         own = sorted(v for k, v, _ in rows if k == r["k"])
-        assert r["rank"] == np.mean([i + 1 for i, v in enumerate(own) if v == r["v"]])
+        assert r["rank"] == np.mean([i + 1 for i, v in enumerate(own) if v == r["value"]])
 
 
 def test_holm(spark):
