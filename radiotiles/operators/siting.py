@@ -51,6 +51,8 @@ def cover_by_power(sites: DataFrame, points: DataFrame, threshold_dbm: float, d0
 #: Rows of stale bounds that the driver holds, how many of them are recounted at once, and steps after which the covered
 #: points are written.
 HEAD, AT_ONCE, COVERED = 4096, 16, 12
+#: After a pass that took no step, so many times more bounds are lowered before the next.
+WIDE = 16
 
 
 def greedy_cover(edges: DataFrame, k: int | None = None, head: int = HEAD, at_once: int = AT_ONCE) -> DataFrame:
@@ -69,12 +71,20 @@ def greedy_cover(edges: DataFrame, k: int | None = None, head: int = HEAD, at_on
     bounds = stage(bounds, "bounds")
     own: dict[int, tuple[int, int, int]] = {}  # the head: site -> gain, the step that it was counted in, edges
     rest = None  # the best row outside the head, as its rank
-    covered, recent, taken, recounted, read = None, [], [], 0, 0
+    covered, recent, taken, recounted, read, stuck = None, [], [], 0, 0, False
     rank = lambda c: (-own[c][0], c)
 
     def points_of(sites: list[int]) -> DataFrame:
         return edges.where(F.col("candidate_id").isin(sites)).select("point_id")
 
+    def uncovered(sites: list[int]) -> DataFrame:
+        """The sites' edges to points that no site taken so far is near."""
+        open_ = edges.where(F.col("candidate_id").isin(sites))
+        if covered is None and not recent:
+            return open_
+        gone = covered if not recent else points_of(recent) if covered is None else covered.unionByName(points_of(recent))
+        return open_.join(gone, "point_id", "left_anti")
+
     while k is None or len(rows) < k:
         best = min(own, key=rank, default=None)
         if best is None and rest is None and rows:
@@ -94,17 +104,19 @@ def greedy_cover(edges: DataFrame, k: int | None = None, head: int = HEAD, at_on
             continue
         if own[best][0] == 0:
             break
+        if stuck:  # many stale bounds are ahead: lower more of them, by counts alone
+            wide = sorted(own, key=rank)[: WIDE * at_once]
+            counts = dict(uncovered(wide).groupBy("candidate_id").count().collect())
+            recounted, read = recounted + len(wide), read + sum(own[c][2] for c in wide)
+            own |= {c: (counts.get(c, 0), len(rows), own[c][2]) for c in wide}
         batch = sorted(own, key=rank)[:at_once]
         bit = F.create_map(*[F.lit(x) for i, c in enumerate(batch) for x in (c, 1 << i)])[F.col("candidate_id")]
-        open_ = edges.where(F.col("candidate_id").isin(batch))
-        if covered is not None or recent:
-            open_ = open_.join(covered if not recent else points_of(recent) if covered is None else covered.unionByName(points_of(recent)), "point_id", "left_anti")
         # uncovered points by the set of these sites that they are near: 2 ** at_once rows at most
-        shared = open_.groupBy("point_id").agg(F.sum(bit).alias("sites")).groupBy("sites").count().collect()
+        shared = uncovered(batch).groupBy("point_id").agg(F.sum(bit).alias("sites")).groupBy("sites").count().collect()
         recounted, read = recounted + len(batch), read + sum(own[c][2] for c in batch)
         others = min((rank(c) for c in own if c not in batch), default=rest)
         others = others if rest is None else min(others, rest)
-        here = {c: 1 << i for i, c in enumerate(batch)}
+        here, before = {c: 1 << i for i, c in enumerate(batch)}, len(rows)
         while k is None or len(rows) < k:
             for c, own_bit in here.items():
                 own[c] = (sum(n for mask, n in shared if mask & own_bit), len(rows), own[c][2])
@@ -115,6 +127,7 @@ def greedy_cover(edges: DataFrame, k: int | None = None, head: int = HEAD, at_on
             gone = here.pop(best)
             shared = [(mask, n) for mask, n in shared if not mask & gone]
             recent, taken, recounted, read = [*recent, best], [*taken, best], 0, 0
+        stuck = len(rows) == before
         if len(recent) >= COVERED:
             new = points_of(recent).distinct()
             covered = stage(new if covered is None else covered.unionByName(new.join(covered, "point_id", "left_anti")), "covered")
