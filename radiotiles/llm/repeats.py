@@ -6,8 +6,8 @@ it, with the bytes they span as its context.  Grams that occur once are dropped.
 of a gram are equal, or a context has copies, all its windows repeat.  The contexts that are left meet
 per gram; their suffixes are sorted, and a stack scan over the common prefix lengths of neighbours
 walks the tree of common-prefix intervals.  An interval whose members are preceded by different bytes
-is a maximal repeat.  `repeat_groups` returns these with all their occurrences, `repeated_spans` what
-they cover.  Grams with more than `bucket` different contexts are not sorted in one task: their windows'
+is a maximal repeat of its contexts.  `context_groups` returns these with all their occurrences, `repeated_spans`
+what they cover; `groups.repeat_groups` joins them into the maximal repeats of the whole texts.  Grams with more than `bucket` different contexts are not sorted in one task: their windows'
 hashes are counted instead, which finds the same windows.  Contexts are compared by 64-bit hashes.
 
 Null text: empty.  Texts shorter than `length` are left alone.  Copies of a document, repeated rows
@@ -257,12 +257,12 @@ def by_gram(contexts: DataFrame) -> DataFrame:
     return contexts.where("not crowded").repartition("gram").sortWithinPartitions("gram")
 
 
-def repeat_groups(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -> DataFrame:
-    """gram, repeat, n_bytes, doc_id, text_key, start: every maximal repeat (gram, repeat) of the texts (docs: doc_id,
-    text_key, text) with all its occurrences, copies included.
+def context_groups(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -> DataFrame:
+    """gram, repeat, n_bytes, doc_id, text_key, start: every repeat (gram, repeat) that is maximal in the contexts of a
+    gram (docs: doc_id, text_key, text), with all its occurrences, copies included.
 
-    A repeat is maximal among the strings whose windows share a gram: one that is longer than a context is told as a
-    chain of repeats that overlap.  Grams with over `bucket` contexts give repeats of `length` bytes."""
+    A repeat that is longer than a context is told as a chain of repeats that overlap.  Grams with over `bucket`
+    contexts give repeats of `length` bytes."""
     repeated, classes, contexts = contexts_of(docs, length, bucket)
     GROUP = "gram long, context long, repeat long, n_bytes long, place long"
 
@@ -298,7 +298,7 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -> DataFrame:
     """doc_id, text_key, spans: of each text (docs: doc_id, text_key, text) the bytes that the repeats of
-    `repeat_groups` cover, merged where they are found so that nested repeats are not shuffled."""
+    `context_groups` cover, merged where they are found so that nested repeats are not shuffled."""
     repeated, classes, contexts = contexts_of(docs, length, bucket)
     SPAN = "doc_id long, text_key long, start long, stop long"
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from radiotiles.llm import contamination, jaccard, queries, repeats
+from radiotiles.llm import contamination, groups, jaccard, queries, repeats
 from radiotiles.llm.common import stage
 from radiotiles.llm.components import components
 
@@ -89,29 +89,78 @@ def test_repeats_agree_with_brute_force(spark, bucket):
     assert repeats.kept_digests(frame(spark, []), bucket=bucket).count() == 0
 
 
-@pytest.mark.parametrize("bucket", [2000, 1])
-def test_repeat_groups_hold_all_occurrences(spark, bucket):
-    rows = [(i, t) for i, t in dict.fromkeys(repeat_rows()) if i is not None]
-    texts = {}
-    for i, t in rows:
-        texts[i] = texts.get(i, []) + [(t or "").encode()]
-    rows = [(i, t[0].decode()) for i, t in texts.items()]
-    texts = {i: t[0] for i, t in texts.items()}
+def maximal_brute(texts, length):
+    """String: (row, start) of all occurrences, of the strings that some pair of places has in common, no longer to
+    either side."""
+    windows = {}
+    for k, t in enumerate(texts):
+        for i in range(len(t) - length + 1):
+            windows.setdefault(t[i : i + length], []).append((k, i))
+    found = set()
+    for places in windows.values():
+        for (k, i), (m, j) in itertools.combinations(places, 2):
+            if i and j and texts[k][i - 1] == texts[m][j - 1]:
+                continue
+            n = length
+            while i + n < len(texts[k]) and j + n < len(texts[m]) and texts[k][i + n] == texts[m][j + n]:
+                n += 1
+            found.add(texts[k][i : i + n])
+    return {w: Counter(p for p in windows[w[:length]] if texts[p[0]].startswith(w, p[1])) for w in found}
+
+
+def told_groups(spark, rows, bucket):
     docs = frame(spark, rows).withColumn("text_key", F.xxhash64("text")).select("doc_id", "text_key", "text")
-    groups = {}
-    for r in repeats.repeat_groups(docs, bucket=bucket).collect():
-        groups.setdefault((r["gram"], r["repeat"], r["n_bytes"]), []).append((r["doc_id"], r["start"]))
-    assert groups
-    covered = {i: set() for i in texts}
-    for (_, _, n), places in groups.items():
-        assert len(places) == len(set(places)) > 1
-        (said,) = {texts[i][a : a + n] for i, a in places}
-        assert len(said) == n >= repeats.LENGTH
-        everywhere = {(i, a) for i, t in texts.items() for a in range(len(t)) if t.startswith(said, a)}
-        assert set(places) == everywhere
+    out = {}
+    for r in groups.repeat_groups(docs, bucket=bucket).collect():
+        out.setdefault((r["repeat"], r["n_bytes"]), []).append((r["doc_id"], r["start"]))
+    return out
+
+
+@pytest.mark.parametrize("bucket", [2000, 1])
+def test_repeat_groups_are_the_maximal_repeats(spark, bucket):
+    rng = random.Random(8)
+    nested = ["".join(rng.choice("abcde") for _ in range(n)) for n in (90, 700, 230, 1500, 160)]
+    mixed = ["".join(rng.choice([*nested, "-", "+", ";;"]) for _ in range(9)) for _ in range(8)]
+    rows = [(i, t) for i, t in repeat_rows() if i is not None and (t is None or len(t) < 3000)]
+    rows = [*rows, *((100 + i, t) for i, t in enumerate(mixed)), (120, mixed[0]), (120, mixed[0])]
+    texts = [(t or "").encode() for _, t in rows]
+    want = {}
+    for w, places in maximal_brute(texts, repeats.LENGTH).items():
+        want[w] = sorted((rows[k][0], i) for k, i in places)
+    of = {}
+    for (i, _), t in zip(rows, texts, strict=True):
+        of.setdefault(i, []).append(t)
+    got = {}
+    for (_, n), places in told_groups(spark, rows, bucket).items():
+        ((i, a), *_) = places
+        (said,) = {t[a : a + n] for t in of[i] if len(t) >= a + n and t[a : a + n] in want} or {None}
+        assert said not in got
+        got[said] = sorted(places)
+    assert got == want
+    assert max(map(len, got)) > 2000
+
+
+def test_a_long_repeat_and_its_part_are_two_groups(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(3000)
+    rows = [(1, text(500) + passage + text(400)), (2, text(90) + passage), (3, text(300) + passage[1000:1600] + text(10)), (4, None), (5, text(900))]
+    starts = {i: (t or "").find(passage[1000:1600]) for i, t in rows}
+    got = {n: sorted(places) for (_, n), places in told_groups(spark, rows, 2000).items()}
+    longest = [n for n in got if n >= 3000]
+    assert len(got) == 2 and [len(got[n]) for n in sorted(got)] == [3, 2] and longest
+    assert [i for i, _ in got[longest[0]]] == [1, 2]
+    assert all(abs(a - starts[i]) < 5 for i, a in got[min(got)])
+    assert told_groups(spark, [], 2000) == {}
+
+
+def test_groups_cover_what_is_removed(spark):
+    rows = list(dict((i, t) for i, t in repeat_rows() if i is not None).items())
+    covered = {i: set() for i, _ in rows}
+    for (_, n), places in told_groups(spark, rows, 2000).items():
         for i, a in places:
             covered[i].update(range(a, a + n))
-    removed = {r["doc_id"]: r["n_removed"] for r in repeats.kept_digests(docs, bucket=bucket).collect()}
+    removed = {r["doc_id"]: r["n_removed"] for r in repeats.kept_digests(frame(spark, rows)).collect()}
     assert {i: len(c) for i, c in covered.items()} == removed
 
 
