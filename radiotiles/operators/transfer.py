@@ -240,9 +240,9 @@ def dot(a: str, b: str) -> Column:
 
 
 def second_sigma(fits: DataFrame, test: DataFrame, least: float = -8.0, most: float = 4.0) -> DataFrame:
-    """(fold, tile, sigma): sigma = exp(f / 2) of the predicted log variance f, clamped."""
+    """(fold, tile, sigma, log_variance): sigma = exp(f / 2) of the predicted log variance f, clamped."""
     f = F.least(F.greatest("pred", F.lit(least)), F.lit(most))
-    return linear_predictions(fits, test).select("fold", "tile", F.exp(f / 2).alias("sigma"))
+    return linear_predictions(fits, test).select("fold", "tile", F.exp(f / 2).alias("sigma"), F.col("pred").alias("log_variance"))
 
 
 def domain_separability(rows: DataFrame, side: str = "side", iterations: int = 100, reg: float = 1e-3, parts: int = 5, unit: str = "tile", seed: int = 0) -> tuple[DataFrame, float]:

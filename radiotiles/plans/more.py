@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from radiotiles.functions import geo, radio
 from radiotiles.operators import boosting, descriptors, fits, grid, metrics, robustness, siting, splits, structures, transfer
-from radiotiles.plans.queries import COVER, GRID, HEIGHT, METRIC_TILE, OFF, ORACLE, PRED, TILE_M, TOUCH, _buildings, _edges, _splits, _stacked, greedy_sql, query, r, recursive, rows
+from radiotiles.plans.queries import COVER, GRID, HEIGHT, METRIC_TILE, OFF, ORACLE, PRED, RIDGE, TILE_M, TOUCH, _buildings, _edges, _splits, _stacked, greedy_sql, query, r, recursive, rows, solved
 from radiotiles.sources import tables
 from radiotiles.sources.fixtures import cte
 from radiotiles.sources.scratch import scratch_path, stage
@@ -311,10 +311,27 @@ def h5_boosted_trees(spark, sf):
 SOURCES = ("train", "val")
 
 
-@query()
+ANCHORED = RIDGE.replace("role = 'train'", f"role IN {SOURCES}") + f""",
+te AS (SELECT fold, target, tile, v, truth, pred FROM lp WHERE role = 'test'),
+g AS (SELECT te.*, k AS shots, draw, row_number() OVER (PARTITION BY fold, target, k, draw ORDER BY md5(concat_ws('|', '0', k::VARCHAR, draw::VARCHAR, tile::VARCHAR)), tile) AS place FROM te, (VALUES {", ".join(f"({k})" for k in splits.KS)}) ks(k), range({splits.DRAWS}) ds(draw)),
+an AS (SELECT fold, target, shots, draw, place, v, truth - pred AS e FROM g WHERE place <= shots),
+ce AS (SELECT fold, target, shots, draw, list(x ORDER BY i) AS c FROM (SELECT fold, target, shots, draw, i, avg(x) AS x FROM (SELECT fold, target, shots, draw, unnest(v) AS x, unnest(range(64)) AS i FROM an) GROUP BY ALL) GROUP BY ALL),
+sh AS (SELECT fold, target, shots, draw, avg(e) AS shift FROM an GROUP BY ALL),
+ac AS (SELECT an.*, list_transform(v, lambda x, i: x - c[i]) AS u, e - shift AS y FROM an JOIN ce USING (fold, target, shots, draw) JOIN sh USING (fold, target, shots, draw)),
+du AS (SELECT a.fold, a.target, a.shots, a.draw, a.place, a.y, list(list_dot_product(a.u, b.u) + CASE WHEN a.place = b.place THEN 10 ELSE 0 END ORDER BY b.place) AS l FROM ac a JOIN ac b USING (fold, target, shots, draw) GROUP BY ALL),
+d0 AS (SELECT fold, target, shots, draw, list(list_append(l, y) ORDER BY place) AS mat FROM du GROUP BY ALL),
+{solved("ds", "fold, target, shots, draw", "d0")},
+be AS (SELECT fold, target, shots, draw, unnest(list_transform(mat, lambda w: w[len(mat) + 1])) AS beta, unnest(range(1, len(mat) + 1)) AS place FROM ds WHERE k = len(mat) + 1),
+ws AS (SELECT fold, target, shots, draw, list(x ORDER BY i) AS w FROM (SELECT fold, target, shots, draw, i, sum(x) AS x FROM (SELECT fold, target, shots, draw, unnest(list_transform(u, lambda x: x * beta)) AS x, unnest(range(64)) AS i FROM ac JOIN be USING (fold, target, shots, draw, place)) GROUP BY ALL) GROUP BY ALL),
+ex AS (SELECT g.fold, g.target, shots, draw, truth - pred AS e, shift, list_dot_product(v, w) - list_dot_product(c, w) AS more FROM g JOIN sh USING (fold, target, shots, draw) JOIN ce USING (fold, target, shots, draw) JOIN ws USING (fold, target, shots, draw) WHERE place > shots),
+rm AS (SELECT fold, target, shots, draw, sqrt(avg(pow(e - shift, 2))) AS bias, sqrt(avg(pow(e - shift - more, 2))) AS residual FROM ex GROUP BY ALL
+  UNION ALL SELECT fold, target, 0, 0, sqrt(avg(pow(truth - pred, 2))), sqrt(avg(pow(truth - pred, 2))) FROM te GROUP BY ALL)"""
+
+
+@query(ANCHORED + " SELECT target, shots::INT AS k, round(avg(bias), 5) AS bias, round(avg(residual), 5) AS residual FROM rm GROUP BY target, shots")
 def h7_residual_ridge(spark, sf):
-    """Rows only here: error by k of the shot curve with the anchors' mean and with the anchors' residual ridge on the ridge
-    model's predictions, both targets; a test compares the dual with the plain form."""
+    """Error by k of the shot curve with the anchors' mean and with the anchors' residual ridge on the ridge model's
+    predictions, both targets; a test compares the dual with the plain form."""
     t, sp = rows(spark, sf, "fx_tiles"), _splits(spark, sf)
     sums = stage(transfer.fold_products(stage(transfer.city_products(t), "cities"), sp, SOURCES), "folds")
     test = tables.stack(t, sp, "test")
@@ -330,15 +347,24 @@ def h7_residual_ridge(spark, sf):
     return out.select("target", "k", r("bias", 5), r("residual", 5))
 
 
-@query()
+SECOND = RIDGE + f""",
+lz AS (SELECT fold, target, tile, ln(greatest(pow(truth - pred, 2), {transfer.LEAST_SQUARE})) AS z FROM lp WHERE role = 'train'),
+r2 AS (SELECT fold, i, [covar_pop(x, z) FILTER (target = 'gamma') * count(*) / 2, covar_pop(x, z) FILTER (target = 'pl0') * count(*) / 2] AS y FROM el JOIN lz USING (fold, tile) GROUP BY ALL),
+m2 AS (SELECT fold, list(list_concat(l, y) ORDER BY i) AS mat FROM lf JOIN r2 USING (fold, i) GROUP BY fold),
+{solved("s2", "fold", "m2")},
+w2 AS (SELECT fold, unnest(['gamma', 'pl0']) AS target, unnest([list_transform(mat, lambda w: w[65]), list_transform(mat, lambda w: w[66])]) AS w FROM s2 WHERE k = 65),
+ma AS (SELECT fold, target, avg(z) AS mz FROM lz GROUP BY ALL)"""
+
+
+@query(SECOND + " SELECT target, fold, tile, round(exp(greatest(least(f, 4), -8) / 2), 5) AS sigma, round(f, 3) AS log_variance FROM (SELECT *, mz + list_dot_product(v, w) - list_dot_product(mv, w) AS f FROM nl JOIN w2 USING (fold) JOIN ma USING (fold, target) JOIN me USING (fold) WHERE role = 'test')")
 def h11_second_stage_sigma(spark, sf):
-    """Rows only here, of both targets; a test plants a spread that depends on a descriptor."""
+    """The sigma of both targets by a second regression; a test plants a spread that depends on a descriptor."""
     t, sp = rows(spark, sf, "fx_tiles"), _splits(spark, sf)
     fitted, test, out = transfer.ridge_by_fold(t, sp), tables.stack(t, sp, "test"), None
     for target in transfer.TARGETS:
         one = transfer.second_sigma(transfer.log_variance_fits(t, sp, fitted, target), test).withColumn("target", F.lit(target))
         out = one if out is None else out.unionByName(one)
-    return out.select("target", "fold", "tile", r("sigma", 5))
+    return out.select("target", "fold", "tile", r("sigma", 5), r("log_variance", 3))
 
 
 @query()

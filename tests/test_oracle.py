@@ -12,7 +12,7 @@ from radiotiles.plans import queries as plans
 
 DATA = "/root/testdata/sf0.001"
 #: Queries whose values have differed on more rows only.
-LARGER = ("d5_terrain_features", "d6_built_features", "d7_plane_features", "d10_descriptor_vectors", "j4_holm", "i5_full_report")
+LARGER = ("d5_terrain_features", "d6_built_features", "d7_plane_features", "d10_descriptor_vectors", "j4_holm", "i5_full_report", "h4_descriptor_ridge", "h7_residual_ridge", "h11_second_stage_sigma")
 
 
 @pytest.fixture(scope="module")
