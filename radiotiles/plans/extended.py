@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from radiotiles.operators import descriptors, folds, grid, paths, robustness, siting, structures, transfer
-from radiotiles.plans.queries import GRID, HEIGHT, ORACLE, POWER, THRESHOLD_DBM, TILE_M, TOUCH, _scores, _splits, greedy_sql, power_sites, query, r, rows
+from radiotiles.plans.queries import GRID, HEIGHT, ORACLE, POWER, THRESHOLD_DBM, TILE_M, TOUCH, _scores, _splits, greedy_sql, power_sites, query, r, rows, solved
 from radiotiles.sources import tables
 from radiotiles.sources.fixtures import cte
 
@@ -48,9 +48,21 @@ def c10_ray_tiles(spark, sf):
     return out.groupBy("mode", "city", "m", "z").agg(F.count("*").alias("n"), r(F.sum("len_m"), 1, "len_m"))
 
 
-@query()
+MIXED = TILE_RAYS.replace("WITH", "WITH RECURSIVE", 1).replace("pe AS (SELECT city,", "pe AS (SELECT city, concat_ws('-', l_orderkey, l_linenumber, l_partkey, bs_id) AS ray, pathloss_db,").replace("ln AS (SELECT city,", "ln AS (SELECT city, ray, pathloss_db,") + f""",
+pt AS (SELECT city, ray, m, z, sum(arc_m) AS len_m, first(pathloss_db) AS y FROM ln WHERE arc_m > 1e-6 GROUP BY ALL),
+tm AS (SELECT city, ray, m, z, y, unnest([0, 1]) AS o, unnest([10 * log10(greatest(len_m, 1)), len_m / greatest(sum(len_m) OVER (PARTITION BY city, ray), 1)]) AS a FROM pt),
+id AS (SELECT city, m, z, o, row_number() OVER (PARTITION BY city ORDER BY m, z, o) AS i, sum(a * y) AS b, count(*) AS n FROM tm GROUP BY city, m, z, o),
+tn AS (SELECT city, ray, i, a FROM tm JOIN id USING (city, m, z, o)),
+gr AS (SELECT p.city, p.i, q.i AS j, sum(p.a * q.a) AS g FROM tn p JOIN tn q USING (city, ray) GROUP BY ALL),
+al AS (SELECT p.city, p.i, p.b, list(coalesce(g, 0) + CASE WHEN p.i = q.i THEN 1e-6 ELSE 0 END ORDER BY q.i) AS l FROM id p JOIN id q USING (city) LEFT JOIN gr ON gr.city = p.city AND gr.i = p.i AND gr.j = q.i GROUP BY ALL),
+e0 AS (SELECT city, list(list_append(l, b) ORDER BY i) AS mat FROM al GROUP BY city),
+{solved("es", "city", "e0")},
+ea AS (SELECT city, unnest(list_transform(mat, lambda w: w[len(mat) + 1])) AS x, unnest(range(1, len(mat) + 1)) AS i FROM es WHERE k = len(mat) + 1)"""
+
+
+@query(MIXED + " SELECT city, m, z, max(n) AS n, round(max(x) FILTER (o = 0), 3) AS gamma, round(max(x) FILTER (o = 1), 2) AS pl0 FROM ea JOIN id USING (city, i) GROUP BY city, m, z")
 def e5_mixed_path(spark, sf):
-    """Rows only here, on the tiles of the fits by tile; a test plants the parameters of two tiles and finds them."""
+    """The joint fit on the tiles of the fits by tile; a test plants the parameters of two tiles and finds them."""
     ray = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "bs_id")
     m = rows(spark, sf)
     par = grid.grid_parameters(grid.region_boxes(m), TILE_M)
