@@ -115,25 +115,50 @@ def found_in(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("doc_id", "text_key", "text").mapInArrow(scan, schema)
 
 
-def common_prefix(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    lo, hi = 0, n
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid)
-    return lo
+def suffix_array(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """Of the suffixes of at least `length` bytes of all texts, in order: the text, the place in it, the bytes in common
+    with the suffix before (0 for the first) and the byte before, which for a text's start is a number of its own.
+
+    By prefix doubling: ranks by 4, 8, 16, ... bytes, an end standing before every byte; the bytes in common come
+    from the same ranks, taken from the longest down."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    n = int(sizes.sum())
+    buf = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+    begin, stop = (np.repeat(x, sizes) for x in (np.cumsum(sizes) - sizes, np.cumsum(sizes)))
+    at = np.arange(n)
+
+    def ahead(rank: np.ndarray, places: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return rank[np.where(places < ends, places, n)]
+
+    h, ranks = 1, [np.append(buf + 1, 0)]
+    longest = int(sizes.max(initial=0))
+    while h < longest:
+        pair = (ranks[-1][:n] << (9 * h if h < 4 else 32)) | ahead(ranks[-1], at + h, stop)
+        h *= 2
+        if h > 2:
+            found, pair = np.unique(pair, return_inverse=True)
+            pair = pair + 1
+        ranks.append(np.append(pair, 0))
+        if h > 2 and len(found) == n:
+            break
+    own = np.flatnonzero(stop - at >= length)
+    own = own[np.argsort(ranks[-1][own], kind="stable")]
+    x, y = own[:-1], own[1:]
+    common = np.zeros(len(x), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        same = ahead(ranks[k], x + common, stop[x]) == ahead(ranks[k], y + common, stop[y])
+        common += same << k
+    common = np.minimum(common, np.minimum(stop[x] - x, stop[y] - y))
+    before = np.where(own > begin[own], buf[own - 1], -1 - np.arange(len(own)))
+    text = np.repeat(np.arange(len(texts)), sizes)[own]
+    return text, own - begin[own], np.append(np.zeros(min(1, len(own)), np.int64), common), before
 
 
 def maximal_repeats(texts: list[bytes], length: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """(length, [(text, place), ...]) of every maximal repeat of at least `length` bytes in the texts."""
-    suffixes = sorted(((t[i:], k, i) for k, t in enumerate(texts) for i in range(len(t) - length + 1)), key=lambda s: s[0])
-    lcp = [0]
-    for (a, _, _), (b, _, _) in zip(suffixes, suffixes[1:], strict=False):
-        lcp.append(common_prefix(a, b) if a[:length] == b[:length] else 0)
-    lcp.append(0)
-    left = [texts[k][i - 1] if i else -1 - n for n, (_, k, i) in enumerate(suffixes)]  # a text's start differs from all
+    text, place, common, before_ = suffix_array(texts, length)
+    suffixes = list(zip(text.tolist(), place.tolist(), strict=True))
+    lcp, left = [*common.tolist(), 0], before_.tolist()
     stack: list[list] = []  # of [common prefix, first suffix, byte before all of them or None if they differ]
     for i in range(1, len(lcp)):
         first, before = i - 1, left[i - 1]
@@ -141,7 +166,7 @@ def maximal_repeats(texts: list[bytes], length: int) -> Iterator[tuple[int, list
             depth, first, same = stack.pop()
             before = same if same == before else None
             if before is None:
-                yield depth, [(k, p) for _, k, p in suffixes[first:i]]
+                yield depth, suffixes[first:i]
         if lcp[i] < length:
             continue
         if stack and stack[-1][0] == lcp[i]:

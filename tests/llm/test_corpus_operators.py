@@ -140,6 +140,21 @@ def test_repeat_groups_are_the_maximal_repeats(spark, bucket):
     assert max(map(len, got)) > 2000
 
 
+def test_suffix_array_against_sorted_slices():
+    rng = random.Random(4)
+    for case in range(300):
+        n, letters = rng.randrange(1, 40), b"ab\x00\xff"[: rng.randrange(1, 5)]
+        texts = [bytes(rng.choice(letters) for _ in range(rng.randrange(0, n))) for _ in range(rng.randrange(0, 6))]
+        length = rng.randrange(1, 6)
+        text, place, common, before = (x.tolist() for x in repeats.suffix_array(texts, length))
+        told = [texts[k][i:] for k, i in zip(text, place, strict=True)]
+        assert told == sorted(t[i:] for t in texts for i in range(len(t) - length + 1)), case
+        assert sorted(zip(text, place, strict=True)) == [(k, i) for k, t in enumerate(texts) for i in range(len(t) - length + 1)]
+        prefix = lambda a, b: next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
+        assert common == [0, *(prefix(a, b) for a, b in itertools.pairwise(told))][: len(told)]
+        assert len({b for b in before if b < 0}) == place.count(0) and all(b == texts[k][i - 1] for k, i, b in zip(text, place, before, strict=True) if i)
+
+
 def test_a_long_repeat_and_its_part_are_two_groups(spark):
     rng = random.Random(9)
     text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
