@@ -115,9 +115,10 @@ def found_in(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("doc_id", "text_key", "text").mapInArrow(scan, schema)
 
 
-def suffix_array(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+def suffix_array(texts: list[bytes], length: int, group: list[int] | None = None) -> tuple[np.ndarray, ...]:
     """Of the suffixes of at least `length` bytes of all texts, in order: the text, the place in it, the bytes in common
     with the suffix before (0 for the first) and the byte before, which for a text's start is a number of its own.
+    With `group`, a number for each text, the texts of a group are in order by themselves, one group after another.
 
     By prefix doubling: ranks by 4, 8, 16, ... bytes, an end standing before every byte; the bytes in common come
     from the same ranks, taken from the longest down."""
@@ -142,21 +143,23 @@ def suffix_array(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
         if h > 2 and len(found) == n:
             break
     own = np.flatnonzero(stop - at >= length)
-    own = own[np.argsort(ranks[-1][own], kind="stable")]
+    of = np.repeat(np.zeros(len(texts), np.int64) if group is None else np.array(group, np.int64), sizes)
+    own = own[np.lexsort((ranks[-1][own], of[own]))]
     x, y = own[:-1], own[1:]
     common = np.zeros(len(x), np.int64)
     for k in range(len(ranks) - 1, -1, -1):
         same = ahead(ranks[k], x + common, stop[x]) == ahead(ranks[k], y + common, stop[y])
         common += same << k
-    common = np.minimum(common, np.minimum(stop[x] - x, stop[y] - y))
+    common = np.where(of[x] == of[y], np.minimum(common, np.minimum(stop[x] - x, stop[y] - y)), 0)
     before = np.where(own > begin[own], buf[own - 1], -1 - np.arange(len(own)))
     text = np.repeat(np.arange(len(texts)), sizes)[own]
     return text, own - begin[own], np.append(np.zeros(min(1, len(own)), np.int64), common), before
 
 
-def maximal_repeats(texts: list[bytes], length: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(length, [(text, place), ...]) of every maximal repeat of at least `length` bytes in the texts."""
-    text, place, common, before_ = suffix_array(texts, length)
+def maximal_repeats(texts: list[bytes], length: int, group: list[int] | None = None) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(length, [(text, place), ...]) of every maximal repeat of at least `length` bytes in the texts, or in those of each
+    group."""
+    text, place, common, before_ = suffix_array(texts, length, group)
     suffixes = list(zip(text.tolist(), place.tolist(), strict=True))
     lcp, left = [*common.tolist(), 0], before_.tolist()
     stack: list[list] = []  # of [common prefix, first suffix, byte before all of them or None if they differ]
@@ -237,19 +240,28 @@ def contexts_of(docs: DataFrame, length: int, bucket: int) -> tuple[DataFrame, D
 Member = tuple[int, int, int, int | None, int, int, bytes]
 
 
+#: Bytes of contexts that share a suffix array, in which each gram's are in order by themselves.
+TOGETHER = 1 << 16
+
+
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Member]]:
-    """The contexts of each gram, from a partition sorted by gram."""
-    held: dict[int, Member] = {}
-    gram = None
+    """The contexts of whole grams, some grams at a time, from a partition sorted by gram."""
+    held: list[Member] = []
+    own: dict[int, Member] = {}
+    gram, size = None, 0
     for batch in batches:
         for member in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6, 7)), strict=True):
-            if member[0] != gram and held:
-                yield list(held.values())
-                held = {}
-            gram = member[0]
-            held[member[1]] = member
+            if member[0] != gram:
+                held += own.values()
+                if size > TOGETHER:
+                    yield held
+                    held, size = [], 0
+                gram, own = member[0], {}
+            own[member[1]] = member
+            size += len(member[6])
+    held += own.values()
     if held:
-        yield list(held.values())
+        yield held
 
 
 def in_bulk(found: Iterator[tuple], schema: str, n: int = 10_000) -> Iterator[pa.RecordBatch]:
@@ -295,7 +307,7 @@ def context_groups(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET)
         def groups() -> Iterator[tuple]:
             for members in gathered(batches):
                 n, whole = 0, set()
-                for depth, places in maximal_repeats([m[6] for m in members], length):
+                for depth, places in maximal_repeats([m[6] for m in members], length, [m[0] for m in members]):
                     for k, p in places:
                         if depth == len(members[k][6]):
                             whole.add(k)
@@ -331,7 +343,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET)
         def covered() -> Iterator[tuple]:
             for members in gathered(batches):
                 spans: list[list[tuple[int, int]]] = [[] for _ in members]
-                for depth, places in maximal_repeats([m[6] for m in members], length):
+                for depth, places in maximal_repeats([m[6] for m in members], length, [m[0] for m in members]):
                     for k, p in places:
                         if members[k][2] == 1:  # copies are covered as a whole
                             spans[k].append((p, p + depth))

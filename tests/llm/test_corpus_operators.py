@@ -152,6 +152,9 @@ def test_suffix_array_against_sorted_slices():
         assert sorted(zip(text, place, strict=True)) == [(k, i) for k, t in enumerate(texts) for i in range(len(t) - length + 1)]
         prefix = lambda a, b: next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
         assert common == [0, *(prefix(a, b) for a, b in itertools.pairwise(told))][: len(told)]
+        group = [rng.randrange(3) for _ in texts]
+        alone = [sorted((d, tuple(sorted((at[k], i) for k, i in found))) for d, found in repeats.maximal_repeats([texts[k] for k in at], length)) for at in ([k for k, g in enumerate(group) if g == own] for own in range(3))]
+        assert sorted(itertools.chain(*alone)) == sorted((d, tuple(sorted(found))) for d, found in repeats.maximal_repeats(texts, length, group)), case
         assert len({b for b in before if b < 0}) == place.count(0) and all(b == texts[k][i - 1] for k, i, b in zip(text, place, before, strict=True) if i)
 
 
