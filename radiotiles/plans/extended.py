@@ -63,12 +63,10 @@ ea AS (SELECT city, unnest(list_transform(mat, lambda w: w[len(mat) + 1])) AS x,
 @query(MIXED + " SELECT city, m, z, max(n) AS n, round(max(x) FILTER (o = 0), 3) AS gamma, round(max(x) FILTER (o = 1), 2) AS pl0 FROM ea JOIN id USING (city, i) GROUP BY city, m, z")
 def e5_mixed_path(spark, sf):
     """The joint fit on the tiles of the fits by tile; a test plants the parameters of two tiles and finds them."""
-    ray = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "bs_id")
     m = rows(spark, sf)
     par = grid.grid_parameters(grid.region_boxes(m), TILE_M)
-    pieces = paths.ray_split_tiles(m.withColumn("ray", ray), par)
-    fitted = paths.mixed_path_fit(pieces.withColumn("tile", (F.col("m") + 100_000) * 1_000_000 + F.col("z") + 100_000))
-    return fitted.select("city", (F.expr("tile div 1000000") - 100_000).alias("m"), (F.col("tile") % 1_000_000 - 100_000).alias("z"), "n", r("gamma", 3), r("pl0", 2))
+    fitted = paths.tile_path_fit(m, par, ("l_orderkey", "l_linenumber", "l_partkey", "bs_id"))
+    return fitted.select("city", "m", "z", "n", r("gamma", 3), r("pl0", 2))
 
 
 CLIMATE = f"""WITH {cte("fx_climate", "fx_stations")},
