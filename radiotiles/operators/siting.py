@@ -23,6 +23,58 @@ def cover_edges(sites: DataFrame, points: DataFrame, radius: float) -> DataFrame
     return spread.join(placed, ["i", "j"]).where(d2 < radius * radius).select("candidate_id", "point_id")
 
 
+def places_of(rows: DataFrame, unit: str, x: str, y: str) -> DataFrame:
+    """(`unit`, `x`, `y`, weight): one row for all units at the same place, with the least of their ids and their number.  A unit
+    with several places keeps them all to itself."""
+    own = rows.select(unit, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()).distinct()
+    several = own.groupBy(unit).agg(F.count("*").alias("places"))
+    alone = F.when(F.col("places") > 1, F.col(unit))
+    merged = own.join(several, unit).groupBy(x, y, alone.alias("alone")).agg(F.min(unit).alias(unit), F.count("*").alias("weight"))
+    return merged.select(unit, x, y, "weight")
+
+
+def disc_counts(sites: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+    """(candidate_id, n): how many pairs `cover_edges` has of each site.  Rows at one place meet as one, so the work
+    grows with the places and not with the pairs of rows."""
+    held = points.groupBy("px", "py").agg(F.count("*").alias("weight")).withColumn("point_id", F.struct("px", "py"))
+    stood = sites.groupBy("sx", "sy").agg(F.count("*").alias("many")).withColumn("candidate_id", F.struct("sx", "sy"))
+    near = cover_edges(stood, held.select("point_id", "px", "py"), radius).join(held.select("point_id", "weight"), "point_id").groupBy("candidate_id").agg(F.sum("weight").alias("n"))
+    found = near.select("candidate_id.*", "n")
+    return sites.select("candidate_id", "sx", "sy").join(found, ["sx", "sy"]).groupBy("candidate_id").agg(F.sum("n").alias("n"))
+
+
+def disc_places(sites: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+    """Edges (candidate_id, point_id, weight) for `greedy_cover` with the steps of all edges: a point stands for those at its place, and
+    a site for those at its own, of which only the least id can be taken as the others cover nothing after it."""
+    held = places_of(points, "point_id", "px", "py")
+    edges = cover_edges(places_of(sites, "candidate_id", "sx", "sy"), held, radius)
+    return edges.join(held.select("point_id", "weight").distinct(), "point_id")
+
+
+def power_places(sites: DataFrame, points: DataFrame, threshold_dbm: float, d0: float = 1.0) -> DataFrame:
+    """Edges (candidate_id, point_id, weight) for `greedy_cover` with the steps of all edges of `cover_by_power`.  A point stands for
+    those at its place.  What sites at one place cover is nested, as power falls with distance: a site that covers no more than
+    another one of a lesser id there gains no more at any step, so it is never taken and goes."""
+    held = places_of(points, "point_id", "px", "py")
+    edges = stage(cover_by_power(sites, held, threshold_dbm, d0).select("candidate_id", "point_id"), "power")
+    own = sites.groupBy("candidate_id").agg(F.count("*").alias("rows"), F.min("sx").alias("sx"), F.min("sy").alias("sy"))
+    sizes = edges.groupBy("candidate_id").agg(F.count("*").alias("n")).join(own, "candidate_id")
+    alone = F.when(F.col("rows") > 1, F.col("candidate_id"))  # several rows of a site cover what is not nested
+    least = sizes.groupBy("sx", "sy", "n", alone.alias("alone")).agg(F.min("candidate_id").alias("candidate_id"))
+    larger = Window.partitionBy("sx", "sy", "alone").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each number of places
+    before = least.withColumn("before", F.min("candidate_id").over(larger))
+    kept = before.where(F.col("before").isNull() | (F.col("candidate_id") < F.col("before"))).select("candidate_id")
+    return edges.join(kept, "candidate_id").join(held.select("point_id", "weight").distinct(), "point_id")
+
+
+def power_counts(sites: DataFrame, points: DataFrame, threshold_dbm: float, d0: float = 1.0) -> DataFrame:
+    """(candidate_id, n, points, least_dbm): number, sum of ids and least power of the pairs of `cover_by_power`.  Points at one place
+    meet sites as one."""
+    held = points.groupBy("px", "py").agg(F.count("*").alias("weight"), F.sum("point_id").alias("ids")).withColumn("point_id", F.struct("px", "py"))
+    near = cover_by_power(sites, held.select("point_id", "px", "py"), threshold_dbm, d0).join(held.select("point_id", "weight", "ids"), "point_id")
+    return near.groupBy("candidate_id").agg(F.sum("weight").alias("n"), F.sum("ids").alias("points"), F.min("power_dbm").alias("least_dbm"))
+
+
 def power_reach(sites: DataFrame, threshold_dbm: float, d0: float = 1.0) -> DataFrame:
     """`sites` (p_tx_dbm, gamma, pl0, margin_db) with reach_m: the distance within which the lower bound of the received
     power, p_tx - (pl0 + gamma x) - margin, passes the threshold.  Sites that do not pass it at d0, and sites
@@ -57,7 +109,7 @@ WIDE = 16
 
 def greedy_cover(edges: DataFrame, k: int | None = None, head: int = HEAD, at_once: int = AT_ONCE) -> DataFrame:
     """(step, candidate_id, gain, recounted, recounted_edges): the site with most uncovered points, k times or until none
-    gains; ties go to the least id.
+    gains; ties go to the least id.  With a column weight an edge's point counts for so many (the same in all its edges).
 
     Lazy: gains only fall, so a gain of an earlier step is an upper bound.  Bounds with the step that they were counted in
     are a table; the driver holds its `head` best rows and the bound of the next.  Of the head, the `at_once` best are
@@ -66,8 +118,9 @@ def greedy_cover(edges: DataFrame, k: int | None = None, head: int = HEAD, at_on
     of them is not behind the bound of another site, step after step is taken without a further pass.  When the best falls
     behind the bound of the first row outside the head, the head goes back into the table and a new one is taken."""
     spark, rows = edges.sparkSession, []
-    edges = stage(edges.select("candidate_id", "point_id").distinct().repartitionByRange("candidate_id", "point_id").sortWithinPartitions("candidate_id"), "edges")
-    bounds = edges.groupBy("candidate_id").agg(F.count("*").alias("gain")).select("*", F.lit(0).alias("step"), F.col("gain").alias("n"))
+    weight = F.col("weight") if "weight" in edges.columns else F.lit(1)
+    edges = stage(edges.select("candidate_id", "point_id", weight.cast("long").alias("weight")).distinct().repartitionByRange("candidate_id", "point_id").sortWithinPartitions("candidate_id"), "edges")
+    bounds = edges.groupBy("candidate_id").agg(F.sum("weight").alias("gain"), F.count("*").alias("n")).select("candidate_id", "gain", F.lit(0).alias("step"), "n")
     bounds = stage(bounds, "bounds")
     own: dict[int, tuple[int, int, int]] = {}  # the head: site -> gain, the step that it was counted in, edges
     rest = None  # the best row outside the head, as its rank
@@ -106,13 +159,13 @@ def greedy_cover(edges: DataFrame, k: int | None = None, head: int = HEAD, at_on
             break
         if stuck:  # many stale bounds are ahead: lower more of them, by counts alone
             wide = sorted(own, key=rank)[: WIDE * at_once]
-            counts = dict(uncovered(wide).groupBy("candidate_id").count().collect())
+            counts = dict(uncovered(wide).groupBy("candidate_id").agg(F.sum("weight")).collect())
             recounted, read = recounted + len(wide), read + sum(own[c][2] for c in wide)
             own |= {c: (counts.get(c, 0), len(rows), own[c][2]) for c in wide}
         batch = sorted(own, key=rank)[:at_once]
         bit = F.create_map(*[F.lit(x) for i, c in enumerate(batch) for x in (c, 1 << i)])[F.col("candidate_id")]
         # uncovered points by the set of these sites that they are near: 2 ** at_once rows at most
-        shared = uncovered(batch).groupBy("point_id").agg(F.sum(bit).alias("sites")).groupBy("sites").count().collect()
+        shared = uncovered(batch).groupBy("point_id").agg(F.sum(bit).alias("sites"), F.first("weight").alias("weight")).groupBy("sites").agg(F.sum("weight")).collect()
         recounted, read = recounted + len(batch), read + sum(own[c][2] for c in batch)
         others = min((rank(c) for c in own if c not in batch), default=rest)
         others = others if rest is None else min(others, rest)
@@ -157,7 +210,9 @@ def median_placement(sites: DataFrame, points: DataFrame, radius: float | None =
     the lower bound of received power counts, by the sites' p_tx_dbm, gamma, pl0 and margin_db, and new stations have those of
     `station`.  Ties go to the least id.  Ends when all points are covered, or with a new station that covers none, as all
     steps after it would be the same, or after `max_steps`; one row reaches the driver in each step."""
-    spark, left, rows = points.sparkSession, points, []
+    spark, rows = points.sparkSession, []
+    # points at one place are a row with their number, and both tables are written once, not made anew in each step
+    left = stage(points.groupBy("px", "py").agg(F.min("point_id").alias("point_id"), F.count("*").alias("weight")), "left")
     used: list[int] = []
     before, step = 0, 0
     own = ("p_tx_dbm", "gamma", "pl0", "margin_db") if radius is None else ()
@@ -165,6 +220,7 @@ def median_placement(sites: DataFrame, points: DataFrame, radius: float | None =
         if threshold_dbm is None or station is None:
             raise ValueError("give a radius, or a threshold and what a new station has")
         sites = power_reach(sites, threshold_dbm)
+    sites = stage(sites, "sites")
 
     def strength(d: Column, site: dict) -> Column:
         if radius is not None:
@@ -174,7 +230,7 @@ def median_placement(sites: DataFrame, points: DataFrame, radius: float | None =
     covers = lambda power: power > -radius if radius is not None else power >= threshold_dbm
     off = lambda a, b, at: F.sqrt(F.pow(F.col(a) - at[0], F.lit(2)) + F.pow(F.col(b) - at[1], F.lit(2)))
     while True:
-        med = left.agg(F.percentile("px", F.lit(0.5)).alias("x"), F.percentile("py", F.lit(0.5)).alias("y"), F.count("*").alias("n")).first()
+        med = left.agg(F.percentile("px", F.lit(0.5), F.col("weight")).alias("x"), F.percentile("py", F.lit(0.5), F.col("weight")).alias("y"), F.coalesce(F.sum("weight"), F.lit(0)).alias("n")).first()
         stuck = False
         if rows:
             rows[-1] = (*rows[-1][:4], before - med["n"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from radiotiles.functions import geo, radio
 from radiotiles.operators import boosting, descriptors, fits, grid, metrics, robustness, siting, splits, structures, transfer
-from radiotiles.plans.queries import COVER, GRID, HEIGHT, METRIC_TILE, OFF, ORACLE, PRED, RIDGE, TILE_M, TOUCH, _buildings, _edges, _splits, _stacked, greedy_sql, query, r, recursive, rows, solved
+from radiotiles.plans.queries import COVER, GRID, HEIGHT, METRIC_TILE, OFF, ORACLE, PRED, RADIUS_M, RIDGE, TILE_M, TOUCH, _buildings, _splits, _stacked, greedy_sql, query, r, recursive, rows, solved
 from radiotiles.sources import tables
 from radiotiles.sources.fixtures import cte
 from radiotiles.sources.scratch import scratch_path, stage
@@ -421,5 +421,6 @@ def h_fold_scores(spark, sf):
 @query(recursive(COVER + ", er AS (SELECT ed.* FROM ed JOIN fx_points USING (point_id) WHERE py > 0)" + greedy_sql("need", "er") + " SELECT * FROM g_need"))
 def k3_set_cover(spark, sf):
     """Sites until all points of the northern half that can be covered are."""
-    required = rows(spark, sf, "fx_points").where("py > 0").select("point_id")
-    return siting.greedy_set_cover(_edges(spark, sf), required).select("step", "candidate_id", "gain")
+    points = rows(spark, sf, "fx_points")
+    required = points.join(points.where("py > 0").select("point_id"), "point_id", "left_semi")
+    return siting.greedy_cover(siting.disc_places(rows(spark, sf, "fx_sites"), required, RADIUS_M)).select("step", "candidate_id", "gain")

@@ -625,13 +625,12 @@ def d12_neighbour_graph(spark, sf):
 COVER = f"WITH {cte('fx_sites', 'fx_points')}, ed AS (SELECT candidate_id, point_id FROM fx_sites, fx_points WHERE pow(sx - px, 2) + pow(sy - py, 2) < 90000)"
 
 
-def _edges(spark, sf):
-    return siting.cover_edges(rows(spark, sf, "fx_sites"), rows(spark, sf, "fx_points"), 300.0)
+RADIUS_M = 300.0
 
 
 @query(COVER + " SELECT candidate_id, count(*) AS n FROM ed GROUP BY ALL")
 def k1_cover_relation(spark, sf):
-    return _edges(spark, sf).groupBy("candidate_id").agg(F.count("*").alias("n"))
+    return siting.disc_counts(rows(spark, sf, "fx_sites"), rows(spark, sf, "fx_points"), RADIUS_M)
 
 
 def greedy_sql(name: str, edges: str) -> str:
@@ -650,7 +649,7 @@ def recursive(sql: str) -> str:
 @query(recursive(COVER + greedy_sql("all", "ed") + " SELECT * FROM g_all"))
 def k2_greedy_cover(spark, sf):
     """All steps until no site gains."""
-    return siting.greedy_cover(_edges(spark, sf)).select("step", "candidate_id", "gain")
+    return siting.greedy_cover(siting.disc_places(rows(spark, sf, "fx_sites"), rows(spark, sf, "fx_points"), RADIUS_M)).select("step", "candidate_id", "gain")
 
 
 THRESHOLD_DBM = -62.0
@@ -678,8 +677,8 @@ def power_sites(spark, sf):
 @query(POWER + " SELECT candidate_id, count(*) AS n, sum(point_id)::BIGINT AS points, round(min(power_dbm), 3) AS least_dbm FROM ea GROUP BY candidate_id")
 def k1_power_cover(spark, sf):
     """A candidate covers a point where the lower bound of its received power passes the threshold."""
-    edges = siting.cover_by_power(power_sites(spark, sf), rows(spark, sf, "fx_points"), THRESHOLD_DBM)
-    return edges.groupBy("candidate_id").agg(F.count("*").alias("n"), F.sum("point_id").alias("points"), r(F.min("power_dbm"), 3, "least_dbm"))
+    counts = siting.power_counts(power_sites(spark, sf), rows(spark, sf, "fx_points"), THRESHOLD_DBM)
+    return counts.select("candidate_id", "n", "points", r("least_dbm", 3))
 
 
 # ---- region polygons ----

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from radiotiles.operators import grid, paths
+from radiotiles.operators import grid, paths, siting
 
 RAY = "city string, ray long, tx_lat double, tx_lon double, rx_lat double, rx_lon double, pathloss_db double"
 
@@ -66,3 +66,47 @@ def test_lengths_by_tile_are_the_sums_of_pieces(spark):
     whole = {r.city: r.d for r in rays.groupBy("city").agg(F.sum(111_000 * F.hypot(F.col("rx_lat") - F.col("tx_lat"), F.col("rx_lon") - F.col("tx_lon"))).alias("d")).collect()}
     for city, d in whole.items():
         assert math.fsum(v[1] for k, v in got.items() if k[:2] == ("deg111", city)) == pytest.approx(d)
+
+
+SITE = "candidate_id long, sx double, sy double, p_tx_dbm double, gamma double, pl0 double, margin_db double"
+
+
+def crowded(spark):
+    """Sites and points of which many share a place, one of each with two places."""
+    rng = np.random.default_rng(7)
+    spots = [(float(x), float(y)) for x, y in rng.integers(-20, 20, (12, 2)) * 25]
+    sites = [(int(i), *spots[rng.integers(12)], float(rng.integers(15, 45)), float(rng.choice([2.0, 2.5, 3.0])), 56.0, 1.0) for i in rng.permutation(60)]
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(-20, 20, (400, 2)) * 50)]
+    points += [(i + 1000, x, y) for i, x, y in points[:300]] + [(3, 10.0, 10.0)]
+    sites.append((sites[0][0], 500.0, 500.0, *sites[0][3:]))
+    return spark.createDataFrame(sites, SITE), spark.createDataFrame(points, "point_id long, px double, py double")
+
+
+def steps_of(edges):
+    return [(r.candidate_id, r.gain) for r in siting.greedy_cover(edges).orderBy("step").collect()]
+
+
+def test_steps_by_places_are_those_of_all_pairs(spark):
+    sites, points = crowded(spark)
+    plain, merged = siting.cover_edges(sites, points, 300.0), siting.disc_places(sites, points, 300.0)
+    assert len(steps_of(plain)) > 3 and steps_of(merged) == steps_of(plain) and merged.count() * 2 < plain.count()
+    plain, merged = siting.cover_by_power(sites, points, -62.0), siting.power_places(sites, points, -62.0)
+    assert len(steps_of(plain)) > 3 and steps_of(merged) == steps_of(plain) and merged.count() * 2 < plain.count()
+
+
+def test_counts_by_places_are_those_of_all_pairs(spark):
+    sites, points = crowded(spark)
+    want = siting.cover_edges(sites, points, 300.0).groupBy("candidate_id").count()
+    assert {tuple(r) for r in siting.disc_counts(sites, points, 300.0).collect()} == {tuple(r) for r in want.collect()}
+    want = siting.cover_by_power(sites, points, -62.0).groupBy("candidate_id").agg(F.count("*"), F.sum("point_id"), F.min("power_dbm"))
+    assert {tuple(r) for r in siting.power_counts(sites, points, -62.0).collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_placement_writes_its_tables_once(spark, monkeypatch):
+    sites, points = crowded(spark)
+    station = {"p_tx_dbm": 35.0, "gamma": 2.5, "pl0": 42.0, "margin_db": 2.0}
+    written, plain = [], siting.stage
+    monkeypatch.setattr(siting, "stage", lambda df, name: written.append((name, df.count())) or plain(df, name))
+    steps = siting.median_placement(sites, points, threshold_dbm=-62.0, station=station).collect()
+    assert sum(r.gain for r in steps) == points.count()
+    assert ("sites", sites.count()) in written and written[0] == ("left", points.select("px", "py").distinct().count())
