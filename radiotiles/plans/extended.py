@@ -40,12 +40,9 @@ ln AS (SELECT city, m, z, 111000.0 * sqrt(pow(lb - la, 2) + pow(lp - lo, 2)) AS
 @query(TILE_RAYS + " SELECT mode, city, m, z, count(*) AS n, round(sum(len_m), 1) AS len_m FROM (SELECT 'haversine' AS mode, city, m, z, arc_m AS len_m FROM ln UNION ALL SELECT 'deg111', city, m, z, flat_m FROM ln) WHERE len_m > 1e-6 GROUP BY ALL")
 def c10_ray_tiles(spark, sf):
     """Rays cut at the borders of the spherical tiles, by both measures of length."""
-    m, out = rows(spark, sf), None
+    m = rows(spark, sf)
     par = grid.grid_parameters(grid.region_boxes(m), TILE_M)
-    for mode in ("haversine", "deg111"):
-        one = paths.ray_split_tiles(m, par, mode).withColumn("mode", F.lit(mode))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("mode", "city", "m", "z").agg(F.count("*").alias("n"), r(F.sum("len_m"), 1, "len_m"))
+    return paths.lengths_by_tile(m, par).select("mode", "city", "m", "z", "n", r("len_m", 1))
 
 
 MIXED = TILE_RAYS.replace("WITH", "WITH RECURSIVE", 1).replace("pe AS (SELECT city,", "pe AS (SELECT city, concat_ws('-', l_orderkey, l_linenumber, l_partkey, bs_id) AS ray, pathloss_db,").replace("ln AS (SELECT city,", "ln AS (SELECT city, ray, pathloss_db,") + f""",
