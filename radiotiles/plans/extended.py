@@ -9,6 +9,7 @@ from radiotiles.operators import descriptors, folds, grid, paths, robustness, si
 from radiotiles.plans.queries import GRID, HEIGHT, ORACLE, POWER, THRESHOLD_DBM, TILE_M, TOUCH, _scores, _splits, greedy_sql, power_sites, query, r, rows, solved
 from radiotiles.sources import tables
 from radiotiles.sources.fixtures import cte
+from radiotiles.sources.scratch import stage
 
 CELL = 300.0
 LEVELS = (0.0, 0.1, 0.2, 0.4)
@@ -131,18 +132,18 @@ def d16_snapshot_drift(spark, sf):
 @query(POWER + greedy_sql("nominal", "en") + greedy_sql("averse", "ea") + " SELECT method, step, candidate_id, sum(gain) OVER (PARTITION BY method ORDER BY step)::BIGINT AS covered FROM (SELECT 'nominal' AS method, * FROM g_nominal UNION ALL SELECT 'averse', * FROM g_averse)")
 def k6_placement_comparison(spark, sf):
     """Greedy sites by expected power and by its conformal lower bound, until none gains."""
-    sites, points = power_sites(spark, sf), rows(spark, sf, "fx_points")
+    sites, points = stage(power_sites(spark, sf), "sites"), rows(spark, sf, "fx_points")
     methods = {"nominal": sites.withColumn("margin_db", F.lit(0.0)), "averse": sites}
-    return siting.compare({m: siting.greedy_cover(siting.cover_by_power(own, points, THRESHOLD_DBM)) for m, own in methods.items()})
+    return siting.compare({m: siting.greedy_cover(siting.power_places(own, points, THRESHOLD_DBM)) for m, own in methods.items()})
 
 
 @query()
 def k6_median_comparison(spark, sf):
     """Rows only here, as medians of what is left are no SQL: the greedy sites by the lower bound against median-seeking
     placement by the same; a test follows the placement by hand."""
-    sites, points = power_sites(spark, sf), rows(spark, sf, "fx_points")
+    sites, points = stage(power_sites(spark, sf), "sites"), rows(spark, sf, "fx_points")
     placed = siting.median_placement(sites, points, threshold_dbm=THRESHOLD_DBM, station={"p_tx_dbm": 35.0, "gamma": 2.5, "pl0": 42.0, "margin_db": 2.0})
-    return siting.compare({"averse": siting.greedy_cover(siting.cover_by_power(sites, points, THRESHOLD_DBM)), "median": placed})
+    return siting.compare({"averse": siting.greedy_cover(siting.power_places(sites, points, THRESHOLD_DBM)), "median": placed})
 
 
 _OFF = "sqrt(pow({0}.x - {1}, 2) + pow({0}.y - {2}, 2))"
