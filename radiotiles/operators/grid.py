@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,9 +140,14 @@ def cells_touched(structures: DataFrame, tile_m: float, clip: bool = False) -> D
     return cells.withColumn("clip_m2", F.greatest(dx, F.lit(0.0)) * F.greatest(dy, F.lit(0.0))).where("clip_m2 > 0").withColumn("area_m2", F.col("clip_m2") if clip else F.col("width_m") * F.col("depth_m"))
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def polygon_area(vertices: Column) -> Column:
     """Shoelace area of an array of (x, y) vertices."""
-    return F.abs(F.aggregate(_cross(vertices), F.lit(0.0), lambda a, c: a + c)) / 2
+    return _once(vertices, lambda own: F.abs(F.aggregate(_cross(own), F.lit(0.0), lambda a, c: a + c)) / 2)
 
 
 def polygon_centroid(vertices: Column) -> tuple[Column, Column]:
@@ -179,21 +186,28 @@ def clip_to_box(vertices: Column, x0: Column, y0: Column, x1: Column, y1: Column
         edge = lambda p, q: F.concat(F.when(inside(p), F.array(p)).otherwise(F.slice(F.array(p), 1, 0)), F.when(inside(p) != inside(q), F.array(crossing(p, q))).otherwise(F.slice(F.array(p), 1, 0)))
         return F.flatten(F.zip_with(points, after, edge))
 
+    def at(axis: str, bound: Column, above: bool) -> Callable[[Column], Column]:
+        return lambda own: side(own, axis, bound, above)
+
     for axis, bound, above in (("x", x0, True), ("x", x1, False), ("y", y0, True), ("y", y1, False)):
-        vertices = side(vertices, axis, bound, above)
+        # a side names its polygon several times: without this, four of them would work the first out hundreds of times
+        vertices = _once(vertices, at(axis, bound, above))
     return vertices
 
 
 def clipped_polygons(polygons: DataFrame, tile_m: float) -> DataFrame:
     """Polygons (vertices: array of x, y) by each cell of a metric grid that they share area with: `clipped`, the part inside,
-    and its `area_m2`.  Candidate cells are those of the bounding box; the sides cut the polygon one after another, so a
-    concave one may keep edges of no width, which do not change its area."""
+    and its `area_m2`.  Candidate cells are those of the bounding box, and a polygon with one of them is in it as it is; the
+    sides cut others one after another, so a concave one may keep edges of no width, which do not change its area."""
     ends = lambda f, axis: F.floor(f(F.transform("vertices", lambda p: p[axis])) / tile_m)
     cells = polygons.where(F.size("vertices") >= 3)
     for k, axis in (("m", "y"), ("z", "x")):
-        cells = cells.withColumn(k, F.explode(F.sequence(ends(F.array_min, axis), ends(F.array_max, axis))))
+        cells = cells.withColumn(f"__{k}", F.sequence(ends(F.array_min, axis), ends(F.array_max, axis)))
+    cells = cells.withColumn("__inside", (F.size("__m") == 1) & (F.size("__z") == 1))
+    for k in ("m", "z"):
+        cells = cells.withColumn(k, F.explode(f"__{k}")).drop(f"__{k}")
     box = [F.col(k) * tile_m + add for k, add in (("z", 0.0), ("m", 0.0), ("z", tile_m), ("m", tile_m))]
-    cut = cells.withColumn("clipped", clip_to_box(F.col("vertices"), *box))
+    cut = cells.withColumn("clipped", F.when(F.col("__inside"), F.col("vertices")).otherwise(clip_to_box(F.col("vertices"), *box))).drop("__inside")
     return cut.withColumn("area_m2", polygon_area(F.col("clipped"))).where("area_m2 > 0")
 
 

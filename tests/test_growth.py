@@ -110,3 +110,14 @@ def test_placement_writes_its_tables_once(spark, monkeypatch):
     steps = siting.median_placement(sites, points, threshold_dbm=-62.0, station=station).collect()
     assert sum(r.gain for r in steps) == points.count()
     assert ("sites", sites.count()) in written and written[0] == ("left", points.select("px", "py").distinct().count())
+
+
+def test_clipping_names_each_step_once(spark):
+    # each of four sides names the polygon it cuts several times: written out in full that is some hundred copies
+    box = [F.lit(float(v)) for v in (0, 0, 10, 10)]
+    assert len(str(grid.clip_to_box(F.col("v"), *box))) < 30_000
+    rows = [(i, [(5.0 + i, -3.0), (17.0 + i, 4.0), (6.0 + i, 9.0), (7.0 + i, 2.0)]) for i in range(4)] + [(9, [(1.0, 1.0), (4.0, 1.0), (1.0, 4.0)])]
+    got = grid.clipped_polygons(spark.createDataFrame(rows, "id long, vertices array<struct<x: double, y: double>>"), 10.0)
+    area = {r.id: r.a for r in got.groupBy("id").agg(F.sum("area_m2").alias("a")).collect()}
+    want = {i: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(v, v[1:] + v[:1], strict=True))) / 2 for i, v in rows}
+    assert area == pytest.approx(want)
