@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from radiotiles.functions.geo import span_lat, span_lon, utm, utm_inverse, utm_zone
 
@@ -195,20 +199,78 @@ def clip_to_box(vertices: Column, x0: Column, y0: Column, x1: Column, y1: Column
     return vertices
 
 
+def _cut_side(x: np.ndarray, y: np.ndarray, own: np.ndarray, bound: np.ndarray, above: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Corners (x, y) of polygons, one after another, cut where x passes `bound`; `own` tells a corner's polygon, and rises."""
+    if not len(own):
+        return x, y, own
+    last = np.append(own[1:] != own[:-1], True)
+    after = np.arange(1, len(own) + 1)
+    after[last] = np.flatnonzero(np.append(True, last[:-1]))
+    inside = x >= bound if above else x <= bound
+    crossed = inside != inside[after]
+    many = inside.astype(np.int64) + crossed
+    to = np.cumsum(many) - many
+    out = np.empty(many.sum()), np.empty(many.sum())
+    out[0][to[inside]], out[1][to[inside]] = x[inside], y[inside]
+    p, q = np.flatnonzero(crossed), after[crossed]
+    at = to[p] + inside[p]
+    out[0][at], out[1][at] = bound[p], y[p] + (bound[p] - x[p]) / (x[q] - x[p]) * (y[q] - y[p])
+    return *out, np.repeat(own, many)
+
+
+def _clipped(batch: pa.RecordBatch, tile_m: float) -> Iterator[pa.RecordBatch]:
+    vertices = batch.column("vertices")
+    of, flat = pc.list_parent_indices(vertices).to_numpy(), pc.list_flatten(vertices)
+    x, y = (np.asarray(flat.field(c).to_numpy(zero_copy_only=False), dtype=np.float64) for c in "xy")
+    size = np.bincount(of, minlength=len(batch))
+    whole = (size >= 3) & (np.bincount(of, ~np.isfinite(x + y), len(batch)) == 0)
+    x, y, rows, size, begin = x[whole[of]], y[whole[of]], np.flatnonzero(whole), size[whole], np.cumsum(size[whole]) - size[whole]
+    if not len(rows):
+        return
+    cell = lambda f, v: np.floor(f.reduceat(v, begin) / tile_m).astype(np.int64)
+    m0, z0, high, wide = cell(np.minimum, y), cell(np.minimum, x), cell(np.maximum, y), cell(np.maximum, x)
+    high, wide = high - m0 + 1, wide - z0 + 1
+    if (high * wide * size).sum() > 5_000_000 and len(batch) > 1:
+        half = len(batch) // 2
+        yield from _clipped(batch.slice(0, half), tile_m)
+        yield from _clipped(batch.slice(half), tile_m)
+        return
+    poly = np.repeat(np.arange(len(rows)), high * wide)
+    k = np.arange(len(poly)) - np.repeat(np.cumsum(high * wide) - high * wide, high * wide)
+    m, z = m0[poly] + k // wide[poly], z0[poly] + k % wide[poly]
+    n = size[poly]
+    own = np.repeat(np.arange(len(poly)), n)
+    corner = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + begin[poly][own]
+    x, y = x[corner], y[corner]
+    for above in (True, False):
+        x, y, own = _cut_side(x, y, own, (z[own] + (not above)) * tile_m, above)
+    for above in (True, False):
+        y, x, own = _cut_side(y, x, own, (m[own] + (not above)) * tile_m, above)
+    left = np.bincount(own, minlength=len(poly))
+    last = np.append(own[1:] != own[:-1], True) if len(own) else np.zeros(0, bool)
+    after = np.arange(1, len(own) + 1)
+    after[last] = np.flatnonzero(np.append(True, last[:-1])) if len(own) else []
+    area = np.abs(np.bincount(own, x * y[after] - x[after] * y, len(poly))) / 2
+    real = area > 0
+    points = pa.StructArray.from_arrays([pa.array(v[real[own]]) for v in (x, y)], ["x", "y"])
+    clipped = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(left[real])), pa.int32()), points)
+    kept = batch.take(pa.array(rows[poly[real]]))
+    yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(m[real]), pa.array(z[real]), clipped, pa.array(area[real])], [*batch.schema.names, "m", "z", "clipped", "area_m2"])
+
+
 def clipped_polygons(polygons: DataFrame, tile_m: float) -> DataFrame:
     """Polygons (vertices: array of x, y) by each cell of a metric grid that they share area with: `clipped`, the part inside,
-    and its `area_m2`.  Candidate cells are those of the bounding box, and a polygon with one of them is in it as it is; the
-    sides cut others one after another, so a concave one may keep edges of no width, which do not change its area."""
-    ends = lambda f, axis: F.floor(f(F.transform("vertices", lambda p: p[axis])) / tile_m)
-    cells = polygons.where(F.size("vertices") >= 3)
-    for k, axis in (("m", "y"), ("z", "x")):
-        cells = cells.withColumn(f"__{k}", F.sequence(ends(F.array_min, axis), ends(F.array_max, axis)))
-    cells = cells.withColumn("__inside", (F.size("__m") == 1) & (F.size("__z") == 1))
-    for k in ("m", "z"):
-        cells = cells.withColumn(k, F.explode(f"__{k}")).drop(f"__{k}")
-    box = [F.col(k) * tile_m + add for k, add in (("z", 0.0), ("m", 0.0), ("z", tile_m), ("m", tile_m))]
-    cut = cells.withColumn("clipped", F.when(F.col("__inside"), F.col("vertices")).otherwise(clip_to_box(F.col("vertices"), *box))).drop("__inside")
-    return cut.withColumn("area_m2", polygon_area(F.col("clipped"))).where("area_m2 > 0")
+    and its `area_m2`.  Candidate cells are those of the bounding box; the sides cut the polygon one after another, so a
+    concave one may keep edges of no width, which do not change its area.  Batches are cut as arrays of corners."""
+    made = ("m", "z", "clipped", "area_m2")
+    own = polygons.select(*[c for c in polygons.columns if c not in made])
+    types = StructType([*own.schema.fields]).add("m", "long").add("z", "long").add("clipped", ArrayType(StructType().add("x", "double").add("y", "double"))).add("area_m2", "double")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _clipped(batch, tile_m)
+
+    return own.mapInArrow(work, types)
 
 
 def footprints(features: DataFrame, least_m2: float = 4.0) -> DataFrame:
