@@ -107,8 +107,19 @@ def test_placement_writes_its_tables_once(spark, monkeypatch):
     station = {"p_tx_dbm": 35.0, "gamma": 2.5, "pl0": 42.0, "margin_db": 2.0}
     written, plain = [], siting.stage
     monkeypatch.setattr(siting, "stage", lambda df, name: written.append((name, df.count())) or plain(df, name))
-    steps = siting.median_placement(sites, points, threshold_dbm=-62.0, station=station).collect()
-    assert sum(r.gain for r in steps) == points.count()
+    steps = siting.median_placement(sites, points, threshold_dbm=-62.0, station=station, max_steps=3).orderBy("step").collect()
+    left, all_sites, used = [tuple(r) for r in points.collect()], sites.collect(), set()
+    power = lambda q, x, y: q["p_tx_dbm"] - q["margin_db"] - q["pl0"] - q["gamma"] * 10 * math.log10(max(math.hypot(*[a - b for a, b in zip((x, y), q["at"], strict=True)]), 1.0))
+    for r in steps:
+        x, y = np.median([p[1] for p in left]), np.median([p[2] for p in left])
+        _, _, px, py = min((math.sqrt((p[1] - x) ** 2 + (p[2] - y) ** 2), *p) for p in left)
+        own = [q.asDict() | {"at": (q.sx, q.sy)} for q in all_sites if q.candidate_id not in used]
+        near = [(-power(q, px, py), q["candidate_id"], q["sx"], q["sy"], q) for q in own if power(q, px, py) >= -62.0]
+        best = min(near, key=lambda n: n[:4])[4] if near else station | {"at": (x, y), "candidate_id": None}
+        used.add(best["candidate_id"])
+        after = [p for p in left if power(best, *p[1:]) < -62.0]
+        assert (r.candidate_id, r.gain) == (best["candidate_id"], len(left) - len(after))
+        left = after
     assert ("sites", sites.count()) in written and written[0] == ("left", points.select("px", "py").distinct().count())
 
 
