@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from radiotiles.operators.blocks import block_pairs
+from radiotiles.sources.scratch import stage
 
 # Lower bounds of the height classes, and height planes, in metres.
 CLASSES = (0, 5, 10, 30, 60)
@@ -102,26 +103,74 @@ def terrain_features(points: DataFrame, *keys: str) -> DataFrame:
     return points.groupBy(*keys).agg(*[f(c).alias(f"{c}_{n}") for c in ("asl", "agl") for f, n in ((F.min, "min"), (F.avg, "mean"), (F.stddev_pop, "std"))])
 
 
-def neighbour_graph(rows: DataFrame, k: int = 4) -> DataFrame:
-    """Edges of each building to its k nearest in the tile, weighted by inverse distance; ties go to the least id.  Blocks
-    of a tile's buildings meet as matrices, each gives the k nearest of its own, and the nearest of these stay."""
+def _nearest(asked: pa.Table, known: pa.Table, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place of `asked` the `need` rows nearest to it among those of `known` (cx, cy, ids), by distance and id: place,
+    distance and id, place after place.  Places meet some thousand at a time."""
+    col = lambda t, c: t.column(c).to_numpy()
+    qx, qy, kx, ky = col(asked, "cx"), col(asked, "cy"), col(known, "cx"), col(known, "cy")
+    listed = known.column("ids").combine_chunks()
+    of, ids = np.repeat(np.arange(known.num_rows), listed.value_lengths().to_numpy()), listed.flatten().to_numpy()
+    kx, ky, out = kx[of], ky[of], []
+    step = max(1, 2_000_000 // max(len(ids), 1))
+    for first in range(0, len(qx) if len(ids) else 0, step):
+        x, y = qx[first : first + step], qy[first : first + step]
+        square = (x[:, None] - kx[None, :]) ** 2 + (y[:, None] - ky[None, :]) ** 2
+        if len(ids) > need:
+            most = np.partition(square, need - 1, axis=1)[:, need - 1]
+            at, near = np.nonzero(square <= (most * (1 + 1e-12))[:, None])  # ties stay
+        else:
+            at, near = (v.ravel() for v in np.indices(square.shape))
+        d = np.hypot(x[at] - kx[near], y[at] - ky[near])
+        order = np.lexsort((ids[near], d, at))
+        at, near, d = at[order], near[order], d[order]
+        kept = np.arange(len(at)) - np.searchsorted(at, at) < need
+        out.append((at[kept] + first, d[kept], ids[near[kept]]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0), ids[:0])
+
+
+def neighbour_graph(rows: DataFrame, k: int = 4, per_block: int = 500) -> DataFrame:
+    """Edges of each building to its k nearest in the tile, weighted by inverse distance; ties go to the least id.  Buildings at
+    one place share their neighbours, so places look for them, and each gives its first few ids only.  A tile's places are
+    dealt to a grid of about `per_block` in a block; a place whose last neighbour is as far as the border of its block looks
+    into all blocks that are no farther than that."""
     keys = ("city", "m", "z")
-
-    def work(a: pa.Table, b: pa.Table) -> pa.Table:
-        col = lambda t, c: t.column(c).to_numpy()
-        ia, ib = col(a, "structure_id"), col(b, "structure_id")
-        d = np.hypot(col(a, "cx")[:, None] - col(b, "cx")[None, :], col(a, "cy")[:, None] - col(b, "cy")[None, :])
-        d[ia[:, None] == ib[None, :]] = np.inf
-        by_id = np.argsort(ib, kind="stable")
-        near = by_id[np.argsort(d[:, by_id], axis=1, kind="stable")[:, :k]]
-        at = np.repeat(np.arange(len(ia)), near.shape[1])
-        real = np.isfinite(d[at, near.ravel()])
-        at, near = at[real], near.ravel()[real]
-        return a.select(list(keys)).take(pa.array(at)).append_column("a", pa.array(ia[at])).append_column("b", pa.array(ib[near])).append_column("d", pa.array(d[at, near]))
-
-    own = rows.select(*keys, "structure_id", "cx", "cy")
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
-    unit = rows.schema["structure_id"].dataType.simpleString()
-    found = block_pairs(own, own, keys, "structure_id", work, f"{kinds}, a {unit}, b {unit}, d double", per_block=1000)
-    order = Window.partitionBy(*keys, "a").orderBy("d", "b")  # k rows for each block of the tile
-    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select(*keys, "a", "b", "d", (1 / F.nullif("d", F.lit(0.0))).alias("weight"))
+    own = stage(rows.select(*keys, "structure_id", "cx", "cy").where("abs(cx) < double('inf') and abs(cy) < double('inf')"), "structures")
+    # an id has no edge to itself, so lists are longer by the most rows that an id has in a tile
+    most = own.groupBy(*keys, "structure_id").count().agg(F.max("count")).first()[0] or 1
+    need, place = k + most, (*keys, "cx", "cy")
+    first = F.row_number().over(Window.partitionBy(*place).orderBy("structure_id"))
+    places = own.withColumn("r", first).where(F.col("r") <= need).groupBy(*place).agg(F.array_sort(F.collect_list("structure_id")).alias("ids"))  # `need` at most
+    places = stage(places, "places")
+    # a tile's blocks: outermost ones have no border, so far places do not widen the others
+    side = F.ceil(F.sqrt(F.count("*") / per_block))
+    lo = lambda c: F.percentile_approx(c, 0.01, 1000).alias(f"{c}0")
+    hi = lambda c: F.percentile_approx(c, 0.99, 1000).alias(f"{c}1")
+    tiles = places.groupBy(*keys).agg(side.alias("g"), *[f(c) for c in ("cx", "cy") for f in (lo, hi)])
+    tiles = stage(tiles.select(*keys, "g", *[e for c in ("cx", "cy") for e in (F.col(f"{c}0"), (F.greatest(F.col(f"{c}1") - F.col(f"{c}0"), F.lit(1e-9)) / F.col("g")).alias(f"{c}w"))]), "tiles")  # a row for each tile
+    last = F.col("g") - 1
+    block = lambda c, v: F.greatest(F.least(F.floor((v - F.col(f"{c}0")) / F.col(f"{c}w")), last), F.lit(0).cast("long"))
+    dealt = stage(places.join(tiles, list(keys)).withColumn("bx", block("cx", F.col("cx"))).withColumn("by", block("cy", F.col("cy"))), "blocks")
+
+    def listed(a: pa.Table, b: pa.Table) -> pa.Table:
+        at, d, ids = _nearest(a, b, need)
+        ends = pa.array(np.append(0, np.cumsum(np.bincount(at, minlength=a.num_rows))), pa.int32())
+        near = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(d), pa.array(ids)], ["d", "b"]))
+        return a.select([*place]).append_column("near", near)
+
+    types = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in place) + f", near array<struct<d: double, b: {own.schema['structure_id'].dataType.simpleString()}>>"
+    inside = dealt.select(*place, "ids", "bx", "by").groupBy(*keys, "bx", "by").applyInArrow(lambda a: listed(a, a), types)
+    inside = stage(inside.withColumn("far", F.when(F.size("near") < need, F.lit(float("inf"))).otherwise(F.element_at("near", -1)["d"])), "inside")
+    # blocks within that distance, a little more than it for rounding
+    asked = inside.join(tiles, list(keys)).withColumn("reach", F.col("far") * (1 + 1e-9) + 1e-9)
+    around = lambda c: F.explode(F.sequence(block(c, F.col(c) - F.col("reach")), block(c, F.col(c) + F.col("reach"))))
+    home = (F.col("bx") == block("cx", F.col("cx"))) & (F.col("by") == block("cy", F.col("cy")))
+    asked = asked.withColumn("bx", around("cx")).withColumn("by", around("cy")).where(~home).select(*place, "bx", "by")
+    others = asked.groupBy(*keys, "bx", "by").cogroup(dealt.select(*place, "ids", "bx", "by").groupBy(*keys, "bx", "by")).applyInArrow(listed, types)
+    more = others.groupBy(*place).agg(F.flatten(F.collect_list("near")).alias("more"))  # `need` from each block within reach
+    near = F.when(F.col("more").isNull(), F.col("near")).otherwise(F.slice(F.array_sort(F.concat("near", "more")), 1, need))
+    found = inside.join(more, list(place), "left").select(*place, near.alias("near"))
+    edges = own.withColumnRenamed("structure_id", "a").join(found, list(place))
+    edges = edges.select(*keys, "a", F.explode(F.slice(F.filter("near", lambda e: e["b"] != F.col("a")), 1, k)).alias("e")).select(*keys, "a", "e.b", "e.d")
+    if most > 1:
+        edges = edges.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "a").orderBy("d", "b"))).where(F.col("r") <= k)  # k for each of an id's rows
+    return edges.select(*keys, "a", "b", "d", (1 / F.nullif("d", F.lit(0.0))).alias("weight"))

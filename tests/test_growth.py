@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from radiotiles.operators import grid, paths, siting
+from radiotiles.operators import grid, paths, siting, structures
 
 RAY = "city string, ray long, tx_lat double, tx_lon double, rx_lat double, rx_lon double, pathloss_db double"
 
@@ -132,3 +132,40 @@ def test_clipping_names_each_step_once(spark):
     area = {r.id: r.a for r in got.groupBy("id").agg(F.sum("area_m2").alias("a")).collect()}
     want = {i: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(v, v[1:] + v[:1], strict=True))) / 2 for i, v in rows}
     assert area == pytest.approx(want)
+
+
+def recorded(monkeypatch, module):
+    """What a module writes: (name, rows, table)."""
+    written, plain = {}, module.stage
+
+    def keep(df, name):
+        written[name] = plain(df, name)
+        return written[name]
+
+    monkeypatch.setattr(module, "stage", keep)
+    return written
+
+
+def buildings(spark):
+    """Crowded tiles of which many buildings share a place, with a far one, ids that are there twice, and a null."""
+    rng = np.random.default_rng(8)
+    spots = rng.integers(0, 60, (150, 2)) * 1.0
+    rows = [("x", 0, 0, int(i), *map(float, spots[rng.integers(150)]), float(rng.integers(1, 120))) for i in rng.permutation(500)]
+    rows += [("x", 0, 1, i, float(rng.uniform(0, 300)), float(rng.uniform(0, 300)), 20.0) for i in range(150)]
+    rows += [("x", 0, 0, 900, 4000.0, -50.0, 70.0), ("x", 0, 0, 7, 3.5, 3.5, 65.0), ("x", 0, 1, 9, 1.0, 1.0, 20.0), ("x", 0, 1, 901, None, 3.0, 20.0), ("y", 2, 2, 1, 0.0, 0.0, 9.0), ("y", 2, 2, 2, 1.0, 0.0, 3.0)]
+    return rows, spark.createDataFrame(rows, "city string, m long, z long, structure_id long, cx double, cy double, height double")
+
+
+def test_neighbours_are_found_by_places_and_blocks(spark, monkeypatch):
+    rows, df = buildings(spark)
+    written, want = recorded(monkeypatch, structures), set()
+    got = {(r.city, r.m, r.z, r.a, r.b, round(r.d, 9)) for r in structures.neighbour_graph(df, per_block=12).collect()}
+    for tile in {r[:3] for r in rows}:
+        own = [r for r in rows if r[:3] == tile and r[4] is not None]
+        for a in {r[3] for r in own}:
+            near = sorted((math.hypot(p[4] - q[4], p[5] - q[5]), q[3]) for p in own if p[3] == a for q in own if q[3] != a)
+            want |= {(*tile, a, b, round(d, 9)) for d, b in near[:4]}
+    assert got == want
+    # places, not buildings, meet, and the far one does not put all others into one block
+    assert written["blocks"].where("m = 0 and z = 0").count() <= 153
+    assert written["blocks"].groupBy("city", "m", "z", "bx", "by").count().agg(F.max("count")).first()[0] <= 40
