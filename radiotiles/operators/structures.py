@@ -60,31 +60,88 @@ def built_features(rows: DataFrame, tile_m2: float) -> DataFrame:
     )
 
 
+#: Steps of a lattice that a tile's places may lie on, in metres, and the most steps of its extent.
+STEPS, MOST_STEPS = (1.0, 0.5, 0.25, 0.125), 1024
+
+
+def _length(n: int) -> int:
+    """The least length of a fast transform that holds n."""
+    return min(f << max(0, (-(-n // f) - 1).bit_length()) for f in (1, 3, 5))
+
+
+def _lattice_sums(n: np.ndarray, i: np.ndarray, j: np.ndarray, step: float) -> list[float]:
+    """Sums of the distances of all ordered pairs of rows and of their squares, for each column of `n`, the rows at places (i, j)
+    of a lattice: pairs are counted by their difference, with a transform of the counts."""
+    high, wide = int(i.max()) + 1, int(j.max()) + 1
+    shape, out = (_length(2 * high - 1), _length(2 * wide - 1)), []
+    dy, dx = (np.minimum(np.arange(s), s - np.arange(s)) * step for s in shape)
+    d = np.hypot(dy[:, None], dx[None, :])
+    for own in n.T:
+        here = np.zeros(shape)
+        here[i, j] = own
+        pairs = np.rint(np.fft.irfft2(np.abs(np.fft.rfft2(here)) ** 2, shape))
+        out += [float((pairs * d).sum()), float((pairs * d * d).sum())]
+    return out
+
+
 def plane_features(rows: DataFrame) -> DataFrame:
     """Of the buildings that reach each height plane: their number, and mean and spread of the distances of
-    all pairs in a tile.  Blocks of a tile's buildings meet as matrices and give their sums."""
-    keys = ("city", "m", "z")
+    all pairs in a tile.  Buildings at one place are one row with their numbers.  Where a tile's places lie on a lattice, as
+    places of whole metres do, their pairs are counted by difference, in time of the tile's extent; blocks of the
+    places of other tiles meet as matrices and give the same sums."""
+    keys, planes = ("city", "m", "z"), range(len(PLANES))
     counts = rows.groupBy(*keys).agg(*[F.count_if(F.col("height") >= p).cast("double").alias(f"plane{p}_n") for p in PLANES])
+    own = stage(rows.select(*keys, "structure_id", F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy"), "height").where(F.col("height") >= PLANES[0]), "structures")
+    places = own.groupBy(*keys, "cx", "cy").agg(*[F.count_if((F.col("height") >= p) & ~F.isnan("height")).cast("double").alias(f"n{i}") for i, p in enumerate(PLANES)])
+    places = stage(places, "places")
+    corner = places.groupBy(*keys).agg(F.min("cx").alias("x0"), F.min("cy").alias("y0"), F.greatest(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy")).alias("extent"))
+    whole = lambda c, s: F.col(c) / s == F.floor(F.col(c) / s)
+    from_corner = places.join(corner, list(keys)).withColumn("dx", F.col("cx") - F.col("x0")).withColumn("dy", F.col("cy") - F.col("y0"))
+    fits = [F.coalesce(F.bool_and(whole("dx", s) & whole("dy", s) & F.col("dx").isNotNull() & F.col("dy").isNotNull() & (F.col("extent") / s < MOST_STEPS)), F.lit(False)) for s in STEPS]
+    step = None
+    for s, good in zip(STEPS, fits, strict=True):
+        step = F.when(good, s) if step is None else step.when(good, s)
+    tiles = stage(from_corner.groupBy(*keys).agg(step.alias("step"), F.first("x0").alias("x0"), F.first("y0").alias("y0")), "tiles")  # a row for each tile
+    placed = places.join(tiles, list(keys))
+    numbers = [f"n{i}" for i in planes]
+
+    def row(a: pa.Table, sums: list[float]) -> pa.Table:
+        return a.slice(0, 1).select(list(keys)).append_column("s", pa.array([sums], pa.list_(pa.float64())))
+
+    def counted(a: pa.Table) -> pa.Table:
+        col = lambda c: a.column(c).to_numpy()
+        step = a.column("step")[0].as_py()
+        i, j = (np.rint((col(c) - col(f"{c[1]}0")) / step).astype(np.int64) for c in ("cy", "cx"))
+        return row(a, _lattice_sums(np.stack([col(c) for c in numbers], 1), i, j, step))
 
     def work(a: pa.Table, b: pa.Table) -> pa.Table:
         col = lambda t, c: t.column(c).to_numpy()
         d = np.hypot(col(a, "cx")[:, None] - col(b, "cx")[None, :], col(a, "cy")[:, None] - col(b, "cy")[None, :])
-        low = np.minimum(col(a, "height")[:, None], col(b, "height")[None, :])
-        once = col(a, "structure_id")[:, None] < col(b, "structure_id")[None, :]
-        d, low = d[once], low[once]
-        sums = [x for p in PLANES for x in ((low >= p).sum(), d[low >= p].sum(), (d[low >= p] ** 2).sum())]
-        return a.slice(0, 1).select(list(keys)).append_column("s", pa.array([[float(x) for x in sums]], pa.list_(pa.float64())))
-
-    own = rows.select(*keys, "structure_id", "cx", "cy", "height")
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
-    sums = block_pairs(own, own, keys, "structure_id", work, f"{kinds}, s array<double>", per_block=1000)
-    at = lambda i, k: F.sum(F.get("s", 3 * i + k))
-    stats = sums.groupBy(*keys).agg(*[at(i, k).alias(f"s{i}_{k}") for i in range(len(PLANES)) for k in range(3)])
+        return row(a if a.num_rows else b, [float(col(a, n) @ x @ col(b, n)) for n in numbers for x in (d, d * d)])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys) + ", s array<double>"
+    on = placed.where("step is not null").groupBy(*keys).applyInArrow(counted, kinds)  # a row for each place of the lattice
+    off = placed.where("step is null").withColumn("place", F.concat_ws(" ", "cx", "cy"))
+    pairs = on.unionByName(block_pairs(off, off, keys, "place", work, kinds, per_block=1000))
+    # buildings have no pair with another row of their own id
+    again = own.groupBy(*keys, "structure_id").count().where("count > 1").drop("count")
+    twice = own.join(again, [*keys, "structure_id"]).select(*keys, "structure_id", "cx", "cy", "height")
+    other = twice.select(*keys, "structure_id", *[F.col(c).alias(f"b_{c}") for c in ("cx", "cy", "height")])
+    low, d = F.least("height", "b_height"), F.hypot(F.col("cx") - F.col("b_cx"), F.col("cy") - F.col("b_cy"))
+    of = [F.sum(F.when((low >= p) & ~F.isnan(low), x).otherwise(0.0)) for p in PLANES for x in (F.lit(1.0), d, d * d)]
+    less = twice.join(other, [*keys, "structure_id"]).groupBy(*keys).agg(F.array(*of).alias("less"))
+    alone = twice.groupBy(*keys).agg(F.array(*[F.count_if((F.col("height") >= p) & ~F.isnan("height")) for p in PLANES]).alias("alone"))
+    at = lambda i, k: F.sum(F.get("s", 2 * i + k))
+    sums = pairs.groupBy(*keys).agg(*[at(i, k).alias(f"s{i}_{k + 1}") for i in planes for k in range(2)])
+    stats = places.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in numbers]).join(sums, list(keys)).join(less.join(alone, list(keys)), list(keys), "left")
+    gone = lambda i, k: F.coalesce(F.get("less", 3 * i + k), F.lit(0.0))
     out = []
     for i, p in enumerate(PLANES):
-        n = F.nullif(f"s{i}_0", F.lit(0.0))
-        mean = F.col(f"s{i}_1") / n
-        spread = F.sqrt(F.greatest(F.col(f"s{i}_2") / n - mean * mean, F.lit(0.0)))
+        # of ordered pairs, each row's with itself among them
+        own_id = F.coalesce(gone(i, 0) - F.get("alone", i), F.lit(0.0))
+        n = F.nullif((F.col(f"n{i}") * (F.col(f"n{i}") - 1) - own_id) / 2, F.lit(0.0))
+        mean = (F.col(f"s{i}_1") - gone(i, 1)) / 2 / n
+        spread = F.sqrt(F.greatest((F.col(f"s{i}_2") - gone(i, 2)) / 2 / n - mean * mean, F.lit(0.0)))
         out += [F.coalesce(f"plane{p}_n", F.lit(0.0)).alias(f"plane{p}_n"), F.coalesce(mean, F.lit(0.0)).alias(f"plane{p}_dist_mean"), F.coalesce(spread, F.lit(0.0)).alias(f"plane{p}_dist_std")]
     return counts.join(stats, list(keys), "left").select(*keys, *out)
 

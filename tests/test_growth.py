@@ -169,3 +169,24 @@ def test_neighbours_are_found_by_places_and_blocks(spark, monkeypatch):
     # places, not buildings, meet, and the far one does not put all others into one block
     assert written["blocks"].where("m = 0 and z = 0").count() <= 153
     assert written["blocks"].groupBy("city", "m", "z", "bx", "by").count().agg(F.max("count")).first()[0] <= 40
+
+
+def test_planes_are_summed_by_places(spark, monkeypatch):
+    rows, _ = buildings(spark)
+    rows = [r for r in rows if r[4] is not None]
+    rows += [("z", 0, 0, i, *r[4:6], r[6]) for i, r in enumerate(rows[:500])] + [("z", 0, 0, 3, 5.5, 7.25, 200.0)]  # a lattice of a quarter
+    df = spark.createDataFrame(rows, "city string, m long, z long, structure_id long, cx double, cy double, height double")
+    written, blocks = recorded(monkeypatch, structures), []
+    plain = structures.block_pairs
+    monkeypatch.setattr(structures, "block_pairs", lambda a, *more, **named: blocks.append(a.count()) or plain(a, *more, **named))
+    got = {(r.city, r.m, r.z): r for r in structures.plane_features(df).collect()}
+    for tile in {r[:3] for r in rows}:
+        own = [r for r in rows if r[:3] == tile]
+        for p in structures.PLANES:
+            high = [r for r in own if r[6] >= p]
+            d = [math.hypot(a[4] - b[4], a[5] - b[5]) for a in high for b in high if a[3] < b[3]]
+            want = (len(high), np.mean(d) if d else 0.0, np.std(d) if d else 0.0)
+            assert tuple(got[tile][f"plane{p}_{c}"] for c in ("n", "dist_mean", "dist_std")) == pytest.approx(want, rel=1e-6, abs=1e-4), (tile, p)
+    # 500 buildings at 151 places; pairs of places meet only where no lattice holds them
+    assert written["places"].where("city = 'x' and m = 0 and z = 0").count() <= 152
+    assert len(rows) > 1150 and blocks[0] < 310
