@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from radiotiles.operators import grid, paths, siting, structures
+from radiotiles.operators import descriptors, grid, paths, siting, structures
 
 RAY = "city string, ray long, tx_lat double, tx_lon double, rx_lat double, rx_lon double, pathloss_db double"
 
@@ -190,3 +190,26 @@ def test_planes_are_summed_by_places(spark, monkeypatch):
     # 500 buildings at 151 places; pairs of places meet only where no lattice holds them
     assert written["places"].where("city = 'x' and m = 0 and z = 0").count() <= 152
     assert len(rows) > 1150 and blocks[0] < 310
+
+
+def test_pixels_are_filled_band_by_band(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    kinds = ["building", "vegetation", "water", None]
+    rows = [("x" if i % 3 else "y", kinds[i % 4], None if i % 11 == 0 else float(rng.integers(1, 90)), *map(float, rng.uniform(-90, 90, 2)), *map(float, rng.uniform(5, 40, 2))) for i in range(300)]
+    df = spark.createDataFrame(rows, "city string, kind string, height double, cx double, cy double, width_m double, depth_m double")
+    terrain = spark.createDataFrame([(3.0, 3.0, 7.0)], "x double, y double, asl double")
+    size, want, sent, plain = 100 / 16, {}, [], descriptors._covered
+    monkeypatch.setattr(descriptors, "_covered", lambda s, strips, n: sent.append(s.count()) or plain(s, strips, n))
+    for city, kind, height, cx, cy, w, d in rows:
+        for y in range(-20, 20):
+            for x in range(-20, 20):
+                if cx - w / 2 <= (x + 0.5) * size < cx + w / 2 and cy - d / 2 <= (y + 0.5) * size < cy + d / 2:
+                    want.setdefault((city, y // 16, x // 16, y % 16, x % 16), []).append((kind, height))
+    for k, v in want.items():
+        tall, known = [h for q, h in v if q == "building" and h is not None], [q for q, _ in v if q is not None]
+        want[k] = (max(tall, default=0.0), *(int(q in known) if known else None for q in kinds[1:3]))
+    corners = F.array(*[F.struct((F.col("cx") + a * F.col("width_m") / 2).alias("x"), (F.col("cy") + b * F.col("depth_m") / 2).alias("y")) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+    for made in (descriptors.rasterised(grid.cells_touched(df, 100.0), terrain, 100.0, 16), descriptors.rasterised_polygons(df.withColumn("vertices", corners), terrain, 100.0, 16)):
+        got = {(r.city, r.m, r.z, r.py, r.px): (r.building_height, r.vegetation, r.water) for r in made.collect()}
+        assert got == want
+    assert max(sent) < 6 * len(rows)  # shapes are sent, by tile and band, and not their pixels
