@@ -26,10 +26,10 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
 
 
-def block_pairs(left: DataFrame, right: DataFrame, keys: tuple[str, ...], unit: str, work: Work, schema: str, per_block: int = 2000) -> DataFrame:
+def block_pairs(left: DataFrame, right: DataFrame, keys: tuple[str, ...], unit: str, work: Work, schema: str, per_block: int = 2000, once: bool = False) -> DataFrame:
     """`work` of every two blocks of rows with equal keys, end to end.  A key's rows are dealt by a hash of `unit` to
     blocks of about `per_block` rows, so a task holds two blocks however many rows a key has; a row is sent
-    once for each block of the other side."""
+    once for each block of the other side.  With `once`, `left` is `right` and blocks (columns __a and __b) meet in one order."""
     counts = [t.groupBy(*keys).agg(F.ceil(F.count("*") / per_block).alias(n)) for t, n in ((left, "__left"), (right, "__right"))]
     sizes = counts[0].join(counts[1], list(keys))
     # columns of both sides are named anew, as they may be the same table
@@ -41,6 +41,8 @@ def block_pairs(left: DataFrame, right: DataFrame, keys: tuple[str, ...], unit:
         .drop("__left", "__right")
     )
     a, b = deal(left, "__left", "__right", "__a", "__b"), deal(right, "__right", "__left", "__b", "__a")
+    if once:
+        a, b = (t.where("__a <= __b") for t in (a, b))
     by = [*keys, "__a", "__b"]
     return a.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(work, schema)
 

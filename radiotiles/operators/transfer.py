@@ -45,22 +45,63 @@ def nonzero_dimensions(tiles: DataFrame, by: str = "city") -> DataFrame:
     return dims.groupBy(by).agg(F.count_if(F.col("s") != 0).alias("n_nonzero"))
 
 
+def _kernels(d2: np.ndarray, sigmas: tuple[float, ...]) -> dict[float, np.ndarray]:
+    """exp(-d2 / 2 sigma^2) of each width; where the squares of two widths have a whole ratio, the narrower one's is a power of
+    the wider one's, which takes a few products in place of an exponential."""
+    out: dict[float, np.ndarray] = {}
+    for s in sorted(set(sigmas), reverse=True):
+        ratios = sorted((round((w / s) ** 2), w) for w in out if abs((w / s) ** 2 - round((w / s) ** 2)) < 1e-9 and round((w / s) ** 2) <= 25)
+        if not ratios:
+            out[s] = np.exp(d2 * (-0.5 / (s * s)))
+            continue
+        power, base = ratios[0][0], out[ratios[0][1]]
+        found = None
+        while power:
+            if power & 1:
+                found = base if found is None else found * base
+            power >>= 1
+            if power:
+                base = base * base
+        out[s] = found
+    return out
+
+
+#: Rows of either side of the products that are held at one time.
+TALL, WIDE = 128, 512
+#: Rows of a block where blocks of tiles meet: with more, fewer copies are sent.
+PER_BLOCK = 16_000
+
+
+def kernel_products(x: np.ndarray, z: np.ndarray, y: np.ndarray, sigmas: tuple[float, ...]) -> np.ndarray:
+    """(width, row of x, column of y): the kernels of the rows of x and z times y, in parts that stay in a core's cache."""
+    out = np.zeros((len(sigmas), len(x), y.shape[1]))
+    for j in range(0, len(z), WIDE):
+        near, values = z[j : j + WIDE], y[j : j + WIDE]
+        for i in range(0, len(x), TALL):
+            own = _kernels(squared_distances(x[i : i + TALL], near), sigmas)
+            for k, s in enumerate(sigmas):
+                out[k, i : i + TALL] += own[s] @ values
+    return out
+
+
 def kernel_sums(test: DataFrame, train: DataFrame, sigmas: tuple[float, ...]) -> DataFrame:
     """(fold, tile, i, w, gamma, pl0): for each test tile and width i the sums of the weights exp(-d2 / 2 sigma^2) of the
     fold's train tiles, alone and times their parameters.  Blocks of tiles meet as matrix products."""
 
     def work(a: pa.Table, b: pa.Table) -> pa.Table:
-        d2 = squared_distances(matrix(a, "v"), matrix(b, "v"))
         y = np.stack([np.ones(b.num_rows), *(b.column(t).to_numpy() for t in TARGETS)], 1)
-        sums = [np.exp(-d2 / (2 * s * s)) @ y for s in sigmas]
         names = a.select(["fold", "tile"])
         parts = [names.append_column("i", pa.array(np.full(a.num_rows, i, np.int32))) for i in range(len(sigmas))]
+        if not a.num_rows or not b.num_rows:
+            sums = np.zeros((len(sigmas), a.num_rows, y.shape[1]))
+        else:
+            sums = kernel_products(matrix(a, "v"), matrix(b, "v"), y, sigmas)
         for k, c in enumerate(("w", *TARGETS)):
             parts = [t.append_column(c, pa.array(sums[i][:, k])) for i, t in enumerate(parts)]
         return pa.concat_tables(parts)
 
     left, right = test.select("fold", "tile", "v"), train.select("fold", "tile", "v", *TARGETS)
-    part = block_pairs(left, right, ("fold",), "tile", work, f"fold {test.schema['fold'].dataType.simpleString()}, tile {test.schema['tile'].dataType.simpleString()}, i int, w double, gamma double, pl0 double")
+    part = block_pairs(left, right, ("fold",), "tile", work, f"fold {test.schema['fold'].dataType.simpleString()}, tile {test.schema['tile'].dataType.simpleString()}, i int, w double, gamma double, pl0 double", PER_BLOCK)
     return part.groupBy("fold", "tile", "i").agg(*[F.sum(c).alias(c) for c in ("w", *TARGETS)])
 
 
@@ -345,19 +386,24 @@ def kernel(a: pa.Table, b: pa.Table, widths: tuple[float, ...]) -> np.ndarray:
     return sum(np.exp(-d2 / (2 * s * s)) for s in widths) / len(widths)
 
 
-def mmd2(rows: DataFrame, side: str = "side", widths: tuple[float, ...] = WIDTHS, unit: str = "tile") -> DataFrame:
+def mmd2(rows: DataFrame, side: str = "side", widths: tuple[float, ...] = WIDTHS, unit: str = "tile", per_block: int = PER_BLOCK) -> DataFrame:
     """Squared mean discrepancy with a mixture of Gaussian kernels, the diagonal included, from all pairs of rows:
-    each is sent once for every block of the other side, so work grows with the square of the rows (`mmd2_blocks` does not).
-    Blocks of rows meet as matrix products and give one sum for each pair of sides.  `unit` tells rows apart."""
+    work grows with the square of the rows (`mmd2_blocks` does not).  Two blocks of rows meet once, as matrix products, and
+    give one sum for each pair of sides.  `unit` tells rows apart."""
 
     def work(a: pa.Table, b: pa.Table) -> pa.Table:
-        k = kernel(a, b, widths)
-        sa, sb = a.column("side").to_numpy(), b.column("side").to_numpy()
-        cells = [(i, j, float(k[np.ix_(sa == i, sb == j)].sum()), int((sa == i).sum() * (sb == j).sum())) for i in (0, 1) for j in (0, 1)]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), (pa.int32(), pa.int32(), pa.float64(), pa.int64()), strict=True)], names=["sa", "sb", "k", "n"])
-
-    own = rows.select(F.lit(0).alias("all"), F.col(side).cast("int").alias("side"), F.col("v").cast("array<double>").alias("v"), F.col(unit).alias("unit"))
-    sums = block_pairs(own, own, ("all",), "unit", work, "sa int, sb int, k double, n long").groupBy("sa", "sb").agg((F.sum("k") / F.sum("n")).alias("k"))
+        cells = []
+        if a.num_rows and b.num_rows:
+            of = [(t.column("side").to_numpy()[:, None] == np.arange(2)).astype(np.float64) for t in (a, b)]
+            k = of[0].T @ kernel_products(matrix(a, "v").astype(np.float64), matrix(b, "v").astype(np.float64), of[1], widths).sum(0) / len(widths)
+            n = of[0].sum(0)[:, None] * of[1].sum(0)[None, :]
+            cells = [(i, j, float(k[i, j]), int(n[i, j])) for i in (0, 1) for j in (0, 1)]
+            if a.column("__a")[0] != a.column("__b")[0]:  # two blocks stand for both orders
+                cells += [(j, i, v, m) for i, j, v, m in cells]
+        return pa.table([pa.array([c[i] for c in cells], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.int64()))], names=["sa", "sb", "k", "n"])
+
+    own = rows.select(F.lit(0).alias("all"), F.col(side).cast("int").alias("side"), "v", F.col(unit).alias("unit"))
+    sums = block_pairs(own, own, ("all",), "unit", work, "sa int, sb int, k double, n long", per_block, once=True).groupBy("sa", "sb").agg((F.sum("k") / F.sum("n")).alias("k"))
     return sums.agg(F.sum(F.when(F.col("sa") == F.col("sb"), F.col("k")).otherwise(-F.col("k"))).alias("mmd2"))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from radiotiles.operators import descriptors, grid, paths, siting, structures
+from radiotiles.operators import descriptors, grid, paths, siting, structures, transfer
 
 RAY = "city string, ray long, tx_lat double, tx_lon double, rx_lat double, rx_lon double, pathloss_db double"
 
@@ -213,3 +213,24 @@ def test_pixels_are_filled_band_by_band(spark, monkeypatch):
         got = {(r.city, r.m, r.z, r.py, r.px): (r.building_height, r.vegetation, r.water) for r in made.collect()}
         assert got == want
     assert max(sent) < 6 * len(rows)  # shapes are sent, by tile and band, and not their pixels
+
+
+def test_blocks_of_kernels_meet_once(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    v, side = rng.normal(0, 0.5, (70, 5)), rng.integers(0, 2, 70)
+    df = spark.createDataFrame([(i, int(side[i]), v[i].tolist()) for i in range(70)], "tile long, side int, v array<double>")
+    d2 = ((v[:, None] - v[None]) ** 2).sum(2)
+    k = sum(np.exp(-d2 / (2 * s * s)) for s in transfer.WIDTHS) / len(transfer.WIDTHS)
+    want = sum((1 if i == j else -1) * k[np.ix_(side == i, side == j)].mean() for i in (0, 1) for j in (0, 1))
+    for per_block in (20, 1000):
+        assert transfer.mmd2(df, per_block=per_block).first()[0] == pytest.approx(want)
+    for s, got in transfer._kernels(d2, transfer.SIGMAS).items():
+        assert got == pytest.approx(np.exp(-d2 / (2 * s * s)), rel=1e-9, abs=1e-300)
+    y = rng.normal(size=(70, 3))
+    monkeypatch.setattr(transfer, "TALL", 16)
+    monkeypatch.setattr(transfer, "WIDE", 9)
+    got = transfer.kernel_products(v, v[:50], y[:50], transfer.SIGMAS)
+    assert all(got[i] == pytest.approx(np.exp(-d2[:, :50] / (2 * s * s)) @ y[:50]) for i, s in enumerate(transfer.SIGMAS))
+    # a fold of 4,000 tiles is one block: a row is sent once, not once for each 2,000 of the other side
+    many = spark.range(4000).select(F.lit("f").alias("fold"), F.col("id").alias("tile"), F.array(F.col("id") / 1000).alias("v"), F.lit(1.0).alias("gamma"), F.lit(2.0).alias("pl0"))
+    assert transfer.PER_BLOCK >= 4000 and transfer.gaussian_predict(many, many, 1.0).agg(F.count("*"), F.max(F.abs(F.col("gamma_pred") - 1))).first() == (4000, pytest.approx(0))
