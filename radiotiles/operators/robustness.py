@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from radiotiles.operators.transfer import masked
+from radiotiles.sources.scratch import stage
 
 KELVIN = 273.15
 
@@ -15,20 +16,25 @@ def climate_features(cube: DataFrame, points: DataFrame, variables: tuple[str, .
 
     `cube`: gi, gj (whole grid steps), time, month and the variables.  `points`: point_id, lat, lon.  A point
     meets the corners of its grid cell by an equi-join and takes their bilinear mean at each time; a time at
-    which a corner with weight is missing does not count.  The means of `kelvin` variables are in Celsius."""
+    which a corner with weight is missing does not count.  The means of `kelvin` variables are in Celsius.  Points at
+    one place share what is worked out for it."""
+    places = points.select("lat", "lon").distinct()
     gi, gj = F.floor(F.col("lat") / step), F.floor(F.col("lon") / step)
     u, v = F.col("lat") / step - gi, F.col("lon") / step - gj
     corner = lambda i, j, w: F.struct((gi + i).alias("gi"), (gj + j).alias("gj"), w.alias("w"))
     corners = F.explode(F.array(corner(0, 0, (1 - u) * (1 - v)), corner(0, 1, (1 - u) * v), corner(1, 0, u * (1 - v)), corner(1, 1, u * v)))
-    weighted = points.select("point_id", corners.alias("c")).select("point_id", "c.*").where("w > 0")
+    weighted = places.select("lat", "lon", corners.alias("c")).select("lat", "lon", "c.*").where("w > 0")
     at = (
         weighted.join(cube, ["gi", "gj"])
-        .groupBy("point_id", "month", "time")
+        .groupBy("lat", "lon", "month", "time")
         .agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(x)).alias(x) for x in variables])
         .where("w > 1 - 1e-9")
     )
     mean = lambda x: F.avg(x) - KELVIN if x in kelvin else F.avg(x)
-    return at.groupBy("point_id", "month").agg(*[c for x in variables for c in (mean(x).alias(f"{x}_mean"), F.stddev_pop(x).alias(f"{x}_std"))])
+    told = at.groupBy("lat", "lon", "month").agg(*[c for x in variables for c in (mean(x).alias(f"{x}_mean"), F.stddev_pop(x).alias(f"{x}_std"))])
+    months = stage(told.select(F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), *[c for c in told.columns if c not in ("lat", "lon")]), "places")
+    own = points.join(months, (F.col("lat") == F.col("p_lat")) & (F.col("lon") == F.col("p_lon")))
+    return own.select("point_id", *months.columns[2:])
 
 
 def hash_normal(*key: Column) -> Column:

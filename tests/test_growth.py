@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from radiotiles.operators import descriptors, grid, paths, siting, structures, transfer
+from radiotiles.operators import descriptors, grid, paths, robustness, siting, structures, transfer
 
 RAY = "city string, ray long, tx_lat double, tx_lon double, rx_lat double, rx_lon double, pathloss_db double"
 
@@ -234,3 +234,14 @@ def test_blocks_of_kernels_meet_once(spark, monkeypatch):
     # a fold of 4,000 tiles is one block: a row is sent once, not once for each 2,000 of the other side
     many = spark.range(4000).select(F.lit("f").alias("fold"), F.col("id").alias("tile"), F.array(F.col("id") / 1000).alias("v"), F.lit(1.0).alias("gamma"), F.lit(2.0).alias("pl0"))
     assert transfer.PER_BLOCK >= 4000 and transfer.gaussian_predict(many, many, 1.0).agg(F.count("*"), F.max(F.abs(F.col("gamma_pred") - 1))).first() == (4000, pytest.approx(0))
+
+
+def test_climate_is_worked_out_by_places(spark, monkeypatch):
+    cube = spark.createDataFrame([(i, j, t, 1 + t % 2, float(10 * i + j + t)) for i in range(3) for j in range(3) for t in range(6)], "gi long, gj long, time long, month long, t2m double")
+    points = spark.createDataFrame([(i, 0.25 + (i % 4) / 4, 0.5) for i in range(40)], "point_id long, lat double, lon double")
+    written = recorded(monkeypatch, robustness)
+    got = {(r.point_id, r.month): (r.t2m_mean, r.t2m_std) for r in robustness.climate_features(cube, points, ("t2m",)).collect()}
+    times = {1: (0, 2, 4), 2: (1, 3, 5)}
+    want = {(i, m): (10 * (0.25 + (i % 4) / 4) + 0.5 + np.mean(t), np.std(t)) for i in range(40) for m, t in times.items()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert written["places"].count() == 4 * 2
