@@ -30,6 +30,10 @@ from radiotiles.sources.scratch import stage
 UNITS = 2.0**30
 #: Trees after which the way over all tasks writes the running predictions, and models that it grows together.
 WRITTEN, TOGETHER = 25, 64
+#: Rows from which two features share a column: eight for each pair of 64 bins.
+PAIRED = 8 * 64**2
+#: Ranges of rows for each model: with a few for each, no two models of like size share a task.
+RANGES = 4
 
 
 @dataclass(frozen=True)
@@ -145,17 +149,112 @@ class Growing:
         return n, np.bincount(cell.ravel(), np.repeat(g[mine], shape[1]), size).reshape(shape)
 
 
+class Columns:
+    """Counts and sums of gradients by bin, of the rows of a task.  With many rows, two features are one column of
+    their pairs of bins, read once for both."""
+
+    def __init__(self, x: np.ndarray, bins: int):
+        self.bins, self.rows, d = bins, len(x), x.shape[1]
+        self.x = np.ascontiguousarray(x.T)
+        self.width = 2 if bins <= 64 and self.rows >= PAIRED else 1
+        self.codes = self.x
+        if self.width == 2:
+            self.codes = self.x[0::2].astype(np.uint16) * bins
+            self.codes[: d // 2] += self.x[1::2]
+        self.cells = bins**self.width
+        self.code, self.cell = np.empty(self.rows, self.codes.dtype), np.empty(self.rows, np.intp)
+        tables = [np.bincount(own, minlength=self.cells) for own in self.codes]
+        self.most = [int(t.max(initial=0)) for t in tables]
+        self.all = np.stack([self.one(tables[f // self.width], f % self.width)[0] for f in range(d)])
+
+    def of(self, feats: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """(column, [(place in `feats`, half)]) of the columns that hold `feats`."""
+        found: dict[int, list[tuple[int, int]]] = {}
+        for i, f in enumerate(feats):
+            found.setdefault(int(f) // self.width, []).append((i, int(f) % self.width))
+        yield from found.items()
+
+    def one(self, table: np.ndarray, half: int) -> np.ndarray:
+        """(parts, bins) of one feature, from the cells of its column."""
+        if self.width == 1:
+            return table.reshape(-1, self.bins)
+        return table.reshape(-1, self.bins, self.bins).sum(2 - half)
+
+    def whole(self, feats: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(features, bins) of all rows."""
+        sums = np.empty((len(feats), self.bins))
+        for c, own in self.of(feats):
+            np.copyto(self.cell, self.codes[c])
+            table = np.bincount(self.cell, g, self.cells)
+            for i, half in own:
+                sums[i] = self.one(table, half)[0]
+        return self.all[feats], sums
+
+    def parts(self, feats: np.ndarray, parts: list[np.ndarray], g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(parts, features, bins), each part the numbers of its rows."""
+        at = np.concatenate(parts)
+        first, own_g = np.repeat(np.arange(len(parts)) * self.cells, [len(p) for p in parts]), g[at]
+        n, sums = (np.empty((len(parts), len(feats), self.bins), t) for t in (np.int64, np.float64))
+        code, cell, size = self.code[: len(at)], self.cell[: len(at)], len(parts) * self.cells
+        largest, both = int(np.abs(own_g).max(initial=0)), {}
+        for c, own in self.of(feats):
+            np.take(self.codes[c], at, out=code, mode="clip")  # checked modes fill a copy first
+            np.add(code, first, out=cell)
+            place = (self.most[c] * largest).bit_length() + 1
+            if (self.most[c] + 1) << place <= 2**53:  # a double holds a cell's rows above its gradients, both exactly
+                if place not in both:
+                    both[place] = own_g + 2.0**place
+                packed = np.bincount(cell, both[place], size)
+                rows = np.rint(packed * 2.0**-place)
+                tables = rows, packed - rows * 2.0**place
+            else:
+                tables = np.bincount(cell, minlength=size), np.bincount(cell, own_g, size)
+            for i, half in own:
+                n[:, i], sums[:, i] = (self.one(t, half) for t in tables)
+        return n, sums
+
+
+def grow_tree(tree: Growing, columns: Columns, g: np.ndarray, now: np.ndarray, unit: float) -> None:
+    """Grow a tree by gradients `g`, and move `now` by its leaves.  Each node keeps the numbers of its rows.  Of the two
+    sides of a split only the smaller is read: what it leaves of the node's whole-number sums is the larger."""
+    depth, least = tree.shape.depth, tree.shape.least_rows
+    rows, found = {0: np.arange(columns.rows)}, {0: columns.whole(tree.feats, g)}
+    for level in range(depth):
+        splits = {i: (best_split(*found[i], least), found[i][0][0].sum(), found[i][1][0].sum()) for i in tree.open}
+        tree.grown(level, splits, unit)
+        small, following, left = [], set(tree.open), {}
+        for i, own in rows.items():
+            at = i + 2**level - 1
+            if i not in splits or tree.feature[at] < 0:
+                now[own] += tree.value[i << (depth - level)]
+                continue
+            right = columns.x[tree.feature[at]].take(own, mode="clip") > tree.bin[at]
+            if not following:  # both sides are leaves, as on the last level
+                now[own] += np.where(right, *(tree.value[k << (depth - level - 1)] for k in (2 * i + 1, 2 * i)))
+                continue
+            left[2 * i], left[2 * i + 1] = own.take(np.flatnonzero(~right)), own.take(np.flatnonzero(right))
+            if following & {2 * i, 2 * i + 1}:
+                small.append(min(2 * i, 2 * i + 1, key=lambda k: len(left[k])))
+        after = {}
+        if small:
+            n, sums = columns.parts(tree.feats, [left[k] for k in small], g)
+            for j, k in enumerate(small):
+                after[k] = n[j], sums[j]
+                after[k ^ 1] = found[k >> 1][0] - n[j], found[k >> 1][1] - sums[j]
+        rows, found = left, after
+        if not rows:
+            break
+
+
 def grow_model(x: np.ndarray, y: np.ndarray, mean: float, most: float, shape: Shape) -> list[Growing]:
     """All trees of a model whose rows are here."""
-    now, unit, out = np.full(len(y), mean), (most or 1.0) / UNITS, []
+    now, unit, out, columns = np.full(len(y), mean), (most or 1.0) / UNITS, [], Columns(x, shape.bins)
+    g = np.empty(len(y))
     for t in range(shape.trees):
-        tree, g = Growing(shape, t, x.shape[1]), np.rint((now - y) / unit)
-        for level in range(shape.depth):
-            if not tree.open:
-                break
-            n, sums = tree.histograms(x, g, tree.place(x, level))
-            tree.grown(level, {node: (best_split(n[i], sums[i], shape.least_rows), n[i, 0].sum(), sums[i, 0].sum()) for i, node in enumerate(tree.open)}, unit)
-        now = now + tree.value[tree.place(x, shape.depth)]
+        tree = Growing(shape, t, x.shape[1])
+        np.subtract(now, y, out=g)
+        np.divide(g, unit, out=g)
+        grow_tree(tree, columns, np.rint(g, out=g), now, unit)
         out.append(tree)
     return out
 
@@ -185,27 +284,28 @@ def boosted_models(tiles: DataFrame, splits: DataFrame, shape: Shape = Shape(),
         known = known.where(F.col(t).isNotNull() & ~F.isnan(t))
     rows = stage(binned(known, edges), "bins")
     stats, d = statistics(rows, splits, roles, targets), len(edges)
-    sizes = stats.agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    sizes = stats.agg(F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("models")).first()
     fold = splits.schema["fold"].dataType.simpleString()
     if (sizes["most"] or 0) * d <= in_task and (sizes["all"] or 0) * d <= all_tasks:
-        return stage(_in_tasks(rows, splits, stats, shape, targets, roles, d, fold), "models"), edges
+        return stage(_in_tasks(rows, splits, stats, sizes["models"], shape, targets, roles, d, fold), "models"), edges
     return _over_tasks(rows, splits, stats, shape, targets, roles, d, fold), edges
 
 
-def _in_tasks(rows: DataFrame, splits: DataFrame, stats: DataFrame, shape: Shape, targets: tuple[str, ...], roles: tuple[str, ...], d: int, fold: str) -> DataFrame:
+def _in_tasks(rows: DataFrame, splits: DataFrame, stats: DataFrame, models: int, shape: Shape, targets: tuple[str, ...], roles: tuple[str, ...], d: int, fold: str) -> DataFrame:
     value = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in targets])).alias("u")
     long = rows.join(splits.where(F.col("role").isin(*roles)).select("fold", "city"), "city").select("fold", "bins", value).select("fold", "bins", "u.*")
+    about = F.broadcast(stats.select("fold", "target", "mean", "most"))  # a row for each fold and target
+    keys = ("fold", "target")
+    dealt = long.join(about, [*keys]).repartitionByRange(RANGES * max(models, 1), *keys)
 
-    def train(own: pa.Table, about: pa.Table) -> pa.Table:
-        s = about.to_pylist()
-        if not s or not own.num_rows:
-            return pa.table([pa.array([], about.schema.field("fold").type), *(pa.array([], t) for t in (pa.string(), pa.float64(), pa.list_(pa.int16()), pa.binary(), pa.list_(pa.float64())))], names=["fold", "target", "mean", "feature", "bin", "value"])
-        trees = grow_model(unpacked(own.column("bins"), d), own.column("y").to_numpy(), s[0]["mean"], s[0]["most"], shape)
+    def train(key: tuple[pa.Scalar, ...], own: pa.Table) -> pa.Table:
+        mean, most = (own.column(c)[0].as_py() for c in ("mean", "most"))
+        trees = grow_model(unpacked(own.column("bins"), d), own.column("y").to_numpy(), mean, most, shape)
         f, b, v = as_arrays(trees)
-        return pa.table([pa.array([s[0]["fold"]], about.schema.field("fold").type), pa.array([s[0]["target"]]), pa.array([s[0]["mean"]]), pa.array([f], pa.list_(pa.int16())), pa.array([b], pa.binary()), pa.array([v], pa.list_(pa.float64()))], names=["fold", "target", "mean", "feature", "bin", "value"])
+        types = [own.schema.field("fold").type, pa.string(), pa.float64(), pa.list_(pa.int16()), pa.binary(), pa.list_(pa.float64())]
+        return pa.table([pa.array([c], t) for c, t in zip((*(k.as_py() for k in key), mean, f, b, v), types, strict=True)], names=["fold", "target", "mean", "feature", "bin", "value"])
 
-    keys = ("fold", "target")
-    return long.groupBy(*keys).cogroup(stats.groupBy(*keys)).applyInArrow(train, f"fold {fold}, {MODEL}")
+    return dealt.groupBy(*keys).applyInArrow(train, f"fold {fold}, {MODEL}")
 
 
 def _over_tasks(rows: DataFrame, splits: DataFrame, stats: DataFrame, shape: Shape, targets: tuple[str, ...], roles: tuple[str, ...], d: int, fold: str) -> DataFrame:

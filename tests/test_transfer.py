@@ -128,6 +128,44 @@ def test_trees_grown_over_all_tasks_are_the_same(spark, monkeypatch):
     assert all(one[k] == other[k] for k in one)
 
 
+@pytest.mark.parametrize("paired", [1, 10**9])
+@pytest.mark.parametrize("copies", [0, 2500])
+def test_models_of_a_task_are_those_of_all_splits(monkeypatch, paired, copies):
+    monkeypatch.setattr(boosting, "PAIRED", paired)
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 12, (400, 5), dtype=np.uint8)
+    x = np.concatenate([x, np.tile(x[:1], (copies, 1))])  # a bin with over 2,048 rows keeps counts and sums apart
+    y = x[:, 0] / 3 - x[:, 3] / 5 + 0.3 * rng.normal(size=len(x))
+    shape = boosting.Shape(trees=6, step=0.3, depth=4, least_rows=15, share=0.6, bins=12)
+    trees = boosting.grow_model(x, y, y.mean(), max(y.max() - y.mean(), y.mean() - y.min()), shape)
+    got = y.mean() + sum(t.value[t.place(x, shape.depth)] for t in trees)
+    assert got == pytest.approx(plain_trees(x, y, shape), abs=1e-9)
+
+
+@pytest.mark.parametrize("rows", [3000, 33_000])
+def test_a_tree_reads_rows_three_times_at_most(monkeypatch, rows):
+    rng, read, count = np.random.default_rng(7), [], np.bincount
+    x = rng.integers(0, 64, (rows, 8), dtype=np.uint8)
+    y = x[:, 0] / 3 + x[:, 1] / 5 + rng.normal(size=rows)
+
+    def counted(cells, *rest, **more):
+        read.append(np.size(cells))
+        return count(cells, *rest, **more)
+
+    monkeypatch.setattr(np, "bincount", counted)
+    shape = boosting.Shape(trees=6)
+    trees = boosting.grow_model(x, y, y.mean(), np.abs(y - y.mean()).max(), shape)
+    assert (trees[-1].feature[15:] >= 0).any()  # it has all its levels
+    columns = 8 if rows < boosting.PAIRED else 4
+    assert sum(read) <= columns * rows * (1 + shape.trees * (1 + (shape.depth - 1) / 2))
+
+
+def test_each_model_has_a_task(spark):
+    tiles, _, sp = in_cities(spark, np.random.default_rng(8), n=200)
+    models, _ = boosting.boosted_models(tiles, sp, boosting.Shape(trees=2, depth=2, least_rows=8, bins=12))
+    assert models.select(F.input_file_name()).distinct().count() == models.count() == 8
+
+
 def test_boosted_trees_beat_the_median(spark):
     tiles, rows, sp = in_cities(spark, np.random.default_rng(3), n=300, noise=0.01)
     shape = boosting.Shape(trees=60, step=0.2, depth=3, least_rows=5)
