@@ -101,7 +101,7 @@ def kernel_sums(test: DataFrame, train: DataFrame, sigmas: tuple[float, ...]) ->
         return pa.concat_tables(parts)
 
     left, right = test.select("fold", "tile", "v"), train.select("fold", "tile", "v", *TARGETS)
-    part = block_pairs(left, right, ("fold",), "tile", work, f"fold {test.schema['fold'].dataType.simpleString()}, tile {test.schema['tile'].dataType.simpleString()}, i int, w double, gamma double, pl0 double", PER_BLOCK)
+    part = block_pairs(left, right, ("fold",), "tile", work, f"fold {test.schema['fold'].dataType.simpleString()}, tile {test.schema['tile'].dataType.simpleString()}, i int, w double, gamma double, pl0 double", per_block=PER_BLOCK)
     return part.groupBy("fold", "tile", "i").agg(*[F.sum(c).alias(c) for c in ("w", *TARGETS)])
 
 
@@ -403,7 +403,7 @@ def mmd2(rows: DataFrame, side: str = "side", widths: tuple[float, ...] = WIDTHS
         return pa.table([pa.array([c[i] for c in cells], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.int64()))], names=["sa", "sb", "k", "n"])
 
     own = rows.select(F.lit(0).alias("all"), F.col(side).cast("int").alias("side"), "v", F.col(unit).alias("unit"))
-    sums = block_pairs(own, own, ("all",), "unit", work, "sa int, sb int, k double, n long", per_block, once=True).groupBy("sa", "sb").agg((F.sum("k") / F.sum("n")).alias("k"))
+    sums = block_pairs(own, own, ("all",), "unit", work, "sa int, sb int, k double, n long", per_block=per_block, once=True).groupBy("sa", "sb").agg((F.sum("k") / F.sum("n")).alias("k"))
     return sums.agg(F.sum(F.when(F.col("sa") == F.col("sb"), F.col("k")).otherwise(-F.col("k"))).alias("mmd2"))
 
 
