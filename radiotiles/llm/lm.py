@@ -15,10 +15,12 @@ whose prior is learned: it is the one with which all contexts together give the
 tokens that Good and Turing's rule expects to be new pairs, (pairs seen once) / N.  Where a pair is absent, the
 filter says so but for under 1 % of the pairs asked for; these add to the mass of the next word.
 
-Up to `max_bits` the filter is sent to all workers, with the exact counts of up to `broadcast_words` words (for the
-base score).  Beyond either bound only the words and pairs that make up a large part of their slice are
-sent (`often` of a slice at most, 2^20 or four a slice in all).  The other words of the texts are dealt to their slices,
-which tell the counts and send the pair on to its own slice, and the logarithms are summed for each row.
+Texts of up to `max_bits` bytes whose filter has up to `max_bits` bits are scored by tasks to which it is sent, with
+the exact counts of up to `broadcast_words` words (for the base score).  Beyond any of these bounds no filter is kept.
+Rows are written in rounds of some millions of tokens, as places in the round's words.  A round sends each of its words
+and pairs once to their slice, which counts them, makes its part of the filter, asks it for all of them and answers each
+round in the order in which it asked.  Words and pairs are sorted by hash, so the answers of a round, by
+slice, are in the order of its own words and pairs, and neither hashes nor sums of rows are sent back.
 
 Empty table: no rows.  Null text: empty, so its end token alone.  A null id counts as the text '' for
 the split.  Repeated rows are counted and scored as often as they occur.  Without training rows
@@ -32,17 +34,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radiotiles.llm.common import gram_hashes, hashed_words, learned_from, mix, signed, slices, stage
+from radiotiles.llm.common import gram_hashes, hashed_words, learned_from, mix, slices, stage
 
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x2545F4914F6CDD1D)
 STEP, BITS_EACH, LEVELS = 1.5, 12, 64
 PAIR = np.uint64(0x632BE59BD9B4E019)
 #: Slices of the hash range at least, and bytes of text for each.
-LEAST_SLICES, SLICE_BYTES = 4096, 256 << 20
+LEAST_SLICES, SLICE_BYTES = 4096, 64 << 20
 
 
 def flat_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,14 +78,16 @@ def slice_of(keys: np.ndarray, n_slices: int) -> np.ndarray:
     return (keys >> np.uint64(65 - n_slices.bit_length())).astype(np.int64)
 
 
-def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their n."""
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the sums of their n, and the place of each key among them."""
     if not len(keys):
-        return keys, n
+        return keys, n, np.empty(0, np.int64)
     order = np.argsort(keys, kind="stable")
     keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.add.reduceat(n, first)
+    first = np.append(True, keys[1:] != keys[:-1])
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(first) - 1
+    return keys[first], np.add.reduceat(n, np.flatnonzero(first)), at
 
 
 # ---- the filter: an n-gram at a level sets four bits in each of two 64-bit words of its slice ----
@@ -186,7 +190,25 @@ def looked_up(keys: np.ndarray, table: tuple[np.ndarray, ...]) -> tuple[np.ndarr
     return i, table[0][i] == keys
 
 
-COUNTED = "slice int, words binary, word_n binary, once binary, more binary, more_n binary"
+COUNTED = "slice int, round long, words binary, word_n binary, once binary, more binary, more_n binary"
+
+
+def dealt(round_: int, words: np.ndarray, word_n: np.ndarray, grams: np.ndarray, gram_n: np.ndarray, n_slices: int) -> pa.RecordBatch:
+    """Sorted words and pairs with their counts, packed by slice: a row of COUNTED for each that has any."""
+    once, bounds = gram_n == 1, np.arange(1, n_slices).astype(np.uint64) << np.uint64(65 - n_slices.bit_length())
+    own = np.union1d(slice_of(words, n_slices), slice_of(grams, n_slices))
+
+    def packed(keys: np.ndarray, values: np.ndarray) -> pa.Array:
+        edges = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
+        offsets = np.append(edges[own], edges[own[-1] + 1]) * values.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+    columns = [(words, words), (words, word_n.astype(np.uint32)), (grams[once], grams[once]), (grams[~once], grams[~once]), (grams[~once], gram_n[~once].astype(np.uint32))]
+    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(np.full(len(own), round_)), *(packed(k, x) for k, x in columns)], names=names_of(COUNTED))
+
+
+def names_of(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 def counted(docs: DataFrame, n_slices: int) -> DataFrame:
@@ -196,21 +218,10 @@ def counted(docs: DataFrame, n_slices: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        bounds = np.arange(1, n_slices).astype(np.uint64) << np.uint64(65 - n_slices.bit_length())
-
-        def told() -> Iterator[pa.RecordBatch]:
-            words, word_n = np.unique(np.concatenate([x[0] for x in held]), return_counts=True)
-            grams, gram_n = np.unique(np.concatenate([x[1] for x in held]), return_counts=True)
-            more = gram_n > 1
-            own = np.union1d(slice_of(words, n_slices), slice_of(grams, n_slices))
-
-            def packed(keys: np.ndarray, values: np.ndarray) -> pa.Array:
-                edges = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
-                offsets = np.append(edges[own], edges[own[-1] + 1]) * values.itemsize
-                return pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
-            columns = [(words, words), (words, word_n.astype(np.uint32)), (grams[~more], grams[~more]), (grams[more], grams[more]), (grams[more], gram_n[more].astype(np.uint32))]
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(packed(k, x) for k, x in columns)], names=[x.split()[0] for x in COUNTED.split(", ")])
+        def told() -> pa.RecordBatch:
+            words, grams = (np.unique(np.concatenate(x), return_counts=True) for x in zip(*held, strict=True))
+            return dealt(0, *words, *grams, n_slices)
 
         for batch in batches:
             for some in slices(batch, "text"):
@@ -218,55 +229,71 @@ def counted(docs: DataFrame, n_slices: int) -> DataFrame:
                 held.append((flat, pairs(flat, sizes)[1]))
                 size += len(flat) * 2
                 if size > 6_000_000:
-                    yield from told()
+                    yield told()
                     held.clear()
                     size = 0
         if held:
-            yield from told()
+            yield told()
 
     return docs.select("text").mapInArrow(count, COUNTED)
 
 
-MERGED = "slice int, bits binary, words binary, word_n binary, often_words binary, often_word_n binary, often_word_lev binary, often_pairs binary, often_pair_lev binary, word_counts array<long>, word_sums array<long>, pair_counts array<long>, pair_sums array<long>"
+MERGED = "round long, slice int, bits binary, words binary, word_n binary, word_lev binary, once_lev binary, more_lev binary, word_counts array<long>, word_sums array<long>, pair_counts array<long>, pair_sums array<long>"
 
 
-def merged(parts: DataFrame, often: int) -> DataFrame:
-    """One row for each slice: its filter, its words with counts, and the words and pairs that make up over 1 / `often`
-    of it, with the levels that the filter tells of them; numbers and sums by level (without the begin mark)."""
-    names = [x.split()[0] for x in MERGED.split(", ")]
+def merged(parts: DataFrame, answer: bool) -> DataFrame:
+    """One row for each slice, without a round: numbers and sums of counts by level (without the begin mark).  It has
+    the slice's filter and its words with counts; with `answer` these stay out, and each round gets a row:
+    the counts of its words, and the levels that the filter tells of its words, its pairs seen once and its others."""
+    names = names_of(MERGED)
+    kinds = [pa.int64(), pa.int32()] + [pa.binary()] * 6 + [pa.list_(pa.int64())] * 4
 
-    def numbers(counts: np.ndarray, levels: np.ndarray) -> list[list[int]]:
-        return [np.bincount(levels, minlength=LEVELS).tolist(), np.bincount(levels, counts, LEVELS).astype(np.int64).tolist()]
+    def batch(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(rows, kind)) for name, kind in zip(names, kinds, strict=True)], names=names)
 
-    def one(s: int, held: list[list[bytes]]) -> pa.RecordBatch:
-        words, word_n, once, more, more_n = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held, strict=True), (np.uint64, np.uint32, np.uint64, np.uint64, np.uint32), strict=True))
-        words, word_n = summed(words, word_n.astype(np.int64))
-        grams, gram_n = summed(np.concatenate([once, more]), np.concatenate([np.ones(len(once), np.int64), more_n.astype(np.int64)]))
-        word_lev, gram_lev = level(word_n), level(gram_n)
-        bits = fill(np.concatenate([words, grams]), np.concatenate([word_lev, gram_lev]))
-        own, real = Filter(bits, np.array([0, len(bits)])), words != BEGIN
-        w, g = (word_n * often > word_n.sum()) | ~real, gram_n * often > gram_n.sum()
-        blobs = [bits, words, word_n, words[w], word_n[w], own.levels(words[w]), grams[g], own.levels(grams[g])]
-        row = [s, *(np.ascontiguousarray(b).tobytes() for b in blobs), *numbers(word_n[real], word_lev[real]), *numbers(gram_n, gram_lev)]
-        types = [pa.int32()] + [pa.binary()] * 8 + [pa.list_(pa.int64())] * 4
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
+    def numbers(counts: np.ndarray, levels: np.ndarray) -> list[pa.Array]:
+        return [pa.array([np.bincount(levels, minlength=LEVELS).tolist()], kinds[-1]), pa.array([np.bincount(levels, counts, LEVELS).astype(np.int64).tolist()], kinds[-1])]
+
+    def one(s: int, held: list[list]) -> Iterator[pa.RecordBatch]:
+        rounds, *blobs = zip(*held, strict=True)
+        words, word_n, once, more, more_n = (np.frombuffer(b"".join(x), t) for x, t in zip(blobs, (np.uint64, np.uint32, np.uint64, np.uint64, np.uint32), strict=True))
+        words, word_n, word_at = summed(words, word_n.astype(np.int64))
+        grams, gram_n, gram_at = summed(np.concatenate([once, more]), np.concatenate([np.ones(len(once), np.int64), more_n.astype(np.int64)]))
+        w, g = word_n > 0, gram_n > 0  # held-out rows ask for words and pairs that no other row has
+        word_lev, gram_lev = level(word_n[w]), level(gram_n[g])
+        bits = fill(np.concatenate([words[w], grams[g]]), np.concatenate([word_lev, gram_lev]))
+        real = words[w] != BEGIN
+        sums = dict(zip(names[-4:], numbers(word_n[w][real], word_lev[real]) + numbers(gram_n[g], gram_lev), strict=True))
+        filled = {} if answer else {k: pa.array([x.tobytes()], pa.binary()) for k, x in (("bits", bits), ("words", words), ("word_n", word_n))}
+        yield batch(1, slice=pa.array([s], kinds[1]), **filled, **sums)
+        if answer:
+            own = Filter(bits, np.array([0, len(bits)]))
+            word_said, gram_said = (own.levels(x).astype(np.uint8)[at] for x, at in ((words, word_at), (grams, gram_at)))
+
+            def packed(values: np.ndarray, of: tuple[bytes, ...]) -> pa.Array:
+                """What is said of the hashes that each round sent."""
+                offsets = np.cumsum([0, *map(len, of)]) // 8 * values.itemsize
+                return pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+            said = {"word_n": packed(word_n[word_at], blobs[0]), "word_lev": packed(word_said, blobs[0]), "once_lev": packed(gram_said[: len(once)], blobs[2]), "more_lev": packed(gram_said[len(once) :], blobs[3])}
+            yield batch(len(rounds), round=pa.array(rounds, kinds[0]), slice=pa.array([s] * len(rounds), kinds[1]), **said)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
-        for s, some in by_slice(batches):
+        for s, some in runs(batches):
             if s != now and held:
-                yield one(now, held)
+                yield from one(now, held)
                 held = []
             now = s
-            held += [list(x) for x in zip(*(some.column(k).to_pylist() for k in range(1, 6)), strict=True)]
+            held += [list(x) for x in zip(*(some.column(k).to_pylist() for k in range(1, 7)), strict=True)]
         if held:
-            yield one(now, held)
+            yield from one(now, held)
 
     return parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, MERGED)
 
 
-def by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Runs of equal slice (the first column) in batches that come sorted by it."""
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Runs of equal whole numbers in the first column of batches that come sorted by it."""
     for batch in batches:
         s = batch.column(0).to_numpy()
         edges = [0, *(np.flatnonzero(np.diff(s)) + 1).tolist(), len(s)]
@@ -289,94 +316,142 @@ def made_filter(table: DataFrame, n_slices: int) -> Filter:
     return Filter(np.concatenate(each), np.cumsum([0, *map(len, each)]))
 
 
-# ---- beyond the bounds: words and pairs dealt to their slices ----
+# ---- beyond the bounds: rounds of rows, whose words and pairs are counted and answered by their slices ----
 
-ASKED = "slice int, key long, row long, times long, own int, pair long, score double, base double, known long, copies long, kind int"
-SUMS = ("score", "base", "known", "copies")
+#: Tokens of a round, and the bytes from which a row group of rounds is written (each is a row of some megabytes).
+ROUND, ROUND_FILE = 2_000_000, {"parquet.block.size": 32 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+ROUNDS = "round long, ids array<long>, held array<boolean>, sizes array<long>, hashes binary, places binary"
 
 
-def asks(kind: int, n: int, slice_: np.ndarray | None = None, key: np.ndarray | None = None, row: np.ndarray | None = None, times: np.ndarray | None = None, own: np.ndarray | None = None, pair: np.ndarray | None = None, **sums: np.ndarray) -> pa.RecordBatch:
-    """Rows of ASKED.  kind 0: what is known of a row's sums; 1: a word for its slice, with its pair; 2: a pair for its slice."""
-    zero = np.zeros(n, np.int64)
-    pick = lambda x, t: (zero if x is None else x).astype(t)
-    whole = lambda x: zero if x is None else x if x.dtype == np.int64 else x.view(np.int64)
-    columns = [pick(slice_, np.int32), whole(key), whole(row), pick(times, np.int64), pick(own, np.int32), whole(pair), pick(sums.get("score"), np.float64), pick(sums.get("base"), np.float64), pick(sums.get("known"), np.int64), pick(sums.get("copies"), np.int64), np.full(n, kind, np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in ASKED.split(", ")])
+def rounds(rows: DataFrame) -> DataFrame:
+    """`rows` (doc_id, text, held_out) in rounds: hashes of their words, the most frequent first, and the place among these of
+    each token, by bytes (the lowest byte of all places first) as they compress better so."""
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, told, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
 
-def dealt_sums(rows: DataFrame, table: DataFrame, n_slices: int, model: Model, often: Broadcast) -> DataFrame:
-    """(row, score, base, known) of the distinct `row`s (their id and text's hash)."""
+        def one() -> pa.RecordBatch:
+            flat, sizes = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            words, back, n = np.unique(flat, return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            planes = np.ascontiguousarray(place[back].view(np.uint8).reshape(-1, 4).T)
+            listed = [pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), x) for x in (*(pa.concat_arrays([y[k] for y in held]) for k in (2, 3)), pa.array(sizes))]
+            blobs = [pa.array([x], pa.binary()) for x in (words[order].tobytes(), pa.compress(planes, "zstd", asbytes=True))]
+            return pa.RecordBatch.from_arrays([pa.array([first + told]), *listed, *blobs], names=names_of(ROUNDS))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_often, pairs_often = often.value
-        for whole_batch in batches:
-            for batch in slices(whole_batch, "text"):
-                flat, sizes = flat_tokens(batch.column(1))
-                at, grams = pairs(flat, sizes)
-                row = np.repeat(batch.column(0).to_numpy(), sizes)
-                i, has = looked_up(flat, words_often)
-                n = np.where(has, words_often[1][i] if len(words_often[1]) else 0, 0)
-                lev = np.where(has, words_often[2][i] if len(words_often[2]) else 0, 0)
-                own, before = has[at], (has | (flat == BEGIN))[at - 1]
-                j, paired = looked_up(grams, pairs_often)
-                glev = np.where(paired, pairs_often[1][j] if len(pairs_often[1]) else 0, 0)
-                base = np.where(own, np.log10(model.unigram(n[at])), 0)
-                score = np.where(own & paired, model.pair_log10(glev, lev[at]), 0) - np.where(before, model.context_log10(lev[at - 1]), 0)
-                first = np.cumsum(sizes) - sizes
-                yield asks(0, batch.num_rows, row=batch.column(0).to_numpy(), score=np.add.reduceat(score, first), base=np.add.reduceat(base, first), known=np.add.reduceat((own & (n[at] > 0)).astype(np.int64), first), copies=np.ones(batch.num_rows, np.int64))
-                for kind, ask in ((1, ~own), (2, own & ~paired)):
-                    of = np.flatnonzero(ask)
-                    if not len(of):
-                        continue
-                    # the same pair of the same row is asked for once
-                    _, one, times = np.unique(mix(grams[of]) ^ row[of].view(np.uint64), return_index=True, return_counts=True)
-                    of = of[one]
-                    key = flat[at][of] if kind == 1 else grams[of]
-                    for a in range(0, len(of), 200_000):
-                        p = slice(a, a + 200_000)
-                        yield asks(kind, len(of[p]), slice_of(key[p], n_slices), key[p], row[of[p]], times[p], lev[at][of[p]], grams[of[p]])
-
-    def probe(kind: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """A slice's own row comes before those that ask."""
-            now, filt, words = None, None, None
-            for s, some in by_slice(batches):
-                if s != now:
-                    now, filt, words = s, Filter(np.empty(0, np.uint64), np.zeros(2, np.int64)), (np.empty(0, np.uint64), np.empty(0, np.int64))
-                bits = some.column(some.schema.get_field_index("bits"))
-                if (k := len(bits) - bits.null_count) > 0:
-                    filt = Filter(np.frombuffer(bits[0].as_py(), np.uint64), np.array([0, len(bits[0].as_py()) // 8]))
-                    words = tuple(np.frombuffer(some.column(some.schema.get_field_index(c))[0].as_py(), t) for c, t in (("words", np.uint64), ("word_n", np.int64)))
-                    some = some.slice(k)
-                if not some.num_rows:
-                    continue
-                get = lambda c: some.column(some.schema.get_field_index(c)).to_numpy()  # noqa: B023, E731
-                key, times, row = get("key").view(np.uint64), get("times"), get("row")
-                found, back = np.unique(key, return_inverse=True)
-                lev = filt.levels(found)[back]
-                if kind == 2:
-                    yield asks(0, len(key), row=row, score=times * model.pair_log10(lev, get("own")))
-                    continue
-                i, has = looked_up(key, words)
-                n = np.where(has, words[1][i] if len(words[1]) else 0, 0)
-                inner = key != END  # a word is the context of the token after it
-                yield asks(0, len(key), row=row, score=-np.where(inner, times * model.context_log10(lev), 0), base=times * np.log10(model.unigram(n)), known=times * (n > 0))
-                pair = get("pair").view(np.uint64)
-                yield asks(2, len(key), slice_of(pair, n_slices), pair, row, times, lev, pair)
-
-        return run
-
-    own = table.select("slice", "bits", "words", "word_n")
-
-    def met(some: DataFrame, kind: int) -> DataFrame:
-        both = own.unionByName(some.where(F.col("kind") == kind), allowMissingColumns=True).repartition("slice")
-        return both.sortWithinPartitions("slice", F.col("bits").isNull()).mapInArrow(probe(kind), ASKED)
-
-    first = stage(rows.select("row", "text").mapInArrow(deal, ASKED), "asked")
-    second = stage(met(first, 1), "answered")
-    third = met(first.unionByName(second), 2)
-    every = first.unionByName(second).unionByName(third).where("kind = 0")
-    return every.groupBy(F.col("row").alias("of")).agg(*(F.sum(c).alias(c) for c in SUMS))
+        for batch in batches:
+            for some in slices(batch, "text"):
+                held.append((*flat_tokens(some.column(1)), some.column(0), some.column(2)))
+                size += len(held[-1][0])
+                if size >= ROUND:
+                    yield one()
+                    told, held, size = told + 1, [], 0
+        if held:
+            yield one()
+
+    return rows.select("doc_id", "text", "held_out").mapInArrow(read, ROUNDS)
+
+
+@dataclass(frozen=True)
+class Round:
+    """The rows of a round with their sorted distinct words and pairs, their counts in training rows, and the places of the
+    tokens' (with the begin marks for words) among them."""
+
+    ids: pa.Array
+    held: pa.Array
+    sizes: np.ndarray
+    words: np.ndarray
+    word_n: np.ndarray
+    word_at: np.ndarray
+    tokens: np.ndarray  # where the words are that are tokens
+    grams: np.ndarray
+    gram_n: np.ndarray
+    gram_at: np.ndarray
+
+
+def opened(row: pa.RecordBatch) -> Round:
+    """The round of a row of ROUNDS."""
+    ids, held, sizes, hashes, places = (row.column(row.schema.get_field_index(c)) for c in names_of(ROUNDS)[1:])
+    ids, held, sizes = (x.flatten() for x in (ids, held, sizes))
+    sizes, hashes = sizes.to_numpy(), np.frombuffer(hashes[0].as_py(), np.uint64)
+    n_flat = int(sizes.sum()) + len(sizes)
+    planes = np.frombuffer(pa.decompress(places[0].as_buffer(), 4 * n_flat, "zstd"), np.uint8)
+    place = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+    order = np.argsort(hashes)
+    sorted_place = np.empty(len(order), np.int32)
+    sorted_place[order] = np.arange(len(order), dtype=np.int32)
+    flat, word_at = hashes[place], sorted_place[place]
+    at, keys = pairs(flat, sizes)
+    grams, gram_at = np.unique(keys, return_inverse=True)
+    train = ~held.to_numpy(zero_copy_only=False)
+    word_n = np.bincount(word_at[np.repeat(train, sizes + 1)], minlength=len(hashes))
+    gram_n = np.bincount(gram_at[np.repeat(train, sizes)], minlength=len(grams))
+    return Round(ids, held, sizes, hashes[order], word_n, word_at, at, grams, gram_n, gram_at.astype(np.int32))
+
+
+def asked(kept: DataFrame, n_slices: int) -> DataFrame:
+    """As `counted`, of rounds: words and pairs of held-out rows too, with the counts of training rows, which may be 0."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = opened(batch.slice(k, 1))
+                yield dealt(batch.column(0)[k].as_py(), r.words, r.word_n, r.grams, r.gram_n, n_slices)
+
+    return kept.mapInArrow(ask, COUNTED)
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def answered(kept: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
+    """SCORED for every row of the rounds, from the answers to them."""
+    said = {"word_n": np.int64, "word_lev": np.uint8, "once_lev": np.uint8, "more_lev": np.uint8}
+
+    def one(row: pa.RecordBatch, held: dict[str, list[bytes]]) -> pa.RecordBatch:
+        r = opened(row)
+        n, lev, once_lev, more_lev = (np.frombuffer(b"".join(held[c]), t) for c, t in said.items())
+        once = r.gram_n == 1
+        if (len(n), len(lev), len(once_lev), len(more_lev)) != (len(r.words), len(r.words), once.sum(), (~once).sum()):
+            raise ValueError("answers are missing")
+        gram_lev = np.empty(len(once), np.uint8)
+        gram_lev[once], gram_lev[~once] = once_lev, more_lev
+        own, before = r.word_at[r.tokens], r.word_at[r.tokens - 1]
+        p = model.pair_log10(gram_lev[r.gram_at], lev[own]) - model.context_log10(lev)[before]
+        first = np.cumsum(r.sizes) - r.sizes
+        known, base = (n > 0).astype(np.int64)[own], np.log10(model.unigram(n))[own]
+        return pa.RecordBatch.from_arrays([r.ids, r.held, pa.array(r.sizes), *(pa.array(np.add.reduceat(x, first)) for x in (known, base, p))], names=names_of(SCORED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A round's own row comes before the answers to it, which come by slice."""
+        now, row, held = None, None, {}
+        for r, some in runs(batches):
+            if r != now:
+                if row is not None:
+                    yield one(row, held)
+                now, row, held, some = r, some.slice(0, 1), {c: [] for c in said}, some.slice(1)
+            for c in said:
+                held[c] += some.column(some.schema.get_field_index(c)).to_pylist()
+        if row is not None:
+            yield one(row, held)
+
+    both = kept.withColumn("slice", F.lit(-1)).unionByName(answers.select("round", "slice", *said), allowMissingColumns=True)
+    return both.repartition("round").sortWithinPartitions("round", "slice").mapInArrow(run, SCORED)
+
+
+def learned(table: DataFrame, prior: float | None) -> Model:
+    """The model of the counts of all slices."""
+    by_level = table.where("round IS NULL").select(F.posexplode(F.arrays_zip("word_counts", "word_sums", "pair_counts", "pair_sums"))).groupBy("pos")
+    sums = np.zeros((4, LEVELS))
+    for r in by_level.agg(*(F.sum(f"col.{c}") for c in ("word_counts", "word_sums", "pair_counts", "pair_sums"))).collect():
+        sums[:, r[0]] = r[1:]
+    n, v = int(sums[1].sum()), int(sums[0].sum())
+    values = np.divide(sums[1::2], sums[::2], out=np.zeros((2, LEVELS)), where=sums[::2] > 0)
+    middle = STEP ** np.arange(0.0, LEVELS) * np.append(0, np.ones(LEVELS - 1))  # of levels that only false answers give
+    values = np.where(values > 0, values, middle)
+    return Model(n, v, learned_prior(n, sums[0], sums[1], int(sums[2][1])) if prior is None else prior, *values)
 
 
 def score(docs: DataFrame, modulus: int = 10, max_bits: int = 1 << 30, broadcast_words: int = 8_000_000, prior: float | None = None) -> DataFrame:
@@ -387,54 +462,39 @@ def score(docs: DataFrame, modulus: int = 10, max_bits: int = 1 << 30, broadcast
     n_slices = LEAST_SLICES
     while n_slices * SLICE_BYTES < n_bytes:
         n_slices *= 2
-    table = stage(merged(counted(rows.where(~F.col("held_out")), n_slices), max(4, (1 << 20) // n_slices)), "slices")
 
-    by_level = table.select(F.posexplode(F.arrays_zip("word_counts", "word_sums", "pair_counts", "pair_sums"))).groupBy("pos")
-    sums = np.zeros((4, LEVELS))
-    for r in by_level.agg(*(F.sum(f"col.{c}") for c in ("word_counts", "word_sums", "pair_counts", "pair_sums"))).collect():
-        sums[:, r[0]] = r[1:]
-    n, v = int(sums[1].sum()), int(sums[0].sum())
-    values = np.divide(sums[1::2], sums[::2], out=np.zeros((2, LEVELS)), where=sums[::2] > 0)
-    middle = STEP ** np.arange(0.0, LEVELS) * np.append(0, np.ones(LEVELS - 1))  # of levels that only false answers give
-    values = np.where(values > 0, values, middle)
-    model = Model(n, v, learned_prior(n, sums[0], sums[1], int(sums[2][1])) if prior is None else prior, *values)
-    bits = table.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
-
-    columns = ("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
-    if bits * 8 <= max_bits and v <= broadcast_words:
-        sent = spark.sparkContext.broadcast((made_filter(table, n_slices), gathered(table.select("slice", "words", "word_n"), np.uint64, np.int64)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filt, exact = sent.value
-            for whole_batch in batches:
-                for batch in slices(whole_batch, "text"):
-                    flat, sizes = flat_tokens(batch.column(1))
-                    at, grams = pairs(flat, sizes)
-                    words, back = np.unique(flat, return_inverse=True)
-                    i, has = looked_up(words, exact)
-                    n = np.where(has, exact[1][i] if len(exact[1]) else 0, 0)
-                    lev = filt.levels(words)
-                    own = np.log10(model.unigram(n))[back[at]]
-                    p = model.pair_log10(filt.levels(grams), lev[back[at]]) - model.context_log10(lev)[back[at - 1]]
-                    first = np.cumsum(sizes) - sizes
-                    known = np.add.reduceat((n > 0).astype(np.int64)[back[at]], first)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes), pa.array(known), pa.array(np.add.reduceat(own, first)), pa.array(np.add.reduceat(p, first))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-        return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double").select(*columns)
-
-    often = spark.sparkContext.broadcast((
-        gathered(table.select("slice", "often_words", "often_word_n", "often_word_lev"), np.uint64, np.int64, np.int64),
-        gathered(table.select("slice", "often_pairs", "often_pair_lev"), np.uint64, np.int64),
-    ))
-
-    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), some.column(3), pa.array(np.diff(hashed_words(some.column(1))[1]) + 1)], names=["doc_id", "held_out", "row", "n_tokens"])
-
-    keyed = rows.select("doc_id", "text", "held_out", F.xxhash64("doc_id", "text").alias("row"))
-    found = dealt_sums(keyed, table, n_slices, model, often)
-    told = keyed.mapInArrow(lengths, "doc_id long, held_out boolean, row long, n_tokens long").join(found, F.col("row") == F.col("of"))
-    each = {c: (F.col(c) / F.col("copies")).alias(name) for c, name in (("base", "base_score"), ("score", "score"))}
-    known = (F.col("known") / F.col("copies")).cast("long").alias("n_known")
-    return told.select("doc_id", "held_out", "n_tokens", known, columns[4], each["base"], each["score"])
+    def told(found: DataFrame, model: Model) -> DataFrame:
+        return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+    if n_bytes <= max_bits:
+        table = stage(merged(counted(rows.where(~F.col("held_out")), n_slices), answer=False), "slices")
+        model, bits = learned(table, prior), table.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
+        if bits * 8 <= max_bits and model.v <= broadcast_words:
+            return told(sent_scores(rows, table, n_slices, model), model)
+    kept = stage(rounds(rows), "rounds", **ROUND_FILE)
+    table = stage(merged(asked(kept, n_slices), answer=True), "answers")
+    model = learned(table, prior)
+    return told(answered(kept, table.where("round IS NOT NULL"), model), model)
+
+
+def sent_scores(rows: DataFrame, table: DataFrame, n_slices: int, model: Model) -> DataFrame:
+    """SCORED for every row, by the whole filter in each worker."""
+    sent = rows.sparkSession.sparkContext.broadcast((made_filter(table, n_slices), gathered(table.select("slice", "words", "word_n"), np.uint64, np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filt, exact = sent.value
+        for whole_batch in batches:
+            for batch in slices(whole_batch, "text"):
+                flat, sizes = flat_tokens(batch.column(1))
+                at, grams = pairs(flat, sizes)
+                words, back = np.unique(flat, return_inverse=True)
+                i, has = looked_up(words, exact)
+                n = np.where(has, exact[1][i] if len(exact[1]) else 0, 0)
+                lev = filt.levels(words)
+                own = np.log10(model.unigram(n))[back[at]]
+                p = model.pair_log10(filt.levels(grams), lev[back[at]]) - model.context_log10(lev)[back[at - 1]]
+                first = np.cumsum(sizes) - sizes
+                known = np.add.reduceat((n > 0).astype(np.int64)[back[at]], first)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes), pa.array(known), pa.array(np.add.reduceat(own, first)), pa.array(np.add.reduceat(p, first))], names=names_of(SCORED))
+
+    return rows.mapInArrow(run, SCORED)

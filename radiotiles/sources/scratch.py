@@ -25,9 +25,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, **options: int) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here, and a lost executor
-    costs a re-read, not a recomputation."""
+    costs a re-read, not a recomputation.  `options` are those of the Parquet writer."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -286,6 +287,32 @@ def test_lm_dealt_scores_are_those_of_the_filter_sent(spark, monkeypatch, how):
         assert told(**how) == told()
 
 
+def test_lm_rounds_take_little_disk(spark, data, monkeypatch):
+    """Beyond the bounds a token is not a row: what is written on the way is under twice the input, and scores are the same."""
+    path = data.replace("0.001", "0.01") + "/documents.parquet"
+    docs = spark.read.parquet(path)
+    told = lambda **k: {r["doc_id"]: tuple(r) for r in lm.score(docs, **k).collect()}
+    monkeypatch.setattr(lm, "LEAST_SLICES", 16)
+    monkeypatch.setattr(lm, "ROUND", 100_000, raising=False)
+    want, written, plain = told(), [], lm.stage
+
+    def stage(df, name, **options):
+        out = plain(df, name, **options)
+        written.extend(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(lm, "stage", stage)
+    got = told(max_bits=0)
+    assert sum(written) < 2 * os.path.getsize(path)
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want)
+
+
+def test_lm_rounds_of_odd_tables(spark, odd, none):
+    told = lambda df, bits: Counter((*r[:5], round(r["base_score"], 6), round(r["score"], 6)) for r in lm.score(df, max_bits=bits).collect())
+    assert told(odd, 0) == told(odd, 1 << 30)
+    assert not told(none, -1)
+
+
 def test_bloom_counts():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 4000).astype(np.uint64) * np.uint64(2))
     counts = np.random.default_rng(2).zipf(1.6, len(keys)).clip(1, 10**6)
