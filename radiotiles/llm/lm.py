@@ -15,8 +15,8 @@ whose prior is learned: it is the one with which all contexts together give the
 tokens that Good and Turing's rule expects to be new pairs, (pairs seen once) / N.  Where a pair is absent, the
 filter says so but for under 1 % of the pairs asked for; these add to the mass of the next word.
 
-Texts of up to `max_bits` bytes whose filter has up to `max_bits` bits are scored by tasks to which it is sent, with
-the exact counts of up to `broadcast_words` words (for the base score).  Beyond any of these bounds no filter is kept.
+Texts of up to `max_bits` bits whose filter has no more are scored by tasks to which it is sent, with the exact counts
+of up to `broadcast_words` words (for the base score).  Beyond any of these bounds no filter is kept.
 Rows are written in rounds of some millions of tokens, as places in the round's words.  A round sends each of its words
 and pairs once to their slice, which counts them, makes its part of the filter, asks it for all of them and answers each
 round in the order in which it asked.  Words and pairs are sorted by hash, so the answers of a round, by
@@ -78,6 +78,23 @@ def slice_of(keys: np.ndarray, n_slices: int) -> np.ndarray:
     return (keys >> np.uint64(65 - n_slices.bit_length())).astype(np.int64)
 
 
+def sent_bytes(n_slices: int) -> int:
+    """Bytes of a hash that its slice is sent: the highest follows from the slice where there are 256 or more."""
+    return 8 - (n_slices >= 256)
+
+
+def shortened(keys: np.ndarray, n_slices: int) -> np.ndarray:
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, : sent_bytes(n_slices)]
+
+
+def lengthened(sent: bytes, s: int, n_slices: int) -> np.ndarray:
+    """The hashes of slice `s` that were shortened."""
+    width = sent_bytes(n_slices)
+    keys = np.full((len(sent) // width, 8), s * 256 // n_slices, np.uint8)
+    keys[:, :width] = np.frombuffer(sent, np.uint8).reshape(-1, width)
+    return keys.view(np.uint64).ravel()
+
+
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, the sums of their n, and the place of each key among them."""
     if not len(keys):
@@ -200,10 +217,10 @@ def dealt(round_: int, words: np.ndarray, word_n: np.ndarray, grams: np.ndarray,
 
     def packed(keys: np.ndarray, values: np.ndarray) -> pa.Array:
         edges = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
-        offsets = np.append(edges[own], edges[own[-1] + 1]) * values.itemsize
+        offsets = np.append(edges[own], edges[own[-1] + 1]) * values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
         return pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
-    columns = [(words, words), (words, word_n.astype(np.uint32)), (grams[once], grams[once]), (grams[~once], grams[~once]), (grams[~once], gram_n[~once].astype(np.uint32))]
+    columns = [(words, shortened(words, n_slices)), (words, word_n.astype(np.uint32)), *((x, shortened(x, n_slices)) for x in (grams[once], grams[~once])), (grams[~once], gram_n[~once].astype(np.uint32))]
     return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(np.full(len(own), round_)), *(packed(k, x) for k, x in columns)], names=names_of(COUNTED))
 
 
@@ -213,7 +230,7 @@ def names_of(schema: str) -> list[str]:
 
 def counted(docs: DataFrame, n_slices: int) -> DataFrame:
     """Counts of words (the begin mark too) and pairs as their tasks saw them: a row for each slice and round, with
-    64-bit hashes and 32-bit counts packed; pairs seen once without a count."""
+    hashes (`shortened`) and 32-bit counts packed; pairs seen once without a count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -241,7 +258,7 @@ def counted(docs: DataFrame, n_slices: int) -> DataFrame:
 MERGED = "round long, slice int, bits binary, words binary, word_n binary, word_lev binary, once_lev binary, more_lev binary, word_counts array<long>, word_sums array<long>, pair_counts array<long>, pair_sums array<long>"
 
 
-def merged(parts: DataFrame, answer: bool) -> DataFrame:
+def merged(parts: DataFrame, n_slices: int, answer: bool) -> DataFrame:
     """One row for each slice, without a round: numbers and sums of counts by level (without the begin mark).  It has
     the slice's filter and its words with counts; with `answer` these stay out, and each round gets a row:
     the counts of its words, and the levels that the filter tells of its words, its pairs seen once and its others."""
@@ -256,7 +273,8 @@ def merged(parts: DataFrame, answer: bool) -> DataFrame:
 
     def one(s: int, held: list[list]) -> Iterator[pa.RecordBatch]:
         rounds, *blobs = zip(*held, strict=True)
-        words, word_n, once, more, more_n = (np.frombuffer(b"".join(x), t) for x, t in zip(blobs, (np.uint64, np.uint32, np.uint64, np.uint64, np.uint32), strict=True))
+        words, once, more = (lengthened(b"".join(blobs[k]), s, n_slices) for k in (0, 2, 3))
+        word_n, more_n = (np.frombuffer(b"".join(blobs[k]), np.uint32) for k in (1, 4))
         words, word_n, word_at = summed(words, word_n.astype(np.int64))
         grams, gram_n, gram_at = summed(np.concatenate([once, more]), np.concatenate([np.ones(len(once), np.int64), more_n.astype(np.int64)]))
         w, g = word_n > 0, gram_n > 0  # held-out rows ask for words and pairs that no other row has
@@ -272,7 +290,7 @@ def merged(parts: DataFrame, answer: bool) -> DataFrame:
 
             def packed(values: np.ndarray, of: tuple[bytes, ...]) -> pa.Array:
                 """What is said of the hashes that each round sent."""
-                offsets = np.cumsum([0, *map(len, of)]) // 8 * values.itemsize
+                offsets = np.cumsum([0, *map(len, of)]) // sent_bytes(n_slices) * values.itemsize
                 return pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
             said = {"word_n": packed(word_n[word_at], blobs[0]), "word_lev": packed(word_said, blobs[0]), "once_lev": packed(gram_said[: len(once)], blobs[2]), "more_lev": packed(gram_said[len(once) :], blobs[3])}
@@ -466,13 +484,13 @@ def score(docs: DataFrame, modulus: int = 10, max_bits: int = 1 << 30, broadcast
     def told(found: DataFrame, model: Model) -> DataFrame:
         return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
-    if n_bytes <= max_bits:
-        table = stage(merged(counted(rows.where(~F.col("held_out")), n_slices), answer=False), "slices")
+    if n_bytes * 8 <= max_bits:
+        table = stage(merged(counted(rows.where(~F.col("held_out")), n_slices), n_slices, answer=False), "slices")
         model, bits = learned(table, prior), table.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
         if bits * 8 <= max_bits and model.v <= broadcast_words:
             return told(sent_scores(rows, table, n_slices, model), model)
     kept = stage(rounds(rows), "rounds", **ROUND_FILE)
-    table = stage(merged(asked(kept, n_slices), answer=True), "answers")
+    table = stage(merged(asked(kept, n_slices), n_slices, answer=True), "answers")
     model = learned(table, prior)
     return told(answered(kept, table.where("round IS NOT NULL"), model), model)
 
